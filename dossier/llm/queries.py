@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, wordpiece
+from . import media, minhash, wordpiece
 from .workspace import table
 
 
@@ -16,5 +16,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op9_token_counts)}
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op9_token_counts, op10_minhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
