@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, minhash, wordpiece
+from . import line_dedup, media, minhash, mixing, wordpiece
 from .workspace import table
 
 
@@ -12,6 +12,14 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).drop("shard", "offset")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_report(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -20,5 +28,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op9_token_counts, op10_minhash_near_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_source_mixing, op9_token_counts, op10_minhash_near_dedup)}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op3_source_mixing": mixing.SQL}
