@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, media, minhash, mixing, wordpiece
+from . import decontaminate, licences, line_dedup, media, minhash, mixing, quality, secrets, wordpiece
 from .workspace import table
 
 
@@ -20,6 +21,24 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    rated = quality.rate_documents(docs, table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", F.round("__quality", 6).alias("quality"), F.round("__toxicity", 6).alias("toxicity"), F.col("__keep").alias("keep"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -28,5 +47,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_source_mixing, op9_token_counts, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_source_mixing, op5_secret_scan, op6_licence_scan, op7_quality_classifier, op8_decontamination, op9_token_counts, op10_minhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op3_source_mixing": mixing.SQL}
