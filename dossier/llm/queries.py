@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, line_dedup, media, minhash, mixing, quality, secrets, wordpiece
+from . import decontaminate, licences, line_dedup, media, minhash, mixing, quality, secrets, suffixes, wordpiece
 from .workspace import table
 
 
@@ -21,6 +21,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -47,5 +51,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_source_mixing, op5_secret_scan, op6_licence_scan, op7_quality_classifier, op8_decontamination, op9_token_counts, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_source_mixing, op4_suffix_array_dedup, op5_secret_scan, op6_licence_scan, op7_quality_classifier, op8_decontamination, op9_token_counts, op10_minhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op3_source_mixing": mixing.SQL}
