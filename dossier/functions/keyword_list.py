@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import catalog as C
-from .text import collapse, is_empty, strip
+from .text import collapse, is_empty, sealed, strip
 
 #: Bullet or number before an item; longest clause in words; words beyond which an item is dropped; most that may be dropped; least that must be in the source.
 PREFIX = r"^\s*(?:[-*•·]|\(?\d+[.)])\s*"
@@ -113,8 +113,7 @@ def normalize(df: DataFrame, raw: str, source: str | None = None, value: str = "
         why = why.when(F.col("__grounded") < MIN_GROUNDED, F.concat(F.lit("only "), F.bround(F.col("__grounded") * 100, 0).cast("int").cast("string"), F.lit("% of "), F.size("__items").cast("string"), F.lit(" terms appear in the source text (likely invented or copied from the prompt)")))
     out = out.withColumn("__why", why.otherwise(F.lit("ok")))
     result = F.when(F.col("__why") != "ok", F.lit(None)).when(sentinel(F.col("__raw")), F.col("__raw")).when(sentinel(F.col("__text")), F.col("__text")).otherwise(F.array_join("__items", ", "))
-    names = [c for c in df.columns if c not in (value, reason)]
-    return out.select(*[F.col(f"`{c}`") for c in names], result.alias(value), F.col("__why").alias(reason))
+    return sealed(out, {value: result, reason: F.col("__why")})
 
 
 PLACEHOLDER = r"(?i)^(\*+|none|n/?a|no_?\w*_found|not (found|applicable|mentioned)|extraction_failed|section_not_found)$"

@@ -35,6 +35,13 @@ def spaced(title: str) -> str:
     return r"\s+".join(r"\s*".join(map(re.escape, w)) for w in title.split())
 
 
+def sealed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with further columns that later filters are not pushed through: the expressions are large, and pushing would repeat them."""
+    names = [c for c in df.columns if c not in columns and not c.startswith("__")]
+    packed = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select(*[F.col(f"`{c}`") for c in names], F.inline(packed))
+
+
 def is_empty(c: Column) -> Column:
     """Null, blank, or a placeholder that says that nothing was found."""
     return c.isNull() | (strip(c) == "") | F.lower(strip(c)).rlike(f"^({alternation(C.EMPTY_PREFIXES)})")

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import flexible
+from ..functions.text import flexible, sealed
 
 PAGES = "array<struct<page_num:int,text:string>>"
 _NUM, _GAP, _DOTS, _BLANK = r"(\d+\.?\d*)\s+", r"[^\d]*?", r"\.{2,}\s*(\d+)", r"\s+(\d+)(?:\s|$)"
@@ -211,7 +211,7 @@ def locate(df: DataFrame, section: str, pages: str = "pages", keep_headerless: b
     out = out.withColumn(name("text"), F.substring(text, 1, spec.chars) if spec.chars else text)
     empty = F.coalesce(F.size(col), F.lit(0)) <= 0
     status = F.when(empty, "NO_TEXT_FOUND").when(F.col(name("start")).isNull(), "SECTION_NOT_FOUND").when(F.col(name("text")).isNull(), spec.missing).otherwise("ok")
-    return out.withColumn(name("status"), status).drop("__start", "__toc", "__text", "__near")
+    return sealed(out, {**{name(x): F.col(name(x)) for x in ("start", "number", "end", "text")}, name("status"): status})
 
 
 @dataclass(frozen=True)
