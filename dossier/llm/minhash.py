@@ -9,10 +9,12 @@ Steps, each of which shrinks what the next one sees:
 2. Only classes that share a band in both collections with another class get table keys.
 3. Only shingle sets of classes that share a key are gathered. A shingle that only one of them has can't be in any
    intersection, so a class with too many of those links with nothing, and a pair's overlap is bounded by the rest.
-4. In each key the class with the fewest such shingles is compared with all others that may still link and are not yet in
-   its component; it then leaves the key. This goes on, with twice as many such centres a round, until every key holds a single
-   component or one class. Each pair that shares a key is thus compared, or bounded away, or already connected:
-   no link between components is lost and no group is expanded into all pairs.
+4. In each key the class with the fewest such shingles is the centre, and all others are compared with it. What is close to the
+   centre but doesn't link with it can only link with a class that differs from the centre in a common shingle; such pairs are
+   found by those shingles. After that, a class is settled in the key if it is so close to the centre that, by the triangle
+   inequality, no class outside that comparison can link with it. This goes on with the rest, with four times as many
+   centres a round, until every key holds a single component or nothing. Each pair that shares a key is thus compared, bounded
+   away or already connected: no link between components is lost and no group is expanded into all pairs.
 
 Hot groups: copies fall together in step 1 with map-side aggregation; later joins have one row for each class on one side.
 Null or empty texts have no shingles and link with nothing. Rows that share a doc_id are one document. Rows without doc_id
@@ -98,6 +100,54 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(keys, key, "left_semi")
 
 
+#: Share of overlap with a centre from which on a class's differences from it are kept, in percent.
+CLOSE = 50
+
+
+def _settled(percent: int) -> int:
+    """Overlap with a centre, in percent, from which on all links of a class within the key have been found.
+
+    One minus the overlap is a metric: a class at least this close can't link with one that is farther than CLOSE.
+    """
+    return CLOSE + 100 - percent
+
+
+def _compare(spokes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Overlap of each class with its centre, and for close ones the shingles in which the two differ."""
+    one = sets.select("node", "s1", F.col("shingles").alias("set_1"))
+    two = sets.select(F.col("node").alias("c_node"), F.col("s1").alias("c_s1"), F.col("shingles").alias("set_2"))
+    both = spokes.join(one, ["node", "s1"]).join(two, ["c_node", "c_s1"]).withColumn("shared", F.size(F.array_intersect("set_1", "set_2")))
+    close = F.col("shared") * 100 >= (F.size("set_1") + F.size("set_2") - F.col("shared")) * CLOSE
+    beyond = lambda x, y: F.when(close, F.array_except(x, y))
+    return both.select("c_node", "c_s1", F.size("set_2").alias("c_n"), "node", "s1", "n", "component", "shared", beyond("set_1", "set_2").alias("extra"), beyond("set_2", "set_1").alias("missing"))
+
+
+def _through_centre(stars: DataFrame, percent: int) -> DataFrame:
+    """Links among classes that are close to one centre c, where at least one of the two, x, doesn't link with it.
+
+    The overlap of x and y is overlap(x, c) + overlap(y, c) - |c| plus the shingles of c that both miss plus those beyond c that
+    both have. If x doesn't link with c but with y, at least one of these must exist. If none is beyond c, the overlap is at most
+    the smaller of both overlaps with c, which most pairs fail. So pairs meet on a common shingle beyond c, or on one that
+    both miss where that bound allows it; a group's pairs are never listed. The differences then give the exact overlap.
+    """
+    close = stars.where("extra is not null").withColumn("tied", F.col("shared") * 100 >= (F.col("n") + F.col("c_n") - F.col("shared")) * percent)
+    hub = ["c_node", "c_s1"]
+    apart = close.where("not tied").select(*hub).distinct()
+    kinds = F.concat(F.transform("extra", lambda s: F.struct(s.alias("shingle"), F.lit(True).alias("beyond"))), F.transform("missing", lambda s: F.struct(s.alias("shingle"), F.lit(False).alias("beyond"))))
+    each = close.join(apart, hub, "left_semi").select(*hub, "node", "s1", "n", "component", "shared", "tied", F.inline(kinds))
+    x = each.where("not tied").select(*hub, "shingle", "beyond", *(F.col(c).alias(f"x_{c}") for c in ("node", "s1", "n", "component", "shared")))
+    y = each.select(*hub, "shingle", *(F.col(c).alias(f"y_{c}") for c in ("node", "s1", "n", "component", "shared", "tied")))
+    once = F.col("y_tied") | (F.col("x_node") < F.col("y_node")) | ((F.col("x_node") == F.col("y_node")) & (F.col("x_s1") < F.col("y_s1")))
+    most = F.least("x_shared", "y_shared")
+    allowed = F.col("beyond") | (most * 100 >= (F.col("x_n") + F.col("y_n") - most) * percent)
+    met = x.join(y, [*hub, "shingle"]).where(once & (F.col("x_component") != F.col("y_component")) & allowed).select(*hub, "x_node", "x_s1", "y_node", "y_s1").distinct()
+    side = lambda w, *more: close.select(*hub, *more, *(F.col(c).alias(f"{w}_{c}") for c in ("node", "s1", "n", "shared", "extra", "missing")))
+    pairs = met.join(side("x", "c_n"), [*hub, "x_node", "x_s1"]).join(side("y"), [*hub, "y_node", "y_s1"])
+    both = F.size(F.array_intersect("x_extra", "y_extra")) + F.size(F.array_intersect("x_missing", "y_missing"))
+    overlap = F.col("x_shared") + F.col("y_shared") - F.col("c_n") + both
+    return pairs.where(overlap * 100 >= (F.col("x_n") + F.col("y_n") - overlap) * percent).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, tables: int = 10, rows: int = 3, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs; documents link where 100 * intersection >= percent * union."""
     spark = docs.sparkSession
@@ -131,26 +181,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = None
     turn = 0
     while True:
-        # A key is done when all that is left in it is connected.
-        left = active.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        active = space.save(active.join(left, "key", "left_semi"), "left")
+        # A key is done when all that is left in it is connected; a class leaves a key in which not even the best match could link.
+        left = active.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("common").alias("best"), F.min("n").alias("least")).where("lo < hi").select("key", "best", "least")
+        most = F.least("common", "best")
+        hopeful = active.join(left, "key").where(most * 100 >= (F.col("n") + F.greatest("least", most) - most) * percent)
+        active = space.save(hopeful.select(active.columns), "left")
         if not active.limit(1).count():
             break
-        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << min(turn, 12)))
-        order = F.struct((F.col("n") - F.col("common")).alias("own"), F.col("node"), F.col("s1"), F.col("n"), F.col("common"), F.col("component"))
-        centres = active.groupBy("key", slot.alias("slot")).agg(F.min(order).alias("c")).select("key", *(F.col(f"c.{x}").alias(f"c_{x}") for x in ("node", "s1", "n", "common", "component")))
+        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << min(2 * turn, 16)))
+        order = F.struct((F.col("n") - F.col("common")).alias("own"), F.col("node"), F.col("s1"))
+        centres = active.groupBy("key", slot.alias("slot")).agg(F.min(order).alias("c")).select("key", F.col("c.node").alias("c_node"), F.col("c.s1").alias("c_s1"))
         centres = space.save(centres, "centres")
-        most = F.least("common", "c_common")
-        may_link = (F.col("component") != F.col("c_component")) & (most * 100 >= (F.col("n") + F.col("c_n") - most) * percent)
-        pairs = active.join(centres, "key").where(may_link).select("c_node", "c_s1", "node", "s1").distinct()
-        one = sets.select("node", "s1", F.col("shingles").alias("set_1"))
-        two = sets.select(F.col("node").alias("c_node"), F.col("s1").alias("c_s1"), F.col("shingles").alias("set_2"))
-        both = F.size(F.array_intersect("set_1", "set_2"))
-        linked = pairs.join(one, ["node", "s1"]).join(two, ["c_node", "c_s1"]).where(both * 100 >= (F.size("set_1") + F.size("set_2") - both) * percent)
-        found = space.save(linked.select(F.col("c_node").alias("a"), F.col("node").alias("b")), "links")
-        rest = active.join(centres.select("key", F.col("c_node").alias("node"), F.col("c_s1").alias("s1")), ["key", "node", "s1"], "left_anti")
-        if found.limit(1).count():
-            links = found if links is None else links.unionByName(found)
+        apart = (F.col("node") != F.col("c_node")) | (F.col("s1") != F.col("c_s1"))
+        spokes = active.join(centres, "key").where(apart).select("c_node", "c_s1", "node", "s1", "n", "component").distinct()
+        stars = space.save(_compare(spokes, sets), "stars")
+        found = [stars.where(F.col("shared") * 100 >= (F.col("n") + F.col("c_n") - F.col("shared")) * percent).select(F.col("c_node").alias("a"), F.col("node").alias("b"))]
+        found.append(_through_centre(stars, percent))
+        new = space.save(found[0].unionByName(found[1]), "links")
+        near = stars.where(F.col("shared") * 100 >= (F.col("n") + F.col("c_n") - F.col("shared")) * _settled(percent)).select("c_node", "c_s1", "node", "s1")
+        settled = centres.join(near, ["c_node", "c_s1"]).select("key", "node", "s1").unionByName(centres.select("key", F.col("c_node").alias("node"), F.col("c_s1").alias("s1")))
+        rest = active.join(settled, ["key", "node", "s1"], "left_anti")
+        if new.limit(1).count():
+            links = new if links is None else links.unionByName(new)
             labels = components(links, space)
             rest = rest.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         active, turn = rest, turn + 1
