@@ -67,7 +67,7 @@ def quartiles(df: DataFrame, column: str, *keys: str) -> DataFrame:
 
 def upper_median(df: DataFrame, column: str, *keys: str) -> DataFrame:
     """The middle value, the higher one of two."""
-    return df.groupBy(*keys).agg(F.element_at(F.array_sort(F.collect_list(column)), (F.floor(F.count(column) / 2) + 1).cast("int")).alias("upper_median"))
+    return df.groupBy(*keys).agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)").cast(df.schema[column].dataType).alias("upper_median"))
 
 
 def summarise(profile: DataFrame, *keys: str) -> DataFrame:
