@@ -3,7 +3,7 @@
 1. Two logistic models are fitted on a bounded sample of labelled documents (SAMPLE rows, drawn by hash of the id): quality
    from the shape of a text, toxicity from a lexicon of words and word beginnings that the sample's toxic documents have.
    The lexicon comes from one half of the sample and the weights of what it finds from the other.
-2. Every document gets both probabilities in one pass, without a shuffle.
+2. Every document gets both probabilities in one pass, without a shuffle; they are written with its other columns.
 3. Probabilities are summed by path (source, language), then by host (source), then over all, with map-side aggregation, so a hot host
    is a handful of partial sums. Each level's rate is shrunk toward its parent's with as many pseudo-documents as the variance between
    siblings supports (method of moments): sparse sites lean on the host, sparse hosts on the corpus.
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .workspace import Workspace, small_batches
 
@@ -162,30 +163,35 @@ def _log_odds(p):
     return F.log(held / (1 - held))
 
 
-def rate_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """docs with __quality, __toxicity (posteriors) and __keep."""
+def rate_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", sample: int = SAMPLE, keep_text: bool = True) -> DataFrame:
+    """docs with __quality, __toxicity (posteriors) and __keep; without the text column if keep_text is false.
+
+    Each text is rated once; the ratings are written beside the other columns, and the sites' shares come from that table.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     space = Workspace(spark, "quality")
     got = labelled_sample(docs, labels, id_col, text_col, sample).select("__text", F.col("quality").cast("double"), F.col("toxic").cast("double")).toArrow()
     texts = got.column(0).to_pylist()
     shared = spark.sparkContext.broadcast(train(texts, np.array(got.column(1).to_pylist()), np.array(got.column(2).to_pylist())) if texts else {"quality": None, "toxic": None, "lexicon": {}})
+    keep = [f for f in docs.schema.fields if keep_text or f.name != text_col]
 
     def run(batches):
         models, known = shared.value, {}
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column("__body")]
+            texts = [t.as_py() or "" for t in batch.column(text_col)]
             if not texts:
                 continue
             good = predict(models["quality"], np.array([shape(t) for t in texts]))
             bad = predict(models["toxic"], np.array([lexical(t, models["lexicon"], known) for t in texts])) if models["toxic"] else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("__host"), batch.column("__path"), pa.array(good), pa.array(bad)], names=["__host", "__path", "good", "bad"])
-
-    sited = [F.coalesce(F.col(host_col).cast("string"), F.lit("\0")).alias("__host"), F.coalesce(F.col(path_col).cast("string"), F.lit("\0")).alias("__path")]
-    slim = docs.select(*sited, F.col(text_col).cast("string").alias("__body"))
-    scored = slim.mapInArrow(run, "__host string, __path string, good double, bad double")
-    sums = [F.count("*").alias("n"), F.sum("good").alias("good_sum"), F.sum("bad").alias("bad_sum")]
-    paths = space.save(scored.groupBy("__host", "__path").agg(*sums), "paths")
+            names = [f.name for f in keep]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(good), pa.array(bad)], names=[*names, "__good", "__bad"])
+
+    schema = T.StructType([*keep, T.StructField("__good", T.DoubleType()), T.StructField("__bad", T.DoubleType())])
+    rated = space.save(docs.mapInArrow(run, schema), "rated")
+    site = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    sums = [F.count("*").alias("n"), F.sum("__good").alias("good_sum"), F.sum("__bad").alias("bad_sum")]
+    paths = space.save(rated.groupBy(site(host_col).alias("__host"), site(path_col).alias("__path")).agg(*sums), "paths")
     hosts = paths.groupBy("__host").agg(F.sum("n").alias("n"), F.sum("good_sum").alias("good_sum"), F.sum("bad_sum").alias("bad_sum"))
     whole = paths.agg((F.sum("good_sum") / F.sum("n")).alias("good_up"), (F.sum("bad_sum") / F.sum("n")).alias("bad_up"))
     sites = None
@@ -196,29 +202,9 @@ def rate_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         move = _log_odds(F.col(f"{rate}_post")) - _log_odds(F.col(f"{rate}_up"))
         path = path.crossJoin(F.broadcast(top)).select("__host", "__path", F.least(F.greatest(move, F.lit(-SITE_LIMIT)), F.lit(SITE_LIMIT)).alias(f"{rate}_move"))
         sites = path if sites is None else sites.join(path, ["__host", "__path"])
-    return _decide(docs, space.save(sites, "sites"), shared, text_col, host_col, path_col)
-
-
-def _decide(docs: DataFrame, sites: DataFrame, shared, text_col: str, host_col: str, path_col: str) -> DataFrame:
-    """Rate each document again, with its site; texts are not shuffled unless the sites are too many to broadcast."""
-
-    def run(batches):
-        models, known = shared.value, {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = [t.as_py() or "" for t in batch.column(text_col)]
-            good = predict(models["quality"], np.array([shape(t) for t in texts]))
-            bad = predict(models["toxic"], np.array([lexical(t, models["lexicon"], known) for t in texts])) if models["toxic"] else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(good), pa.array(bad)], names=[*batch.schema.names, "__good", "__bad"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("__good", T.DoubleType()), T.StructField("__bad", T.DoubleType())])
-    rated = docs.mapInArrow(run, schema).withColumn("__host", F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))).withColumn("__path", F.coalesce(F.col(path_col).cast("string"), F.lit("\0")))
+    out = rated.withColumn("__host", site(host_col)).withColumn("__path", site(path_col)).join(space.save(sites, "sites"), ["__host", "__path"], "left")
     back = lambda x: 1 / (1 + F.exp(-x))
-    out = rated.join(sites, ["__host", "__path"], "left")
     quality = back(_log_odds(F.col("__good")) + F.coalesce("good_move", F.lit(0.0)))
     toxicity = F.when(F.col("__bad") > 0, back(_log_odds(F.col("__bad")) + F.coalesce("bad_move", F.lit(0.0)))).otherwise(F.lit(0.0))
     named = out.withColumn("__quality", quality).withColumn("__toxicity", toxicity)
-    return named.select(*[F.col(f"`{c}`") for c in docs.columns], "__quality", "__toxicity", ((F.col("__quality") >= 0.5) & (F.col("__toxicity") < 0.5)).alias("__keep"))
+    return named.select(*[F.col(f"`{f.name}`") for f in keep], "__quality", "__toxicity", ((F.col("__quality") >= 0.5) & (F.col("__toxicity") < 0.5)).alias("__keep"))

@@ -35,7 +35,7 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    rated = quality.rate_documents(docs, table(spark, sf_dir, "labels"))
+    rated = quality.rate_documents(docs, table(spark, sf_dir, "labels"), keep_text=False)
     return rated.select("doc_id", F.round("__quality", 6).alias("quality"), F.round("__toxicity", 6).alias("toxicity"), F.col("__keep").alias("keep"))
 
 

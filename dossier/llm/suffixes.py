@@ -173,9 +173,10 @@ def spans_of(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist()))
 
 
-def _release() -> None:
-    """Let Spark delete the shuffle files of stages whose result has been written."""
+def _release(spark) -> None:
+    """Let Spark delete the shuffle files of stages whose result has been written, as it does when their plans are collected as garbage."""
     gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST, windows: int = 1 << 20) -> DataFrame:
@@ -203,7 +204,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lists = wanted.groupBy("h1", "h2").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("runs")).join(classes.select("h1", "h2", "id"), ["h1", "h2"])
     lists = space.save(lists, "wanted")
     space.drop(runs)
-    _release()
+    _release(spark)
 
     def cut(batches):
         for batch in batches:
@@ -219,7 +220,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     contexts = space.save(hashed.join(lists, ["id", "h1", "h2"]).select("h1", "h2", "text", "runs").mapInArrow(cut, CONTEXTS), "contexts")
     space.drop(lists)
-    _release()
+    _release(spark)
     shared = contexts.groupBy("anchor", "digest", "n").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.first("context").alias("context"))
     distinct = space.save(shared.select("anchor", "digest", "n", (F.col("lo") != F.col("hi")).alias("many"), "context"), "distinct")
     groups = space.save(distinct.groupBy("anchor").agg(F.count("*").alias("members")), "groups")
@@ -254,7 +255,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         answers = answers.unionByName(_count_windows(distinct.join(crowded, "anchor", "left_semi"), length))
     answers = space.save(answers.where(F.size("spans") > 0), "answers")
     space.drop(distinct)
-    _release()
+    _release(spark)
     moved = F.transform("spans", lambda x: x + F.col("start"))
     spans = contexts.select("anchor", "digest", "h1", "h2", "start").join(answers, ["anchor", "digest"]).groupBy("h1", "h2").agg(F.flatten(F.collect_list(moved)).alias("spans"))
     found = space.save(classes.select("h1", "h2", "copies").join(spans, ["h1", "h2"], "left").where("copies > 1 or spans is not null"), "found")

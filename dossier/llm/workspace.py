@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes that Python's Arrow batches may hold; documents differ in length by five orders of magnitude.
 ARROW_BATCH_ROWS = 512
@@ -59,10 +58,5 @@ def small_batches(spark: SparkSession, rows: int = ARROW_BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def row_key(id_col: str, text_col: str):
-    """Columns that tell rows apart although ids may repeat or be null: equal rows share a key and also share every result."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
-
-
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
