@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that Python's Arrow batches may hold; documents differ in length by five orders of magnitude.
@@ -20,12 +22,25 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_roots: list[str] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """Delete what this program's operators wrote; results that are not written elsewhere by then are gone."""
+    gateway = SparkContext._gateway
+    for root in _roots if gateway is not None else ():
+        where = gateway.jvm.org.apache.hadoop.fs.Path(root)
+        where.getFileSystem(gateway.jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+
+
 class Workspace:
     """Tables written below the shared folder to cut lineage; each operator call has its own."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        _roots.append(self.root)
         self._n = 0
 
     def path(self, name: str) -> str:
