@@ -49,6 +49,16 @@ def test_near_stage_keeps_one_of_each_group(stages):
     assert ids(stages[3][1]) == want
 
 
+def test_near_stage_links_from_four_fifths(spark):
+    """Pairs of texts with overlaps of exactly 0.84, 0.80 and 0.79: the first 88, 84 and 83 of 104 words."""
+    rows = []
+    for n, words in enumerate((88, 84, 83)):
+        base = [f"{'abc'[n]}{i}" for i in range(104)]
+        rows += [(2 * n, " ".join(base), "en", "src", 1), (2 * n + 1, " ".join(base[:words]), "en", "src", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert ids(P.near_stage(spark, docs, "")) == {0, 2, 4, 5}
+
+
 def test_benchmark_stage_drops_what_holds_an_item(spark, stages, small):
     from dossier.llm.decontaminate import normal
 
