@@ -163,7 +163,8 @@ def assert_single_resolution(spark, sf_dir):
 
 
 def _halves(spark, sf_dir):
-    e = _t(spark, sf_dir, "embeddings").where("vec_id < 200")
+    """All vectors of even and of odd id."""
+    e = _t(spark, sf_dir, "embeddings")
     return e.where("vec_id % 2 = 0").select("label", F.col("vec_id").alias("i"), F.col("embedding").alias("a")), e.where("vec_id % 2 = 1").select("label", F.col("vec_id").alias("j"), F.col("embedding").alias("b"))
 
 
