@@ -13,6 +13,8 @@ from ..operators import scoring as S
 from .list_queries import _in, _q, _strip, _t
 
 SEED = 20261005
+#: As many as the reference draws.
+RESAMPLES = 10_000
 _TOK = "list_distinct(regexp_extract_all(lower({}), '[a-z]{{4,}}'))"
 
 
@@ -229,20 +231,20 @@ def signed_rank_w(spark, sf_dir):
 
 
 def _confusion(spark, sf_dir):
-    return _t(spark, sf_dir, "labels").where("doc_id < 400").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("tp"), (F.col("toxic") == 1).cast("int").alias("fp"))
+    return _t(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("tp"), (F.col("toxic") == 1).cast("int").alias("fp"))
 
 
 def bootstrap_ci(spark, sf_dir):
-    """Precision over 200 resamples of the labelled documents, drawn by a portable congruence."""
+    """Precision over resamples of all labelled documents, drawn by a portable congruence."""
     value = F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fp")).cast("double"))
-    return S.percentile_interval(S.bootstrap(_confusion(spark, sf_dir), "doc_id", ["tp", "fp"], value, 200, SEED))
+    return S.percentile_interval(S.bootstrap(_confusion(spark, sf_dir), "doc_id", ["tp", "fp"], value, RESAMPLES, SEED))
 
 
 def bootstrap_paired_diff(spark, sf_dir):
     """The difference of two systems' recalls over the same resamples; an empty denominator counts as one."""
     rows = _confusion(spark, sf_dir).withColumn("other", (F.col("doc_id") % 3 == 0).cast("int")).withColumn("one", F.lit(1))
     value = (F.col("other") - F.col("tp")) / F.greatest(F.col("one"), F.lit(1)).cast("double")
-    return S.percentile_interval(S.bootstrap(rows, "doc_id", ["tp", "other", "one"], value, 200, SEED))
+    return S.percentile_interval(S.bootstrap(rows, "doc_id", ["tp", "other", "one"], value, RESAMPLES, SEED))
 
 
 def union_append_average(spark, sf_dir):

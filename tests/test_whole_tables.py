@@ -54,3 +54,23 @@ def test_greedy_matches_of_all_vectors(spark, vectors):
                 pairs.append((i, j))
         want += [(label, t, len(pairs)) for label, pairs in taken.items()]
     assert got(spark, "greedy_match_tp", sf_dir) == sorted(want)
+
+
+# --- Resamples of all labels --------------------------------------------------------------------------------------------
+
+
+def test_bootstrap_of_all_labels(spark, folder):
+    """Ids on both sides of 400; 10,000 resamples drawn one by one."""
+    rows = [(n, int(n % 4 > 0), int(n % 5 == 0)) for n in range(394, 408)]
+    sf_dir, n, big = folder("labels", rows, "doc_id long, quality int, toxic int"), len(rows), 2147483647
+    values = {"bootstrap_ci": [], "bootstrap_paired_diff": []}
+    for b in range(10_000):
+        drawn = [rows[(b * 48271 + i * 40692 + 20261005) % big * 16807 % big % n] for i in range(n)]
+        tp, fp, other = sum(q == 1 and t == 0 for _, q, t in drawn), sum(t for *_, t in drawn), sum(i % 3 == 0 for i, *_ in drawn)
+        values["bootstrap_ci"] += [tp / (tp + fp)] if tp + fp else []
+        values["bootstrap_paired_diff"].append((other - tp) / n)
+    for name, seen in values.items():
+        seen.sort()
+        at = lambda q: (lambda x: seen[int(x)] + (x - int(x)) * (seen[min(int(x) + 1, len(seen) - 1)] - seen[int(x)]))(q * (len(seen) - 1))
+        b, mean, lo, hi = got(spark, name, sf_dir)[0]
+        assert b == 10_000 and (mean, lo, hi) == pytest.approx((sum(seen) / len(seen), at(0.025), at(0.975)), abs=2e-6)
