@@ -49,10 +49,16 @@ def macro_row(spark, sf_dir):
     return S.with_average(rows, "id")
 
 
+def _numbered(spark, sf_dir):
+    """Documents with the item of their number modulo the benchmark's size; items are numbered from 0."""
+    size = _t(spark, sf_dir, "benchmark").agg(F.count("*").alias("n_items"))
+    return _t(spark, sf_dir, "documents").crossJoin(F.broadcast(size)).withColumn("item_id", F.expr("try_mod(doc_id, n_items)"))
+
+
 def jaccard_tokens(spark, sf_dir):
     """Each benchmark item against the documents of the same number modulo the benchmark's size."""
     b = _t(spark, sf_dir, "benchmark").select("item_id", K.token_set(F.col("text")).alias("b"))
-    d = _t(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), K.token_set(F.col("text")).alias("d"))
+    d = _numbered(spark, sf_dir).select("doc_id", "item_id", K.token_set(F.col("text")).alias("d"))
     return d.join(b, "item_id").select("doc_id", "item_id", F.round(S.jaccard(F.col("d"), F.col("b")), 6).alias("jaccard"))
 
 
@@ -84,7 +90,7 @@ def date_accuracy(spark, sf_dir):
 
 def error_kind_pivot(spark, sf_dir):
     """Words of benchmark items as gold, documents as predictions: kinds of error by language."""
-    d = _t(spark, sf_dir, "documents").select("doc_id", "lang", (F.col("doc_id") % 40).alias("item_id"), "text")
+    d = _numbered(spark, sf_dir).select("doc_id", "lang", "item_id", "text")
     b = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
     rows = d.join(b, "item_id").select("doc_id", "lang", F.explode(F.array_distinct(F.split("item", r"[\s.,]+"))).alias("word"), F.split("text", "\n")[0].alias("given"), "text")
     rows = rows.where(F.length("word") >= 4).withColumn("gs", F.array_distinct(K.stems(F.col("given")))).withColumn("ts", F.array_distinct(K.stems(F.col("text"))))

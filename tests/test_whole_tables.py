@@ -74,3 +74,15 @@ def test_bootstrap_of_all_labels(spark, folder):
         at = lambda q: (lambda x: seen[int(x)] + (x - int(x)) * (seen[min(int(x) + 1, len(seen) - 1)] - seen[int(x)]))(q * (len(seen) - 1))
         b, mean, lo, hi = got(spark, name, sf_dir)[0]
         assert b == 10_000 and (mean, lo, hi) == pytest.approx((sum(seen) / len(seen), at(0.025), at(0.975)), abs=2e-6)
+
+
+# --- Benchmarks of another size -----------------------------------------------------------------------------------------
+
+
+def test_all_benchmark_items_meet_documents(spark, folder):
+    """50 items of one word each; a document holds the word of its item."""
+    word = lambda n: "item" + "abcdefghij"[n // 10] + "abcdefghij"[n % 10]
+    folder("benchmark", [(n, word(n)) for n in range(50)], "item_id long, text string")
+    sf_dir = folder("documents", [(n, "en", f"{word(n % 50)}\nother") for n in range(120)], "doc_id long, lang string, text string")
+    assert got(spark, "jaccard_tokens", sf_dir) == [(n, n % 50, 0.5) for n in range(120)]
+    assert got(spark, "error_kind_pivot", sf_dir) == [("en", 120, 0, 0, 0)]
