@@ -86,3 +86,16 @@ def test_all_benchmark_items_meet_documents(spark, folder):
     sf_dir = folder("documents", [(n, "en", f"{word(n % 50)}\nother") for n in range(120)], "doc_id long, lang string, text string")
     assert got(spark, "jaccard_tokens", sf_dir) == [(n, n % 50, 0.5) for n in range(120)]
     assert got(spark, "error_kind_pivot", sf_dir) == [("en", 120, 0, 0, 0)]
+
+
+# --- Averages and whole texts -------------------------------------------------------------------------------------------
+
+
+def test_macro_row_of_all_documents(spark, folder):
+    """60 documents: each shares one of its two words with the next, the last ten with none."""
+    word = lambda n: "word" + "abcdefghij"[n // 10] + "abcdefghij"[n % 10]
+    rows = [(n, "en", f"{word(n)} {word(n + 1)}" if n < 50 else f"{word(n)} alone{word(n)}") for n in range(60)]
+    out = dict((r[0], r[1:]) for r in got(spark, "macro_row", folder("documents", rows, "doc_id long, lang string, text string")))
+    assert len(out) == 60 and out["58"] == (0.0, 0.0, 0.0) and out["3"] == (0.5, 0.5, 0.5)
+    shared = sum(bool(set(a[2].split()) & set(b[2].split())) for a, b in zip(rows, rows[1:]))
+    assert out["AVERAGE"] == (round(shared / 2 / 59, 6),) * 3
