@@ -64,9 +64,10 @@ def clean_item(item: Column) -> Column:
 
 
 def distinct_items(items: Column) -> Column:
-    """The first of items that are equal but for case, in order."""
-    keys = F.transform(items, lambda x: F.lower(x))
-    return F.filter(items, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+    """The first of items that are equal but for case, in order. Arrays of one bind items and keys, which are thus worked out once."""
+    first = lambda them, keys: F.filter(them, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+    bind = lambda them: F.get(F.transform(F.array(F.transform(them, lambda x: F.lower(x))), lambda keys: first(them, keys)), F.lit(0))
+    return F.get(F.transform(F.array(items), bind), F.lit(0))
 
 
 def loose(c: Column) -> Column:

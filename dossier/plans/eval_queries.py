@@ -20,7 +20,7 @@ _TOK = "list_distinct(regexp_extract_all(lower({}), '[a-z]{{4,}}'))"
 
 def _adjacent(spark, sf_dir):
     """Word sets of each document and the next one by id, as gold and prediction."""
-    d = _t(spark, sf_dir, "documents").select("doc_id", "lang", K.token_set(F.split("text", "\n")[0]).alias("gold"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", "lang", K.token_set(F.col("text")).alias("gold"))
     nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("gold").alias("predicted"))
     return S.overlap_counts(d.join(nxt, "doc_id"), "gold", "predicted")
 

@@ -123,8 +123,8 @@ def prose_reason_counts(spark, sf_dir):
 
 
 def clean_items(spark, sf_dir):
-    """Items of each document's first line, as of an unchecked answer."""
-    items = K.answer_items(F.split("text", "\n")[0], F.col("source"))
+    """Items of each document's text, as of an unchecked answer."""
+    items = K.answer_items(F.col("text"), F.col("source"))
     docs = _t(spark, sf_dir, "documents").select("doc_id", items.alias("items"))
     return docs.select("doc_id", F.size("items").alias("n_items"), F.array_join("items", "|").alias("items"))
 
@@ -149,8 +149,8 @@ def provenance_split(spark, sf_dir):
 
 
 def sentinel_is_empty(spark, sf_dir):
-    """Emptiness of document heads and of every sentinel."""
-    docs = _t(spark, sf_dir, "documents").select(F.substring("text", 1, 30).alias("v"))
+    """Emptiness of documents and of every sentinel."""
+    docs = _t(spark, sf_dir, "documents").select(F.col("text").alias("v"))
     fixed = spark.createDataFrame([(s,) for s in (*C.SENTINELS, "ERROR: timeout", "  ", "No information given", "dizziness", "NONE_FOUND", None)], "v string")
     return docs.unionByName(fixed).groupBy(text.is_empty(F.col("v")).alias("empty")).agg(F.count("*").alias("n"))
 
@@ -185,10 +185,10 @@ def enzyme_extract(spark, sf_dir):
 
 
 def cleanups(spark, sf_dir):
-    """All scalar clean-ups over the first lines of documents."""
-    line = F.split("text", "\n")[0]
+    """All scalar clean-ups over the texts of documents."""
+    whole = F.col("text")
     d = _t(spark, sf_dir, "documents")
-    return d.select("doc_id", text.paragraph(line).alias("paragraph"), text.warnings_list(line).alias("warnings"), text.interactions_list(line).alias("interactions"), text.adverse_list(line).alias("adverse"), text.item_count(line).alias("n_items"), text.elimination(line).alias("elimination"), text.head(line, 60).alias("head"))
+    return d.select("doc_id", text.paragraph(whole).alias("paragraph"), text.warnings_list(whole).alias("warnings"), text.interactions_list(whole).alias("interactions"), text.adverse_list(whole).alias("adverse"), text.item_count(whole).alias("n_items"), text.elimination(whole).alias("elimination"), text.head(whole, 60).alias("head"))
 
 
 def _interactions_sql(c: str) -> str:

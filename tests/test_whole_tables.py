@@ -99,3 +99,31 @@ def test_macro_row_of_all_documents(spark, folder):
     assert len(out) == 60 and out["58"] == (0.0, 0.0, 0.0) and out["3"] == (0.5, 0.5, 0.5)
     shared = sum(bool(set(a[2].split()) & set(b[2].split())) for a, b in zip(rows, rows[1:]))
     assert out["AVERAGE"] == (round(shared / 2 / 59, 6),) * 3
+
+
+@pytest.fixture
+def lines(folder):
+    """Texts whose later lines hold words and items, one of them after forty blanks."""
+    rows = [(0, "en", "s", "alpha, beta\ngamma; delta"), (1, "en", "s", "other\ngamma and delta"), (2, "en", "s", " " * 40 + "epsilon")]
+    return folder("documents", rows, "doc_id long, lang string, source string, text string")
+
+
+def test_word_sets_of_whole_texts(spark, lines):
+    assert got(spark, "set_prf_per_doc", lines) == [(0, 2, 1, 2, 0.666667, 0.5, 0.571429), (1, 0, 1, 3, 0.0, 0.0, 0.0)]
+    assert got(spark, "set_prf_micro", lines) == [("en", 2, 2, 2, 5, 0.5, 0.285714, 0.363636)]
+    assert got(spark, "macro_row", lines)[-1] == ("AVERAGE", 0.333334, 0.25, 0.285715)
+
+
+def test_items_of_whole_texts(spark, lines):
+    assert got(spark, "clean_items", lines) == [(0, 4, "alpha|beta|gamma|delta"), (1, 2, "other|gamma and delta"), (2, 1, "epsilon")]
+
+
+def test_cleanups_of_whole_texts(spark, lines):
+    rows = {r.doc_id: r for r in registry.QUERIES["cleanups"](spark, lines).collect()}
+    assert (rows[0].paragraph, rows[0].adverse, rows[0].n_items) == ("alpha, beta gamma; delta", "alpha, beta gamma; delta", 2)
+    assert (rows[1].warnings, rows[1].interactions, rows[1]["head"]) == ("other gamma and delta", "other\ngamma, delta", "other\ngamma and delta")
+
+
+def test_texts_with_blank_heads_are_not_empty(spark, lines, folder):
+    fixed = {r[0]: r[1] for r in got(spark, "sentinel_is_empty", folder("empty/documents", [], "text string") + "/empty")}
+    assert {r[0]: r[1] for r in got(spark, "sentinel_is_empty", lines)} == {**fixed, False: fixed[False] + 3}
