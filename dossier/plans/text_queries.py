@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keyword_list as K
-from ..functions.text import spaced
+from ..functions.text import spaced, strip
 from ..operators import locate as L
 from ..operators import passages as P
 from ..operators import profile as R
@@ -71,18 +71,18 @@ def keyword_passages(spark, sf_dir):
 
 
 def chunk_documents(spark, sf_dir):
-    """Pieces of the long documents."""
-    docs = _t(spark, sf_dir, "documents").where("n_chars > 8000")
+    """Pieces of all documents; a short one gives one."""
+    docs = _t(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(P.chunks(F.col("text"))).alias("chunk", "piece")).select("doc_id", "chunk", F.length("piece").alias("chars"), F.md5("piece").alias("digest"))
 
 
 def chunk_merge_dedup(spark, sf_dir):
-    """Items of the pieces' first lines, merged in order."""
-    docs = _t(spark, sf_dir, "documents").where("n_chars > 8000")
+    """Items of all pieces, merged in order."""
+    docs = _t(spark, sf_dir, "documents")
     parts = docs.select("doc_id", F.posexplode(P.chunks(F.col("text"))).alias("chunk", "piece"))
-    items = parts.select("doc_id", "chunk", K.answer_items(F.split("piece", "\n")[0]).alias("items"))
-    merged = items.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "items"))), lambda x: x["items"]).alias("all"))
-    return merged.select("doc_id", K.merged_answer(F.col("all"), F.lit("x")).alias("value"))
+    items = parts.select("doc_id", "chunk", K.answer_items(F.col("piece")).alias("items"), F.when(strip(F.col("piece")) != "", F.lit("x")).alias("section"))
+    merged = items.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "items"))), lambda x: x["items"]).alias("all"), F.max("section").alias("section"))
+    return merged.select("doc_id", K.merged_answer(F.col("all"), F.col("section")).alias("value"))
 
 
 def tidy_lines(spark, sf_dir):

@@ -127,3 +127,19 @@ def test_cleanups_of_whole_texts(spark, lines):
 def test_texts_with_blank_heads_are_not_empty(spark, lines, folder):
     fixed = {r[0]: r[1] for r in got(spark, "sentinel_is_empty", folder("empty/documents", [], "text string") + "/empty")}
     assert {r[0]: r[1] for r in got(spark, "sentinel_is_empty", lines)} == {**fixed, False: fixed[False] + 3}
+
+
+# --- Short documents and later lines of pieces --------------------------------------------------------------------------
+
+
+def test_pieces_of_all_documents(spark, folder):
+    """A short text, one without length, blank and missing ones, and a long one whose items repeat across pieces."""
+    long = "\n".join(f"item {n}, Item {n - 1}" for n in range(1, 600))
+    rows = [(0, "alpha, beta\nAlpha; gamma", 24), (1, "delta\nepsilon", None), (2, " ", 1), (3, None, None), (4, long, len(long)), (5, "none", 4)]
+    sf_dir = folder("documents", rows, "doc_id long, text string, n_chars long")
+    pieces = got(spark, "chunk_documents", sf_dir)
+    assert len(long) > 8000 and [r[:3] for r in pieces if r[0] != 4] == [(0, 0, 24), (1, 0, 13), (2, 0, 1), (3, 0, 0), (5, 0, 4)]
+    assert [r[1] for r in pieces if r[0] == 4] == list(range(len(pieces) - 5)) and len(pieces) > 6
+    merged = dict(got(spark, "chunk_merge_dedup", sf_dir))
+    assert (merged[0], merged[1], merged[2], merged[3], merged[5]) == ("alpha, beta, gamma", "delta, epsilon", "SECTION_NOT_FOUND", "SECTION_NOT_FOUND", "NONE_FOUND")
+    assert {f"item {n}" for n in range(1, 600)} <= {x.lower() for x in merged[4].split(", ")}
