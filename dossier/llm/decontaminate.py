@@ -5,13 +5,15 @@ one of them whole. All pieces of all items go into one Aho-Corasick automaton, w
 text; around every hit Myers' bit-vector algorithm finds the least edit distance of the whole item to any substring of the window.
 
 Both sides are compared lower-cased and with runs of white space as one space. Items whose normal form is shorter than min_chars are
-not looked for, as they are no passages; null and empty items and texts match nothing. Items are processed in blocks of at most
+no passages: they match exactly and as whole words, with no edits. Null and empty items and texts match nothing. Items are processed in blocks of at most
 BLOCK_CHARS characters, each of which is broadcast, so the benchmark may be of any size. Texts are not shuffled.
 Repeated documents and items each count; null ids are kept. Only ids and texts are read.
 """
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +22,19 @@ from .workspace import small_batches
 
 RATE, MIN_CHARS, BLOCK_CHARS = 0.07, 40, 8 << 20
 SCHEMA = "doc_id long, item_id long, distance int"
+_WORD = re.compile(r"\w")
 
 
 def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def bounded(text: str, begin: int, end: int) -> bool:
+    """Whether no word goes on across either end of text[begin:end]."""
+    inner = lambda at: 0 < at < len(text) and _WORD.match(text[at - 1]) and _WORD.match(text[at])
+    return not (inner(begin) or inner(end))
+
+
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
     """k + 1 pieces of about equal length, with their places."""
     cuts = [i * len(item) // (k + 1) for i in range(k + 2)]
@@ -60,10 +69,11 @@ def myers(pattern: str, text: str, most: int) -> int | None:
 class Finder:
     """Items of one block with the automaton of their pieces."""
 
-    def __init__(self, items: list[tuple[int | None, str]], rate: float):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float, min_chars: int = MIN_CHARS):
         import ahocorasick
 
-        self.items = [(i, text, int(rate * len(text))) for i, text in items]
+        self.min_chars = min_chars
+        self.items = [(i, text, int(rate * len(text)) if len(text) >= min_chars else 0) for i, text in items]
         where: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, k) in enumerate(self.items):
             for at, piece in pieces(text, k):
@@ -86,6 +96,10 @@ class Finder:
                     continue
                 _, item, k = self.items[n]
                 begin = end + 1 - length - at
+                if len(item) < self.min_chars:
+                    if bounded(text, begin, end + 1):
+                        best[n] = 0
+                    continue
                 # A window that lies within the last one searched for this item shows nothing new.
                 low, high = max(0, begin - k), min(len(text), begin + len(item) + k)
                 if n in done and done[n][0] <= low and high <= done[n][1]:
@@ -98,13 +112,13 @@ class Finder:
         return best
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, min_chars: int, block_chars: int) -> list[list[tuple[int | None, str]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> list[list[tuple[int | None, str]]]:
     """The items in blocks of bounded size; each is sent to the executors by itself."""
     out: list[list[tuple[int | None, str]]] = [[]]
     size = 0
     for item_id, text in benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).toLocalIterator():
         text = normal(text)
-        if len(text) < min_chars:
+        if not text:
             continue
         if size and size + len(text) > block_chars:
             out.append([])
@@ -120,11 +134,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for block in _blocks(benchmark, item_col, item_text_col, min_chars, block_chars):
+    for block in _blocks(benchmark, item_col, item_text_col, block_chars):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            finder = Finder(shared.value, rate)
+            finder = Finder(shared.value, rate, min_chars)
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -142,11 +156,11 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
     """docs without the documents in which an item occurs; all columns stay and no row moves."""
     spark = docs.sparkSession
     small_batches(spark)
-    for block in _blocks(benchmark, "item_id", "text", min_chars, block_chars):
+    for block in _blocks(benchmark, "item_id", "text", block_chars):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            finder = Finder(shared.value, rate)
+            finder = Finder(shared.value, rate, min_chars)
             for batch in batches:
                 clean = [not finder.find(normal(t.as_py())) for t in batch.column(text_col)]
                 if any(clean):

@@ -327,6 +327,15 @@ def test_decontamination_of_awkward_rows(spark, awkward):
     assert decontaminate.contaminated(awkward.limit(0), bench).count() == 0 and decontaminate.contaminated(awkward, bench.limit(0)).count() == 0
 
 
+def test_decontamination_by_short_items(spark):
+    """Short items match as whole words without edits, a passage beside them as before."""
+    passage = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, "What is  two?"), (2, "(a) yes"), (3, passage)], "item_id long, text string")
+    rows = [(0, "so what\nis TWO? indeed"), (1, "what is two"), (2, "somewhat is two?"), (3, "x(a) yes"), (4, "(a) yesterday"), (5, "(a) yesterday, (a) yes."), (6, passage.replace("three", "thre")), (7, None)]
+    assert sorted(tuple(r) for r in decontaminate.contaminated(texts(spark, rows), bench).collect()) == [(0, 1, 0), (3, 2, 0), (5, 2, 0), (6, 3, 1)]
+    assert sorted(r.doc_id for r in decontaminate.without_contaminated(texts(spark, rows), bench).collect()) == [1, 2, 4, 7]
+
+
 # --- 9 token counts -----------------------------------------------------------------------------------------------------
 
 
