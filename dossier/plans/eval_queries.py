@@ -29,7 +29,7 @@ def _empty_sql(c: str) -> str:
     return f"({c} IS NULL OR {_strip(c)} = '' OR " + " OR ".join(f"starts_with(lower({_strip(c)}), {_q(p)})" for p in C.EMPTY_PREFIXES) + ")"
 
 
-_ADJ = f"""d AS (SELECT doc_id, lang, CASE WHEN {_empty_sql("l")} THEN [] ELSE {_TOK.format("l")} END AS g FROM (SELECT doc_id, lang, string_split(text, chr(10))[1] AS l FROM documents)),
+_ADJ = f"""d AS (SELECT doc_id, lang, CASE WHEN {_empty_sql("l")} THEN [] ELSE {_TOK.format("l")} END AS g FROM (SELECT doc_id, lang, text AS l FROM documents)),
 a AS (SELECT d.doc_id, d.lang, d.g, e.g AS p, len(list_intersect(d.g, e.g)) AS tp FROM d JOIN d e ON e.doc_id = d.doc_id + 1),
 c AS (SELECT doc_id, lang, tp, len(p) - tp AS fp, len(g) - tp AS fn FROM a)"""
 _PRF = """round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall,
@@ -294,14 +294,14 @@ QUERIES = {
 }
 
 _WILSON = "k / n AS p, n, k, 1.959964 AS z"
-_HALVES = "a AS (SELECT label, vec_id AS i, embedding AS a FROM embeddings WHERE vec_id < 200 AND vec_id % 2 = 0), b AS (SELECT label, vec_id AS j, embedding AS b FROM embeddings WHERE vec_id < 200 AND vec_id % 2 = 1), p AS (SELECT label, i, j, round(list_sum(list_transform(range(1, 65), lambda k: a[k]::DOUBLE * b[k]::DOUBLE)), 9) AS sim FROM a JOIN b USING (label))"
+_HALVES = "a AS (SELECT label, vec_id AS i, embedding AS a FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT label, vec_id AS j, embedding AS b FROM embeddings WHERE vec_id % 2 = 1), p AS (SELECT label, i, j, round(list_sum(list_transform(range(1, 65), lambda k: a[k]::DOUBLE * b[k]::DOUBLE)), 9) AS sim FROM a JOIN b USING (label))"
 _DRAW = f"((p_partkey * 48271 + {SEED}) % 2147483647 * 16807) % 2147483647"
 _PAIR = "a AS (SELECT l_orderkey, l_suppkey, l_shipdate, l_quantity AS a FROM lineitem WHERE l_linenumber = 1), b AS (SELECT l_orderkey, l_quantity AS b FROM lineitem WHERE l_linenumber = 2), j AS (SELECT * FROM a JOIN b USING (l_orderkey))"
 
 
 def _boot(columns: str, sums: str, value: str) -> str:
-    return f"""WITH l AS (SELECT {columns}, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM labels WHERE doc_id < 400), n AS (SELECT count(*) AS n FROM l),
-d AS (SELECT b, ((((b * 48271 + i * 40692 + {SEED}) % 2147483647) * 16807) % 2147483647) % n AS k FROM range(200) t(b), n, LATERAL (SELECT unnest(range(n)) AS i)),
+    return f"""WITH l AS (SELECT {columns}, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM labels), n AS (SELECT count(*) AS n FROM l),
+d AS (SELECT b, ((((b * 48271 + i * 40692 + {SEED}) % 2147483647) * 16807) % 2147483647) % n AS k FROM range({RESAMPLES}) t(b), n, LATERAL (SELECT unnest(range(n)) AS i)),
 s AS (SELECT b, {sums} FROM d JOIN l USING (k) GROUP BY b), v AS (SELECT {value} AS value FROM s)
 SELECT count(*) AS b, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi FROM v"""
 
@@ -309,12 +309,12 @@ SELECT count(*) AS b, round(avg(value), 6) AS mean, round(quantile_cont(value, 0
 ORACLE_SQL = {
     "set_prf_per_doc": f"WITH {_ADJ} SELECT doc_id, tp, fp, fn, {_PRF} FROM c WHERE tp + fp + fn > 0",
     "set_prf_micro": f"WITH {_ADJ}, s AS (SELECT lang, count(*) AS n, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM c WHERE tp + fp + fn > 0 GROUP BY lang) SELECT lang, n, tp, fp, fn, {_PRF} FROM s",
-    "macro_row": f"WITH {_ADJ}, r AS (SELECT doc_id::VARCHAR AS id, {_PRF} FROM c WHERE tp + fp + fn > 0 AND doc_id < 50) SELECT * FROM r UNION ALL SELECT 'AVERAGE', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6) FROM r",
-    "jaccard_tokens": f"WITH b AS (SELECT item_id, CASE WHEN {_empty_sql('text')} THEN [] ELSE {_TOK.format('text')} END AS b FROM benchmark), d AS (SELECT doc_id, doc_id % 40 AS item_id, CASE WHEN {_empty_sql('text')} THEN [] ELSE {_TOK.format('text')} END AS d FROM documents) SELECT doc_id, item_id, round(len(list_intersect(d, b)) / nullif(len(list_distinct(list_concat(d, b))), 0), 6) AS jaccard FROM d JOIN b USING (item_id)",
+    "macro_row": f"WITH {_ADJ}, r AS (SELECT doc_id::VARCHAR AS id, {_PRF} FROM c WHERE tp + fp + fn > 0) SELECT * FROM r UNION ALL SELECT 'AVERAGE', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6) FROM r",
+    "jaccard_tokens": f"WITH b AS (SELECT item_id, CASE WHEN {_empty_sql('text')} THEN [] ELSE {_TOK.format('text')} END AS b FROM benchmark), d AS (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS item_id, CASE WHEN {_empty_sql('text')} THEN [] ELSE {_TOK.format('text')} END AS d FROM documents) SELECT doc_id, item_id, round(len(list_intersect(d, b)) / nullif(len(list_distinct(list_concat(d, b))), 0), 6) AS jaccard FROM d JOIN b USING (item_id)",
     "accuracy_wilson": f"WITH g AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE quality = 1 - toxic) AS k FROM labels JOIN documents USING (doc_id) GROUP BY source), w AS (SELECT source, {_WILSON} FROM g) SELECT source, n, k, round(p, 6) AS accuracy, round(greatest((p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n), 0), 6) AS lo, round(least((p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n), 1), 6) AS hi FROM w",
     "category_accuracy": "WITH j AS (SELECT CASE WHEN a.o_orderpriority = '5-LOW' THEN 'no information' ELSE a.o_orderpriority END AS gold, upper(b.o_orderpriority) AS p FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1) SELECT gold, count(*) FILTER (WHERE gold <> 'no information') AS scored, count(*) FILTER (WHERE gold <> 'no information' AND lower(gold) = lower(p)) AS correct FROM j GROUP BY gold",
     "date_accuracy": "SELECT o_orderstatus, count(*) AS n, count(*) FILTER (WHERE strftime(o_orderdate, '%Y-%m') = strftime(l_shipdate, '%Y-%m')) AS correct FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderstatus",
-    "error_kind_pivot": """WITH r AS (SELECT doc_id, lang, unnest(list_distinct(string_split_regex(b.text, '[\\s.,]+'))) AS word, string_split(d.text, chr(10))[1] AS given, d.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
+    "error_kind_pivot": """WITH r AS (SELECT doc_id, lang, unnest(list_distinct(string_split_regex(b.text, '[\\s.,]+'))) AS word, string_split(d.text, chr(10))[1] AS given, d.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
 s AS (SELECT *, list_transform(regexp_extract_all(lower(word), '[a-z]{4,}'), lambda w: substr(w, 1, 6)) AS ws, list_transform(regexp_extract_all(lower(given), '[a-z]{4,}'), lambda w: substr(w, 1, 6)) AS gs, list_transform(regexp_extract_all(lower(text), '[a-z]{4,}'), lambda w: substr(w, 1, 6)) AS ts FROM r WHERE length(word) >= 4),
 k AS (SELECT lang, CASE WHEN contains(given, word) THEN 1 WHEN len(ws) > 0 AND len(list_filter(ws, lambda w: list_contains(gs, w))) >= 0.75 * len(ws) THEN 2 WHEN len(ws) > 0 AND len(list_filter(ws, lambda w: list_contains(ts, w))) >= 0.75 * len(ws) THEN 3 ELSE 4 END AS kind FROM s)
 SELECT lang, count(*) FILTER (WHERE kind = 1) AS correct, count(*) FILTER (WHERE kind = 2) AS missed_given, count(*) FILTER (WHERE kind = 3) AS missed_full, count(*) FILTER (WHERE kind = 4) AS missed_none FROM k GROUP BY lang""",

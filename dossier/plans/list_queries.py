@@ -221,7 +221,7 @@ SELECT conv_id, turn, round(avg(CASE WHEN plain = '' THEN 0 WHEN contains(hay, p
     "prose_reason_counts": f"WITH src AS (SELECT doc_id, source, text AS t, list_filter(string_split(text, chr(10)), lambda x: {_strip('x')} <> '') AS lines FROM documents), p AS (SELECT source, CASE " + " ".join(f"WHEN contains(lower(t), {_q(m)}) THEN {_q('contains conversational phrase ' + (chr(34) if chr(39) in m else chr(39)) + m + (chr(34) if chr(39) in m else chr(39)))}" for m in C.PROSE_MARKERS) + f""" WHEN contains({_strip('t')}, chr(10) || chr(10)) THEN 'contains multiple paragraphs'
  WHEN len(lines) > 1 AND len(list_filter(lines, lambda x: regexp_matches(x, {_q(_PREFIX)}))) >= 2 AND list_max(list_transform(list_filter(lines, lambda x: regexp_matches(x, {_q(_PREFIX)})), lambda x: {_words(f"regexp_replace(x, {_q(_PREFIX)}, '')")})) > 12 THEN 'bulleted list of long clauses'
  WHEN regexp_matches(t, '[.!?]\\s+[A-Z]') THEN 'contains sentence breaks' WHEN NOT contains(t, ',') AND {_words('t')} > 12 THEN 'single long phrase with no commas' ELSE 'list' END AS reason FROM src) SELECT source, reason, count(*) AS n FROM p GROUP BY ALL""",
-    "clean_items": f"""WITH a AS (SELECT doc_id, source, regexp_replace({_strip("string_split(text, chr(10))[1]")}, '(?i)^(here (is|are)[^:]*:|the (list|answer)[^:]*:)', '') AS t FROM documents),
+    "clean_items": f"""WITH a AS (SELECT doc_id, source, regexp_replace({_strip("text")}, '(?i)^(here (is|are)[^:]*:|the (list|answer)[^:]*:)', '') AS t FROM documents),
 b AS (SELECT doc_id, source, list_transform(string_split_regex(t, '[\\n;,]'), lambda x: {_strip(f'''regexp_replace({_strip("regexp_replace(x, '^[" + chr(92) + "s" + chr(92) + "-•*" + chr(92) + "d.)]+', '')")}, '^[."''`]+|[."''`]+$', '', 'g')''')}) AS c FROM a),
 c1 AS (SELECT doc_id, source, list_transform(c, lambda x: replace({_strip("regexp_replace(x, '(?i)^(and|or|including|such as)" + chr(92) + "s+', '')")}, '_', ' ')) AS c FROM b),
 c2 AS (SELECT doc_id, source, list_transform(c, lambda x: CASE WHEN contains(x, ' ') THEN x ELSE regexp_replace(x, '([a-z])([A-Z])', '\\1 \\2', 'g') END) AS c FROM c1),
@@ -231,7 +231,7 @@ SELECT doc_id, len(list_filter(c, lambda x, i: list_position(k, lower(x)) = i))
     "word_bag_key": "SELECT p_partkey, array_to_string(list_sort(list_filter(regexp_extract_all(lower(p_name), '[a-z]{4,}'), lambda w: w <> 'and')), ' ') AS bag FROM part",
     "id_normalisation": "WITH u AS (SELECT c_custkey AS key, 'customer' AS kind, c_name || ' 10mg.PDF' AS f FROM customer UNION ALL SELECT s_suppkey, 'supplier', s_name || '.pdf-2.pdf' FROM supplier) SELECT key, kind, regexp_replace(trim(lower(regexp_replace(trim(f), '(?i)\\.pdf$', ''))), '\\s+', ' ', 'g') AS match_id, regexp_replace(regexp_replace(lower(regexp_replace(f, '(?i)\\.pdf$', '')), '[\\s\\-_]+\\d.*$', ''), '[^a-z0-9]', '', 'g') AS product, trim(lower(replace(f, '.pdf', ''))) AS release_id, replace(f, '.pdf', '') AS record_id FROM u",
     "provenance_split": "WITH p AS (SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS s FROM pages) SELECT page_id, CASE WHEN len(s) >= 2 THEN s[-2] ELSE '' END AS folder, CASE WHEN len(s) >= 3 THEN s[-3] ELSE '' END AS above FROM p",
-    "sentinel_is_empty": f"WITH v AS (SELECT substr(text, 1, 30) AS v FROM documents UNION ALL SELECT unnest([{_in([*C.SENTINELS, 'ERROR: timeout', '  ', 'No information given', 'dizziness', 'NONE_FOUND'])}, NULL])) SELECT v IS NULL OR trim(v) = '' OR " + " OR ".join(f"starts_with(lower({_strip('v')}), {_q(p)})" for p in C.EMPTY_PREFIXES) + " AS empty, count(*) AS n FROM v GROUP BY ALL",
+    "sentinel_is_empty": f"WITH v AS (SELECT text AS v FROM documents UNION ALL SELECT unnest([{_in([*C.SENTINELS, 'ERROR: timeout', '  ', 'No information given', 'dizziness', 'NONE_FOUND'])}, NULL])) SELECT v IS NULL OR trim(v) = '' OR " + " OR ".join(f"starts_with(lower({_strip('v')}), {_q(p)})" for p in C.EMPTY_PREFIXES) + " AS empty, count(*) AS n FROM v GROUP BY ALL",
     "option_first_contained": "SELECT o_orderkey, CASE WHEN contains(upper(o_orderpriority), 'URGENT') THEN 'URGENT' WHEN contains(upper(o_orderpriority), 'HIGH') THEN 'HIGH' WHEN contains(upper(o_orderpriority), 'MEDIUM') THEN 'MEDIUM' WHEN contains(upper(o_orderpriority), 'LOW') THEN 'LOW' ELSE o_orderpriority END AS option FROM orders",
     "option_earliest": "WITH u AS (SELECT doc_id, upper(text) AS t FROM documents), o AS (SELECT doc_id, t, unnest(['THE', 'AND', 'DE', 'LA', 'DER', 'QUE']) AS o FROM u), h AS (SELECT doc_id, o, instr(t, o) AS p FROM o WHERE instr(t, o) > 0) SELECT u.doc_id, coalesce((SELECT h.o FROM h WHERE h.doc_id = u.doc_id ORDER BY h.p, h.o LIMIT 1), 'NO INFORMATION') AS option FROM u",
     "metadata_positional_parse": f"WITH d AS (SELECT doc_id, {_strip('text')} AS t, string_split({_strip('text')}, chr(10)) AS s FROM documents) SELECT doc_id, " + ", ".join(f"CASE WHEN t = '' THEN 'NO_TEXT_FOUND' ELSE coalesce({_strip(f's[{i + 1}]')}, 'N/A') END AS {n}" for i, n in enumerate(_META)) + " FROM d",
@@ -239,5 +239,5 @@ SELECT doc_id, len(list_filter(c, lambda x, i: list_position(k, lower(x)) = i))
     f"array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(replace(lower(p_name), 'é', 'e'), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN ({_in(C.COMPANY_STOP_WORDS)})))), '|') AS words FROM p",
     "enzyme_extract": "WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT unnest(range(-%d, 0)), unnest([%s])), m AS (SELECT doc_id, list_concat(list_transform(list_concat(regexp_extract_all(text, '(?i)CYP\\s*(\\d+[A-Z]\\d*)', 1), regexp_extract_all(text, '(?i)cytochrome\\s+P450\\s+(\\d+[A-Z]\\d*)', 1), regexp_extract_all(text, '(?i)P450\\s+(\\d+[A-Z]\\d*)', 1), regexp_extract_all(text, '(?i)isoenzyme\\s+(\\d+[A-Z]\\d*)', 1), regexp_extract_all(text, '(?i)CYP\\s*(\\d+[A-Z])', 1), regexp_extract_all(text, '(?i)cytochrome\\s+P450\\s+(\\d+[A-Z])', 1)), lambda x: 'CYP' || upper(x)), list_transform(flatten(list_transform(regexp_extract_all(text, '(?i)CYP\\s*([\\dA-Z]+[/\\\\][\\dA-Z]+)', 1), lambda x: string_split_regex(x, '[/\\\\]'))), lambda x: 'CYP' || x)) AS e FROM d) SELECT doc_id, CASE WHEN len(e) > 0 THEN array_to_string(list_sort(list_distinct(e)), ', ') ELSE 'no' END AS enzymes FROM m"
     % (len(_ENZYME_TEXTS), _in(_ENZYME_TEXTS)),
-    "cleanups": f"WITH d AS (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents) SELECT doc_id, CASE WHEN {_PARA} = '' THEN 'SUMMARY_GENERATION_FAILED' ELSE {_PARA} END AS paragraph, CASE WHEN line = '' THEN 'EXTRACTION_FAILED' WHEN {_WARN} IN ('********', '') THEN '******' ELSE {_WARN} END AS warnings, CASE WHEN line = '' THEN 'EXTRACTION_FAILED' ELSE {_interactions_sql('line')} END AS interactions, regexp_replace(regexp_replace(line, '\\s+', ' ', 'g'), ',\\s*', ', ', 'g') AS adverse, CASE WHEN line IN ({_in(C.SENTINELS)}) THEN 0 ELSE len(string_split(line, ',')) END AS n_items, CASE WHEN line = '' THEN 'Urine elimination: EXTRACTION_FAILED' || chr(10) || 'Faeces elimination: EXTRACTION_FAILED' WHEN contains(line, 'Urine elimination:') AND contains(line, 'Faeces elimination:') THEN {_strip('line')} ELSE 'Urine elimination: ERROR' || chr(10) || 'Faeces elimination: ERROR' END AS elimination, substr(line, 1, 60) AS head FROM d",
+    "cleanups": f"WITH d AS (SELECT doc_id, text AS line FROM documents) SELECT doc_id, CASE WHEN {_PARA} = '' THEN 'SUMMARY_GENERATION_FAILED' ELSE {_PARA} END AS paragraph, CASE WHEN line = '' THEN 'EXTRACTION_FAILED' WHEN {_WARN} IN ('********', '') THEN '******' ELSE {_WARN} END AS warnings, CASE WHEN line = '' THEN 'EXTRACTION_FAILED' ELSE {_interactions_sql('line')} END AS interactions, regexp_replace(regexp_replace(line, '\\s+', ' ', 'g'), ',\\s*', ', ', 'g') AS adverse, CASE WHEN line IN ({_in(C.SENTINELS)}) THEN 0 ELSE len(string_split(line, ',')) END AS n_items, CASE WHEN line = '' THEN 'Urine elimination: EXTRACTION_FAILED' || chr(10) || 'Faeces elimination: EXTRACTION_FAILED' WHEN contains(line, 'Urine elimination:') AND contains(line, 'Faeces elimination:') THEN {_strip('line')} ELSE 'Urine elimination: ERROR' || chr(10) || 'Faeces elimination: ERROR' END AS elimination, substr(line, 1, 60) AS head FROM d",
 }

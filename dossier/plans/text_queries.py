@@ -141,7 +141,7 @@ _LOCATED = """('a', 'indications', 3, 4, 'ok', 46), ('b', 'indications', 2, 3, '
 ORACLE_SQL = {
     "toc_locate_first_match": f"SELECT * FROM (VALUES {_LOCATED}) t(key, section, start, \"end\", status, chars)",
     "toc_buffer": f"WITH {_PAGED} SELECT doc_id, md5(array_to_string(list_transform(p[1:3], lambda x, i: chr(10) || '--- PAGE ' || i || ' ---' || chr(10) || x || chr(10)), '')) AS toc, len(p)::INT AS n_pages FROM pg",
-    "chunk_documents": """WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE n_chars > 8000),
+    "chunk_documents": """WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents),
 s AS (SELECT doc_id, text, n, 0 AS chunk, 0 AS st, CASE WHEN n <= 8000 THEN n ELSE 6000 END AS hard FROM d),
 r AS (SELECT doc_id, text, n, chunk, st, CASE WHEN hard < n AND instr(reverse(substr(text, st + 3001, 3000)), chr(10)) > 0 THEN st + 6000 - instr(reverse(substr(text, st + 3001, 3000)), chr(10)) ELSE hard END AS en FROM s
 UNION ALL SELECT doc_id, text, n, chunk + 1, ns, CASE WHEN ns + 6000 < n AND instr(reverse(substr(text, ns + 3001, 3000)), chr(10)) > 0 THEN ns + 6000 - instr(reverse(substr(text, ns + 3001, 3000)), chr(10)) ELSE least(ns + 6000, n) END FROM (SELECT *, greatest(en - 300, st + 1) AS ns FROM r WHERE en < n))
