@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import small_batches
+from .workspace import slices
 
 RATE, MIN_CHARS, BLOCK_CHARS = 0.07, 40, 8 << 20
 SCHEMA = "doc_id long, item_id long, distance int"
@@ -131,7 +131,6 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int)
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance) for every item that occurs in a document within its error budget."""
     spark = docs.sparkSession
-    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
     for block in _blocks(benchmark, item_col, item_text_col, block_chars):
@@ -139,7 +138,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def run(batches, shared=shared):
             finder = Finder(shared.value, rate, min_chars)
-            for batch in batches:
+            for batch in slices(batches, "text"):
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     for n, distance in finder.find(normal(text.as_py())).items():
@@ -155,13 +154,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs without the documents in which an item occurs; all columns stay and no row moves."""
     spark = docs.sparkSession
-    small_batches(spark)
     for block in _blocks(benchmark, "item_id", "text", block_chars):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             finder = Finder(shared.value, rate, min_chars)
-            for batch in batches:
+            for batch in slices(batches, text_col):
                 clean = [not finder.find(normal(t.as_py())) for t in batch.column(text_col)]
                 if any(clean):
                     yield batch.filter(pa.array(clean, pa.bool_()))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _WORD = np.uint64(0xC2B2AE3D27D4EB4F)
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes hashed at a time, and the longest tables of powers that a worker keeps.
+CHUNK, KEPT = 1 << 19, 1 << 20
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -16,7 +21,9 @@ def _powers(name: str, base: int, n: int) -> np.ndarray:
         size = 1 << max(16, int(n - 1).bit_length())
         step = np.full(size, base, dtype=np.uint64)
         step[0] = 1
-        _tables[name] = have = np.cumprod(step, dtype=np.uint64)
+        have = np.cumprod(step, dtype=np.uint64)
+        if size <= KEPT:
+            _tables[name] = have
     return have[:n]
 
 
@@ -50,21 +57,39 @@ class RangeHash:
         return mix((self.sums[k:] - self.sums[:n]) * _powers("down", _INVERSE, len(self.sums))[:n])
 
 
-def shingles(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct word-shingle hashes of several texts at once: (position of the text, hash), sorted by both.
+def words_of(texts: list[bytes], chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """(position of the text, hash) of every word: runs of bytes outside white space (0x20, 0x09-0x0D), A-Z lower-cased.
 
-    Words are runs of bytes outside white space (0x20, 0x09-0x0D), A-Z lower-cased. A text with fewer words than the width
-    has its whole word sequence as its one shingle; one without words has none.
+    Works through the bytes in chunks that end between words, so memory beyond the result doesn't grow with the texts.
     """
-    data = np.frombuffer(b" ".join(t.lower() for t in texts) + b" ", dtype=np.uint8)
+    joined = b" ".join(t.lower() for t in texts) + b" "
     ends_of_text = np.cumsum([len(t) + 1 for t in texts])
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.diff(space.astype(np.int8), prepend=1)
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(starts):
+    owners, values = [], []
+    at = 0
+    while at < len(joined):
+        gap = _BLANK.search(joined, min(at + chunk, len(joined)) - 1)
+        stop = gap.end()
+        data = np.frombuffer(joined, dtype=np.uint8, count=stop - at, offset=at)
+        space = (data == 32) | ((data >= 9) & (data <= 13))
+        edge = np.diff(space.astype(np.int8), prepend=1)
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        if len(starts):
+            values.append(RangeHash(data).of(starts, ends))
+            owners.append(np.searchsorted(ends_of_text, starts + at, side="right"))
+        at = stop
+    if not owners:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    words = RangeHash(data).of(starts, ends)
-    owner = np.searchsorted(ends_of_text, starts, side="right")
+    return np.concatenate(owners), np.concatenate(values)
+
+
+def shingles(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct word-shingle hashes of several texts at once: (position of the text, hash), sorted by both.
+
+    A text with fewer words than the width has its whole word sequence as its one shingle; one without words has none.
+    """
+    owner, words = words_of(texts)
+    if not len(owner):
+        return owner, words
     first = np.flatnonzero(np.diff(owner, prepend=-1))
     count = np.diff(np.append(first, len(owner)))
     m = len(words) - width + 1

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import small_batches
+from .workspace import slices
 
 #: Ordinary paragraphs in the sample, notices made for each family, least share of a template's n-grams, false alarms in the calibration half.
 SAMPLE, NOTICES, CONTAINED, FALSE_ALARMS = 3000, 120, 0.5, 0.001
@@ -149,12 +149,11 @@ def ordinary_sample(docs: DataFrame, text_col: str, sample: int) -> list[str]:
 def licence_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Numbers of paragraphs, of licence notices and of unknown ones, and the families found, for each row."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(Classifier(ordinary_sample(docs, text_col, sample)))
 
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches, "text"):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 lines = (text.as_py() or "").split("\n")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, parallelism, small_batches
+from .workspace import Workspace, parallelism, slices
 
 WIDTH = 64
 HEADER_BYTES = 33
@@ -125,7 +125,7 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     def run(batches):
         task, shard, n = TaskContext.get(), None, 0
         stem = f"{task.partitionId():06d}-{uuid.uuid4().hex}" if task else uuid.uuid4().hex
-        for batch in batches:
+        for batch in slices(batches, "text"):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = (text.as_py() or "").encode()
@@ -142,7 +142,6 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         if shard:
             shard.close()
 
-    small_batches(docs.sparkSession)
     jvm = docs.sparkSession._jvm
     where = jvm.org.apache.hadoop.fs.Path(folder)
     where.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).mkdirs(where)

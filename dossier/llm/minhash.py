@@ -9,31 +9,39 @@ Steps, each of which shrinks what the next one sees:
 2. Only classes that share a band in both collections with another class get table keys.
 3. Only shingle sets of classes that share a key are gathered. A shingle that only one of them has can't be in any
    intersection, so a class with too many of those links with nothing, and a pair's overlap is bounded by the rest.
-4. In each key the class with the fewest such shingles is the centre, and all others are compared with it. What is close to the
-   centre but doesn't link with it can only link with a class that differs from the centre in a common shingle; such pairs are
-   found by those shingles. After that, a class is settled in the key if it is so close to the centre that, by the triangle
-   inequality, no class outside that comparison can link with it. This goes on with the rest, with four times as many
-   centres a round, until every key holds a single component or nothing. Each pair that shares a key is thus compared, bounded
-   away or already connected: no link between components is lost and no group is expanded into all pairs.
-
-Hot groups: copies fall together in step 1 with map-side aggregation; later joins have one row for each class on one side.
-Null or empty texts have no shingles and link with nothing. Rows that share a doc_id are one document. Rows without doc_id
-are returned with a null component and kept. Only doc_id and text are read.
+4. Rounds of centres: in each key the class with the fewest such shingles is the centre, the members of other components are
+   compared with it, and what links is one component. A centre has then met everyone in its key and leaves it. A key is
+   done when all that is left in it is one component. This work is linear in the members.
+5. What PLAIN_ROUNDS leave behind meets on its differences from a centre. The overlap of x and y follows from the numbers of shingles in
+   which each differs from the centre and the number of differences that both have; a pair that links must share at
+   least a number of them which x, or y, alone determines. So it meets on one of the rarest differences of either
+   (prefix filter), and only across components. What is so close to the centre that no class outside this
+   comparison can link with it then leaves the key; the rest goes on with four times as many centres a round.
+
+Each pair that shares a key is thus compared, bounded away or already connected: no link between components is lost and no group
+is expanded into all pairs.
+
+Hot groups: copies fall together in step 1 with map-side aggregation. Members of a hot centre are dealt over as many copies of the
+centre's set as SPOKES demands. Null or empty texts have no shingles and link with nothing. Rows that share a doc_id are one document.
+Rows without doc_id are returned with a null component and kept. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .components import components
 from .hashing import mix, shingles
-from .workspace import Workspace, small_batches
+from .workspace import Workspace, slices
 
 SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, a array<long>, b array<long>"
 SETS = "doc_id long, s1 long, n long, shingles array<long>"
+#: Share of overlap with a centre from which on a class's differences from it are kept (percent), rounds without them, members for each copy of a centre's set.
+CLOSE, PLAIN_ROUNDS, SPOKES = 50, 2, 4096
 
 
 def _set_sums(owner: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,10 +63,8 @@ def signatures(docs: DataFrame, tables: int, rows: int, width: int) -> DataFrame
     factors = rng.integers(1, 1 << 63, n_bands * rows, dtype=np.uint64) | np.uint64(1)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             texts = [(t.as_py() or "").encode() for t in batch.column(1)]
-            if not texts:
-                continue
             owner, value = shingles(texts, width)
             size, s1, s2 = _set_sums(owner, value, len(texts))
             full = np.flatnonzero(size)
@@ -82,10 +88,8 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """Full shingle sets."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             texts = [(t.as_py() or "").encode() for t in batch.column(1)]
-            if not texts:
-                continue
             owner, value = shingles(texts, width)
             size, s1, _ = _set_sums(owner, value, len(texts))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(value.view(np.int64)))
@@ -100,10 +104,6 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(keys, key, "left_semi")
 
 
-#: Share of overlap with a centre from which on a class's differences from it are kept, in percent.
-CLOSE = 50
-
-
 def _settled(percent: int) -> int:
     """Overlap with a centre, in percent, from which on all links of a class within the key have been found.
 
@@ -112,47 +112,64 @@ def _settled(percent: int) -> int:
     return CLOSE + 100 - percent
 
 
-def _compare(spokes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Overlap of each class with its centre, and for close ones the shingles in which the two differ."""
+def _compare(spokes: DataFrame, sets: DataFrame, space: Workspace, differences: bool) -> DataFrame:
+    """Number of shingles that each class shares with its centre and, if asked for, those in which close ones differ."""
+    hub = ["c_node", "c_s1"]
+    crowd = spokes.groupBy(*hub).agg(F.count("*").alias("c")).where(F.col("c") > SPOKES).select(*hub, F.ceil(F.col("c") / SPOKES).cast("int").alias("parts"))
+    crowd = space.save(crowd, "crowds")
+    part = F.coalesce(F.pmod(F.xxhash64("node", "s1"), F.col("parts")), F.lit(0)).cast("int")
+    dealt = spokes.join(crowd, hub, "left").withColumn("part", part).drop("parts")
     one = sets.select("node", "s1", F.col("shingles").alias("set_1"))
-    two = sets.select(F.col("node").alias("c_node"), F.col("s1").alias("c_s1"), F.col("shingles").alias("set_2"))
-    both = spokes.join(one, ["node", "s1"]).join(two, ["c_node", "c_s1"]).withColumn("shared", F.size(F.array_intersect("set_1", "set_2")))
-    close = F.col("shared") * 100 >= (F.size("set_1") + F.size("set_2") - F.col("shared")) * CLOSE
-    beyond = lambda x, y: F.when(close, F.array_except(x, y))
-    return both.select("c_node", "c_s1", F.size("set_2").alias("c_n"), "node", "s1", "n", "component", "shared", beyond("set_1", "set_2").alias("extra"), beyond("set_2", "set_1").alias("missing"))
+    two = sets.select(F.col("node").alias("c_node"), F.col("s1").alias("c_s1"), F.col("shingles").alias("set_2")).join(spokes.select(*hub).distinct(), hub, "left_semi").join(crowd, hub, "left")
+    two = two.select(*hub, "set_2", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    both = dealt.join(one, ["node", "s1"]).join(two, [*hub, "part"]).withColumn("shared", F.size(F.array_intersect("set_1", "set_2")))
+    out = both.withColumn("c_n", F.size("set_2"))
+    if differences:
+        close = F.col("shared") * 100 >= (F.size("set_1") + F.size("set_2") - F.col("shared")) * CLOSE
+        out = out.withColumn("extra", F.when(close, F.array_except("set_1", "set_2"))).withColumn("missing", F.when(close, F.array_except("set_2", "set_1")))
+    return out.drop("set_1", "set_2", "part")
+
+
+def _linked(percent: int) -> Column:
+    return F.col("shared") * 100 >= (F.col("n") + F.col("c_n") - F.col("shared")) * percent
 
 
-def _through_centre(stars: DataFrame, percent: int) -> DataFrame:
-    """Links among classes that are close to one centre c, where at least one of the two, x, doesn't link with it.
+def _through_centre(stars: DataFrame, percent: int, space: Workspace) -> DataFrame:
+    """Links (a, b: components) among classes close to one centre c, where one of the two, x, doesn't link with it.
 
-    The overlap of x and y is overlap(x, c) + overlap(y, c) - |c| plus the shingles of c that both miss plus those beyond c that
-    both have. If x doesn't link with c but with y, at least one of these must exist. If none is beyond c, the overlap is at most
-    the smaller of both overlaps with c, which most pairs fail. So pairs meet on a common shingle beyond c, or on one that
-    both miss where that bound allows it; a group's pairs are never listed. The differences then give the exact overlap.
+    With m shingles of c missing, e beyond it and weight w = 100 m + percent e, x links with c where w_x <= W = (100 - percent) |c|, and
+    x with y where they share k differences from c with (100 + percent) k >= w_x + w_y - W. As w_y >= percent k, an x
+    that doesn't link with c needs k >= (w_x - W) / 100, and whoever links with such an x needs k > w_y / (100 + percent). Of d differences,
+    ordered by how few have them, one of the first d - k + 1 is therefore shared.
     """
-    close = stars.where("extra is not null").withColumn("tied", F.col("shared") * 100 >= (F.col("n") + F.col("c_n") - F.col("shared")) * percent)
-    hub = ["c_node", "c_s1"]
-    apart = close.where("not tied").select(*hub).distinct()
-    kinds = F.concat(F.transform("extra", lambda s: F.struct(s.alias("shingle"), F.lit(True).alias("beyond"))), F.transform("missing", lambda s: F.struct(s.alias("shingle"), F.lit(False).alias("beyond"))))
-    each = close.join(apart, hub, "left_semi").select(*hub, "node", "s1", "n", "component", "shared", "tied", F.inline(kinds))
-    x = each.where("not tied").select(*hub, "shingle", "beyond", *(F.col(c).alias(f"x_{c}") for c in ("node", "s1", "n", "component", "shared")))
-    y = each.select(*hub, "shingle", *(F.col(c).alias(f"y_{c}") for c in ("node", "s1", "n", "component", "shared", "tied")))
-    once = F.col("y_tied") | (F.col("x_node") < F.col("y_node")) | ((F.col("x_node") == F.col("y_node")) & (F.col("x_s1") < F.col("y_s1")))
-    most = F.least("x_shared", "y_shared")
-    allowed = F.col("beyond") | (most * 100 >= (F.col("x_n") + F.col("y_n") - most) * percent)
-    met = x.join(y, [*hub, "shingle"]).where(once & (F.col("x_component") != F.col("y_component")) & allowed).select(*hub, "x_node", "x_s1", "y_node", "y_s1").distinct()
-    side = lambda w, *more: close.select(*hub, *more, *(F.col(c).alias(f"{w}_{c}") for c in ("node", "s1", "n", "shared", "extra", "missing")))
-    pairs = met.join(side("x", "c_n"), [*hub, "x_node", "x_s1"]).join(side("y"), [*hub, "y_node", "y_s1"])
+    hub, side = ["c_node", "c_s1"], ["node", "s1", "component"]
+    close = stars.where("extra is not null").withColumn("w", 100 * F.size("missing") + percent * F.size("extra")).withColumn("over", F.col("w") - (100 - percent) * F.col("c_n")).withColumn("d", F.size("missing") + F.size("extra"))
+    need = F.floor(F.col("w") / (100 + percent)) + 1
+    need = F.when(F.col("over") > 0, F.least(need, F.ceil(F.col("over") / 100))).otherwise(need)
+    # A hub without a class that fails to link with the centre, or with one component only, has nothing left to find.
+    open_hubs = close.groupBy(*hub).agg(F.max("over").alias("far"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("far > 0 and lo < hi").select(*hub)
+    close = close.join(open_hubs, hub, "left_semi").withColumn("need", F.greatest(need, F.lit(1)))
+    kinds = F.concat(F.transform("extra", lambda t: F.struct(t.alias("shingle"), F.lit(1).alias("beyond"))), F.transform("missing", lambda t: F.struct(t.alias("shingle"), F.lit(0).alias("beyond"))))
+    each = space.save(close.select(*hub, *side, "over", "d", "need", F.inline(kinds)).drop("beyond"), "differences")
+    common = each.groupBy(*hub, "shingle").agg(F.count("*").alias("holders"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("holders > 1")
+    rank = F.row_number().over(W.partitionBy(*hub, "node", "s1").orderBy("holders", "shingle"))
+    shared = each.join(common, [*hub, "shingle"]).withColumn("rank", rank).withColumn("held", F.count("*").over(W.partitionBy(*hub, "node", "s1")))
+    # Differences that nobody else has come first in the order and are not listed here.
+    prefix = shared.where("held >= need and rank <= held - need + 1 and lo < hi")
+    prefix = space.save(prefix.select(*hub, "shingle", *side, "over"), "prefixes")
+    x = prefix.where("over > 0").select(*hub, "shingle", *(F.col(c).alias(f"x_{c}") for c in side))
+    y = prefix.select(*hub, "shingle", *(F.col(c).alias(f"y_{c}") for c in side), F.col("over").alias("y_over"))
+    once = (F.col("y_over") <= 0) | (F.col("x_component") < F.col("y_component"))
+    met = x.join(y, [*hub, "shingle"]).where(once & (F.col("x_component") != F.col("y_component"))).select(*hub, *(f"{w}_{c}" for w in "xy" for c in side)).distinct()
+    arrays = lambda w: close.select(*hub, *(F.col(c).alias(f"{w}_{c}") for c in (*side, "w", "extra", "missing")), *([] if w == "x" else ["c_n"]))
+    pairs = met.join(arrays("x"), [*hub, "x_node", "x_s1", "x_component"]).join(arrays("y"), [*hub, "y_node", "y_s1", "y_component"])
     both = F.size(F.array_intersect("x_extra", "y_extra")) + F.size(F.array_intersect("x_missing", "y_missing"))
-    overlap = F.col("x_shared") + F.col("y_shared") - F.col("c_n") + both
-    return pairs.where(overlap * 100 >= (F.col("x_n") + F.col("y_n") - overlap) * percent).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+    return pairs.where(both * (100 + percent) >= F.col("x_w") + F.col("y_w") - (100 - percent) * F.col("c_n")).select(F.col("x_component").alias("a"), F.col("y_component").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, tables: int = 10, rows: int = 3, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs; documents link where 100 * intersection >= percent * union."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    space = Workspace(spark, "minhash")
+    space = Workspace(docs.sparkSession, "minhash")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sigs = space.save(signatures(docs, tables, rows, width), "signatures")
     identity = ["s1", "s2", "n_shingles"]
@@ -170,14 +187,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Full sets of those, and how much of each no other one has.
     wanted = members.select(F.col("node").alias("doc_id"), "s1").distinct()
     texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = space.save(shingle_sets(texts, width).join(wanted, ["doc_id", "s1"], "left_semi").dropDuplicates(["doc_id", "s1"]).withColumnRenamed("doc_id", "node"), "sets")
+    sets = space.save(shingle_sets(texts, width), "all-sets").join(wanted, ["doc_id", "s1"], "left_semi").dropDuplicates(["doc_id", "s1"])
+    sets = space.save(sets.withColumnRenamed("doc_id", "node"), "sets")
     alone = sets.select("node", "s1", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node"), F.min("s1").alias("s1")).where("c = 1")
     own = alone.groupBy("node", "s1").agg(F.count("*").alias("own"))
     sizes = sets.select("node", "s1", "n").join(own, ["node", "s1"], "left").select("node", "s1", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
     sizes = sizes.where(F.col("common") * 100 >= F.col("n") * percent)
     active = space.save(members.join(sizes, ["node", "s1"]).withColumn("component", F.col("node")), "active")
 
-    links = None
     labels = None
     turn = 0
     while True:
@@ -188,31 +205,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         active = space.save(hopeful.select(active.columns), "left")
         if not active.limit(1).count():
             break
-        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << min(2 * turn, 16)))
-        order = F.struct((F.col("n") - F.col("common")).alias("own"), F.col("node"), F.col("s1"))
-        centres = active.groupBy("key", slot.alias("slot")).agg(F.min(order).alias("c")).select("key", F.col("c.node").alias("c_node"), F.col("c.s1").alias("c_s1"))
+        plain = turn < PLAIN_ROUNDS
+        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 if plain else 1 << min(2 * (turn - PLAIN_ROUNDS), 16)))
+        order = F.struct((F.col("n") - F.col("common")).alias("own"), F.col("node"), F.col("s1"), F.col("component"))
+        centres = active.groupBy("key", slot.alias("slot")).agg(F.min(order).alias("c")).select("key", F.col("c.node").alias("c_node"), F.col("c.s1").alias("c_s1"), F.col("c.component").alias("c_component"))
         centres = space.save(centres, "centres")
-        apart = (F.col("node") != F.col("c_node")) | (F.col("s1") != F.col("c_s1"))
-        spokes = active.join(centres, "key").where(apart).select("c_node", "c_s1", "node", "s1", "n", "component").distinct()
-        stars = space.save(_compare(spokes, sets), "stars")
-        found = [stars.where(F.col("shared") * 100 >= (F.col("n") + F.col("c_n") - F.col("shared")) * percent).select(F.col("c_node").alias("a"), F.col("node").alias("b"))]
-        found.append(_through_centre(stars, percent))
-        new = space.save(found[0].unionByName(found[1]), "links")
-        near = stars.where(F.col("shared") * 100 >= (F.col("n") + F.col("c_n") - F.col("shared")) * _settled(percent)).select("c_node", "c_s1", "node", "s1")
-        settled = centres.join(near, ["c_node", "c_s1"]).select("key", "node", "s1").unionByName(centres.select("key", F.col("c_node").alias("node"), F.col("c_s1").alias("s1")))
+        apart = F.col("component") != F.col("c_component") if plain else (F.col("node") != F.col("c_node")) | (F.col("s1") != F.col("c_s1"))
+        spokes = active.join(centres, "key").where(apart).select("c_node", "c_s1", "c_component", "node", "s1", "n", "component").distinct()
+        stars = space.save(_compare(space.save(spokes, "spokes"), sets, space, not plain), "stars")
+        found = stars.where(_linked(percent) & (F.col("component") != F.col("c_component"))).select(F.col("c_component").alias("a"), F.col("component").alias("b"))
+        settled = centres.select("key", F.col("c_node").alias("node"), F.col("c_s1").alias("s1"))
+        if not plain:
+            found = found.unionByName(_through_centre(stars, percent, space))
+            near = stars.where(_linked(_settled(percent))).select("c_node", "c_s1", "node", "s1")
+            settled = settled.unionByName(centres.join(near, ["c_node", "c_s1"]).select("key", "node", "s1"))
+        new = space.save(found.distinct(), "links")
         rest = active.join(settled, ["key", "node", "s1"], "left_anti")
         if new.limit(1).count():
-            links = new if links is None else links.unionByName(new)
-            labels = components(links, space)
-            rest = rest.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            merged = components(new, space).select(F.col("node").alias("component"), F.col("component").alias("into"))
+            rest = _relabel(rest, merged)
+            labels = space.save(_grown(labels, merged), "components")
         active, turn = rest, turn + 1
 
     # Rows of one doc_id are one document, also where their texts differ.
-    rows_of = sigs.join(classes.select(*identity, "node"), identity, "left")
+    rows_of = sigs.join(classes.select(*identity, "node"), identity, "left").drop("a", "b")
     twice = sigs.where("doc_id is not null").groupBy("doc_id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("doc_id")
     same = space.save(rows_of.join(twice, "doc_id", "left_semi").where("node is not null").select(F.col("doc_id").alias("a"), F.col("node").alias("b")), "same")
     if same.limit(1).count():
-        labels = components(same if links is None else links.unionByName(same), space)
+        ends = same
+        for end in ("a", "b") if labels is not None else ():
+            ends = ends.join(labels.select(F.col("node").alias(end), F.col("component").alias("label")), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+        merged = components(ends, space).select(F.col("node").alias("component"), F.col("component").alias("into"))
+        labels = _grown(labels, merged)
     out = rows_of
     if labels is not None:
         out = out.join(labels, "node", "left")
@@ -220,3 +244,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out = out.withColumn("component", F.lit(None).cast("long"))
     component = F.coalesce("component", "node", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _relabel(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """rows with each component replaced by the one that it went into."""
+    return rows.join(merged, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into").select(rows.columns)
+
+
+def _grown(labels: DataFrame | None, merged: DataFrame) -> DataFrame:
+    """(node, component) after components were merged; a component is named by its smallest node."""
+    fresh = merged.select(F.col("component").alias("node"), F.col("into").alias("component"))
+    if labels is None:
+        return fresh
+    return _relabel(labels, merged).unionByName(fresh.join(labels.select("node"), "node", "left_anti"))

@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import Workspace, small_batches
+from .workspace import Workspace, slices
 
 #: Labelled rows that the models see, pseudo-documents' bounds, the farthest that a site moves a document's log odds.
 SAMPLE, FEWEST, MOST, SITE_LIMIT = 6000, 4.0, 10_000.0, 1.0
 SUPPORT, PREFIXES = 4, (4, 5, 6)
-CACHE_WORDS = 200_000
+CACHE_WORDS, CACHE_CHARS = 100_000, 64
 _WORDS = re.compile(r"[^\W\d_]+")
 _KINDS = np.zeros((256, 5))
 for _column, _bytes in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%&*+/<=>@[\\]^_`{}~", b"!", b"|")):
@@ -91,7 +91,9 @@ def lexical(text: str, weights: dict[str, float], known: dict[str, float]) -> li
         if got is None:
             if len(known) >= CACHE_WORDS:
                 known.clear()
-            got = known[w] = max((weights.get(f, 0.0) for f in _features(w)), default=0.0)
+            got = max((weights.get(f, 0.0) for f in _features(w)), default=0.0)
+            if len(w) <= CACHE_CHARS:
+                known[w] = got
         if got:
             found.append(got)
     return [max(found, default=0.0) / 5, math.log1p(sum(found)), min(1.0, 20 * len(found) / max(len(words), 1))]
@@ -169,7 +171,6 @@ def rate_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Each text is rated once; the ratings are written beside the other columns, and the sites' shares come from that table.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     space = Workspace(spark, "quality")
     got = labelled_sample(docs, labels, id_col, text_col, sample).select("__text", F.col("quality").cast("double"), F.col("toxic").cast("double")).toArrow()
     texts = got.column(0).to_pylist()
@@ -178,7 +179,7 @@ def rate_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def run(batches):
         models, known = shared.value, {}
-        for batch in batches:
+        for batch in slices(batches, text_col):
             texts = [t.as_py() or "" for t in batch.column(text_col)]
             if not texts:
                 continue

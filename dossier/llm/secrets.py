@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automata import Automaton, Scanner, either_case
-from .workspace import small_batches
+from .workspace import slices
 
 
 @dataclass(frozen=True)
@@ -80,12 +80,11 @@ def _joined(found) -> str:
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of the base kinds, the digest of their spans, and all spans, for each row."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(Scanner(Automaton([r.scan for r in RULES])))
 
     def run(batches):
         scanner = shared.value
-        for batch in batches:
+        for batch in slices(batches, "text"):
             texts = [(t.as_py() or "").encode() for t in batch.column(1)]
             if not texts:
                 continue

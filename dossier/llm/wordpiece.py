@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import small_batches
+from .workspace import slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE_WORDS = 200_000
+CACHE_WORDS, CACHE_CHARS = 200_000, 64
 SCHEMA = "doc_id long, n_words long, n_tokens long, n_unknown long"
 #: ASCII white space, as the splitting rule has it.
 _SPACES = {c: " " for c in range(9, 14)}
@@ -90,12 +90,11 @@ def words_of(text: str | None) -> list[str]:
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_tokens, n_unknown for each row. The automaton is built on the driver from a vocabulary file (bounded) and broadcast; there is no shuffle."""
     spark: SparkSession = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(LongestMatch(load_vocabulary(vocabulary)))
 
     def run(batches):
         automaton, known = shared.value, {}
-        for batch in batches:
+        for batch in slices(batches, "text"):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 n_words = n_tokens = n_unknown = 0
@@ -104,7 +103,9 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "d
                     if got is None:
                         if len(known) >= CACHE_WORDS:
                             known.clear()
-                        got = known[word] = automaton.count(MARK + word)
+                        got = automaton.count(MARK + word)
+                        if len(word) <= CACHE_CHARS:
+                            known[word] = got
                     n_words += n
                     n_tokens += n * (got or 1)
                     n_unknown += 0 if got else n
