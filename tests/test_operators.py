@@ -9,6 +9,7 @@ from dossier.functions import catalog as C
 from dossier.operators import locate as L
 from dossier.operators import matching as M
 from dossier.operators import passages as P
+from dossier.operators import sections as X
 from dossier.operators import scoring as S
 from dossier.sources import answers, files, lookups, records
 from dossier.streaming import ingest
@@ -56,29 +57,46 @@ def test_population_last_match_wins(spark):
 def test_outline_and_text_sections():
     pages = [(1, "1 INDICATIONS\nfor pain\n(see 4 DOSAGE AND ADMINISTRATION)\n2 CONTRAINDICATIONS\nallergy")]
     outline = [(0, "1 Indications", 1), (0, "2 Contraindications", 1), (0, "Part II", 2)]
-    text, how = P.find_section(pages, outline, "indications")
+    text, how = X.find_section(pages, outline, "indications")
     assert how == "bookmarks" and text.startswith("INDICATIONS") and "allergy" not in text
     body = "INDICATIONS\n" + "word " * 20 + "\nCONTRAINDICATIONS\n" + "more " * 20
-    assert P.find_section([(1, body)], [], "indications") == (body.split("\nCONTRA")[0].strip(), "text search")
-    assert P.find_section([(1, "x")], [], "box") == (None, None)
-    assert P.is_reference("see section ", 12) and P.is_reference("(a ", 3) and not P.is_reference("(a) ", 4)
+    assert X.find_section([(1, body)], [], "indications") == (body.split("\nCONTRA")[0].strip(), "text search")
+    assert X.find_section([(1, "x")], [], "box") == (None, None) and X.find_section([], [(0, "1 Indications", 1)], "indications") == (None, None)
+    assert X.points_elsewhere("see section ") and X.points_elsewhere("(a ") and not X.points_elsewhere("(a) ")
 
 
-def test_pieces_cover_the_text():
+def test_heading_on_the_page_before_and_neighbouring_warnings():
+    """A heading at the foot of the page before; warnings and precautions as one; deeper entries inside; the patient part left out."""
+    pages = [(1, "intro\n3. WARNINGS"), (2, "be careful\n4 PRECAUTIONS\nslowly"), (3, "Renal\nkidney text (see 5 OVERDOSAGE)\n5 OVERDOSAGE\ncall"), (4, "PART III\nrenal for patients")]
+    outline = [(0, "Part I", 1), (1, "3 Warnings", 2), (1, "4 Precautions", 2), (2, "4.1 Renal", 3), (1, "5 Overdosage", 3), (0, "PART III: patients", 4), (1, "Renal", 4)]
+    assert [e for _, _, e in X.main_intervals(outline)] == [4, 2, 3, 4, None]
+    text, how = X.find_section(pages, outline, "warnings")
+    assert how == "bookmarks" and text.startswith("WARNINGS") and text.endswith("(see 5 OVERDOSAGE)\n5") is True
+    assert X.subsection_by_outline(X.Layout(pages), outline, "renal").startswith("Renal\nkidney text")
+    assert X.subsection_by_outline(X.Layout(pages), outline, "patients") is None
+
+
+def test_pieces_cover_the_text(spark):
     rng = random.Random(1)
-    for _ in range(50):
-        text = "".join(rng.choice("abc \n") for _ in range(rng.randint(0, 400)))
-        parts = P.pieces(text, 60, 10)
-        assert parts[0] == text[: len(parts[0])] and parts[-1] == text[len(text) - len(parts[-1]) :]
-        at = 0
-        for p in parts:
-            at = text.index(p, max(0, at - 10)) + len(p) if p else at
-        assert at == len(text)
-
-
-def test_windows_merge():
-    assert P.windows("aa x bb x cc" + " " * 50 + "x", "x", 3, 100).count("...") == 1
-    assert P.windows("", "x") == "" and P.windows(None, "x") == ""
+    rows = [(i, "".join(rng.choice("abcé \n") for _ in range(rng.randint(0, 400)))) for i in range(50)] + [(50, None), (51, "x" * 400)]
+    df = spark.createDataFrame(rows, "i int, t string")
+    for i, text, parts in df.select("i", "t", P.chunks(F.col("t"), 60, 10)).collect():
+        text = text or ""
+        assert (len(parts) == 1) == (len(text) <= 80) and all(len(p) <= 60 for p in parts if len(parts) > 1)
+        start = 0
+        for n, p in enumerate(parts):
+            assert text[start : start + len(p)] == p
+            if n + 1 < len(parts):
+                tail = text[start + 30 : start + 60].rfind("\n")
+                assert len(p) == (30 + tail if tail >= 0 else 60)
+                start = max(start + len(p) - 10, start + 1)
+        assert start + len(parts[-1]) == len(text)
+
+
+def test_passages_merge(spark):
+    rows = [("aa x bb x cc" + " " * 50 + "X",), ("",), (None,), ("xx",), ("no hit",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(P.keyword_passages(F.col("t"), "x", 3, 100)).collect()]
+    assert got == ["aa x bb x cc\n...\n   X", "", "", "xx", ""]
 
 
 def test_greedy_is_one_to_one(spark):
