@@ -145,9 +145,9 @@ def test_repeats_equal_brute_force(spark, docs):
     assert {k: tuple(v)[1:] for k, v in got.items()} == want
 
 
-@pytest.mark.parametrize("most", [1, 4096])
+@pytest.mark.parametrize("most", [1, 2, 4096])
 def test_repeats_of_short_strings(spark, most):
-    """Periodic texts, repeats within a text, and groups beyond the limit of one task."""
+    """Periodic texts, repeats within a text, and anchors that are split by further ones."""
     rng = random.Random(4)
     base = "".join(rng.choice("abcd") for _ in range(120))
     rows = ["a" * 100, "ab" * 60, base, base[:70] + "x" + base[70:], "y" + base[10:90], base, None, "", base[:30] + base[:30]] + [f"{i}{base[20:80]}{i}" for i in range(8)]
@@ -171,10 +171,53 @@ def test_repeats_of_awkward_rows(spark, awkward):
 def test_pieces_of_long_texts_give_the_same_windows():
     rng = random.Random(6)
     raw = bytes(rng.randrange(97, 101) for _ in range(500))
-    whole = suffixes.text_runs([raw], 24, 9)[0]
-    cut = suffixes.text_runs([raw], 24, 9, piece=50)[0]
-    spread = lambda runs: {s + i: a for s, n, a in runs for i in range(n)}
-    assert spread(whole) == spread(cut) and len(spread(whole)) == 477
+
+    def spread(piece):
+        columns = [c for part in suffixes.text_runs([b"", raw], 24, 9, piece) for c in zip(*(x.tolist() for x in part))]
+        assert all(t == 1 for t, *_ in columns)
+        return {s + i: (s + p, k) for _, s, n, p, k in columns for i in range(n)}
+
+    assert spread(1 << 20) == spread(50) and len(spread(50)) == 477
+
+
+def shared_with_previous(strings, order):
+    return [0] + [suffixes.common_prefix(strings[a], strings[b]) for a, b in zip(order, order[1:])]
+
+
+@pytest.mark.parametrize("shallow", [0, 1, 3, 50])
+def test_suffix_order_is_sorted_whatever_the_depth(shallow):
+    rng = random.Random(shallow)
+    for _ in range(150):
+        letters = rng.choice([b"a", b"ab", bytes(range(256))])
+        stem = bytes(rng.choice(letters) for _ in range(rng.randint(0, 12)))
+        strings = [stem[: rng.randint(0, 12)] + bytes(rng.choice(letters) for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(1, 25))]
+        order, shared = suffixes.suffix_order(strings, shallow)
+        assert sorted(order) == list(range(len(strings))) and [strings[i] for i in order] == sorted(strings)
+        assert shared == shared_with_previous(strings, order)
+
+
+def test_repeated_windows_of_contexts():
+    """Contexts of one anchor, some of them sharing windows left and right of it."""
+    rng = random.Random(7)
+    for _ in range(60):
+        groups = []
+        for g in range(rng.randint(1, 4)):
+            anchor = bytes([200 + g]) * 3
+            contexts = {}
+            for _ in range(rng.randint(1, 9)):
+                left, right = (bytes(rng.choice(b"ab") for _ in range(n)) for n in (rng.randint(0, 5), rng.randint(0, 5)))
+                raw = left + anchor + right
+                if len(raw) >= 6:
+                    contexts[raw] = (raw, len(left), len(raw) - 5)
+            if contexts:
+                groups.append(list(contexts.values()))
+        if not groups:
+            continue
+        got = iter(suffixes.repeated_windows(groups, 6, shallow=2))
+        for contexts in groups:
+            count = collections.Counter((raw[i : i + 6], p - i) for raw, p, n in contexts for i in range(n) if i <= p)
+            for raw, p, n in contexts:
+                assert next(got).tolist() == [i <= p and count[raw[i : i + 6], p - i] > 1 for i in range(n)]
 
 
 # --- 5 secret scans -----------------------------------------------------------------------------------------------------
