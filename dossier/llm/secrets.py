@@ -1,17 +1,19 @@
 """Secret scans with one combined deterministic automaton.
 
-All rules are compiled into a single minimal automaton whose transition array scans the bytes of a batch once. It says which
-rules can match in which text; only there are spans resolved, leftmost and non-overlapping per kind, with the rule's own
-expression and its length condition. Spans are in code points, end exclusive, ordered by start and then by the order of RULES.
+All rules are compiled, whole and without bounds on their lengths, into one minimal automaton that reads the bytes of a batch once, from
+right to left, and marks where matches of which rule start. Their ends come from the same rules' anchored automaton, whose longest
+match is followed from each start. Both are transition arrays; no other matcher is involved, and the work is linear in the bytes.
+
+Spans are leftmost and do not overlap within a kind; those that are shorter than the rule demands are dropped afterwards. They are in code points, end
+exclusive, ordered by start and then by the order of RULES.
 
 Null and empty texts have no spans. Rows come back one for one, so ties, repeated rows and null ids are kept as they are.
-Only the id and the text are read. There is no shuffle, and memory is bounded by a batch.
+Only the id and the text are read. There is no shuffle, and memory is bounded by a batch, or by the longest text.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,43 +27,54 @@ from .workspace import slices
 
 @dataclass(frozen=True)
 class Rule:
-    """scan: what the automaton looks for, found in every match; spans: the expression; group, least: which group must have how many characters."""
+    """A match is head and tail; the tail must have at least `least` bytes."""
 
     kind: str
-    scan: str
-    spans: bytes
-    group: int = 0
-    least: int = 1
-    flags: int = 0
+    head: str
+    tail: str
+    least: int = 0
+
+    @property
+    def pattern(self) -> str:
+        return self.head + self.tail
 
 
-_KEYWORD = "(password|passwd|secret|token|api_?key)"
-_BETWEEN = "[\"']?\\x20*[:=]\\x20*[\"']?"
 #: The three base kinds, then the kinds that this operator adds.
 RULES = (
-    Rule("assign", either_case(_KEYWORD) + _BETWEEN + "[A-Za-z0-9+/_.=-]{8}", (_KEYWORD + _BETWEEN + "([A-Za-z0-9+/_.=-]+)").encode(), 2, 8, re.IGNORECASE),
-    Rule("access", "AKIA[A-Z0-9]{12}", b"AKIA[A-Z0-9]+", 0, 16),
-    Rule("hex", "[0-9a-f]{32}", b"[0-9a-f]+", 0, 32),
-    Rule("pem", "-----BEGIN\\x20", rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{0,65536}-----END [A-Z ]{0,40}PRIVATE KEY-----)?"),
-    Rule("bearer", "eyJ[A-Za-z0-9_-]{6}", rb"eyJ[A-Za-z0-9_-]{6,}\.eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}"),
-    Rule("forge", "gh[pousr]_[A-Za-z0-9]{4}", rb"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("chat", "xox[abprs]-[A-Za-z0-9]{4}", rb"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("maps", "AIza[A-Za-z0-9_-]{4}", rb"AIza[A-Za-z0-9_-]{35}"),
+    Rule("assign", either_case("(password|passwd|secret|token|api_?key)") + "[\"']?\\x20*[:=]\\x20*[\"']?", "[A-Za-z0-9+/_.=-]+", 8),
+    Rule("access", "", "AKIA[A-Z0-9]+", 16),
+    Rule("hex", "", "[0-9a-f]+", 32),
+    Rule("pem", "-----BEGIN\\x20[A-Z\\x20]*PRIVATE\\x20KEY-----", "([A-Za-z0-9+/=\\x20\\x09-\\x0D]*-----END\\x20[A-Z\\x20]*PRIVATE\\x20KEY-----)?"),
+    Rule("bearer", "", "eyJ[A-Za-z0-9_-]{6,}\\.eyJ[A-Za-z0-9_-]{6,}\\.[A-Za-z0-9_-]{6,}"),
+    Rule("forge", "gh[pousr]_", "[A-Za-z0-9]+", 36),
+    Rule("chat", "xox[abprs]-", "[A-Za-z0-9-]+", 10),
+    Rule("maps", "AIza", "[A-Za-z0-9_-]+", 35),
 )
 BASE = 3
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-_EXPRESSIONS = tuple(re.compile(r.spans, r.flags) for r in RULES)
 
 
-def spans_of(raw: bytes, rules) -> list[tuple[int, int, int]]:
-    """(start, rule, end) in bytes for the rules given."""
-    out = []
-    for r in rules:
-        rule = RULES[r]
-        for m in _EXPRESSIONS[r].finditer(raw):
-            if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                out.append((m.start(), r, m.end()))
-    return sorted(out)
+class Spans:
+    """The scanner of all rules, and the automata of the heads before tails of a least length."""
+
+    def __init__(self):
+        self.scanner = Scanner([r.pattern for r in RULES])
+        self.heads = [Automaton([r.head], anchored=True) if r.head and r.least else None for r in RULES]
+
+    def _tail(self, raw: bytes, start: int, rule: int) -> int:
+        """Where the tail of a match begins: after the longest head."""
+        head = self.heads[rule]
+        at = begin = start
+        state = head.starts[0] if head else None
+        while head and state != head.dead and at < len(raw):
+            state = head.table[state, head.classes[raw[at]]]
+            at += 1
+            begin = at if head.accept[state] else begin
+        return begin
+
+    def find(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
+        """(start, rule, end) in bytes, by start and rule."""
+        return [[(s, r, e) for s, r, e in found if e - self._tail(raw, s, r) >= RULES[r].least] for raw, found in zip(texts, self.scanner.matches(texts, [r.least for r in RULES]))]
 
 
 def in_code_points(raw: bytes, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -79,18 +92,15 @@ def _joined(found) -> str:
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of the base kinds, the digest of their spans, and all spans, for each row."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Scanner(Automaton([r.scan for r in RULES])))
+    shared = docs.sparkSession.sparkContext.broadcast(Spans())
 
     def run(batches):
-        scanner = shared.value
+        spans = shared.value
         for batch in slices(batches, "text"):
             texts = [(t.as_py() or "").encode() for t in batch.column(1)]
-            if not texts:
-                continue
             rows = []
-            for doc_id, raw, bits in zip(batch.column(0).to_pylist(), texts, scanner.hits(texts).tolist()):
-                found = in_code_points(raw, spans_of(raw, [r for r in range(len(RULES)) if bits >> r & 1])) if bits else []
+            for doc_id, raw, found in zip(batch.column(0).to_pylist(), texts, spans.find(texts)):
+                found = in_code_points(raw, found)
                 base = [x for x in found if x[1] < BASE]
                 rows.append((doc_id, *(sum(x[1] == k for x in base) for k in range(BASE)), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(found)))
             kinds = (pa.int64(),) * 4 + (pa.string(),) * 2

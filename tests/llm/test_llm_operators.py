@@ -9,7 +9,7 @@ from oracle import same
 from pyspark.sql import functions as F
 
 from dossier.llm import automata, components, decontaminate, hashing, licences, line_dedup, media, minhash, mixing, quality, queries, secrets, suffixes, wordpiece
-from dossier.llm.workspace import Workspace
+from dossier.llm.workspace import Workspace, settings
 
 
 def texts(spark, rows):
@@ -80,11 +80,33 @@ def test_line_dedup_by_hand(spark, awkward):
     assert line_dedup.dedup_lines(awkward.limit(0)).count() == 0
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    rows = [(2, "the same line\nown", "mine", 7), (1, "the same line", None, 8), (3, None, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, LINES int").withColumns({"drop": F.lit(1), "__row": F.lit("r")})
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "__n_lines", "__n_dropped"]
+    assert sorted((tuple(r) for r in out.collect()), key=lambda r: r[0]) == [(1, "the same line", None, 8, 1, "r", 1, 0), (2, "own", "mine", 7, 1, "r", 2, 1), (3, "", "x", None, 1, "r", 1, 0)]
+
+
 def test_runs_are_levelled(spark):
-    runs = line_dedup.LineRuns(spark, Workspace(spark, "t"), 2, 2)
-    for i in range(5):
-        runs.add(spark.createDataFrame([(i, i, i)], "h1 long, h2 long, owner long"))
-    assert [len(level) for level in runs.levels] == [1, 0, 1] and sum(t.count() for t in runs.tables()) == 5
+    with line_dedup.LineRuns(spark, Workspace(spark, "t"), 2, 2) as runs:
+        for i in range(5):
+            runs.add(spark.createDataFrame([(i, i, i)], "h1 long, h2 long, owner long"))
+        assert [len(level) for level in runs.levels] == [1, 0, 1] and sum(t.count() for t in runs.tables()) == 5
+        names = runs.names
+    assert not any(spark.catalog.tableExists(name) for name in names)
+
+
+def test_runs_are_read_in_order_without_shuffle(spark):
+    """Only the batch's keys are shuffled and sorted; every run is merged as it lies."""
+    with line_dedup.LineRuns(spark, Workspace(spark, "t"), 3, 4) as runs, settings(spark, line_dedup.ORDERED | {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        for i in range(2):
+            runs.add(spark.range(100).selectExpr("xxhash64(id) AS h1", f"xxhash64(id + {i}) AS h2", "id AS owner"))
+        looked = runs.look_up(spark.range(100).selectExpr("xxhash64(id) AS h1", "xxhash64(id) AS h2").groupBy("h1", "h2").count())
+        plan = looked._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange") == 1 and len(re.findall(r"\bSort \[", plan)) == 1, plan
+        assert looked.where("had is not null").count() == 100
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
 
 
 @pytest.mark.parametrize("batches", [1, 3, 7])
@@ -262,7 +284,56 @@ def test_automaton_agrees_with_re():
             state = a.table[state, a.classes[b]]
             hit |= int(a.accept[state])
         assert hit == sum(1 << i for i, p in enumerate(patterns) if re.search(p.encode(), text))
-        assert automata.Scanner(a, lane=4).hits([text, b"q", text])[0] & hit == hit
+
+
+@pytest.mark.parametrize("few", [0, 3, 1000])
+def test_scanner_agrees_with_re(few):
+    """Leftmost longest spans of several rules at once, whatever the lanes; matches that touch, overlap and run on."""
+    rng = random.Random(few)
+    patterns = ["[ab]+", "ab(c|d)?", "abab[abc]+", "c+a?b", "x[ab]*y?", "aa"]
+    scanner = automata.Scanner(patterns, lane=8, few=few)
+    for _ in range(150):
+        texts = [bytes(rng.choice(b"aaabbbcdxy") for _ in range(rng.choice([0, 3, 40, 300]))) for _ in range(rng.randint(1, 5))]
+        want = [sorted((m.start(), r, m.end()) for r, p in enumerate(patterns) for m in re.finditer(p.encode(), t)) for t in texts]
+        assert scanner.matches(texts, [0] * len(patterns)) == want
+
+
+_ALL_KINDS = (
+    _ASSIGN.pattern.encode(), b"AKIA[A-Z0-9]+", b"[0-9a-f]+", rb"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?",
+    rb"eyJ[A-Za-z0-9_-]{6,}\.eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}", b"gh[pousr]_([A-Za-z0-9]+)", b"xox[abprs]-([A-Za-z0-9-]+)", b"AIza([A-Za-z0-9_-]+)",
+)
+
+
+def test_all_kinds_equal_brute_force():
+    rng = random.Random(13)
+    parts = ["password=", "Secret: '", "token", "api_key", ":", "AKIA", "AKIA0", "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "eyJ", "eyJhbGciOi", ".", "ghp_", "xoxb-", "AIza", "deadbeef" * 4, "a1B2c3D4" * 5, "é", " ", "\n", "A" * 70, "-", "_", "'"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(600)]
+    spans = secrets.Spans()
+    seen = collections.Counter()
+    for i in range(0, len(texts), 50):
+        raws = [t.encode() for t in texts[i : i + 50]]
+        for raw, got in zip(raws, spans.find(raws)):
+            want = []
+            for r, pattern in enumerate(_ALL_KINDS):
+                for m in re.finditer(pattern, raw):
+                    group = {0: 2}.get(r, m.lastindex or 0)
+                    if m.end(group) - m.start(group) >= secrets.RULES[r].least:
+                        want.append((m.start(), r, m.end()))
+            assert got == sorted(want)
+            seen.update(r for _, r, _ in got)
+    assert len(seen) == len(secrets.RULES)
+
+
+def test_scan_is_linear_in_long_texts():
+    import time
+
+    spans = secrets.Spans()
+    began = time.process_time()
+    assert spans.find([b"eyJ" * 1_000_000]) == [[]]
+    body = b"-----BEGIN RSA PRIVATE KEY-----" + b"A" * 3_000_000
+    assert spans.find([body, body + b"-----END RSA PRIVATE KEY-----"]) == [[(0, 3, 31)], [(0, 3, len(body) + 29)]]
+    assert spans.find([b"AKIA" * 750_000]) == [[(0, 1, 3_000_000)]]
+    assert time.process_time() - began < 30
 
 
 # --- 6 licence scans ----------------------------------------------------------------------------------------------------
