@@ -1,16 +1,19 @@
 """Line dedup against levelled sorted runs of line hashes. DataFrame operations only.
 
-Documents come in batches of ascending doc_id. A run is a table (h1, h2, owner), one row for each line key that was new in
-its batch, bucketed and sorted by the hash, so joins read it merge-ordered and never shuffle it. A batch is joined with every
-run in turn; keys that no run has become the batch's own run at level 0. When a level holds `fanout` runs they are merged
-into one run of the next level, so there are logarithmically many runs.
+The texts are read once: every line key's hash goes into one table, by batches of ascending doc_id. A run is a table (h1, h2, owner),
+one row for each key that was new in its batch, bucketed by the hash and sorted in each bucket. A batch's distinct keys
+are anti-joined with every run in turn, one left merge join a run that also tells who had the key before; what no run
+has becomes the batch's own run at level 0. Runs are read in the order in which they are stored, so these joins neither shuffle nor
+sort them (a test looks at the plan). When a level holds `fanout` runs they are merged into one run of the next level, so there are
+logarithmically many runs.
 
 A line's key is the line without white space (0x20, 0x09-0x0D) at both ends and with A-Z lower-cased, as 128 bits of hash. Keys of at
 least `min_chars` code points that several documents hold stay only in the smallest doc_id. Very common lines meet in
 map-side aggregation first; the join that finds what to drop has one row for each key on one side, so a hot key can be split.
 
 Nulls and empty texts are one empty line. Rows without doc_id count as one last document. Rows that share a doc_id are one
-document. An empty table gives an empty table. All columns of the input come back; internal names start with `__`.
+document whose lines are all its own, and come back one for one. An empty table gives an empty table. All columns of the input come back
+with their values, whatever their names; internal columns take names that the input doesn't have.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, parallelism
+from .workspace import Workspace, parallelism, settings, unused
 
 BLANKS = " \t\n\x0b\x0c\r"
 LAST = (1 << 63) - 1
+#: Without it Spark forgets that a bucket's only file is sorted. It holds while runs are read, not beyond.
+ORDERED = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
 
 
 def line_key(line: Column) -> Column:
@@ -33,23 +38,38 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled runs below a workspace's folder, as bucketed tables."""
+    """Levelled runs below a workspace's folder, as bucketed and sorted tables; leaving the block drops them from the catalogue."""
 
     def __init__(self, spark: SparkSession, space: Workspace, fanout: int, buckets: int):
         self.spark, self.space, self.fanout, self.buckets = spark, space, fanout, buckets
         self.levels: list[list[str]] = []
         self.prefix = f"line_run_{uuid.uuid4().hex}"
-        self.made = 0
+        self.names: list[str] = []
+
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def _write(self, rows: DataFrame) -> str:
-        name = f"{self.prefix}_{self.made}"
-        self.made += 1
+        """rows are dealt by (h1, h2) to as many partitions as there are buckets, so each bucket is one file."""
+        name = f"{self.prefix}_{len(self.names)}"
+        self.names.append(name)
         rows.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", self.space.path("run")).saveAsTable(name)
         return name
 
     def tables(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
 
+    def look_up(self, keys: DataFrame) -> DataFrame:
+        """keys (h1, h2, ...) with `had`: the owner of each in whichever run has it."""
+        out = keys.withColumn("had", F.lit(None).cast("long"))
+        for run in self.tables():
+            out = out.join(run.withColumnRenamed("owner", "found"), ["h1", "h2"], "left").withColumn("had", F.coalesce("had", "found")).drop("found")
+        return out
+
     def add(self, rows: DataFrame) -> None:
         """Add a run, then merge the runs of every level that is full."""
         level, new = 0, self._write(rows)
@@ -69,65 +89,58 @@ class LineRuns:
             level += 1
 
 
-def _bounds(docs: DataFrame, batches: int) -> list[int]:
+def _bounds(ids: DataFrame, batches: int) -> list[int]:
     """Ids that cut the documents into batches of about equal numbers of rows."""
-    cuts = docs.agg(F.percentile_approx("__id", [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] if batches > 1 else []
+    cuts = ids.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] if batches > 1 else []
     return sorted(set(cuts or []))
 
 
+def _repeated_lines(rows: DataFrame, space: Workspace, min_chars: int, batches: int, fanout: int) -> DataFrame:
+    """rows: (id, row, text). (row, pos) of every line that a smaller id has."""
+    spark = rows.sparkSession
+    cuts = _bounds(rows.select("id"), batches)
+    batch = sum(((F.col("id") > cut).cast("int") for cut in cuts), F.lit(0))
+    lines = rows.select("id", "row", batch.alias("batch"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    keyed = lines.select("id", "row", "batch", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
+    hashed = space.save(keyed.select("id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "batch"), "lines", by="batch")
+    dropped = None
+    with LineRuns(spark, space, fanout, parallelism(spark)) as runs, settings(spark, ORDERED):
+        for b in range(len(cuts) + 1):
+            own = hashed.where(F.col("batch") == b).drop("batch")
+            keys = own.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+            looked = space.save(runs.look_up(keys), "looked-up")
+            repeated = looked.where("had is not null or lo < hi").select("h1", "h2", F.coalesce("had", "lo").alias("owner"))
+            lost = own.join(repeated, ["h1", "h2"]).where("id <> owner")
+            part = space.save(lost.select("row", "pos").distinct(), "dropped")
+            dropped = part if dropped is None else dropped.unionByName(part)
+            if b < len(cuts):
+                runs.add(looked.where("had is null").select("h1", "h2", F.col("lo").alias("owner")))
+            space.drop(looked)
+    space.drop(hashed)
+    return dropped
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
     """docs with the text reduced to its kept lines, and __n_lines (before dropping) and __n_dropped."""
-    spark = docs.sparkSession
-    space = Workspace(spark, "lines")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    cuts = _bounds(rows, batches)
-    runs = LineRuns(spark, space, fanout, parallelism(spark))
-    low = None
-    dropped = []
-    for high in [*cuts, None]:
-        batch = rows
-        if low is not None:
-            batch = batch.where(F.col("__id") > low)
-        if high is not None:
-            batch = batch.where(F.col("__id") <= high)
-        low = high
-        lines = batch.select("__id", F.xxhash64("__id", "__text").alias("row"), F.posexplode(F.split("__text", "\n")).alias("pos", "line"))
-        keyed = lines.select("__id", "row", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
-        hashed = space.save(keyed.select("__id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "lines")
-        owners = hashed.groupBy("h1", "h2").agg(F.min("__id").alias("lo"), F.max("__id").alias("hi")).withColumn("owner", F.lit(None).cast("long"))
-        fresh = owners.select("h1", "h2", F.col("lo").alias("owner"))
-        for run in runs.tables():
-            owners = owners.join(run.withColumnRenamed("owner", "had"), ["h1", "h2"], "left").withColumn("owner", F.coalesce("owner", "had")).drop("had")
-            fresh = fresh.join(run, ["h1", "h2"], "left_anti")
-        repeated = owners.where("owner is not null or lo < hi").select("h1", "h2", F.coalesce("owner", "lo").alias("owner"))
-        lost = hashed.join(repeated, ["h1", "h2"]).where(F.col("__id") != F.col("owner"))
-        dropped.append(space.save(lost.select("row", "pos").distinct(), "dropped"))
-        if high is not None:
-            runs.add(fresh)
-        space.drop(hashed)
-    for level in runs.levels:
-        for name in level:
-            spark.sql(f"DROP TABLE {name}")
-    gone = dropped[0]
-    for more in dropped[1:]:
-        gone = gone.unionByName(more)
-    gone = gone.groupBy("row").agg(F.collect_list("pos").alias("__drop")).withColumnRenamed("row", "__row")
-    keyed = docs.withColumn("__row", F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.coalesce(F.col(text_col), F.lit(""))))
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    out = keyed.join(gone, "__row", "left").withColumn("__lines", lines)
-    places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.coalesce("__drop", F.array().cast("array<int>")))
-    kept = F.when(F.col("__drop").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.transform(places, lambda i: F.get("__lines", i)), "\n"))
+    space = Workspace(docs.sparkSession, "lines")
+    id_, text = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(id_.alias("id"), F.xxhash64(id_, text).alias("row"), text.alias("text"))
+    row, drop, lines = (unused(docs, name) for name in ("row", "drop", "lines"))
+    gone = _repeated_lines(rows, space, min_chars, batches, fanout).groupBy(F.col("row").alias(row)).agg(F.collect_list("pos").alias(drop))
+    out = docs.withColumns({row: F.xxhash64(id_, text), lines: F.split(text, "\n")}).join(gone, row, "left")
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce(F.col(drop), F.array().cast("array<int>")))
+    kept = F.when(F.col(drop).isNull(), text).otherwise(F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n"))
     return out.select(
         *[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
-        F.size("__lines").cast("long").alias("__n_lines"),
-        F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("__n_dropped"),
+        F.size(lines).cast("long").alias(unused(docs, "__n_lines")),
+        F.when(F.col(drop).isNull(), F.lit(0)).otherwise(F.size(drop)).cast("long").alias(unused(docs, "__n_dropped")),
     )
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and the digest of the kept text."""
     out = dedup_lines(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.greatest("__n_dropped", F.lit(0)).alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 SQL = """
