@@ -9,8 +9,12 @@ Each leaf orders its documents anew for every epoch by md5(seed:epoch:doc_id). I
 longest prefix of the next epoch that fits. To find the prefix, tokens are summed by the first hex digits of the order; only
 the documents of the one bucket in which the prefix ends are sorted. A hot leaf is therefore never one task.
 
+A child of weight 0 gets nothing, and its tokens don't count for what its ancestors can use; they do count for the size of the corpus, of
+which the budget is a share.
+
 Null and empty texts have no tokens and are never chosen; null levels are a leaf named by the empty string. Repeated rows count
-each. The result is the chosen rows, with all their columns and __n_tokens and __copies, the number of epochs that take them.
+each. The result is the chosen rows, with all their columns and __n_tokens and __copies, the number of epochs that take them (names that the
+input has get an underscore more). An empty table, or one without tokens or usable leaves, gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, unused
 
 #: Share of the corpus's tokens that is asked for, epochs that a leaf may give, and the seed of the orders.
 BUDGET_PERCENT, MAX_EPOCHS, SEED, DIGITS = 50, 3, 17, 3
@@ -51,17 +55,24 @@ def fill(children: DataFrame, parent: list[str], name: str) -> DataFrame:
     return steps.select(*parent, name, "tokens", share.alias("budget"))
 
 
+def _weight(name: str, weights: dict[str, int]) -> Column:
+    """Weight of the children by name; those that aren't listed weigh 1."""
+    given = F.lit(1)
+    for value, w in weights.items():
+        given = F.when(F.col(name) == value, F.lit(int(w))).otherwise(given)
+    return given.cast("long")
+
+
 def leaf_budgets(leaves: DataFrame, levels: list[str], weights: list[dict[str, int]], percent: int, max_epochs: int) -> DataFrame:
-    """leaves (levels, tokens) with the budget of each."""
+    """leaves (levels, tokens) with the budget of each that can have one."""
     top = leaves.agg(F.expr(f"sum(tokens) * {percent} div 100").alias("budget"))
+    usable = leaves
+    for name, weight in zip(levels, weights):
+        usable = usable.where(_weight(name, weight) > 0)
     budgets = None
     for depth, (name, weight) in enumerate(zip(levels, weights)):
         parent = levels[:depth]
-        nodes = leaves.groupBy(*parent, name).agg(F.sum("tokens").alias("tokens")).withColumn("cap", F.col("tokens") * max_epochs)
-        given = F.lit(1)
-        for value, w in weight.items():
-            given = F.when(F.col(name) == value, F.lit(int(w))).otherwise(given)
-        nodes = nodes.withColumn("weight", given.cast("long"))
+        nodes = usable.groupBy(*parent, name).agg(F.sum("tokens").alias("tokens")).withColumn("cap", F.col("tokens") * max_epochs).withColumn("weight", _weight(name, weight))
         nodes = nodes.crossJoin(F.broadcast(top)) if budgets is None else nodes.join(budgets.select(*parent, "budget"), parent)
         budgets = fill(nodes, parent, name)
     return budgets
@@ -70,26 +81,26 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], weights: list[dict[str, i
 def mix(docs: DataFrame, levels: dict[str, Column], weights: list[dict[str, int]], id_col: str = "doc_id", text_col: str = "text", percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, seed: int = SEED, digits: int = DIGITS) -> DataFrame:
     """The chosen rows of docs, with their tokens and copies."""
     space = Workspace(docs.sparkSession, "mixing")
-    names = [f"__{name}" for name in levels]
-    leafed = docs.select("*", token_count(F.col(text_col)).alias("__n_tokens"), *(F.coalesce(column.cast("string"), F.lit("")).alias(f"__{name}") for name, column in levels.items()))
-    narrow = space.save(leafed.select(F.col(id_col).alias("__id"), "__n_tokens", *names), "tokens")
-    leaves = space.save(narrow.groupBy(*names).agg(F.sum("__n_tokens").alias("tokens")).where("tokens > 0"), "leaves")
-    budgets = leaf_budgets(leaves, names, weights, percent, max_epochs).select(*names, F.expr("budget div tokens").alias("__whole"), F.expr("budget % tokens").alias("__rest"))
+    n_tokens, copies, id_, whole, rest, rank, bucket, end, before, *names = (unused(docs, f"__{n}") for n in ("n_tokens", "copies", "id", "whole", "rest", "rank", "bucket", "end", "before", *levels))
+    leafed = docs.select("*", token_count(F.col(f"`{text_col}`")).alias(n_tokens), *(F.coalesce(column.cast("string"), F.lit("")).alias(name) for name, column in zip(names, levels.values())))
+    narrow = space.save(leafed.select(F.col(f"`{id_col}`").alias(id_), n_tokens, *names), "tokens")
+    leaves = space.save(narrow.groupBy(*names).agg(F.sum(n_tokens).alias("tokens")).where("tokens > 0"), "leaves")
+    budgets = leaf_budgets(leaves, names, weights, percent, max_epochs).select(*names, F.expr("budget div tokens").alias(whole), F.expr("budget % tokens").alias(rest))
     budgets = space.save(budgets, "budgets")
 
     def ordered(rows: DataFrame, key: str) -> DataFrame:
-        rank = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("__whole") + 1).cast("string"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-        return rows.join(budgets, names).withColumn("__rank", rank).withColumn("__bucket", F.substring("__rank", 1, digits))
+        place = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col(whole) + 1).cast("string"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))))
+        return rows.join(budgets, names).withColumn(rank, place).withColumn(bucket, F.substring(rank, 1, digits))
 
-    sums = ordered(narrow, "__id").groupBy(*names, "__bucket", "__rest").agg(F.sum("__n_tokens").alias("tokens"))
-    up_to = F.sum("tokens").over(W.partitionBy(*names).orderBy("__bucket"))
-    ends = sums.withColumn("up_to", up_to).where("up_to > __rest").groupBy(*names).agg(F.min(F.struct("__bucket", F.expr("up_to - tokens").alias("before"))).alias("end"))
-    ends = space.save(ends.select(*names, F.col("end.__bucket").alias("__end"), F.col("end.before").alias("__before")), "ends")
-    placed = ordered(leafed.where("__n_tokens > 0"), id_col).join(ends, names)
-    clear = placed.where("__bucket <> __end").withColumn("__copies", F.col("__whole") + (F.col("__bucket") < F.col("__end")).cast("long"))
-    through = F.col("__before") + F.sum("__n_tokens").over(W.partitionBy(*names).orderBy("__rank", id_col).rowsBetween(W.unboundedPreceding, W.currentRow))
-    split = placed.where("__bucket = __end").withColumn("__copies", F.col("__whole") + (through <= F.col("__rest")).cast("long"))
-    return clear.unionByName(split).where("__copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns], "__n_tokens", "__copies")
+    sums = ordered(narrow, id_).groupBy(*names, bucket, rest).agg(F.sum(n_tokens).alias("tokens"))
+    up_to = F.sum("tokens").over(W.partitionBy(*names).orderBy(bucket))
+    ends = sums.withColumn("up_to", up_to).where(F.col("up_to") > F.col(rest)).groupBy(*names).agg(F.min(F.struct(F.col(bucket).alias("bucket"), F.expr("up_to - tokens").alias("before"))).alias("first"))
+    ends = space.save(ends.select(*names, F.col("first.bucket").alias(end), F.col("first.before").alias(before)), "ends")
+    placed = ordered(leafed.where(F.col(n_tokens) > 0), id_col).join(ends, names)
+    clear = placed.where(F.col(bucket) != F.col(end)).withColumn(copies, F.col(whole) + (F.col(bucket) < F.col(end)).cast("long"))
+    through = F.col(before) + F.sum(n_tokens).over(W.partitionBy(*names).orderBy(rank, F.col(f"`{id_col}`")).rowsBetween(W.unboundedPreceding, W.currentRow))
+    split = placed.where(F.col(bucket) == F.col(end)).withColumn(copies, F.col(whole) + (through <= F.col(rest)).cast("long"))
+    return clear.unionByName(split).where(F.col(copies) > 0).select(*[F.col(f"`{c}`") for c in docs.columns], n_tokens, copies)
 
 
 def document_levels() -> dict[str, Column]:
@@ -108,7 +119,7 @@ def _level_sql(parent: list[str], name: str, weight: str, above: str, made: str)
     on = " AND ".join(f"n.{p} = a.{p}" for p in parent) or "true"
     order = f"{part} ORDER BY cap / weight, {name}"
     return f"""
-{made}_n AS (SELECT {keys}, sum(tokens)::BIGINT AS tokens, sum(tokens)::BIGINT * {MAX_EPOCHS} AS cap, ({weight})::BIGINT AS weight FROM leaves GROUP BY {keys}),
+{made}_n AS (SELECT {keys}, sum(tokens)::BIGINT AS tokens, sum(tokens)::BIGINT * {MAX_EPOCHS} AS cap, ({weight})::BIGINT AS weight FROM usable GROUP BY {keys}),
 {made}_s AS (SELECT *,
     coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS filled,
     sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS weights
@@ -126,6 +137,7 @@ WITH d AS (
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents
 ), leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
 top AS (SELECT (sum(tokens)::BIGINT * {BUDGET_PERCENT}) // 100 AS budget FROM leaves),
+usable AS (SELECT * FROM leaves WHERE ({case("domain", DOMAIN_WEIGHTS)}) > 0 AND ({case("lang", LANG_WEIGHTS)}) > 0),
 {_level_sql([], "domain", case("domain", DOMAIN_WEIGHTS), "top", "b1")},
 {_level_sql(["domain"], "lang", case("lang", LANG_WEIGHTS), "b1", "b2")},
 {_level_sql(["domain", "lang"], "source", "1", "b2", "b3")},
