@@ -11,7 +11,9 @@
    so that a site can tip a doubtful document and never overrules a clear one.
 
 Null and empty texts are rated as texts without words. Null sources or languages are a site of their own. Without labels the prior is
-one half and nothing is rejected. All columns of the input come back, with quality, toxicity and keep under names that start with `__`.
+one half and nothing is rejected. Of labelled documents with equal texts the first by hash of the id counts, so the models don't depend on how the
+rows are dealt. All columns of the input come back, with __quality, __toxicity and __keep (an underscore more where the input has such
+a column). The tables have no paths beside sources, so in the queries the host is the source and the path its language.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import Workspace, slices
+from .workspace import Workspace, slices, unused
 
 #: Labelled rows that the models see, pseudo-documents' bounds, the farthest that a site moves a document's log odds.
 SAMPLE, FEWEST, MOST, SITE_LIMIT = 6000, 4.0, 10_000.0, 1.0
@@ -144,20 +146,28 @@ def train(texts: list[str], quality: np.ndarray, toxic: np.ndarray) -> dict:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
-    """At most `sample` labelled documents, the first by hash of the id; equal texts count once."""
-    few = labels.where("quality is not null and toxic is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(sample).select(F.col("doc_id").alias("__id"), "quality", "toxic")
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(few), "__id")
-    return rows.dropDuplicates(["__text"]).orderBy(F.xxhash64("__id"), "__id").limit(sample)
+    """(text, quality, toxic) of at most `sample` labelled documents, the first by hash of the id and in that order; equal texts count once."""
+    order = F.xxhash64("id")
+    few = labels.where("quality is not null and toxic is not null").select(F.col("doc_id").alias("id"), "quality", "toxic").orderBy(order, "id", "quality", "toxic").limit(sample)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).join(F.broadcast(few), "id")
+    first = rows.groupBy("text").agg(F.min(F.struct(order.alias("h"), "id", "quality", "toxic")).alias("first"))
+    return first.orderBy("first").limit(sample).select("text", F.col("first.quality").cast("double").alias("quality"), F.col("first.toxic").cast("double").alias("toxic"))
 
 
-def _shrunk(sites: DataFrame, keys: list[str], parent: DataFrame, up: list[str], rate: str) -> DataFrame:
-    """Posterior rate of each site: its sum of probabilities and the parent's rate as pseudo-documents."""
-    joined = sites.join(parent, up) if up else sites.crossJoin(F.broadcast(parent))
-    gap = F.col(f"{rate}_sum") / F.col("n") - F.col(f"{rate}_up")
-    spread = F.greatest(F.sum(F.col("n") * gap * gap) / F.sum("n") - F.sum(F.col(f"{rate}_up") * (1 - F.col(f"{rate}_up"))) / F.sum("n"), F.lit(1e-6))
-    between = joined.agg(F.least(F.greatest(F.avg(F.col(f"{rate}_up") * (1 - F.col(f"{rate}_up"))) / spread, F.lit(FEWEST)), F.lit(MOST)).alias("kappa"))
-    posterior = (F.col(f"{rate}_sum") + F.col("kappa") * F.col(f"{rate}_up")) / (F.col("n") + F.col("kappa"))
-    return joined.crossJoin(F.broadcast(between)).select(*keys, posterior.alias(f"{rate}_post"))
+RATES = ("good", "bad")
+
+
+def _shrunk(sites: DataFrame, keys: list[str]) -> DataFrame:
+    """sites: keys, n, and for each rate its sum of probabilities and the parent's rate (_sum, _up). The posterior rates (_post) with the parent's:
+    the parent's rate counts as many documents as the variance between the sites supports."""
+    kappas = []
+    for r in RATES:
+        up = F.col(f"{r}_up")
+        gap = F.col(f"{r}_sum") / F.col("n") - up
+        spread = F.greatest(F.sum(F.col("n") * gap * gap) / F.sum("n") - F.sum(up * (1 - up)) / F.sum("n"), F.lit(1e-6))
+        kappas.append(F.least(F.greatest(F.avg(up * (1 - up)) / spread, F.lit(FEWEST)), F.lit(MOST)).alias(f"{r}_kappa"))
+    post = [((F.col(f"{r}_sum") + F.col(f"{r}_kappa") * F.col(f"{r}_up")) / (F.col("n") + F.col(f"{r}_kappa"))).alias(f"{r}_post") for r in RATES]
+    return sites.crossJoin(F.broadcast(sites.agg(*kappas))).select(*keys, *post, *(f"{r}_up" for r in RATES))
 
 
 def _log_odds(p):
@@ -165,6 +175,19 @@ def _log_odds(p):
     return F.log(held / (1 - held))
 
 
+def site_moves(paths: DataFrame, space: Workspace) -> DataFrame:
+    """paths: (host, path, n, good_sum, bad_sum). How far each path moves the log odds of its documents (good_move, bad_move).
+
+    Corpus, hosts and paths are three levels; each level's rates are shrunk toward the one above."""
+    sums = [F.sum(c).alias(c) for c in ("n", *(f"{r}_sum" for r in RATES))]
+    top = space.save(paths.agg(*((F.sum(f"{r}_sum") / F.sum("n")).alias(f"{r}_up") for r in RATES)), "corpus")
+    hosts = space.save(_shrunk(space.save(paths.groupBy("host").agg(*sums).crossJoin(F.broadcast(top)), "hosts"), ["host"]), "host-rates")
+    inner = paths.join(hosts.select("host", *(F.col(f"{r}_post").alias(f"{r}_up") for r in RATES)), "host")
+    posts = _shrunk(space.save(inner, "paths-and-hosts"), ["host", "path"]).drop(*(f"{r}_up" for r in RATES))
+    moves = [F.least(F.greatest(_log_odds(F.col(f"{r}_post")) - _log_odds(F.col(f"{r}_up")), F.lit(-SITE_LIMIT)), F.lit(SITE_LIMIT)).alias(f"{r}_move") for r in RATES]
+    return posts.crossJoin(F.broadcast(top)).select("host", "path", *moves)
+
+
 def rate_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", sample: int = SAMPLE, keep_text: bool = True) -> DataFrame:
     """docs with __quality, __toxicity (posteriors) and __keep; without the text column if keep_text is false.
 
@@ -172,40 +195,33 @@ def rate_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     space = Workspace(spark, "quality")
-    got = labelled_sample(docs, labels, id_col, text_col, sample).select("__text", F.col("quality").cast("double"), F.col("toxic").cast("double")).toArrow()
+    got = labelled_sample(docs, labels, id_col, text_col, sample).toArrow()
     texts = got.column(0).to_pylist()
-    shared = spark.sparkContext.broadcast(train(texts, np.array(got.column(1).to_pylist()), np.array(got.column(2).to_pylist())) if texts else {"quality": None, "toxic": None, "lexicon": {}})
+    model = train(texts, *(np.array(got.column(c).to_pylist()) for c in (1, 2))) if texts else {"quality": None, "toxic": None, "lexicon": {}}
+    del got, texts
+    shared = spark.sparkContext.broadcast(model)
     keep = [f for f in docs.schema.fields if keep_text or f.name != text_col]
+    good, bad, host, path = (unused(docs, n) for n in ("good", "bad", "host", "path"))
 
     def run(batches):
         models, known = shared.value, {}
         for batch in slices(batches, text_col):
             texts = [t.as_py() or "" for t in batch.column(text_col)]
-            if not texts:
-                continue
-            good = predict(models["quality"], np.array([shape(t) for t in texts]))
-            bad = predict(models["toxic"], np.array([lexical(t, models["lexicon"], known) for t in texts])) if models["toxic"] else np.zeros(len(texts))
+            rates = predict(models["quality"], np.array([shape(t) for t in texts]))
+            toxic = predict(models["toxic"], np.array([lexical(t, models["lexicon"], known) for t in texts])) if models["toxic"] else np.zeros(len(texts))
             names = [f.name for f in keep]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(good), pa.array(bad)], names=[*names, "__good", "__bad"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(rates), pa.array(toxic)], names=[*names, good, bad])
 
-    schema = T.StructType([*keep, T.StructField("__good", T.DoubleType()), T.StructField("__bad", T.DoubleType())])
+    schema = T.StructType([*keep, T.StructField(good, T.DoubleType()), T.StructField(bad, T.DoubleType())])
     rated = space.save(docs.mapInArrow(run, schema), "rated")
-    site = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
-    sums = [F.count("*").alias("n"), F.sum("__good").alias("good_sum"), F.sum("__bad").alias("bad_sum")]
-    paths = space.save(rated.groupBy(site(host_col).alias("__host"), site(path_col).alias("__path")).agg(*sums), "paths")
-    hosts = paths.groupBy("__host").agg(F.sum("n").alias("n"), F.sum("good_sum").alias("good_sum"), F.sum("bad_sum").alias("bad_sum"))
-    whole = paths.agg((F.sum("good_sum") / F.sum("n")).alias("good_up"), (F.sum("bad_sum") / F.sum("n")).alias("bad_up"))
-    sites = None
-    for rate in ("good", "bad"):
-        top = whole.select(f"{rate}_up")
-        host = _shrunk(hosts, ["__host"], top, [], rate).withColumnRenamed(f"{rate}_post", f"{rate}_up")
-        path = _shrunk(paths, ["__host", "__path"], host, ["__host"], rate)
-        move = _log_odds(F.col(f"{rate}_post")) - _log_odds(F.col(f"{rate}_up"))
-        path = path.crossJoin(F.broadcast(top)).select("__host", "__path", F.least(F.greatest(move, F.lit(-SITE_LIMIT)), F.lit(SITE_LIMIT)).alias(f"{rate}_move"))
-        sites = path if sites is None else sites.join(path, ["__host", "__path"])
-    out = rated.withColumn("__host", site(host_col)).withColumn("__path", site(path_col)).join(space.save(sites, "sites"), ["__host", "__path"], "left")
+    site = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0"))
+    paths = rated.groupBy(site(host_col).alias("host"), site(path_col).alias("path")).agg(F.count("*").alias("n"), F.sum(good).alias("good_sum"), F.sum(bad).alias("bad_sum"))
+    moves = space.save(site_moves(space.save(paths, "paths"), space), "moves").select(F.col("host").alias(host), F.col("path").alias(path), "good_move", "bad_move")
+    moves = moves.withColumnsRenamed({f"{r}_move": unused(docs, f"{r}_move") for r in RATES})
+    moved = [F.coalesce(F.col(unused(docs, f"{r}_move")), F.lit(0.0)) for r in RATES]
+    out = rated.withColumns({host: site(host_col), path: site(path_col)}).join(moves, [host, path], "left")
     back = lambda x: 1 / (1 + F.exp(-x))
-    quality = back(_log_odds(F.col("__good")) + F.coalesce("good_move", F.lit(0.0)))
-    toxicity = F.when(F.col("__bad") > 0, back(_log_odds(F.col("__bad")) + F.coalesce("bad_move", F.lit(0.0)))).otherwise(F.lit(0.0))
-    named = out.withColumn("__quality", quality).withColumn("__toxicity", toxicity)
-    return named.select(*[F.col(f"`{f.name}`") for f in keep], "__quality", "__toxicity", ((F.col("__quality") >= 0.5) & (F.col("__toxicity") < 0.5)).alias("__keep"))
+    quality = back(_log_odds(F.col(good)) + moved[0])
+    toxicity = F.when(F.col(bad) > 0, back(_log_odds(F.col(bad)) + moved[1])).otherwise(F.lit(0.0))
+    names = [unused(docs, n) for n in ("__quality", "__toxicity", "__keep")]
+    return out.select(*[F.col(f"`{f.name}`") for f in keep], quality.alias(names[0]), toxicity.alias(names[1]), ((quality >= 0.5) & (toxicity < 0.5)).alias(names[2]))

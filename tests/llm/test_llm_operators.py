@@ -439,11 +439,57 @@ def test_quality_without_labels_and_with_awkward_rows(spark, awkward, docs):
     assert quality.rate_documents(awkward.limit(0), labels).count() == 0
 
 
-def test_sparse_sites_shrink_toward_their_parent(spark):
-    sites = spark.createDataFrame([("a", 1, 0.0), ("b", 1000, 0.0), ("c", 1000, 900.0)], "__host string, n long, good_sum double")
-    top = spark.createDataFrame([(0.5,)], "good_up double")
-    got = {r["__host"]: r["good_post"] for r in quality._shrunk(sites, ["__host"], top, [], "good").collect()}
-    assert got["b"] < got["a"] < 0.5 < got["c"]
+def test_sites_equal_brute_force(spark):
+    """Posteriors of hosts and paths, and what they move, against plain arithmetic; sparse sites lean on what is above them."""
+    import math
+
+    rng = random.Random(17)
+    sites = {(f"h{h}", f"p{p}"): (n := rng.choice([1, 3, 40, 900]), n * rng.random(), n * rng.random() * 0.1) for h in range(6) for p in range(rng.randint(1, 4))}
+    rows = [(*k, *v) for k, v in sites.items()]
+    got = {(r.host, r.path): (r.good_move, r.bad_move) for r in quality.site_moves(spark.createDataFrame(rows, "host string, path string, n long, good_sum double, bad_sum double"), Workspace(spark, "t")).collect()}
+
+    def shrunk(items):
+        """items: (n, sum, rate above) by name."""
+        n = sum(i[0] for i in items.values())
+        spread = max(sum(i[0] * (i[1] / i[0] - i[2]) ** 2 for i in items.values()) / n - sum(i[2] * (1 - i[2]) for i in items.values()) / n, 1e-6)
+        kappa = min(max(sum(i[2] * (1 - i[2]) for i in items.values()) / len(items) / spread, quality.FEWEST), quality.MOST)
+        return {k: (s + kappa * up) / (m + kappa) for k, (m, s, up) in items.items()}
+
+    odds = lambda p: math.log(p / (1 - p))
+    for which in (1, 2):
+        top = sum(v[which] for v in sites.values()) / sum(v[0] for v in sites.values())
+        hosts = collections.defaultdict(lambda: [0, 0.0, top])
+        for (h, _), v in sites.items():
+            hosts[h][0] += v[0]
+            hosts[h][1] += v[which]
+        above = shrunk(hosts)
+        posts = shrunk({k: (v[0], v[which], above[k[0]]) for k, v in sites.items()})
+        for k, post in posts.items():
+            assert got[k][which - 1] == pytest.approx(min(max(odds(post) - odds(top), -quality.SITE_LIMIT), quality.SITE_LIMIT), abs=1e-9)
+    few = spark.createDataFrame([("a", 1, 0.0, 0.0, 0.5, 0.5), ("b", 1000, 0.0, 0.0, 0.5, 0.5), ("c", 1000, 900.0, 0.0, 0.5, 0.5)], "host string, n long, good_sum double, bad_sum double, good_up double, bad_up double")
+    post = {r.host: r.good_post for r in quality._shrunk(few, ["host"]).collect()}
+    assert post["b"] < post["a"] < 0.5 < post["c"]
+
+
+def test_ratings_equal_brute_force_and_do_not_depend_on_partitions(spark, docs, small):
+    import numpy as np
+
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    # Equal texts with different labels, and columns that clash with internal ones.
+    mine = docs.select("doc_id", "text", "source", "lang").withColumns({"host": F.lit("mine"), "__keep": F.lit(7), "good_move": F.lit("g")})
+    more = labels.unionByName(labels.select((F.col("doc_id") + 100000).alias("doc_id"), (1 - F.col("quality")).alias("quality"), "toxic"))
+    both = mine.unionByName(mine.withColumn("doc_id", F.col("doc_id") + 100000))
+    runs = [{r.doc_id: (round(r["__quality"], 9), round(r["__toxicity"], 9), r["__keep_"]) for r in quality.rate_documents(both.repartition(n), more).collect()} for n in (1, 5)]
+    assert runs[0] == runs[1] and quality.rate_documents(both, more).columns == [*mine.columns, "__quality", "__toxicity", "__keep_"]
+    out = quality.rate_documents(mine, labels).collect()
+    assert all(r.host == "mine" and r["__keep"] == 7 and r.good_move == "g" for r in out)
+    rows = {r.doc_id: r for r in docs.collect()}
+    sample = quality.labelled_sample(docs, labels, "doc_id", "text", quality.SAMPLE).collect()
+    model = quality.train([r.text for r in sample], *(np.array([r[c] for r in sample]) for c in ("quality", "toxic")))
+    for r in out:
+        text = rows[r.doc_id].text or ""
+        p = quality.predict(model["quality"], np.array([quality.shape(text)]))[0]
+        assert abs(np.log(r["__quality"] / (1 - r["__quality"])) - np.log(p / (1 - p))) <= quality.SITE_LIMIT + 1e-6
 
 
 # --- 8 decontamination --------------------------------------------------------------------------------------------------
