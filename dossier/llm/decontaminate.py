@@ -13,6 +13,7 @@ Repeated documents and items each count; null ids are kept. Only ids and texts a
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -112,24 +113,24 @@ class Finder:
         return best
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> list[list[tuple[int | None, str]]]:
-    """The items in blocks of bounded size; each is sent to the executors by itself."""
-    out: list[list[tuple[int | None, str]]] = [[]]
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[int | None, str]]]:
+    """The items in blocks of bounded size, streamed from the table: the driver's program holds one at a time, executors get each as a broadcast."""
+    block: list[tuple[int | None, str]] = []
     size = 0
-    for item_id, text in benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).toLocalIterator():
+    for item_id, text in benchmark.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).toLocalIterator():
         text = normal(text)
         if not text:
             continue
         if size and size + len(text) > block_chars:
-            out.append([])
-            size = 0
-        out[-1].append((item_id, text))
+            yield block
+            block, size = [], 0
+        block.append((item_id, text))
         size += len(text)
-    return out
+    yield block
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, item_id, distance) for every item that occurs in a document within its error budget."""
+    """(doc_id, item_id, distance) for every item that occurs in a document within its error budget; documents without one give no row."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
