@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import catalog as C
-from .text import collapse, is_empty, sealed, strip
+from .text import collapse, is_empty, let, sealed, strip
 
-#: Bullet or number before an item; longest clause in words; words beyond which an item is dropped; most that may be dropped; least that must be in the source.
+#: Bullet or number before an item, and answers that stand for nothing.
 PREFIX = r"^\s*(?:[-*•·]|\(?\d+[.)])\s*"
+PLACEHOLDER = r"(?i)^(\*+|none|n/?a|no_?\w*_found|not (found|applicable|mentioned)|extraction_failed|section_not_found)$"
+#: Longest clause in words; words beyond which an item is dropped; most that may be dropped; least that must be in the source.
 CLAUSE_WORDS, HARD_WORDS, MAX_DROPPED, MIN_GROUNDED = 12, 20, 0.5, 0.5
 
 
@@ -59,15 +61,15 @@ def prose_reason(c: Column) -> Column:
 
 def clean_item(item: Column) -> Column:
     bare = strip(F.regexp_replace(strip(F.regexp_replace(item, PREFIX, "")), r'^["“”]+|["“”]+$', ""))
-    one = collapse(F.regexp_replace(bare, r"(?i)^and\s+", ""))
-    return F.when(one.endswith(".") & ~one.rlike(r"\b\w\.\w\.$"), strip(F.regexp_replace(one, r"\.$", ""))).otherwise(one)
+    without_dot = lambda one: F.when(one.endswith(".") & ~one.rlike(r"\b\w\.\w\.$"), strip(F.regexp_replace(one, r"\.$", ""))).otherwise(one)
+    return let(collapse(F.regexp_replace(bare, r"(?i)^and\s+", "")), without_dot)
 
 
 def distinct_items(items: Column) -> Column:
-    """The first of items that are equal but for case, in order. Arrays of one bind items and keys, which are thus worked out once."""
-    first = lambda them, keys: F.filter(them, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
-    bind = lambda them: F.get(F.transform(F.array(F.transform(them, lambda x: F.lower(x))), lambda keys: first(them, keys)), F.lit(0))
-    return F.get(F.transform(F.array(items), bind), F.lit(0))
+    """The first of items that are equal but for case, in order: sorted by key and place, the first of each key, back in order of place."""
+    placed = F.array_sort(F.transform(items, lambda x, i: F.struct(F.lower(x).alias("key"), i.alias("place"), x.alias("item"))))
+    firsts = lambda all_: F.filter(all_, lambda s, i: (i == 0) | (s["key"] != F.get(all_, F.greatest(i - 1, F.lit(0)))["key"]))
+    return F.transform(F.array_sort(F.transform(let(placed, firsts), lambda s: F.struct(s["place"].alias("place"), s["item"].alias("item")))), lambda s: s["item"])
 
 
 def loose(c: Column) -> Column:
@@ -76,19 +78,19 @@ def loose(c: Column) -> Column:
 
 def grounded_fraction(items: Column, source: Column) -> Column:
     """Share of items that the source has: as they are, or by six letters of their first longest word."""
-    hay = loose(source)
 
-    def hit(item):
-        plain = strip(loose(item))
-        words = F.filter(F.split(plain, " +"), lambda w: w != "")
+    def stem(words):
         long = F.filter(words, lambda w: F.length(w) >= 5)
         chosen = F.when(F.size(long) > 0, long).otherwise(words)
-        most = F.array_max(F.transform(chosen, lambda w: F.length(w)))
-        stem = F.substring(F.element_at(F.filter(chosen, lambda w: F.length(w) == most), 1), 1, 6)
-        return F.when(plain == "", F.lit(0)).when(F.contains(hay, plain), F.lit(1)).otherwise(((F.length(stem) >= 4) & F.contains(hay, stem)).cast("int"))
+        return let(chosen, lambda ws: F.substring(F.element_at(F.filter(ws, lambda w: F.length(w) == F.array_max(F.transform(ws, lambda v: F.length(v)))), 1), 1, 6))
+
+    def hit(plain, hay):
+        short = stem(F.filter(F.split(plain, " +"), lambda w: w != ""))
+        found = F.when(F.contains(hay, plain), F.lit(1)).otherwise(let(short, lambda st: ((F.length(st) >= 4) & F.contains(hay, st)).cast("int")))
+        return F.coalesce(F.when(plain == "", F.lit(0)).otherwise(found), F.lit(0))
 
-    hits = F.aggregate(F.transform(items, lambda x: F.coalesce(hit(x), F.lit(0))), F.lit(0), lambda a, x: a + x)
-    return F.when(F.size(items) == 0, F.lit(1.0)).otherwise(hits / F.size(items))
+    count = lambda hay: F.aggregate(F.transform(items, lambda x: let(strip(loose(x)), lambda plain: hit(plain, hay))), F.lit(0), lambda a, x: a + x)
+    return F.when(F.size(items) == 0, F.lit(1.0)).otherwise(let(loose(source), count) / F.size(items))
 
 
 def normalize(df: DataFrame, raw: str, source: str | None = None, value: str = "value", reason: str = "reason") -> DataFrame:
@@ -117,9 +119,6 @@ def normalize(df: DataFrame, raw: str, source: str | None = None, value: str = "
     return sealed(out, {value: result, reason: F.col("__why")})
 
 
-PLACEHOLDER = r"(?i)^(\*+|none|n/?a|no_?\w*_found|not (found|applicable|mentioned)|extraction_failed|section_not_found)$"
-
-
 def answer_items(raw: Column, drug: Column | None = None) -> Column:
     """Items of a raw answer: preamble, bullets, quotes and connecting words off; placeholders, over-long items and the drug itself dropped."""
     text = F.regexp_replace(strip(F.coalesce(raw, F.lit(""))), r"(?i)^(here (is|are)[^:]*:|the (list|answer)[^:]*:)", "")
@@ -127,7 +126,7 @@ def answer_items(raw: Column, drug: Column | None = None) -> Column:
     def clean(it):
         bare = strip(F.regexp_replace(strip(F.regexp_replace(it, r"^[\s\-•*\d.)]+", "")), r"^[.\"'`]+|[.\"'`]+$", ""))
         named = F.replace(strip(F.regexp_replace(bare, r"(?i)^(and|or|including|such as)\s+", "")), F.lit("_"), F.lit(" "))
-        return F.when(F.contains(named, F.lit(" ")), named).otherwise(F.regexp_replace(named, r"(?<=[a-z])(?=[A-Z])", " "))
+        return let(named, lambda one: F.when(F.contains(one, F.lit(" ")), one).otherwise(F.regexp_replace(one, r"(?<=[a-z])(?=[A-Z])", " ")))
 
     def wanted(it):
         good = (it != "") & ~it.rlike(PLACEHOLDER) & (F.length(it) <= 120)

@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from . import catalog as C
 
-#: One trimmed run of ASCII white space at either end.
-_ENDS = r"^\s+|\s+$"
+#: ASCII white space, as the pattern \s has it.
+BLANKS = " \t\n\x0b\f\r"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _ENDS, "")
+    return F.btrim(c, F.lit(BLANKS))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often the body uses it: a lambda over an array of one."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def collapse(c: Column) -> Column:

@@ -90,10 +90,10 @@ def date_accuracy(spark, sf_dir):
 
 def error_kind_pivot(spark, sf_dir):
     """Words of benchmark items as gold, documents as predictions: kinds of error by language."""
-    d = _numbered(spark, sf_dir).select("doc_id", "lang", "item_id", "text")
-    b = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    rows = d.join(b, "item_id").select("doc_id", "lang", F.explode(F.array_distinct(F.split("item", r"[\s.,]+"))).alias("word"), F.split("text", "\n")[0].alias("given"), "text")
-    rows = rows.where(F.length("word") >= 4).withColumn("gs", F.array_distinct(K.stems(F.col("given")))).withColumn("ts", F.array_distinct(K.stems(F.col("text"))))
+    given = F.split("text", "\n")[0]
+    d = _numbered(spark, sf_dir).select("lang", "item_id", given.alias("given"), F.array_distinct(K.stems(given)).alias("gs"), F.array_distinct(K.stems(F.col("text"))).alias("ts"))
+    b = _t(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.split("text", r"[\s.,]+")).alias("words"))
+    rows = d.join(b, "item_id").select("lang", "given", "gs", "ts", F.explode(F.filter("words", lambda w: F.length(w) >= 4)).alias("word"))
     kind = S.error_kind(F.contains(F.col("given"), F.col("word")), F.lit(True), F.col("word"), F.col("gs"), F.col("ts"))
     kinds = ["correct", "missed, in the given text", "missed, not in the given text", "missed, not found in the text"]
     wide = rows.withColumn("kind", kind).groupBy("lang").pivot("kind", kinds)

@@ -122,3 +122,15 @@ def test_scrub_and_release_clean(spark):
     df = spark.createDataFrame([("a\x01b contrandicated x", 1)], "s string, n int")
     assert text.scrub_controls(df).first()["s"] == "ab contrandicated x"
     assert text.release_clean(df).first()["s"].endswith("contraindicated x")
+
+
+def test_items_are_trimmed_in_every_evaluation(spark):
+    """The same expression over many rows, partitions and runs: no evaluation may leave blanks that another removes."""
+    df = spark.range(4000).select(F.lit("dizziness , nausea ;  Dizziness").alias("raw"))
+    for parts in (1, 4, 9):
+        assert [tuple(r) for r in K.normalize(df.repartition(parts), "raw").select("value", "reason").distinct().collect()] == [("dizziness, nausea", "ok")]
+
+
+def test_distinct_items_keep_the_first_in_order(spark):
+    df = spark.createDataFrame([(["b", "A", "B", "a", "é", "É", ""],), ([],)], "x array<string>")
+    assert [r[0] for r in df.select(K.distinct_items(F.col("x"))).collect()] == [["b", "A", "é", ""], []]
