@@ -31,8 +31,9 @@ def product_key(filename: Column) -> Column:
 
 
 def release_id(c: Column) -> Column:
-    """`X.pdf-2.pdf` is release id `x-2`."""
-    return strip(F.lower(F.replace(c, F.lit(".pdf"), F.lit(""))))
+    """The name in lower case without its extension, in whatever case that is; `X.pdf-2.pdf`, a second copy, is `x-2`."""
+    copies = F.regexp_replace(c, r"(?i)\.pdf([-_]\d+)\.pdf$", "$1")
+    return F.lower(strip(F.regexp_replace(copies, r"(?i)\.pdf$", "")))
 
 
 def word_bag(c: Column) -> Column:

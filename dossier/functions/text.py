@@ -146,11 +146,16 @@ def metadata(c: Column) -> Column:
     return F.struct(*[F.when(empty, F.lit("NO_TEXT_FOUND")).otherwise(F.coalesce(F.get(lines, F.lit(i)), F.lit("N/A"))).alias(n) for i, n in enumerate(names)])
 
 
+#: How texts name an enzyme.
+ENZYME_NAMES = (
+    r"CYP\s*(\d+[A-Z]\d*)", r"cytochrome\s+P450\s+(\d+[A-Z]\d*)", r"P450\s+(\d+[A-Z]\d*)", r"isoenzyme\s+(\d+[A-Z]\d*)",
+    r"CYP\s*(\d+[A-Z])", r"cytochrome\s+P450\s+(\d+[A-Z])",
+)
+
+
 def enzymes(c: Column) -> Column:
     """CYP enzymes that a text names, sorted and joined, or `no`; each half of a combination such as 3A4/5 counts as written."""
-    named = [r"(?i)CYP\s*(\d+[A-Z]\d*)", r"(?i)cytochrome\s+P450\s+(\d+[A-Z]\d*)", r"(?i)P450\s+(\d+[A-Z]\d*)", r"(?i)isoenzyme\s+(\d+[A-Z]\d*)"]
-    short = [p.replace(r"\d*)", ")") for p in named[:2]]
-    single = F.flatten(F.array(*[F.regexp_extract_all(c, F.lit(p), 1) for p in named + short]))
+    single = F.flatten(F.array(*[F.regexp_extract_all(c, F.lit(f"(?i){p}"), 1) for p in ENZYME_NAMES]))
     pairs = F.flatten(F.transform(F.regexp_extract_all(c, F.lit(r"(?i)CYP\s*([\dA-Z]+[/\\][\dA-Z]+)"), 1), lambda x: F.split(x, r"[/\\]")))
     found = F.array_sort(F.array_distinct(F.concat(F.transform(single, lambda x: F.concat(F.lit("CYP"), F.upper(x))), F.transform(pairs, lambda x: F.concat(F.lit("CYP"), x)))))
     return F.when(F.coalesce(F.size(found), F.lit(0)) > 0, F.array_join(found, ", ")).otherwise(F.lit("no"))
@@ -158,8 +163,12 @@ def enzymes(c: Column) -> Column:
 
 def strengths(c: Column) -> Column:
     """Numbers in a text; zeros after the point don't count."""
-    cut = lambda x: F.when(x.contains("."), F.regexp_replace(F.regexp_replace(x, "0+$", ""), r"\.$", "")).otherwise(x)
-    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"\d+(?:\.\d+)?"), 0), cut))
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"\d+(?:\.\d+)?"), 0), plain_strength))
+
+
+def plain_strength(x: Column) -> Column:
+    """A number without zeros at the end of its fraction."""
+    return F.when(x.contains("."), F.regexp_replace(F.regexp_replace(x, "0+$", ""), r"\.+$", "")).otherwise(x)
 
 
 def name_words(c: Column, stop=C.COMPANY_STOP_WORDS) -> Column:

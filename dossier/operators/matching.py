@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import name_words, plain_strength, strengths
+
 
 def prioritised(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: list[tuple[str, str]]) -> DataFrame:
     """(left_id, right_id, priority): for each left row the right row that the first key of the list finds, the first in order where several do.
@@ -87,6 +89,39 @@ def verified(verdict: Column, similarity: Column, names: Column, least: float =
     return sure | ((verdict != "no link") & F.coalesce(names, F.lit(False)))
 
 
+def agreement(df: DataFrame, record_id: str, brand: str, company: str, found_brand: str, found_company: str, found_strengths: str) -> DataFrame:
+    """df with company_ok, brand_ok, strength_ok and all_ok: whether a record and the product that its link found share words and strengths.
+
+    The brand may agree with the record's or with its id. Strengths are those that the id names; an id that names none agrees with any, and
+    a trailing 2 marks a second copy. found_strengths is an array of strings. Null names have no words.
+    """
+    words = lambda c: name_words(F.coalesce(F.col(c), F.lit("")))
+    named = strengths(F.regexp_replace(F.col(record_id), "[-_ ]2$", ""))
+    known = F.coalesce(F.transform(found_strengths, plain_strength), F.array().cast("array<string>"))
+    company_ok = F.arrays_overlap(words(company), words(found_company))
+    brand_ok = F.arrays_overlap(words(brand), words(found_brand)) | F.arrays_overlap(words(record_id), words(found_brand))
+    strength_ok = (F.size(named) == 0) | F.arrays_overlap(named, known)
+    return df.withColumns({"company_ok": company_ok, "brand_ok": brand_ok, "strength_ok": strength_ok, "all_ok": company_ok & brand_ok & strength_ok})
+
+
+def with_product(links: DataFrame, products: DataFrame, ingredients: DataFrame, number: str, code: str) -> DataFrame:
+    """links with the looked-up product of their identification number, if any, and the distinct strengths of its ingredients as found_strengths."""
+    amounts = ingredients.groupBy(code).agg(F.collect_set(F.coalesce("strength", F.lit(""))).alias("found_strengths"))
+    return links.join(products, number, "left").join(amounts, code, "left")
+
+
+def remove_duplicates(df: DataFrame, key: str, expected: list, unwanted: Column) -> DataFrame:
+    """df without the unwanted rows of keys that occur more than once. That these are exactly the expected keys is checked as the rows are read:
+    any other set of them is an error, because what to drop was decided for these."""
+    twice = df.groupBy(key).agg(F.count("*").alias("__n"))
+    seen = twice.where("__n > 1").agg(F.array_sort(F.collect_set(F.col(key).cast("string"))).alias("__seen"))
+    wanted = F.array_sort(F.array(*[F.lit(str(e)) for e in expected]).cast("array<string>"))
+    message = F.concat(F.lit("keys that occur more than once: "), F.array_join("__seen", ", "))
+    checked = seen.select(F.when(F.col("__seen") == wanted, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")).alias("__right"))
+    dropped = F.col(key).cast("string").isin([str(e) for e in expected]) & F.coalesce(unwanted, F.lit(False))
+    return df.crossJoin(F.broadcast(checked)).where(F.col("__right") & ~dropped).drop("__right")
+
+
 def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Islands of overlapping or touching intervals."""
     by = W.partitionBy(*keys).orderBy(start, end)

@@ -70,6 +70,11 @@ def upper_median(df: DataFrame, column: str, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)").cast(df.schema[column].dataType).alias("upper_median"))
 
 
+def distinct_counts(df: DataFrame, counted: dict[str, list[str]], *keys: str) -> DataFrame:
+    """For each name, how many distinct combinations of its columns there are; nulls in all of them don't count."""
+    return df.groupBy(*keys).agg(*[F.count_distinct(*[F.col(f"`{c}`") for c in columns]).alias(name) for name, columns in counted.items()])
+
+
 def summarise(profile: DataFrame, *keys: str) -> DataFrame:
     """Counts of flags and their percentages of the documents that have text."""
     flags = ["has_toc", "part_i", "part_ii", "part_iii", "consumer_information", "patient_medication_information", "numbered_sections", "french"]

@@ -48,6 +48,17 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double"))
 
 
+def mean_jaccard(df: DataFrame, overlap: str, *keys: str) -> DataFrame:
+    """n and mean of the overlaps that are defined; those of two empty sets don't count."""
+    return df.groupBy(*keys).agg(F.count(overlap).alias("n"), F.round(F.avg(overlap), 6).alias("jaccard"))
+
+
+def critical_recall(df: DataFrame, hits: str, criticals: str, *keys: str) -> DataFrame:
+    """Critical items that were found of all critical ones, over the documents of each group; null where there are none."""
+    sums = df.groupBy(*keys).agg(F.sum(criticals).alias("n"), F.sum(hits).alias("hits"))
+    return sums.select(*keys, "n", "hits", F.round(F.try_divide(F.col("hits").cast("double"), F.col("n").cast("double")), 6).alias("critical_recall"))
+
+
 def same_scalar(a: Column, b: Column) -> Column:
     norm = lambda c: collapse(F.lower(strip(c)))
     return norm(a) == norm(b)

@@ -9,7 +9,9 @@ from ..functions import catalog as C
 from ..functions import keyword_list as K
 from ..functions import text
 from ..operators import matching as M
+from ..operators import profile as R
 from ..operators import scoring as S
+from ..sources import records
 from .list_queries import _in, _q, _strip, _t
 
 SEED = 20261005
@@ -62,6 +64,13 @@ def jaccard_tokens(spark, sf_dir):
     return d.join(b, "item_id").select("doc_id", "item_id", F.round(S.jaccard(F.col("d"), F.col("b")), 6).alias("jaccard"))
 
 
+def jaccard_mean(spark, sf_dir):
+    """Mean overlap of documents and benchmark items by language, over those that have words."""
+    b = _t(spark, sf_dir, "benchmark").select("item_id", K.token_set(F.col("text")).alias("b"))
+    d = _numbered(spark, sf_dir).select("lang", "item_id", K.token_set(F.col("text")).alias("d"))
+    return S.mean_jaccard(d.join(b, "item_id").select("lang", S.jaccard(F.col("d"), F.col("b")).alias("overlap")), "overlap", "lang")
+
+
 def accuracy_wilson(spark, sf_dir):
     """Agreement of two raters by source, with Wilson intervals."""
     labels = _t(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1 - F.col("toxic")).alias("correct"))
@@ -128,17 +137,17 @@ def word_bag_groups(spark, sf_dir):
 
 
 def resume_anti_join(spark, sf_dir):
-    """Events that no done key has, the first 100 by id."""
-    e = _t(spark, sf_dir, "events")
-    done = e.where("event_id % 2 = 0").select("event_id")
-    return e.join(done, "event_id", "left_anti").orderBy("event_id").limit(100).select("event_id", "user_id", "event_type")
+    """Events without a record, the first 100 by id; records that failed count as done."""
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    done = e.where("event_id % 2 = 0").select(F.col("event_id").alias("Source Path"), F.when(F.col("event_id") % 4 == 0, F.lit("ERROR: x")).otherwise(F.col("event_type")).alias("Brand Name"))
+    return records.pending(e, done, key="event_id", limit=100)
 
 
 def retry_failed(spark, sf_dir):
     """Done keys whose record failed are queued again."""
     e = _t(spark, sf_dir, "events").withColumn("brand", F.when(F.col("event_type") == "error", F.lit("ERROR: x")).when(F.col("event_id") % 11 == 0, F.lit("ERROR")).otherwise(F.col("event_type")))
-    bad = e.where(text.failed(F.col("brand"))).select("event_id")
-    return e.join(bad, "event_id", "left_semi").select("event_id", "brand")
+    done = e.select(F.col("event_id").alias("Source Path"), F.col("brand").alias("Brand Name"))
+    return records.pending(e.select("event_id", "brand"), done, key="event_id", retry=True)
 
 
 def prioritised_match(spark, sf_dir):
@@ -149,7 +158,8 @@ def prioritised_match(spark, sf_dir):
 
 
 def unmatched_report(spark, sf_dir):
-    c, o = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders")
+    """Customers without an urgent order."""
+    c, o = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
     return M.unmatched(c, o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey", "c_name")
 
 
@@ -197,6 +207,45 @@ def critical_items(spark, sf_dir):
     return M.critical_items(a, b, "label", "i", "a", "b", 0.25).withColumn("sim", F.round("sim", 6))
 
 
+def critical_recall(spark, sf_dir):
+    """Of the critical items of each label, those whose nearest warning reaches the higher threshold."""
+    a, b = _halves(spark, sf_dir)
+    items = M.critical_items(a, b, "label", "i", "a", "b", 0.25).select("label", F.lit(1).alias("critical"), (F.col("sim") >= 0.3).cast("int").alias("hit"))
+    return S.critical_recall(items, "hit", "critical", "label")
+
+
+def link_agreement(spark, sf_dir):
+    """Parts as records whose links found a product: whether company, brand and strength agree."""
+    key = F.col("p_partkey")
+    p = _t(spark, sf_dir, "part")
+    name = F.concat(F.lower("p_name"), F.lit(" "), F.col("p_size").cast("string"), F.lit("mg"), F.when(key % 6 == 0, F.lit("-2")).otherwise(F.lit("")))
+    links = p.select(key.alias("din"), name.alias("id"), F.col("p_name").alias("brand"), F.concat("p_brand", F.lit(" Pharma Inc.")).alias("company"))
+    products = p.where("p_partkey % 11 <> 0").select(
+        key.alias("din"), (key + 1000000).alias("drug_code"), F.when(key % 4 == 0, F.col("p_type")).otherwise(F.upper("p_name")).alias("found_brand"),
+        F.when(key % 5 == 0, F.lit("Other Limited")).otherwise(F.concat("p_brand", F.lit(" LTD"))).alias("found_company"),
+    )
+    amount = F.when(key % 3 == 0, F.concat(F.col("p_size").cast("string"), F.lit(".0"))).otherwise((F.col("p_size") + key % 2).cast("string"))
+    found = M.with_product(links, products, p.select((key + 1000000).alias("drug_code"), amount.alias("strength")), "din", "drug_code")
+    return M.agreement(found, "id", "brand", "company", "found_brand", "found_company", "found_strengths").select("din", "company_ok", "brand_ok", "strength_ok", "all_ok")
+
+
+def targeted_removal(spark, sf_dir):
+    """Suppliers with two known copies, without these."""
+    s = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    copies = s.where("s_suppkey in (3, 7)").withColumn("s_name", F.lit("copy"))
+    return M.remove_duplicates(s.unionByName(copies), "s_suppkey", [3, 7], F.col("s_name") == "copy")
+
+
+def reshape_columns(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation")
+    return records.reshape(n, drop=("n_regionkey", "absent"), rename={"n_name": "name"}, insert={1: ("key", F.concat(F.lit("N"), F.col("n_nationkey").cast("string")))})
+
+
+def distinct_counts(spark, sf_dir):
+    """Languages, and pairs of language and source."""
+    return R.distinct_counts(_t(spark, sf_dir, "documents"), {"languages": ["lang"], "sites": ["lang", "source"]})
+
+
 def dedup_keep_last(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     return M.keep_last(e, ["user_id", "event_type"], ["event_id"])
@@ -287,7 +336,7 @@ def id_set_operations(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        set_prf_per_doc, set_prf_micro, macro_row, jaccard_tokens, accuracy_wilson, category_accuracy, date_accuracy, error_kind_pivot, coverage_group, crosstab_verdict, word_bag_groups,
+        set_prf_per_doc, set_prf_micro, macro_row, jaccard_tokens, jaccard_mean, critical_recall, link_agreement, targeted_removal, reshape_columns, distinct_counts, accuracy_wilson, category_accuracy, date_accuracy, error_kind_pivot, coverage_group, crosstab_verdict, word_bag_groups,
         resume_anti_join, retry_failed, prioritised_match, unmatched_report, left_lookup_publish, theta_prefix_anti, assert_single_resolution, pair_similarity, greedy_match_tp, critical_items,
         dedup_keep_last, interval_merge, stratified_draw, eligibility_counts, paired_diff_counts, signed_rank_w, bootstrap_ci, bootstrap_paired_diff, union_append_average, field_success, threshold_sweep, id_set_operations,
     )
@@ -299,6 +348,14 @@ _DRAW = f"((p_partkey * 48271 + {SEED}) % 2147483647 * 16807) % 2147483647"
 _PAIR = "a AS (SELECT l_orderkey, l_suppkey, l_shipdate, l_quantity AS a FROM lineitem WHERE l_linenumber = 1), b AS (SELECT l_orderkey, l_quantity AS b FROM lineitem WHERE l_linenumber = 2), j AS (SELECT * FROM a JOIN b USING (l_orderkey))"
 
 
+def _name_words(c: str) -> str:
+    return f"list_filter(regexp_extract_all(replace(lower({c}), 'é', 'e'), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN ({_in(C.COMPANY_STOP_WORDS)}))"
+
+
+def _plain(c: str) -> str:
+    return f"CASE WHEN contains({c}, '.') THEN regexp_replace(regexp_replace({c}, '0+$', ''), '\\.+$', '') ELSE {c} END"
+
+
 def _boot(columns: str, sums: str, value: str) -> str:
     return f"""WITH l AS (SELECT {columns}, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM labels), n AS (SELECT count(*) AS n FROM l),
 d AS (SELECT b, ((((b * 48271 + i * 40692 + {SEED}) % 2147483647) * 16807) % 2147483647) % n AS k FROM range({RESAMPLES}) t(b), n, LATERAL (SELECT unnest(range(n)) AS i)),
@@ -324,7 +381,7 @@ SELECT lang, count(*) FILTER (WHERE kind = 1) AS correct, count(*) FILTER (WHERE
     "resume_anti_join": "SELECT event_id, user_id, event_type FROM events WHERE event_id % 2 <> 0 ORDER BY event_id LIMIT 100",
     "retry_failed": "WITH e AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'ERROR: x' WHEN event_id % 11 = 0 THEN 'ERROR' ELSE event_type END AS brand FROM events) SELECT * FROM e WHERE starts_with(brand, 'ERROR')",
     "prioritised_match": "WITH k AS (SELECT c_custkey, s_suppkey, 0 AS priority FROM customer JOIN supplier ON c_acctbal = s_acctbal UNION ALL SELECT c_custkey, s_suppkey, 1 FROM customer JOIN supplier ON c_custkey % 3 = 0 AND c_custkey = s_suppkey UNION ALL SELECT c_custkey, s_suppkey, 2 FROM customer JOIN supplier ON c_custkey % 2 = 0 AND c_nationkey = s_nationkey), r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY priority, s_suppkey) AS rn FROM k) SELECT c_custkey, s_suppkey, priority FROM r WHERE rn = 1",
-    "unmatched_report": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "unmatched_report": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "left_lookup_publish": "SELECT o_orderkey, o_custkey AS key, CASE WHEN c_acctbal > 0 THEN c_name END AS name FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
     "theta_prefix_anti": "WITH p AS (SELECT p_partkey, p_brand, lower(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS product FROM part), x AS (SELECT p_brand, substr(product, 1, 6) AS q FROM p WHERE p_partkey % 10 = 0) SELECT * FROM p WHERE p_partkey % 10 <> 0 AND NOT EXISTS (SELECT 1 FROM x WHERE x.p_brand = p.p_brand AND (starts_with(product, q) OR starts_with(q, product)))",
     "assert_single_resolution": "SELECT n_nationkey, n_name, r_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
@@ -334,6 +391,18 @@ SELECT lang, count(*) FILTER (WHERE kind = 1) AS correct, count(*) FILTER (WHERE
     "greedy_match_tp": f"""WITH RECURSIVE {_HALVES}, t AS (SELECT unnest([0.1, 0.2, 0.3])::DOUBLE AS threshold), o AS (SELECT label, threshold, i, j, row_number() OVER (PARTITION BY label, threshold ORDER BY sim DESC, i DESC, j DESC) AS rn FROM p, t WHERE sim >= threshold),
 g AS (SELECT label, threshold, 1 AS rn, [i] AS us, [j] AS vs FROM o WHERE rn = 1 UNION ALL SELECT g.label, g.threshold, o.rn, CASE WHEN list_contains(us, i) OR list_contains(vs, j) THEN us ELSE list_append(us, i) END, CASE WHEN list_contains(us, i) OR list_contains(vs, j) THEN vs ELSE list_append(vs, j) END FROM g JOIN o ON o.label = g.label AND o.threshold = g.threshold AND o.rn = g.rn + 1)
 SELECT label, threshold, max(len(us)) AS tp FROM g GROUP BY label, threshold""",
+    "jaccard_mean": f"WITH b AS (SELECT item_id, CASE WHEN {_empty_sql('text')} THEN [] ELSE {_TOK.format('text')} END AS b FROM benchmark), d AS (SELECT lang, doc_id % (SELECT count(*) FROM benchmark) AS item_id, CASE WHEN {_empty_sql('text')} THEN [] ELSE {_TOK.format('text')} END AS d FROM documents), j AS (SELECT lang, len(list_intersect(d, b)) / nullif(len(list_distinct(list_concat(d, b))), 0) AS j FROM d JOIN b USING (item_id)) SELECT lang, count(j) AS n, round(avg(j), 6) AS jaccard FROM j GROUP BY lang",
+    "critical_recall": f"WITH {_HALVES}, c AS (SELECT label, i, max(sim) AS sim FROM p GROUP BY label, i HAVING max(sim) >= 0.25) SELECT label, count(*) AS n, count(*) FILTER (WHERE sim >= 0.3) AS hits, round(count(*) FILTER (WHERE sim >= 0.3) / count(*), 6) AS critical_recall FROM c GROUP BY label",
+    "link_agreement": f"""WITH l AS (SELECT p_partkey AS din, lower(p_name) || ' ' || p_size || 'mg' || CASE WHEN p_partkey % 6 = 0 THEN '-2' ELSE '' END AS id, p_name AS brand, p_brand || ' Pharma Inc.' AS company,
+ CASE WHEN p_partkey % 11 <> 0 THEN CASE WHEN p_partkey % 4 = 0 THEN p_type ELSE upper(p_name) END ELSE '' END AS fb, CASE WHEN p_partkey % 11 <> 0 THEN CASE WHEN p_partkey % 5 = 0 THEN 'Other Limited' ELSE p_brand || ' LTD' END ELSE '' END AS fc,
+ CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN p_size || '.0' ELSE (p_size + p_partkey % 2)::VARCHAR END AS fs FROM part),
+w AS (SELECT din, {_name_words('id')} AS wi, {_name_words('brand')} AS wb, {_name_words('company')} AS wc, {_name_words('fb')} AS wfb, {_name_words('fc')} AS wfc,
+ list_transform(regexp_extract_all(regexp_replace(id, '[-_ ]2$', ''), '\\d+(?:\\.\\d+)?'), lambda x: {_plain('x')}) AS s, {_plain('fs')} AS fs FROM l),
+k AS (SELECT din, list_has_any(wc, wfc) AS company_ok, list_has_any(wb, wfb) OR list_has_any(wi, wfb) AS brand_ok, len(s) = 0 OR coalesce(list_contains(s, fs), false) AS strength_ok FROM w)
+SELECT *, company_ok AND brand_ok AND strength_ok AS all_ok FROM k""",
+    "targeted_removal": "SELECT s_suppkey, s_name FROM supplier",
+    "reshape_columns": "SELECT n_nationkey, 'N' || n_nationkey AS \"key\", n_name AS name FROM nation",
+    "distinct_counts": "SELECT count(DISTINCT lang) AS languages, count(DISTINCT (lang, source)) AS sites FROM documents",
     "dedup_keep_last": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1",
     "interval_merge": "WITH e AS (SELECT user_id, floor(epoch(ts))::BIGINT AS s, floor(epoch(ts))::BIGINT + 36000 AS e FROM events), r AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM r) SELECT user_id, min(s) AS s, max(e) AS e, count(*) AS n FROM i GROUP BY user_id, island",
     "stratified_draw": f"""WITH p AS (SELECT p_brand, p_partkey, lower(p_name) AS product, {_DRAW} AS r FROM part), f AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY r, p_partkey) AS rn, count(*) OVER (PARTITION BY p_brand) AS members FROM p), o AS (SELECT * FROM f WHERE rn = 1), l AS (SELECT p_brand AS b, product AS q FROM o ORDER BY members DESC, p_brand LIMIT 1),

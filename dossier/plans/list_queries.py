@@ -135,7 +135,7 @@ def word_bag_key(spark, sf_dir):
 
 
 def id_normalisation(spark, sf_dir):
-    name = F.concat(F.col("c_name"), F.lit(" 10mg.PDF"))
+    name = F.concat(F.col("c_name"), F.when(F.col("c_custkey") % 2 == 0, F.lit(" 10mg.PDF")).otherwise(F.lit(" 5mg.pdf_3.PDF")))
     other = F.concat(F.col("s_name"), F.lit(".pdf-2.pdf"))
     a = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.lit("customer").alias("kind"), ids.match_id(name).alias("match_id"), ids.product_key(name).alias("product"), ids.release_id(name).alias("release_id"), ids.record_id(name).alias("record_id"))
     b = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.lit("supplier").alias("kind"), ids.match_id(other).alias("match_id"), ids.product_key(other).alias("product"), ids.release_id(other).alias("release_id"), ids.record_id(other).alias("record_id"))
@@ -229,7 +229,7 @@ c3 AS (SELECT doc_id, list_filter(c, lambda x: x <> '' AND NOT regexp_matches(x,
 c4 AS (SELECT doc_id, c, list_transform(c, lambda x: lower(x)) AS k FROM c3)
 SELECT doc_id, len(list_filter(c, lambda x, i: list_position(k, lower(x)) = i)) AS n_items, array_to_string(list_filter(c, lambda x, i: list_position(k, lower(x)) = i), '|') AS items FROM c4""",
     "word_bag_key": "SELECT p_partkey, array_to_string(list_sort(list_filter(regexp_extract_all(lower(p_name), '[a-z]{4,}'), lambda w: w <> 'and')), ' ') AS bag FROM part",
-    "id_normalisation": "WITH u AS (SELECT c_custkey AS key, 'customer' AS kind, c_name || ' 10mg.PDF' AS f FROM customer UNION ALL SELECT s_suppkey, 'supplier', s_name || '.pdf-2.pdf' FROM supplier) SELECT key, kind, regexp_replace(trim(lower(regexp_replace(trim(f), '(?i)\\.pdf$', ''))), '\\s+', ' ', 'g') AS match_id, regexp_replace(regexp_replace(lower(regexp_replace(f, '(?i)\\.pdf$', '')), '[\\s\\-_]+\\d.*$', ''), '[^a-z0-9]', '', 'g') AS product, trim(lower(replace(f, '.pdf', ''))) AS release_id, replace(f, '.pdf', '') AS record_id FROM u",
+    "id_normalisation": "WITH u AS (SELECT c_custkey AS key, 'customer' AS kind, c_name || CASE WHEN c_custkey % 2 = 0 THEN ' 10mg.PDF' ELSE ' 5mg.pdf_3.PDF' END AS f FROM customer UNION ALL SELECT s_suppkey, 'supplier', s_name || '.pdf-2.pdf' FROM supplier) SELECT key, kind, regexp_replace(trim(lower(regexp_replace(trim(f), '(?i)\\.pdf$', ''))), '\\s+', ' ', 'g') AS match_id, regexp_replace(regexp_replace(lower(regexp_replace(f, '(?i)\\.pdf$', '')), '[\\s\\-_]+\\d.*$', ''), '[^a-z0-9]', '', 'g') AS product, CASE WHEN kind = 'supplier' THEN lower(left(f, length(f) - 10)) || '-2' WHEN key % 2 = 0 THEN lower(left(f, length(f) - 4)) ELSE lower(left(f, length(f) - 10)) || '_3' END AS release_id, replace(f, '.pdf', '') AS record_id FROM u",
     "provenance_split": "WITH p AS (SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS s FROM pages) SELECT page_id, CASE WHEN len(s) >= 2 THEN s[-2] ELSE '' END AS folder, CASE WHEN len(s) >= 3 THEN s[-3] ELSE '' END AS above FROM p",
     "sentinel_is_empty": f"WITH v AS (SELECT text AS v FROM documents UNION ALL SELECT unnest([{_in([*C.SENTINELS, 'ERROR: timeout', '  ', 'No information given', 'dizziness', 'NONE_FOUND'])}, NULL])) SELECT v IS NULL OR trim(v) = '' OR " + " OR ".join(f"starts_with(lower({_strip('v')}), {_q(p)})" for p in C.EMPTY_PREFIXES) + " AS empty, count(*) AS n FROM v GROUP BY ALL",
     "option_first_contained": "SELECT o_orderkey, CASE WHEN contains(upper(o_orderpriority), 'URGENT') THEN 'URGENT' WHEN contains(upper(o_orderpriority), 'HIGH') THEN 'HIGH' WHEN contains(upper(o_orderpriority), 'MEDIUM') THEN 'MEDIUM' WHEN contains(upper(o_orderpriority), 'LOW') THEN 'LOW' ELSE o_orderpriority END AS option FROM orders",

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +13,7 @@ from ..operators import locate as L
 from ..operators import passages as P
 from ..operators import profile as R
 from ..sources import records
+from ..sources.shared import shared_folder
 from .list_queries import _strip, _t
 
 # Pages of made-up documents: numbered and plain tables of contents, a broken heading, no contents, no header, nothing.
@@ -113,13 +112,9 @@ def profile_summary(spark, sf_dir):
 def jsonl_resume_read(spark, sf_dir):
     """A record file with a blank, a broken and a cut line: what a resumed run reads."""
     rows = [json.dumps({"Source Path": f"{i}.pdf", "Brand Name": "ERROR: x" if i % 5 == 0 else f"b{i}"}) for i in range(20)]
-    path = os.path.join(tempfile.mkdtemp(prefix="dossier-"), "records.jsonl") if spark.conf.get("spark.checkpoint.dir", None) is None else None
-    lines = spark.createDataFrame([(x,) for x in [*rows, "", "{broken", rows[0][:15]]], "value string")
-    if path:
-        lines.write.text(path)
-        read = records.read_records(spark, path, ["Source Path", "Brand Name"])
-    else:
-        read = records.parse_records(lines, ["Source Path", "Brand Name"])
+    path = shared_folder(spark, "records.jsonl")
+    spark.createDataFrame([(x,) for x in [*rows, "", "{broken", rows[0][:15]]], "value string").write.text(path)
+    read = records.read_records(spark, path, ["Source Path", "Brand Name"])
     return records.split_bad(read)[0].select(F.col("Source Path").alias("key"), F.col("Brand Name").alias("brand"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
 from collections.abc import Callable
 
@@ -24,6 +26,21 @@ def fetch_bytes(url: str, timeout: float = 60) -> bytes:
         return r.read()
 
 
+def fetch_document(first_text: Callable[[bytes], str], timeout: float = 60) -> Callable[[str], str]:
+    """A fetcher for `lookup`: a document's SHA-256 and the text of its first page, as JSON. first_text decodes the bytes."""
+
+    def fetch(url: str) -> str:
+        data = fetch_bytes(url, timeout)
+        return json.dumps({"sha256": hashlib.sha256(data).hexdigest(), "text": first_text(data)})
+
+    return fetch
+
+
+def fetched_document(value: Column) -> Column:
+    """What fetch_document keeps, as a struct; null where fetching failed."""
+    return F.from_json(value, "sha256 string, text string")
+
+
 def lookup(keys: DataFrame, key: str, known: DataFrame | None, fetch: Callable[[str], str], attempts: int = 3, backoff: float = 2.0, pace: float = 0.2) -> DataFrame:
     """(key, value, error) for the distinct keys that `known` lacks, with the known ones. Errors are values too and are not fetched again. Save the result: it is the memo."""
     todo = keys.select(key).where(F.col(key).isNotNull()).distinct()

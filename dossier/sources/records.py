@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +44,16 @@ def ordered(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in (order or C.record_order()) if c in df.columns])
 
 
+def reshape(df: DataFrame, drop: tuple[str, ...] = (), rename: dict[str, str] | None = None, insert: dict[int, tuple[str, Column]] | None = None) -> DataFrame:
+    """df without some columns (those that aren't there are no error), others renamed, and new ones at the given places, lowest first."""
+    names = rename or {}
+    out = [F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns if c not in drop]
+    for place in sorted(insert or {}):
+        name, value = insert[place]
+        out.insert(place, value.alias(name))
+    return df.select(*out)
+
+
 def append_records(df: DataFrame, path: str) -> None:
     """Add records; a file is visible only when its task has committed."""
     df.write.mode("append").json(path)
@@ -89,6 +99,14 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return reader.json(path, multiLine=True)
 
 
+def write_json(df: DataFrame, path: str, limit: int = 1_000_000) -> None:
+    """One JSON document, an array of the rows, as one file; for tables of a checked number of rows, such as memos and summaries."""
+    if df.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} rows for one JSON document; write JSON lines")
+    rows = df.agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("rows"))
+    rows.select(F.to_json("rows", {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_excel(df: DataFrame, path: str, limit: int = 1_048_575) -> None:
     """A workbook needs openpyxl and one machine: only for tables within a sheet's row limit, which is checked."""
     if df.limit(limit + 1).count() > limit:
