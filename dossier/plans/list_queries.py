@@ -203,6 +203,18 @@ _LAG = "SELECT conv_id, turn, text AS raw, lag(text) OVER (PARTITION BY conv_id
 _META = ("brand_name", "company", "initial_authorization", "revision_date", "ingredients", "dosage")
 _LOOSE = "regexp_replace(lower(src), '[^a-z0-9 ]+', ' ', 'g')"
 
+
+
+def _answer_items_sql(table: str, keys: str, column: str) -> str:
+    """`items`: keys, and the cleaned items of a raw answer as c, equal ones not yet merged."""
+    ends = f"""regexp_replace({_strip("regexp_replace(x, '^[" + chr(92) + "s" + chr(92) + "-•*" + chr(92) + "d.)]+', '')")}, '^[."''`]+|[."''`]+$', '', 'g')"""
+    return f"""a AS (SELECT {keys}, regexp_replace({_strip(f"coalesce({column}, '')")}, '(?i)^(here (is|are)[^:]*:|the (list|answer)[^:]*:)', '') AS t FROM {table}),
+b AS (SELECT {keys}, list_transform(string_split_regex(t, '[\\n;,]'), lambda x: {_strip(ends)}) AS c FROM a),
+c1 AS (SELECT {keys}, list_transform(c, lambda x: replace({_strip("regexp_replace(x, '(?i)^(and|or|including|such as)" + chr(92) + "s+', '')")}, '_', ' ')) AS c FROM b),
+c2 AS (SELECT {keys}, list_transform(c, lambda x: CASE WHEN contains(x, ' ') THEN x ELSE regexp_replace(x, '([a-z])([A-Z])', '\\1 \\2', 'g') END) AS c FROM c1),
+items AS (SELECT {keys}, list_filter(c, lambda x: x <> '' AND NOT regexp_matches(x, {_q(K.PLACEHOLDER)}) AND length(x) <= 120) AS c FROM c2)"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (normalize_list_documents, normalize_list_lines, normalize_list_conversations, grounded_fraction_turns, prose_reason_counts, clean_items, word_bag_key, id_normalisation, provenance_split, sentinel_is_empty, option_first_contained, option_earliest, metadata_positional_parse, strength_tokens, enzyme_extract, cleanups)
@@ -221,11 +233,8 @@ SELECT conv_id, turn, round(avg(CASE WHEN plain = '' THEN 0 WHEN contains(hay, p
     "prose_reason_counts": f"WITH src AS (SELECT doc_id, source, text AS t, list_filter(string_split(text, chr(10)), lambda x: {_strip('x')} <> '') AS lines FROM documents), p AS (SELECT source, CASE " + " ".join(f"WHEN contains(lower(t), {_q(m)}) THEN {_q('contains conversational phrase ' + (chr(34) if chr(39) in m else chr(39)) + m + (chr(34) if chr(39) in m else chr(39)))}" for m in C.PROSE_MARKERS) + f""" WHEN contains({_strip('t')}, chr(10) || chr(10)) THEN 'contains multiple paragraphs'
  WHEN len(lines) > 1 AND len(list_filter(lines, lambda x: regexp_matches(x, {_q(_PREFIX)}))) >= 2 AND list_max(list_transform(list_filter(lines, lambda x: regexp_matches(x, {_q(_PREFIX)})), lambda x: {_words(f"regexp_replace(x, {_q(_PREFIX)}, '')")})) > 12 THEN 'bulleted list of long clauses'
  WHEN regexp_matches(t, '[.!?]\\s+[A-Z]') THEN 'contains sentence breaks' WHEN NOT contains(t, ',') AND {_words('t')} > 12 THEN 'single long phrase with no commas' ELSE 'list' END AS reason FROM src) SELECT source, reason, count(*) AS n FROM p GROUP BY ALL""",
-    "clean_items": f"""WITH a AS (SELECT doc_id, source, regexp_replace({_strip("text")}, '(?i)^(here (is|are)[^:]*:|the (list|answer)[^:]*:)', '') AS t FROM documents),
-b AS (SELECT doc_id, source, list_transform(string_split_regex(t, '[\\n;,]'), lambda x: {_strip(f'''regexp_replace({_strip("regexp_replace(x, '^[" + chr(92) + "s" + chr(92) + "-•*" + chr(92) + "d.)]+', '')")}, '^[."''`]+|[."''`]+$', '', 'g')''')}) AS c FROM a),
-c1 AS (SELECT doc_id, source, list_transform(c, lambda x: replace({_strip("regexp_replace(x, '(?i)^(and|or|including|such as)" + chr(92) + "s+', '')")}, '_', ' ')) AS c FROM b),
-c2 AS (SELECT doc_id, source, list_transform(c, lambda x: CASE WHEN contains(x, ' ') THEN x ELSE regexp_replace(x, '([a-z])([A-Z])', '\\1 \\2', 'g') END) AS c FROM c1),
-c3 AS (SELECT doc_id, list_filter(c, lambda x: x <> '' AND NOT regexp_matches(x, {_q(K.PLACEHOLDER)}) AND length(x) <= 120 AND lower(x) <> lower(source)) AS c FROM c2),
+    "clean_items": f"""WITH {_answer_items_sql("documents", "doc_id, source", "text")},
+c3 AS (SELECT doc_id, list_filter(c, lambda x: lower(x) <> lower(source)) AS c FROM items),
 c4 AS (SELECT doc_id, c, list_transform(c, lambda x: lower(x)) AS k FROM c3)
 SELECT doc_id, len(list_filter(c, lambda x, i: list_position(k, lower(x)) = i)) AS n_items, array_to_string(list_filter(c, lambda x, i: list_position(k, lower(x)) = i), '|') AS items FROM c4""",
     "word_bag_key": "SELECT p_partkey, array_to_string(list_sort(list_filter(regexp_extract_all(lower(p_name), '[a-z]{4,}'), lambda w: w <> 'and')), ' ') AS bag FROM part",

@@ -14,7 +14,7 @@ from ..operators import passages as P
 from ..operators import profile as R
 from ..sources import records
 from ..sources.shared import shared_folder
-from .list_queries import _strip, _t
+from .list_queries import _answer_items_sql, _in, _strip, _t
 
 # Pages of made-up documents: numbered and plain tables of contents, a broken heading, no contents, no header, nothing.
 _FIXTURE = {
@@ -27,6 +27,10 @@ _FIXTURE = {
 }
 
 
+#: Keywords of the passages query; letters that have no case forms beyond ASCII.
+_KEYWORDS = "tion|heit|que"
+
+
 def _fixture(spark) -> DataFrame:
     rows = [(k, [(i + 1, t) for i, t in enumerate(p)]) for k, p in _FIXTURE.items()]
     return spark.createDataFrame(rows, f"key string, pages {L.PAGES}")
@@ -64,8 +68,8 @@ def toc_buffer(spark, sf_dir):
 
 
 def keyword_passages(spark, sf_dir):
-    """Passages around three common words."""
-    text = P.keyword_passages(F.col("text"), r"\b(the|que|der)\b", 20, 2000)
+    """Passages around three common syllables."""
+    text = P.keyword_passages(F.col("text"), _KEYWORDS, 20, 2000)
     return _t(spark, sf_dir, "documents").select("doc_id", text.alias("passages"))
 
 
@@ -128,6 +132,16 @@ def label_html_pages(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (toc_locate_first_match, locate_all_sections, toc_buffer, keyword_passages, chunk_documents, chunk_merge_dedup, tidy_lines, corpus_profile, corpus_quartiles, upper_median_pages, profile_summary, jsonl_resume_read, label_html_pages)}
 
 _PAGED = "l AS (SELECT doc_id, lang, string_split(text, chr(10)) AS s FROM documents), pg AS (SELECT doc_id, lang, list_transform(range(0, len(s), 10), lambda i: array_to_string(s[i + 1:i + 10], chr(10))) AS p FROM l)"
+#: The summary of the made-up documents, counted by hand: only `a` has 50 characters a sampled page, a contents heading and all sections.
+_FLAGS = ("has_toc", "part_i", "part_ii", "part_iii", "consumer_information", "patient_medication_information", "numbered_sections", "french")
+_SUMMARY = {"documents": 6, "with_text": 1} | {f"{kind}_{f}": (1 if kind == "n" else "100.0") if f in ("has_toc", "numbered_sections") else 0 if kind == "n" else "0.0" for f in _FLAGS for kind in ("n", "pct")}
+_SUMMARY |= {f"{h}_{kind}": n for h, ns in {"indications": (3, 1, 2), "contraindications": (2, 0, 4), "adverse": (1, 0, 5), "interactions": (1, 0, 5)}.items() for kind, n in zip(("plain", "tolerant", "missing"), ns)}
+_SUMMARY["all_sections"] = 1
+#: Recursion over the pieces of a text: r has doc_id, chunk, text, and where the piece starts and ends.
+_PIECES = """d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+s AS (SELECT doc_id, text, n, 0 AS chunk, 0 AS st, CASE WHEN n <= 8000 THEN n ELSE 6000 END AS hard FROM d),
+r AS (SELECT doc_id, text, n, chunk, st, CASE WHEN hard < n AND instr(reverse(substr(text, st + 3001, 3000)), chr(10)) > 0 THEN st + 6000 - instr(reverse(substr(text, st + 3001, 3000)), chr(10)) ELSE hard END AS en FROM s
+UNION ALL SELECT doc_id, text, n, chunk + 1, ns, CASE WHEN ns + 6000 < n AND instr(reverse(substr(text, ns + 3001, 3000)), chr(10)) > 0 THEN ns + 6000 - instr(reverse(substr(text, ns + 3001, 3000)), chr(10)) ELSE least(ns + 6000, n) END FROM (SELECT *, greatest(en - 300, st + 1) AS ns FROM r WHERE en < n))"""
 _BROKEN = "CASE WHEN doc_id % 2 = 0 THEN replace(text, ' ', chr(10)) ELSE text END"
 #: What the made-up documents must give, worked out by hand from the rules.
 _LOCATED = """('a', 'indications', 3, 4, 'ok', 46), ('b', 'indications', 2, 3, 'ok', 54), ('c', 'indications', 2, 4, 'ok', 55), ('d', 'indications', 2, 3, 'ok', 10), ('e', 'indications', NULL, NULL, 'SECTION_NOT_FOUND', 0),
@@ -136,11 +150,21 @@ _LOCATED = """('a', 'indications', 3, 4, 'ok', 46), ('b', 'indications', 2, 3, '
 ORACLE_SQL = {
     "toc_locate_first_match": f"SELECT * FROM (VALUES {_LOCATED}) t(key, section, start, \"end\", status, chars)",
     "toc_buffer": f"WITH {_PAGED} SELECT doc_id, md5(array_to_string(list_transform(p[1:3], lambda x, i: chr(10) || '--- PAGE ' || i || ' ---' || chr(10) || x || chr(10)), '')) AS toc, len(p)::INT AS n_pages FROM pg",
-    "chunk_documents": """WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents),
-s AS (SELECT doc_id, text, n, 0 AS chunk, 0 AS st, CASE WHEN n <= 8000 THEN n ELSE 6000 END AS hard FROM d),
-r AS (SELECT doc_id, text, n, chunk, st, CASE WHEN hard < n AND instr(reverse(substr(text, st + 3001, 3000)), chr(10)) > 0 THEN st + 6000 - instr(reverse(substr(text, st + 3001, 3000)), chr(10)) ELSE hard END AS en FROM s
-UNION ALL SELECT doc_id, text, n, chunk + 1, ns, CASE WHEN ns + 6000 < n AND instr(reverse(substr(text, ns + 3001, 3000)), chr(10)) > 0 THEN ns + 6000 - instr(reverse(substr(text, ns + 3001, 3000)), chr(10)) ELSE least(ns + 6000, n) END FROM (SELECT *, greatest(en - 300, st + 1) AS ns FROM r WHERE en < n))
-SELECT doc_id, chunk::INT AS chunk, (en - st)::INT AS chars, md5(substr(text, st + 1, en - st)) AS digest FROM r""",
+    "chunk_documents": f"WITH RECURSIVE {_PIECES} SELECT doc_id, chunk::INT AS chunk, (en - st)::INT AS chars, md5(substr(text, st + 1, en - st)) AS digest FROM r",
+    "chunk_merge_dedup": f"""WITH RECURSIVE {_PIECES}, p AS (SELECT doc_id, chunk, substr(text, st + 1, en - st) AS piece FROM r), {_answer_items_sql("p", "doc_id, chunk", "piece")},
+u AS (SELECT doc_id, chunk, unnest(range(len(c))) AS i, unnest(c) AS x FROM items), f AS (SELECT doc_id, lower(x) AS k, min((chunk, i, x)) AS m FROM u GROUP BY ALL),
+j AS (SELECT doc_id, string_agg(m[3], ', ' ORDER BY m[1], m[2]) AS value FROM f GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN {_strip("d.text")} = '' THEN 'SECTION_NOT_FOUND' ELSE coalesce(j.value, 'NONE_FOUND') END AS value FROM d LEFT JOIN j USING (doc_id)""",
+    "keyword_passages": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, t, string_split_regex(t, '(?i){_KEYWORDS}') AS gaps, regexp_extract_all(t, '(?i){_KEYWORDS}') AS hits FROM d),
+u AS (SELECT doc_id, t, unnest(range(len(hits))) AS i, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap FROM p),
+w AS (SELECT doc_id, t, i, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i) AS stop, length(hit) AS m FROM u),
+e AS (SELECT doc_id, t, i, greatest(stop - m - 20, 0) AS low, least(stop + 20, length(t)) AS high FROM w),
+b AS (SELECT *, CASE WHEN low > lag(high) OVER (PARTITION BY doc_id ORDER BY i) THEN 1 ELSE 0 END AS fresh FROM e), g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM b),
+s AS (SELECT doc_id, island, min(low) AS low, max(high) AS high, any_value(t) AS t FROM g GROUP BY doc_id, island), j AS (SELECT doc_id, string_agg(substr(t, low + 1, high - low), chr(10) || '...' || chr(10) ORDER BY low) AS v FROM (SELECT doc_id, island, low::BIGINT AS low, high::BIGINT AS high, t FROM s) GROUP BY doc_id)
+SELECT doc_id, coalesce(substr(v, 1, 2000), '') AS passages FROM d LEFT JOIN j USING (doc_id)""",
+    # The documents are invented prose without any heading, so the default start of one section is all that is ever found.
+    "locate_all_sections": f"SELECT section, CASE WHEN text IS NULL THEN 'NO_TEXT_FOUND' WHEN section = 'adverse' THEN 'CONTENT_EXTRACTION_FAILED' ELSE 'SECTION_NOT_FOUND' END AS status, count(*) AS n FROM documents, (SELECT unnest([{_in(L.SECTIONS)}]) AS section) GROUP BY ALL",
+    "profile_summary": "SELECT " + ", ".join(f"{v} AS {k}" for k, v in _SUMMARY.items()),
     "tidy_lines": f"WITH d AS (SELECT doc_id, {_BROKEN} AS t FROM documents), m AS (SELECT *, list_sort(list_transform(list_filter(string_split(t, chr(10)), lambda x: {_strip('x')} <> ''), lambda x: length({_strip('x')}))) AS ls FROM d) SELECT doc_id, md5(CASE WHEN ls[len(ls) // 2 + 1] < 20 THEN regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]*\\n[ \\t]*(\\n[ \\t]*)*', ' ', 'g'), '(\\w) - (\\w)', '\\1-\\2', 'g'), '[ \\t]{{2,}}', ' ', 'g') ELSE t END) AS digest FROM m".replace("{{", "{").replace("}}", "}"),
     "corpus_profile": f"""WITH {_PAGED}, f AS (SELECT lang, p, array_to_string(p[1:12], chr(10)) AS front, list_distinct([0, len(p) // 2, len(p) - 1]) AS ix FROM pg),
 c AS (SELECT *, round(list_sum(list_transform(ix, lambda i: length(p[i + 1]))) / len(ix), 1) AS chars, regexp_replace(front, '\\s+', ' ', 'g') AS flat FROM f)

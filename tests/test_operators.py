@@ -257,3 +257,111 @@ def test_native_operators_have_no_python(spark, small):
     for name in ("normalize_list_documents", "set_prf_micro", "prioritised_match", "corpus_profile", "locate_all_sections"):
         plan = registry.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan, name
+
+
+@pytest.fixture
+def stub():
+    """A chat endpoint that answers by field: lists, one refusal first, an answer that is cut off, an error."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append(body)
+            prompt = body["messages"][-1]["content"]
+            text, reason = "nausea, rash", "stop"
+            if "ready" in prompt:
+                text = " ready\n"
+            elif "first refused" in prompt and "was refused" not in prompt:
+                text = "In summary the text you provided lists some events."
+            elif "too long" in prompt:
+                text, reason = "cough, pain, hea", "length"
+            elif "broken" in prompt:
+                self.send_response(500)
+                self.end_headers()
+                return
+            data = json.dumps({"choices": [{"message": {"content": text}, "finish_reason": reason}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/v1", seen
+    server.shutdown()
+
+
+def test_http_answers_by_field(spark, stub):
+    url, seen = stub
+    texts = [("a", "plain section"), ("b", "first refused"), ("c", "too long"), ("d", "broken"), ("e", None)]
+    docs = spark.createDataFrame([(k, 0, t) for k, t in texts], "key string, chunk int, section string")
+    requests = answers.requested(docs, "adverse_events", "section").drop("section")
+    http = answers.HttpAnswers(answers.Settings(endpoint=url, model="m"), 2, {"rate": (2, 0.0), "timeout": (2, 0.0), "other": (2, 0.0)})
+    assert http.preflight() == (True, "ready") and not answers.HttpAnswers(answers.Settings(endpoint="http://127.0.0.1:9/v1")).preflight()[0]
+    got = {r.key: (r.value, r.reason, r.attempt) for r in answers.validated(requests, http).cache().collect()}
+    assert got["a"] == got["e"] == ("nausea, rash", "ok", 1) and got["b"] == ("nausea, rash", "ok", 2) and got["c"] == ("cough, pain", "ok", 1)
+    assert got["d"][0] == "EXTRACTION_FAILED"
+    lists = [b for b in seen if "adverse events" in b["messages"][-1]["content"]]
+    assert lists and all(b["max_tokens"] == 700 and b["model"] == "m" and b["messages"][0]["role"] == "system" for b in lists) and {b["temperature"] for b in lists} == {0.1, 0.0}
+
+
+def test_every_field_has_its_call(spark):
+    docs = spark.createDataFrame([("k", "x" * 50, None)], "key string, section string, drug string")
+    for field, call in answers.CALLS.items():
+        row = answers.requested(docs, field, "section", "drug", limit=20).first()
+        assert row.prompt.count("x" * 20) == 1 and "x" * 21 not in row.prompt and "{" not in row.prompt and row.system == call.system and row.field == field
+    assert len(answers.CALLS) == 20 and sum(c.is_list for c in answers.CALLS.values()) == 4
+    assert "NO INFORMATION" in answers.CALLS["pregnancy_status"].template
+
+
+def test_documents_are_fetched_with_digest_and_first_page(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.txt").write_bytes(b"first page\x0csecond")
+    keys = spark.createDataFrame([(f"file://{tmp_path}/a.txt",), (f"file://{tmp_path}/none",)], "url string")
+    fetch = lookups.fetch_document(lambda data: data.split(b"\x0c")[0].decode())
+    rows = {r.url[-5:]: r for r in lookups.lookup(keys, "url", None, fetch, attempts=1, pace=0).withColumn("d", lookups.fetched_document(F.col("value"))).collect()}
+    assert (rows["a.txt"].d.sha256, rows["a.txt"].d.text) == (hashlib.sha256(b"first page\x0csecond").hexdigest(), "first page")
+    assert rows["/none"].d is None and rows["/none"].error
+
+
+def test_json_document_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, None), ("é\n", 2, "x")], "k string, n int, o string")
+    records.write_json(df, f"file://{tmp_path}/doc")
+    parts = [p for p in os.listdir(tmp_path / "doc") if p.startswith("part")]
+    assert len(parts) == 1 and json.loads((tmp_path / "doc" / parts[0]).read_text()) == [{"k": "a", "n": 1, "o": None}, {"k": "é\n", "n": 2, "o": "x"}]
+    assert sorted(map(tuple, records.read_json(spark, f"file://{tmp_path}/doc", "k string, n int, o string").collect())) == [("a", 1, None), ("é\n", 2, "x")]
+    with pytest.raises(ValueError):
+        records.write_json(df, f"file://{tmp_path}/doc", limit=1)
+
+
+def test_removal_is_checked(spark):
+    df = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x")], "k int, v string")
+    assert sorted(map(tuple, M.remove_duplicates(df, "k", [1], F.col("v") == "y").collect())) == [(1, "x"), (2, "x")]
+    for expected in ([], [2], [1, 2]):
+        with pytest.raises(Exception, match="more than once: 1"):
+            M.remove_duplicates(df, "k", expected, F.col("v") == "y").collect()
+
+
+def test_agreement_of_links(spark):
+    rows = [
+        ("apo-drug 10mg-2", "Apo-Drug", "Apotex Inc.", "APO-DRUG TABLETS", "APOTEX LIMITED", ["10.0"]), ("drug 2.5", "Drug", "Teva Canada", "Other", "Teva", ["5"]),
+        ("drug", "Drug", "Canada Inc", "drug", "Canada Ltd", None), ("x 5", None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "id string, brand string, company string, fb string, fc string, fs array<string>")
+    got = [tuple(r)[-4:] for r in M.agreement(df, "id", "brand", "company", "fb", "fc", "fs").collect()]
+    assert got == [(True, True, True, True), (True, False, False, False), (False, True, True, False), (False, False, False, False)]
+
+
+def test_names_found_on_the_page(spark):
+    rows = [("Apo-Drug", "Apotex Inc.", "APO DRUG\ntablets, Apotex"), ("Apo-Drug", "Other Ltd", "apo drug by Apotex"), ("Drug", "Inc", "the drug"), (None, "x", "x"), ("a", "b", None)]
+    from dossier.functions import text
+
+    df = spark.createDataFrame(rows, "brand string, company string, page string")
+    assert [r[0] for r in df.select(text.names_found(F.col("brand"), F.col("company"), F.col("page"))).collect()] == [True, False, True, False, False]
