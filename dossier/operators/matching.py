@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import name_words, plain_strength, strengths
+from ..sources.shared import numbered, written
 
 
 def prioritised(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: list[tuple[str, str]]) -> DataFrame:
@@ -37,13 +38,30 @@ def pair_similarity(left: DataFrame, right: DataFrame, block: str, left_item: st
     return pairs if threshold is None else pairs.where(F.col("sim") >= threshold)
 
 
-def greedy_one_to_one(pairs: DataFrame, block: str, left_item: str, right_item: str) -> DataFrame:
-    """One row a block: the pairs that a pass in descending (similarity, left, right) takes, each item at most once."""
-    ordered = F.sort_array(F.collect_list(F.struct("sim", F.col(left_item).alias("i"), F.col(right_item).alias("j"))), asc=False)
-    empty = F.array().cast("array<struct<sim:double,i:bigint,j:bigint>>")
-    free = lambda acc, x: ~F.exists(acc, lambda y: (y["i"] == x["i"]) | (y["j"] == x["j"]))
-    taken = F.aggregate("pairs", empty, lambda acc, x: F.when(free(acc, x), F.array_append(acc, x)).otherwise(acc))
-    return pairs.groupBy(block).agg(ordered.alias("pairs")).select(block, taken.alias("taken")).select(block, F.size("taken").alias("tp"), "taken")
+def greedy_pairs(pairs: DataFrame, blocks: list[str], left_item: str, right_item: str) -> DataFrame:
+    """The pairs of each block that a pass in descending (sim, left, right) takes, each item at most once.
+
+    A pair that is the best one of both its items is taken by that pass whatever comes before it, as nothing before it touches them. So each
+    round takes all such pairs at once and drops what they touch, until no pair is left: the order is total, hence the result is
+    the pass's own, and no block is ever in one task. Rounds are written in the shared folder.
+    """
+    left = written(pairs.select(*blocks, "sim", left_item, right_item), "pairs")
+    taken = None
+    while left.limit(1).count():
+        rank = F.struct("sim", left_item, right_item)
+        of_left = left.groupBy(*blocks, left_item).agg(F.max(rank).alias("best"))
+        of_right = left.groupBy(*blocks, right_item).agg(F.max(rank).alias("best"))
+        both = of_left.select(*blocks, "best").intersect(of_right.select(*blocks, "best"))
+        round_ = written(both.select(*blocks, "best.*"), "taken")
+        taken = round_ if taken is None else taken.unionByName(round_)
+        rest = left.join(round_.select(*blocks, left_item), [*blocks, left_item], "left_anti").join(round_.select(*blocks, right_item), [*blocks, right_item], "left_anti")
+        left = written(rest.select(left.columns), "pairs")
+    return left if taken is None else taken
+
+
+def greedy_one_to_one(pairs: DataFrame, blocks: list[str], left_item: str, right_item: str) -> DataFrame:
+    """(blocks, tp): how many pairs the greedy pass takes; blocks without pairs have no row."""
+    return greedy_pairs(pairs, blocks, left_item, right_item).groupBy(*blocks).agg(F.count("*").cast("int").alias("tp"))
 
 
 def critical_items(items: DataFrame, warnings: DataFrame, block: str, item: str, item_vec: str, warning_vec: str, threshold: float) -> DataFrame:
@@ -144,4 +162,4 @@ def stratified_draw(df: DataFrame, stratum: str, key: str, product: str, seed: i
     others = df.join(F.broadcast(largest), F.col(stratum) == F.col("s")).where(~(F.col(product).startswith(F.col("p")) | F.col("p").startswith(F.col(product))))
     extra = others.groupBy(stratum).agg(F.min(order).alias("m")).select(stratum, F.col("m.k").alias(key), F.col("m.p").alias(product))
     picks = first.select(stratum, key, product, F.lit(0).alias("extra")).unionByName(extra.withColumn("extra", F.lit(1)))
-    return picks.withColumn("n", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("extra", stratum))).drop("extra")
+    return numbered(picks, ["extra", stratum], "n").drop("extra")

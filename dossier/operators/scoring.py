@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keyword_list import close_in
 from ..functions.text import collapse, is_empty, strip
+from ..sources.shared import numbered
 
 Z95 = 1.959964
 
@@ -144,14 +145,14 @@ def resample_index(b: Column, i: Column, n: Column, seed: int) -> Column:
 
 
 def bootstrap(df: DataFrame, order: str, counts: list[str], statistic, b: int, seed: int) -> DataFrame:
-    """(b, value) of `statistic` over `b` resamples of the rows of df. Rows are the documents of a gold set, whose number is small by nature;
+    """(b, value) of `statistic` over `b` resamples of the rows of df, which are numbered without a single task;
     resamples are spread over the cluster and summed with map-side aggregation."""
     spark = df.sparkSession
-    numbered = df.select(*counts, (F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order)) - 1).cast("long").alias("k"))
-    size = numbered.agg(F.count("*").alias("n"))
+    rows = numbered(df.select(order, *counts), [order], "k").withColumn("k", F.col("k") - 1)
+    size = rows.agg(F.count("*").alias("n"))
     draws = spark.range(b).withColumnRenamed("id", "b").crossJoin(F.broadcast(size)).select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     drawn = draws.select("b", resample_index(F.col("b"), F.col("i"), F.col("n"), seed).alias("k")).groupBy("b", "k").agg(F.count("*").alias("times"))
-    sums = drawn.join(numbered, "k").groupBy("b").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in counts])
+    sums = drawn.join(rows, "k").groupBy("b").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in counts])
     return sums.select("b", statistic.alias("value"))
 
 

@@ -114,8 +114,8 @@ def coverage_group(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
     g = d.groupBy("source").agg(F.sum("n_chars").alias("chars"), F.count("*").alias("docs"), F.median("n_chars").alias("median"), F.max("n_chars").alias("longest"))
     p = d.groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).agg(F.round(F.avg("n_chars"), 4))
-    total = F.sum("chars").over(W.partitionBy(F.lit(0)))
-    return g.withColumn("share", F.round(100 * F.col("chars") / total, 1)).join(p, "source").select("source", "chars", "docs", "median", "longest", "share", "de", "en", "es", "fr")
+    total = d.agg(F.sum("n_chars").alias("total"))
+    return g.crossJoin(F.broadcast(total)).withColumn("share", F.round(100 * F.col("chars") / F.col("total"), 1)).join(p, "source").select("source", "chars", "docs", "median", "longest", "share", "de", "en", "es", "fr")
 
 
 def crosstab_verdict(spark, sf_dir):
@@ -195,11 +195,8 @@ def greedy_match_tp(spark, sf_dir):
     """Greedy matches within each label at three thresholds."""
     a, b = _halves(spark, sf_dir)
     pairs = M.pair_similarity(a, b, "label", "i", "j", "a", "b", 0.1)
-    out = None
-    for t in (0.1, 0.2, 0.3):
-        part = M.greedy_one_to_one(pairs.where(F.col("sim") >= t), "label", "i", "j").select("label", F.lit(t).alias("threshold"), "tp")
-        out = part if out is None else out.unionByName(part)
-    return out
+    levels = spark.createDataFrame([(0.1,), (0.2,), (0.3,)], "threshold double")
+    return M.greedy_one_to_one(pairs.join(F.broadcast(levels), F.col("sim") >= F.col("threshold")), ["label", "threshold"], "i", "j")
 
 
 def critical_items(spark, sf_dir):

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -16,3 +18,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='dossier-')}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written once in the shared folder and read again: its lineage ends here, and what it reads survives lost executors."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with its rows numbered from 1 in a total order, without bringing them into one task.
+
+    Rows are sorted by ranges and written with a number within their range; the ranges' sizes, a row for each partition, give the offsets.
+    """
+    rows = written(df.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftrightunsigned("__place", 33).alias("__part")
+    sizes = rows.groupBy(part).agg(F.count("*").alias("__size"))
+    before = F.sum("__size").over(W.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    return rows.withColumn("__part", part).join(offsets, "__part").withColumn(name, F.col("__before") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__part", "__place", "__before")

@@ -11,7 +11,7 @@ from dossier.operators import matching as M
 from dossier.operators import passages as P
 from dossier.operators import sections as X
 from dossier.operators import scoring as S
-from dossier.sources import answers, files, lookups, records
+from dossier.sources import answers, files, lookups, records, shared
 from dossier.streaming import ingest
 
 
@@ -101,15 +101,25 @@ def test_passages_merge(spark):
 
 def test_greedy_is_one_to_one(spark):
     rng = random.Random(2)
-    pairs = [(b, i, j, round(rng.random(), 3)) for b in range(3) for i in range(6) for j in range(5)]
+    pairs = [(b, i, j, round(rng.random(), 1)) for b in range(3) for i in range(6) for j in range(5)]
     df = spark.createDataFrame(pairs, "b int, i long, j long, sim double").where("sim >= 0.3")
-    for row in M.greedy_one_to_one(df, "b", "i", "j").collect():
+    got = {(r.b, r.i, r.j) for r in M.greedy_pairs(df, ["b"], "i", "j").collect()}
+    counts = {r.b: r.tp for r in M.greedy_one_to_one(df, ["b"], "i", "j").collect()}
+    for block in range(3):
         left, used = {}, set()
-        for sim, i, j in sorted(((s, i, j) for b, i, j, s in pairs if b == row["b"] and s >= 0.3), reverse=True):
+        for sim, i, j in sorted(((s, i, j) for b, i, j, s in pairs if b == block and s >= 0.3), reverse=True):
             if i not in left and j not in used:
                 left[i] = j
                 used.add(j)
-        assert {(t["i"], t["j"]) for t in row["taken"]} == set(left.items()) and row["tp"] == len(left)
+        assert {(i, j) for b, i, j in got if b == block} == set(left.items()) and counts[block] == len(left)
+    assert M.greedy_one_to_one(df.limit(0), ["b"], "i", "j").count() == 0
+
+
+def test_numbered_is_gapless_and_in_order(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit("x").alias("v")).repartition(5)
+    rows = shared.numbered(df, ["k"], "n").collect()
+    assert sorted((r.n, r.k) for r in rows) == [(i + 1, i) for i in range(1000)] and rows[0].__fields__ == ["k", "v", "n"]
+    assert shared.numbered(df.limit(0), ["k"], "n").count() == 0
 
 
 def test_resolution_must_be_single(spark):
