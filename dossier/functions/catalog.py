@@ -49,6 +49,7 @@ class Field:
     evaluation: str | None = None
 
 
+# --- Fixed values: the record's columns and their headers. ----------------------------------------------------------------
 RECORD_FIELDS = (
     Field("id", "key", "ID"),
     Field("brand_name", "text", "Brand Name"),
@@ -74,6 +75,7 @@ RECORD_FIELDS = (
     Field("breastfeeding_summary", "freetext", "Breastfeeding Summary"),
 )
 PROVENANCE = ("Source Path", "Drug Folder", "Therapeutic Class")
+# --- End of fixed values. ---------------------------------------------------------------------------------------------
 
 
 def record_order() -> list[str]:

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from ..functions.text import flexible, sealed
 
 PAGES = "array<struct<page_num:int,text:string>>"
+
+# --- Fixed values: shapes of contents entries, and section titles in the order in which they are tried. ------------------
 _NUM, _GAP, _DOTS, _BLANK = r"(\d+\.?\d*)\s+", r"[^\d]*?", r"\.{2,}\s*(\d+)", r"\s+(\d+)(?:\s|$)"
 #: Numbered entries of a table of contents: number, capital title, leader dots, page.
 NUMBERED = r"(?i)(\d+\.?\d*)\s+([A-Z][A-Z\s]+)[^\d]*?\.{2,}\s*(\d+)"
-
-# --- Fixed values: section titles, in the order in which they are tried. -------------------------------------------------
 INDICATIONS = ("INDICATIONS AND CLINICAL USE", "INDICATIONS", "INDICATIONS OF USE", "INDICATIONS AND USAGE", "THERAPEUTIC INDICATIONS")
 CONTRAINDICATIONS = ("CONTRAINDICATIONS", "CONTRAINDICATIONS AND PRECAUTIONS", "ABSOLUTE CONTRAINDICATIONS", "RELATIVE CONTRAINDICATIONS")
 INTERACTIONS = ("DRUG INTERACTIONS", "DRUG INTERACTION", "DRUG-DRUG INTERACTIONS", "INTERACTIONS WITH DRUGS", "INTERACTIONS")
