@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+_made: list[str] = []
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir; where that is unset, below a temporary one, in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -17,7 +22,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='dossier-')}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@atexit.register
+def _clear() -> None:
+    """Delete what this program wrote there; results that are not written elsewhere by then are gone."""
+    gateway = SparkContext._gateway
+    for folder in _made if gateway is not None else ():
+        where = gateway.jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(gateway.jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
