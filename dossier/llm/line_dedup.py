@@ -24,7 +24,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, parallelism, settings, unused
+from .workspace import Workspace, let_go, parallelism, settings, unused
 
 BLANKS = " \t\n\x0b\x0c\r"
 LAST = (1 << 63) - 1
@@ -116,6 +116,7 @@ def _repeated_lines(rows: DataFrame, space: Workspace, min_chars: int, batches:
             if b < len(cuts):
                 runs.add(looked.where("had is null").select("h1", "h2", F.col("lo").alias("owner")))
             space.drop(looked)
+            let_go(spark)
     space.drop(hashed)
     return dropped
 

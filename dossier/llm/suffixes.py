@@ -25,7 +25,6 @@ and text are read. Texts of any length are cut into pieces of bounded size that
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import RangeHash, mix
-from .workspace import Workspace, parallelism, slices
+from .workspace import Workspace, let_go, parallelism, slices
 
 LENGTH, GRAM, MOST = 200, 40, 4096
 #: Bytes hashed at a time, windows sorted at a time, bytes that the quicksort looks at, and anchors by level (0: all of the window).
@@ -273,12 +272,6 @@ def spans_of(flags: np.ndarray) -> list[int]:
 # --- tables -----------------------------------------------------------------------------------------------------------
 
 
-def _release(spark) -> None:
-    """Let Spark delete the shuffle files of stages whose result has been written, as it does when their plans are collected as garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _batch(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), columns.values())], names=list(columns))
 
@@ -340,7 +333,7 @@ def _answers(rows: DataFrame, owner: dict[str, str], space: Workspace, length: i
         found = found.unionByName(parts.select(F.col("above").alias("anchor"), F.col("above_digest").alias("digest"), "spans"))
     found = space.save(found.where(F.size("spans") > 0), "answers")
     space.drop(distinct)
-    _release(spark)
+    let_go(spark)
     moved = F.transform("spans", lambda x: x + F.col("start"))
     return rows.select("anchor", "digest", *owner, "start").join(found, ["anchor", "digest"]).groupBy(*owner).agg(F.flatten(F.collect_list(moved)).alias("spans"))
 
@@ -366,11 +359,12 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     single = runs.select("h1", "h2", F.explode(F.arrays_zip("anchors", "starts", "counts", "places")).alias("r")).select("h1", "h2", F.col("r.anchors").alias("anchor"), F.col("r.starts").alias("start"), F.col("r.counts").alias("n"), F.col("r.places").alias("place"))
     mark = F.xxhash64("h1", "start")
     repeated = single.groupBy("anchor").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo <> hi").select("anchor")
-    wanted = single.join(repeated, "anchor", "left_semi").distinct()
-    lists = wanted.groupBy("h1", "h2").agg(F.collect_list(F.struct("anchor", "start", "n", "place")).alias("runs")).join(classes.select("h1", "h2", "id"), ["h1", "h2"])
+    # Copies of a text fall together here, and not in the join's own tasks, so a hot anchor's can be split.
+    wanted = single.join(repeated, "anchor", "left_semi")
+    lists = wanted.groupBy("h1", "h2").agg(F.collect_set(F.struct("anchor", "start", "n", "place")).alias("runs")).join(classes.select("h1", "h2", "id"), ["h1", "h2"])
     lists = space.save(lists, "wanted")
     space.drop(runs)
-    _release(spark)
+    let_go(spark)
 
     def cut(batches):
         for batch in slices(batches, "text"):
@@ -385,7 +379,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     contexts = space.save(hashed.join(lists, ["id", "h1", "h2"]).select("h1", "h2", "text", "runs").mapInArrow(cut, f"h1 long, h2 long, {CONTEXT}"), "contexts")
     space.drop(lists)
-    _release(spark)
+    let_go(spark)
     spans = _answers(contexts, {"h1": "long", "h2": "long"}, space, length, gram, most)
     found = space.save(classes.select("h1", "h2", "copies").join(spans, ["h1", "h2"], "left").where("copies > 1 or spans is not null"), "found")
     space.drop(contexts)
