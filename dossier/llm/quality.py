@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import Workspace, slices, unused
+from .workspace import Workspace, let_go, release, slices, unused
 
 #: Labelled rows that the models see, pseudo-documents' bounds, the farthest that a site moves a document's log odds.
 SAMPLE, FEWEST, MOST, SITE_LIMIT = 6000, 4.0, 10_000.0, 1.0
@@ -70,16 +70,21 @@ def _words(text: str) -> set[str]:
 
 
 def lexicon(texts: list[str], toxic: np.ndarray) -> dict[str, float]:
-    """Log odds of words and beginnings that toxic texts have much more often."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    """Log odds of words and beginnings that toxic texts have much more often. Other texts are counted for what enough toxic ones have, so memory is bounded by these."""
+    bad: Counter = Counter()
     for text, t in zip(texts, toxic):
-        seen[int(t)].update({f for w in _words(text) for f in _features(w)})
+        if t:
+            bad.update({f for w in _words(text) for f in _features(w)})
+    bad = Counter({f: n for f, n in bad.items() if n >= SUPPORT})
+    good: Counter = Counter()
+    for text, t in zip(texts, toxic):
+        if not t:
+            good.update({f for w in _words(text) for f in _features(w) if f in bad})
     n_bad, n_good = max(int(toxic.sum()), 1), max(int((1 - toxic).sum()), 1)
     out = {}
-    for f, bad in seen[1].items():
-        good = seen[0].get(f, 0)
-        weight = math.log((bad + 0.5) / (n_bad + 1)) - math.log((good + 0.5) / (n_good + 1))
-        if bad >= SUPPORT and bad >= 4 * good and weight > 2:
+    for f in bad:
+        weight = math.log((bad[f] + 0.5) / (n_bad + 1)) - math.log((good[f] + 0.5) / (n_good + 1))
+        if bad[f] >= 4 * good[f] and weight > 2:
             out[f] = weight
     return out
 
@@ -199,6 +204,8 @@ def rate_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     texts = got.column(0).to_pylist()
     model = train(texts, *(np.array(got.column(c).to_pylist()) for c in (1, 2))) if texts else {"quality": None, "toxic": None, "lexicon": {}}
     del got, texts
+    release()
+    let_go(spark)
     shared = spark.sparkContext.broadcast(model)
     keep = [f for f in docs.schema.fields if keep_text or f.name != text_col]
     good, bad, host, path = (unused(docs, n) for n in ("good", "bad", "host", "path"))
