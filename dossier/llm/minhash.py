@@ -6,17 +6,19 @@ either collection, so 2 * tables bands give tables**2 keys: the number of minhas
 Steps, each of which shrinks what the next one sees:
 
 1. Documents with equal shingle sets form a class, which its smallest doc_id represents.
-2. Only classes that share a band in both collections with another class get table keys.
-3. Only shingle sets of classes that share a key are gathered. A shingle that only one of them has can't be in any
+2. Only classes that share a band of either collection with another class go on, with these bands alone.
+3. Their shingle sets are gathered. A shingle that only one of them has can't be in any
    intersection, so a class with too many of those links with nothing, and a pair's overlap is bounded by the rest.
-4. Rounds of centres: in each key the class with the fewest such shingles is the centre, the members of other components are
+4. Table keys, first those of two bands of the same number for one round, then all. Where a key's classes are already one component it is not
+   looked at, so the many keys of a dense group are dropped after a few have connected it.
+   Rounds of centres: in each key the class that is in most keys, then the one with the fewest shingles of its own, is the centre, the members of other components are
    compared with it, and what links is one component. A centre has then met everyone in its key and leaves it. A key is
    done when all that is left in it is one component. This work is linear in the members.
-5. What PLAIN_ROUNDS leave behind meets on its differences from a centre. The overlap of x and y follows from the numbers of shingles in
+5. What PLAIN_ROUNDS leave behind, in keys where several components remain beside the centre, meets on its differences from a centre. The overlap of x and y follows from the numbers of shingles in
    which each differs from the centre and the number of differences that both have; a pair that links must share at
    least a number of them which x, or y, alone determines. So it meets on one of the rarest differences of either
    (prefix filter), and only across components. What is so close to the centre that no class outside this
-   comparison can link with it then leaves the key; the rest goes on with four times as many centres a round.
+   comparison can link with it then leaves the key; the rest goes on, at last with sixteen times as many centres a round.
 
 Each pair that shares a key is thus compared, bounded away or already connected: no link between components is lost and no group
 is expanded into all pairs.
@@ -36,12 +38,12 @@ from pyspark.sql import Window as W
 
 from .components import components
 from .hashing import mix, shingles
-from .workspace import Workspace, slices
+from .workspace import Workspace, let_go, slices
 
 SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, a array<long>, b array<long>"
 SETS = "doc_id long, s1 long, n long, shingles array<long>"
 #: Share of overlap with a centre from which on a class's differences from it are kept (percent), rounds without them, members for each copy of a centre's set.
-CLOSE, PLAIN_ROUNDS, SPOKES = 50, 2, 4096
+CLOSE, PLAIN_ROUNDS, SPOKES = 30, 2, 4096
 
 
 def _set_sums(owner: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,11 +114,10 @@ def _settled(percent: int) -> int:
     return CLOSE + 100 - percent
 
 
-def _compare(spokes: DataFrame, sets: DataFrame, space: Workspace, differences: bool) -> DataFrame:
+def _compare(spokes: DataFrame, sets: DataFrame, differences: bool) -> DataFrame:
     """Number of shingles that each class shares with its centre and, if asked for, those in which close ones differ."""
     hub = ["c_node", "c_s1"]
     crowd = spokes.groupBy(*hub).agg(F.count("*").alias("c")).where(F.col("c") > SPOKES).select(*hub, F.ceil(F.col("c") / SPOKES).cast("int").alias("parts"))
-    crowd = space.save(crowd, "crowds")
     part = F.coalesce(F.pmod(F.xxhash64("node", "s1"), F.col("parts")), F.lit(0)).cast("int")
     dealt = spokes.join(crowd, hub, "left").withColumn("part", part).drop("parts")
     one = sets.select("node", "s1", F.col("shingles").alias("set_1"))
@@ -125,7 +126,7 @@ def _compare(spokes: DataFrame, sets: DataFrame, space: Workspace, differences:
     both = dealt.join(one, ["node", "s1"]).join(two, [*hub, "part"]).withColumn("shared", F.size(F.array_intersect("set_1", "set_2")))
     out = both.withColumn("c_n", F.size("set_2"))
     if differences:
-        close = F.col("shared") * 100 >= (F.size("set_1") + F.size("set_2") - F.col("shared")) * CLOSE
+        close = F.col("meeting") & (F.col("shared") * 100 >= (F.size("set_1") + F.size("set_2") - F.col("shared")) * CLOSE)
         out = out.withColumn("extra", F.when(close, F.array_except("set_1", "set_2"))).withColumn("missing", F.when(close, F.array_except("set_2", "set_1")))
     return out.drop("set_1", "set_2", "part")
 
@@ -137,34 +138,62 @@ def _linked(percent: int) -> Column:
 def _through_centre(stars: DataFrame, percent: int, space: Workspace) -> DataFrame:
     """Links (a, b: components) among classes close to one centre c, where one of the two, x, doesn't link with it.
 
-    With m shingles of c missing, e beyond it and weight w = 100 m + percent e, x links with c where w_x <= W = (100 - percent) |c|, and
-    x with y where they share k differences from c with (100 + percent) k >= w_x + w_y - W. As w_y >= percent k, an x
-    that doesn't link with c needs k >= (w_x - W) / 100, and whoever links with such an x needs k > w_y / (100 + percent). Of d differences,
-    ordered by how few have them, one of the first d - k + 1 is therefore shared.
+    With m shingles of c missing, e beyond it and weight w = 100 m + percent e, x links with c where over(x) = w_x - W <= 0, with
+    W = (100 - percent) |c|, and x with y where they share k differences from c with (100 + percent) k >= w_x + w_y - W. As
+    w_y >= percent k, an x that doesn't link with c needs k >= over(x) / 100, and whoever links with such an x needs
+    k > w / (100 + percent), more than half of its differences. Of d differences, ordered by how few have them, one of the first
+    d - k + 1 is therefore shared: among classes that don't link with c the latter k holds for both, so they meet on the first, rare
+    half of their differences only. The first shared difference leaves 1 + min(differences after it) shared ones at most, which
+    must suffice for the pair.
     """
     hub, side = ["c_node", "c_s1"], ["node", "s1", "component"]
-    close = stars.where("extra is not null").withColumn("w", 100 * F.size("missing") + percent * F.size("extra")).withColumn("over", F.col("w") - (100 - percent) * F.col("c_n")).withColumn("d", F.size("missing") + F.size("extra"))
-    need = F.floor(F.col("w") / (100 + percent)) + 1
-    need = F.when(F.col("over") > 0, F.least(need, F.ceil(F.col("over") / 100))).otherwise(need)
+    close = stars.where("extra is not null").withColumn("w", 100 * F.size("missing") + percent * F.size("extra")).withColumn("over", F.col("w") - (100 - percent) * F.col("c_n"))
     # A hub without a class that fails to link with the centre, or with one component only, has nothing left to find.
     open_hubs = close.groupBy(*hub).agg(F.max("over").alias("far"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("far > 0 and lo < hi").select(*hub)
-    close = close.join(open_hubs, hub, "left_semi").withColumn("need", F.greatest(need, F.lit(1)))
-    kinds = F.concat(F.transform("extra", lambda t: F.struct(t.alias("shingle"), F.lit(1).alias("beyond"))), F.transform("missing", lambda t: F.struct(t.alias("shingle"), F.lit(0).alias("beyond"))))
-    each = space.save(close.select(*hub, *side, "over", "d", "need", F.inline(kinds)).drop("beyond"), "differences")
-    common = each.groupBy(*hub, "shingle").agg(F.count("*").alias("holders"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("holders > 1")
-    rank = F.row_number().over(W.partitionBy(*hub, "node", "s1").orderBy("holders", "shingle"))
-    shared = each.join(common, [*hub, "shingle"]).withColumn("rank", rank).withColumn("held", F.count("*").over(W.partitionBy(*hub, "node", "s1")))
-    # Differences that nobody else has come first in the order and are not listed here.
-    prefix = shared.where("held >= need and rank <= held - need + 1 and lo < hi")
-    prefix = space.save(prefix.select(*hub, "shingle", *side, "over"), "prefixes")
-    x = prefix.where("over > 0").select(*hub, "shingle", *(F.col(c).alias(f"x_{c}") for c in side))
-    y = prefix.select(*hub, "shingle", *(F.col(c).alias(f"y_{c}") for c in side), F.col("over").alias("y_over"))
-    once = (F.col("y_over") <= 0) | (F.col("x_component") < F.col("y_component"))
-    met = x.join(y, [*hub, "shingle"]).where(once & (F.col("x_component") != F.col("y_component"))).select(*hub, *(f"{w}_{c}" for w in "xy" for c in side)).distinct()
-    arrays = lambda w: close.select(*hub, *(F.col(c).alias(f"{w}_{c}") for c in (*side, "w", "extra", "missing")), *([] if w == "x" else ["c_n"]))
+    close = space.save(close.join(open_hubs, hub, "left_semi"), "close")
+    each = space.save(close.select(*hub, *side, "w", "over", F.explode(F.concat("extra", "missing")).alias("shingle")), "differences")
+    # Only differences that classes of several components have can be shared by a pair that matters; the others aren't listed.
+    common = each.groupBy(*hub, "shingle").agg(F.count("*").alias("holders"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").drop("lo", "hi")
+    own = W.partitionBy(*hub, "node", "s1")
+    shared = each.join(common, [*hub, "shingle"]).withColumn("rank", F.row_number().over(own.orderBy("holders", "shingle"))).withColumn("after", F.count("*").over(own) - F.col("rank"))
+    half = F.floor(F.col("w") / (100 + percent)) + 1
+    rest = F.when(F.col("over") > 0, F.least(half, F.ceil(F.col("over") / 100))).otherwise(half)
+    prefix = shared.withColumns({"early": F.col("after") + 1 >= half, "listed": F.col("after") + 1 >= rest})
+    prefix = space.save(prefix.where("listed").select(*hub, "shingle", *side, "w", "over", "after", "early"), "prefixes")
+    end = lambda rows, n: rows.select(*hub, "shingle", *(F.col(c).alias(f"{n}_{c}") for c in (*side, "w", "over", "after")))
+    enough = (1 + F.least("x_after", "y_after")) * (100 + percent) >= F.col("x_w") + F.col("y_over")
+    apart = F.col("x_component") != F.col("y_component")
+    untied, tied = prefix.where("over > 0"), prefix.where("over <= 0")
+    among = end(untied.where("early"), "x").join(end(untied.where("early"), "y"), [*hub, "shingle"]).where((F.col("x_component") < F.col("y_component")) & enough)
+    across = end(untied, "x").join(end(tied, "y"), [*hub, "shingle"]).where(apart & enough)
+    met = among.unionByName(across).select(*hub, *(f"{n}_{c}" for n in "xy" for c in side)).distinct()
+    arrays = lambda n: close.select(*hub, *(F.col(c).alias(f"{n}_{c}") for c in (*side, "w", "over", "extra", "missing")))
     pairs = met.join(arrays("x"), [*hub, "x_node", "x_s1", "x_component"]).join(arrays("y"), [*hub, "y_node", "y_s1", "y_component"])
     both = F.size(F.array_intersect("x_extra", "y_extra")) + F.size(F.array_intersect("x_missing", "y_missing"))
-    return pairs.where(both * (100 + percent) >= F.col("x_w") + F.col("y_w") - (100 - percent) * F.col("c_n")).select(F.col("x_component").alias("a"), F.col("y_component").alias("b"))
+    return pairs.where(both * (100 + percent) >= F.col("x_w") + F.col("y_over")).select(F.col("x_component").alias("a"), F.col("y_component").alias("b"))
+
+
+def _shared_bands(classes: DataFrame, side: str) -> DataFrame:
+    """(node, s1, side): for each class its bands (i, band) of one collection that another class has too; classes without any are left out."""
+    bands = classes.select("node", "s1", F.posexplode(side).alias("i", "band")).withColumn("key", F.xxhash64("i", "band"))
+    return _shared(bands, "key").groupBy("node", "s1").agg(F.collect_list(F.struct("i", "band")).alias(side))
+
+
+def _members(classes: DataFrame, labels: DataFrame | None, diagonal: bool) -> DataFrame:
+    """A row for each class and table key, with the class's component."""
+    right = F.filter("b", lambda y: y["i"] == F.col("x.i")) if diagonal else F.col("b")
+    rows = classes.select("node", "s1", "n", "common", "b", F.explode("a").alias("x"))
+    rows = rows.select("node", "s1", "n", "common", "x", F.explode(right).alias("y")).select(F.xxhash64("x.i", "y.i", "x.band", "y.band").alias("key"), "node", "s1", "n", "common")
+    if labels is None:
+        return rows.withColumn("component", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _open(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows of keys that hold several components, without classes that not even the best match of their key could link with."""
+    keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("common").alias("best"), F.min("n").alias("least")).where("lo < hi").select("key", "best", "least")
+    most = F.least("common", "best")
+    return rows.join(keys, "key").where(most * 100 >= (F.col("n") + F.greatest("least", most) - most) * percent).select(rows.columns)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, tables: int = 10, rows: int = 3, width: int = 5) -> DataFrame:
@@ -174,58 +203,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = space.save(signatures(docs, tables, rows, width), "signatures")
     identity = ["s1", "s2", "n_shingles"]
     classes = space.save(sigs.where("doc_id is not null and n_shingles > 0").groupBy(*identity).agg(F.min("doc_id").alias("node"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
-
-    # Documents that share a band of either collection, then those that share a key of the tensored tables.
-    busy = [
-        _shared(classes.select("node", "s1", F.posexplode(side).alias("i", "band")).select("node", "s1", F.xxhash64("i", "band").alias("key")), "key").select("node", "s1").distinct()
-        for side in ("a", "b")
-    ]
-    dense = classes.join(busy[0], ["node", "s1"], "left_semi").join(busy[1], ["node", "s1"], "left_semi")
-    pairs_of_bands = dense.select("node", "s1", "b", F.posexplode("a").alias("i", "left")).select("node", "s1", "i", "left", F.posexplode("b").alias("j", "right"))
-    members = space.save(_shared(pairs_of_bands.select("node", "s1", F.xxhash64("i", "j", "left", "right").alias("key")), "key"), "members")
+    dense = space.save(_shared_bands(classes, "a").join(_shared_bands(classes, "b"), ["node", "s1"]), "dense")
 
     # Full sets of those, and how much of each no other one has.
-    wanted = members.select(F.col("node").alias("doc_id"), "s1").distinct()
-    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    wanted = dense.select(F.col("node").alias("doc_id"), "s1")
+    # The same plan at every size: the texts are dealt by id, however few are wanted.
+    texts = docs.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     sets = space.save(shingle_sets(texts, width), "all-sets").join(wanted, ["doc_id", "s1"], "left_semi").dropDuplicates(["doc_id", "s1"])
     sets = space.save(sets.withColumnRenamed("doc_id", "node"), "sets")
     alone = sets.select("node", "s1", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node"), F.min("s1").alias("s1")).where("c = 1")
     own = alone.groupBy("node", "s1").agg(F.count("*").alias("own"))
     sizes = sets.select("node", "s1", "n").join(own, ["node", "s1"], "left").select("node", "s1", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
-    sizes = sizes.where(F.col("common") * 100 >= F.col("n") * percent)
-    active = space.save(members.join(sizes, ["node", "s1"]).withColumn("component", F.col("node")), "active")
+    able = space.save(dense.join(sizes.where(F.col("common") * 100 >= F.col("n") * percent), ["node", "s1"]), "able")
+    let_go(docs.sparkSession)
 
     labels = None
-    turn = 0
-    while True:
-        # A key is done when all that is left in it is connected; a class leaves a key in which not even the best match could link.
-        left = active.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("common").alias("best"), F.min("n").alias("least")).where("lo < hi").select("key", "best", "least")
-        most = F.least("common", "best")
-        hopeful = active.join(left, "key").where(most * 100 >= (F.col("n") + F.greatest("least", most) - most) * percent)
-        active = space.save(hopeful.select(active.columns), "left")
-        if not active.limit(1).count():
-            break
-        plain = turn < PLAIN_ROUNDS
-        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 if plain else 1 << min(2 * (turn - PLAIN_ROUNDS), 16)))
-        order = F.struct((F.col("n") - F.col("common")).alias("own"), F.col("node"), F.col("s1"), F.col("component"))
-        centres = active.groupBy("key", slot.alias("slot")).agg(F.min(order).alias("c")).select("key", F.col("c.node").alias("c_node"), F.col("c.s1").alias("c_s1"), F.col("c.component").alias("c_component"))
-        centres = space.save(centres, "centres")
-        apart = F.col("component") != F.col("c_component") if plain else (F.col("node") != F.col("c_node")) | (F.col("s1") != F.col("c_s1"))
-        spokes = active.join(centres, "key").where(apart).select("c_node", "c_s1", "c_component", "node", "s1", "n", "component").distinct()
-        stars = space.save(_compare(space.save(spokes, "spokes"), sets, space, not plain), "stars")
-        found = stars.where(_linked(percent) & (F.col("component") != F.col("c_component"))).select(F.col("c_component").alias("a"), F.col("component").alias("b"))
-        settled = centres.select("key", F.col("c_node").alias("node"), F.col("c_s1").alias("s1"))
-        if not plain:
-            found = found.unionByName(_through_centre(stars, percent, space))
-            near = stars.where(_linked(_settled(percent))).select("c_node", "c_s1", "node", "s1")
-            settled = settled.unionByName(centres.join(near, ["c_node", "c_s1"]).select("key", "node", "s1"))
-        new = space.save(found.distinct(), "links")
-        rest = active.join(settled, ["key", "node", "s1"], "left_anti")
-        if new.limit(1).count():
-            merged = components(new, space).select(F.col("node").alias("component"), F.col("component").alias("into"))
-            rest = _relabel(rest, merged)
-            labels = space.save(_grown(labels, merged), "components")
-        active, turn = rest, turn + 1
+    for diagonal in (True, False):
+        active = space.save(_open(_members(able, labels, diagonal), percent), "members")
+        turn = 0
+        while (turn < 1 or not diagonal) and active.limit(1).count():
+            rest, new = _round(active, turn, sets, percent, space)
+            if new.limit(1).count():
+                merged = components(new, space).select(F.col("node").alias("component"), F.col("component").alias("into"))
+                rest = _relabel(rest, merged)
+                labels = space.save(_grown(labels, merged), "components")
+            # A key is done when all that is left in it is one component.
+            active, turn = space.save(_open(space.save(rest, "rest"), percent), "left"), turn + 1
+            let_go(docs.sparkSession)
 
     # Rows of one doc_id are one document, also where their texts differ.
     rows_of = sigs.join(classes.select(*identity, "node"), identity, "left").drop("a", "b")
@@ -246,6 +250,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _round(active: DataFrame, turn: int, sets: DataFrame, percent: int, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """One round of centres: what is left in the keys, and links (a, b: components)."""
+    plain = turn < PLAIN_ROUNDS
+    # What two rounds of meeting leave behind is little, and many centres finish it.
+    slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << min(4 * max(turn - PLAIN_ROUNDS - 1, 0), 30)))
+    # Classes in many keys come first, so that many keys have the same centre and their members are compared once.
+    keys = active.groupBy("node", "s1").agg(F.count("*").alias("keys"))
+    order = F.struct((-F.col("keys")).alias("keys"), (F.col("n") - F.col("common")).alias("own"), F.col("node"), F.col("s1"), F.col("component"))
+    centres = active.join(keys, ["node", "s1"]).groupBy("key", slot.alias("slot")).agg(F.min(order).alias("c")).select("key", F.col("c.node").alias("c_node"), F.col("c.s1").alias("c_s1"), F.col("c.component").alias("c_component"))
+    centres = space.save(centres, "centres")
+    apart_from = (F.col("node") != F.col("c_node")) | (F.col("s1") != F.col("c_s1"))
+    apart = F.col("component") != F.col("c_component") if plain else apart_from
+    # Where the centre leaves one component behind, the key is done without anybody's differences.
+    others = active.join(centres.select("key", "c_node", "c_s1"), "key").where(apart_from).groupBy("key").agg((F.min("component") < F.max("component")).alias("more"))
+    meeting = F.lit(False) if plain else F.max("more")
+    spokes = active.join(centres if plain else centres.join(others, "key"), "key").where(apart)
+    spokes = spokes.groupBy("c_node", "c_s1", "c_component", "node", "s1", "n", "component").agg(meeting.alias("meeting"))
+    stars = space.save(_compare(space.save(spokes, "spokes"), sets, not plain), "stars")
+    found = stars.where(_linked(percent) & (F.col("component") != F.col("c_component"))).select(F.col("c_component").alias("a"), F.col("component").alias("b"))
+    settled = centres.select("key", F.col("c_node").alias("node"), F.col("c_s1").alias("s1"))
+    if not plain:
+        found = found.unionByName(_through_centre(stars, percent, space))
+        near = stars.where(_linked(_settled(percent))).select("c_node", "c_s1", "node", "s1")
+        placed = active.join(centres.select("key", "c_node", "c_s1"), "key")
+        settled = settled.unionByName(placed.join(near, ["c_node", "c_s1", "node", "s1"], "left_semi").select("key", "node", "s1"))
+    return active.join(settled, ["key", "node", "s1"], "left_anti"), space.save(found.distinct(), "links")
+
+
 def _relabel(rows: DataFrame, merged: DataFrame) -> DataFrame:
     """rows with each component replaced by the one that it went into."""
     return rows.join(merged, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into").select(rows.columns)

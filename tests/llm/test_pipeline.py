@@ -45,7 +45,7 @@ def test_line_and_mixing_stages_equal_their_sql(stages, tmp_path):
 def test_near_stage_keeps_one_of_each_group(stages):
     from test_llm_operators import near_groups
 
-    want = {i for i, v in near_groups([(r.doc_id, r.text) for r in stages[2][1].collect()]).items() if v[2]}
+    want = {i for i, v in near_groups([(r.doc_id, r.text) for r in stages[2][1].collect()], percent=80).items() if v[2]}
     assert ids(stages[3][1]) == want
 
 
