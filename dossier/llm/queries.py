@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, line_dedup, media, minhash, mixing, quality, secrets, suffixes, wordpiece
+from . import conversations, decontaminate, language, licences, line_dedup, media, minhash, mixing, periodic, quality, secrets, suffixes, wordpiece
 from .workspace import table
 
 
@@ -51,5 +51,17 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_source_mixing, op4_suffix_array_dedup, op5_secret_scan, op6_licence_scan, op7_quality_classifier, op8_decontamination, op9_token_counts, op10_minhash_near_dedup)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(table(spark, sf_dir, "conversations"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_source_mixing, op4_suffix_array_dedup, op5_secret_scan, op6_licence_scan, op7_quality_classifier, op8_decontamination, op9_token_counts, op10_minhash_near_dedup, op11_conversation_repair, op12_periodic_runs, op13_language_id)}
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op3_source_mixing": mixing.SQL}
