@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import name_words, plain_strength, strengths
-from ..sources.shared import numbered, written
+from ..sources.shared import numbered, running, written
 
 
 def prioritised(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: list[tuple[str, str]]) -> DataFrame:
@@ -141,12 +141,13 @@ def remove_duplicates(df: DataFrame, key: str, expected: list, unwanted: Column)
 
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Islands of overlapping or touching intervals."""
-    by = W.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(by.rowsBetween(W.unboundedPreceding, -1))
-    marked = df.withColumn("__reach", reach)
-    marked = marked.withColumn("__island", F.sum(F.when(F.col("__reach").isNull() | (F.col(start) > F.col("__reach")), 1).otherwise(0)).over(by.rowsBetween(W.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__island")
+    """Islands of overlapping or touching intervals. The farthest end so far and the islands' numbers are carried from range to range, so one key may have all rows."""
+    reached = running(df.select(*keys, start, end), keys, [start, end], end, "__reach", F.max, before=True)
+    goes_on = F.coalesce(F.col(start) <= F.col("__reach"), F.lit(False)).cast("int")
+    # Among equal intervals the one that begins an island comes first.
+    marked = reached.withColumn("__on", goes_on).withColumn("__new", 1 - F.col("__on"))
+    islands = running(marked, keys, [start, end, "__on"], "__new", "__island", F.sum)
+    return islands.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__island")
 
 
 def portable_rank(key: Column, seed: int) -> Column:

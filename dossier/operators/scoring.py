@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keyword_list import close_in
 from ..functions.text import collapse, is_empty, strip
-from ..sources.shared import numbered
+from ..sources.shared import running_sums
 
 Z95 = 1.959964
 
@@ -28,20 +27,20 @@ def recall(tp: Column, fn: Column) -> Column:
     return F.try_divide(tp.cast("double"), (tp + fn).cast("double"))
 
 
-def f1(p: Column, r: Column) -> Column:
-    """Null if either is undefined, 0 if either is 0."""
-    return F.when(p.isNotNull() & r.isNotNull(), F.when((p == 0) | (r == 0), F.lit(0.0)).otherwise(2 * p * r / (p + r)))
+def f1(p: Column, r: Column, of_zeros: float | None = 0.0) -> Column:
+    """Null if either is undefined; `of_zeros` if both are 0, which is 0 for a single document and undefined for sums over many."""
+    return F.when(p.isNotNull() & r.isNotNull(), F.when((p == 0) & (r == 0), F.lit(of_zeros)).otherwise(2 * p * r / (p + r)))
 
 
-def prf(df: DataFrame, digits: int = 6) -> DataFrame:
+def prf(df: DataFrame, digits: int = 6, of_zeros: float | None = 0.0) -> DataFrame:
     p, r = precision(F.col("tp"), F.col("fp")), recall(F.col("tp"), F.col("fn"))
-    return df.withColumns({"precision": F.round(p, digits), "recall": F.round(r, digits), "f1": F.round(f1(p, r), digits)})
+    return df.withColumns({"precision": F.round(p, digits), "recall": F.round(r, digits), "f1": F.round(f1(p, r, of_zeros), digits)})
 
 
 def micro(df: DataFrame, *keys: str) -> DataFrame:
-    """Counts summed over documents that have anything on either side, then precision, recall and F1."""
+    """Counts summed over documents that have anything on either side, then precision, recall and F1 (null where both are 0)."""
     some = df.where("tp + fp + fn > 0")
-    return prf(some.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
+    return prf(some.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]), of_zeros=None)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -118,17 +117,52 @@ def paired_counts(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col(b) > F.col(a)).alias("improved"), F.count_if(F.col(b) < F.col(a)).alias("worse"), F.round(F.avg(F.col(b) - F.col(a)), 6).alias("mean_diff"))
 
 
+#: Largest n for which the signed-rank test's p is exact, provided that no differences tie or are zero.
+EXACT_PAIRS = 50
+
+
+def signed_rank_counts(most: int = EXACT_PAIRS) -> list[list[int]]:
+    """[n][w]: in how many of the 2**n sign patterns the ranks 1..n of one sign add up to w; each rank is one more convolution."""
+    rows = [[1]]
+    for n in range(1, most + 1):
+        before, size = rows[-1], n * (n + 1) // 2 + 1
+        rows.append([(before[w] if w < len(before) else 0) + (before[w - n] if 0 <= w - n < len(before) else 0) for w in range(size)])
+    return rows
+
+
+def _exact_tails(spark: SparkSession) -> DataFrame:
+    """(n, w, exact): two-sided p for the smaller sum w; about EXACT_PAIRS ** 3 / 12 rows whatever the data."""
+    rows = []
+    for n, counts in enumerate(signed_rank_counts()):
+        below = 0
+        for w in range(n * (n + 1) // 4 + 1):
+            below += counts[w]
+            rows.append((n, float(w), min(1.0, 2 * below / 2**n)))
+    return spark.createDataFrame(rows, "n long, w double, exact double")
+
+
 def signed_rank(df: DataFrame, diff: str, *keys: str) -> DataFrame:
-    """Wilcoxon's W over non-zero differences with mean ranks for ties, and the normal approximation's two-sided p (1 if all are zero)."""
-    some = df.where(F.col(diff) != 0).withColumn("__size", F.abs(diff))
-    ties = some.groupBy(*keys, "__size").agg(F.count("*").alias("t"), F.count_if(F.col(diff) > 0).alias("up"))
-    below = F.coalesce(F.sum("t").over(W.partitionBy(*keys).orderBy("__size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = ties.withColumn("rank", below + (F.col("t") + 1) / 2)
-    sums = ranked.groupBy(*keys).agg(F.sum("t").alias("n"), F.sum(F.col("up") * F.col("rank")).alias("plus"), F.sum((F.col("t") - F.col("up")) * F.col("rank")).alias("minus"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tied"))
+    """Wilcoxon's W over non-zero differences with mean ranks for ties, and the two-sided p.
+
+    p is exact for at most EXACT_PAIRS differences without zeros and ties, by the null distribution, and else the normal approximation with ties
+    corrected for (z). It is 1 if all differences are zero. Ranks are running counts of distinct sizes, summed by ranges, so one group may have all rows.
+    """
+    sized = df.withColumn("__size", F.abs(diff))
+    ties = sized.groupBy(*keys, "__size").agg(F.count("*").alias("t"), F.count_if(F.col(diff) > 0).alias("up")).where("__size is not null")
+    some = F.col("__size") > 0
+    ranked = running_sums(ties.withColumn("t_", F.when(some, F.col("t")).otherwise(0)), list(keys), ["__size"], "t_", "upto")
+    ranked = ranked.withColumn("rank", F.col("upto") - F.col("t_") + (F.col("t_") + 1) / 2)
+    one = lambda x: F.sum(F.when(some, x).otherwise(0))
+    t, up = F.col("t"), F.col("up")
+    sums = ranked.groupBy(*keys).agg(one(t).alias("n"), one(up * F.col("rank")).alias("plus"), one((t - up) * F.col("rank")).alias("minus"), one(t * t * t - t).alias("tied"), F.count_if(~some).alias("zeros"))
     n = F.col("n").cast("double")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tied") / 48)
-    z = F.abs(F.least("plus", "minus") - n * (n + 1) / 4) / spread
-    return sums.select(*keys, "n", F.least("plus", "minus").alias("w"), z.alias("z"), upper_tail(z).alias("p"))
+    z = F.try_divide(F.abs(F.least("plus", "minus") - n * (n + 1) / 4), spread)
+    out = sums.select(*keys, "n", F.least("plus", "minus").alias("w"), z.alias("z"), (F.col("tied") + F.col("zeros")).alias("__rough"))
+    tails = F.broadcast(_exact_tails(df.sparkSession).withColumnsRenamed({"n": "__n", "w": "__w"}))
+    both = out.join(tails, (F.col("n") == F.col("__n")) & (F.col("w") == F.col("__w")) & (F.col("__rough") == 0), "left")
+    p = F.when(F.col("n") == 0, F.lit(1.0)).otherwise(F.coalesce("exact", upper_tail(F.col("z"))))
+    return both.select(*keys, "n", "w", "z", p.alias("p"))
 
 
 def upper_tail(z: Column) -> Column:
@@ -136,26 +170,3 @@ def upper_tail(z: Column) -> Column:
     t = 1 / (1 + 0.2316419 * z)
     poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
     return F.least(2 * F.exp(-z * z / 2) / 2.5066282746310002 * poly, F.lit(1.0))
-
-
-def resample_index(b: Column, i: Column, n: Column, seed: int) -> Column:
-    """Which of n documents draw i of resample b takes: a portable linear congruence, so any engine draws the same."""
-    step = (b * 48271 + i * 40692 + F.lit(seed % 2147483647)) % 2147483647
-    return ((step * 16807) % 2147483647) % n
-
-
-def bootstrap(df: DataFrame, order: str, counts: list[str], statistic, b: int, seed: int) -> DataFrame:
-    """(b, value) of `statistic` over `b` resamples of the rows of df, which are numbered without a single task;
-    resamples are spread over the cluster and summed with map-side aggregation."""
-    spark = df.sparkSession
-    rows = numbered(df.select(order, *counts), [order], "k").withColumn("k", F.col("k") - 1)
-    size = rows.agg(F.count("*").alias("n"))
-    draws = spark.range(b).withColumnRenamed("id", "b").crossJoin(F.broadcast(size)).select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    drawn = draws.select("b", resample_index(F.col("b"), F.col("i"), F.col("n"), seed).alias("k")).groupBy("b", "k").agg(F.count("*").alias("times"))
-    sums = drawn.join(rows, "k").groupBy("b").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in counts])
-    return sums.select("b", statistic.alias("value"))
-
-
-def percentile_interval(samples: DataFrame) -> DataFrame:
-    q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
-    return samples.agg(F.count("*").alias("b"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.get(q, F.lit(0)), 6).alias("lo"), F.round(F.get(q, F.lit(1)), 6).alias("hi"))

@@ -10,6 +10,7 @@ from ..functions import keyword_list as K
 from ..functions import text
 from ..operators import matching as M
 from ..operators import profile as R
+from ..operators import resampling as B
 from ..operators import scoring as S
 from ..sources import records
 from .list_queries import _in, _q, _strip, _t
@@ -279,7 +280,16 @@ def signed_rank_w(spark, sf_dir):
     a = li.where("l_linenumber = 1").select("l_orderkey", (F.col("l_suppkey") % 10).alias("g"), F.col("l_quantity").alias("a"))
     b = li.where("l_linenumber = 2").select("l_orderkey", F.col("l_quantity").alias("b"))
     ranks = S.signed_rank(a.join(b, "l_orderkey").withColumn("d", F.col("b") - F.col("a")), "d", "g")
-    return ranks.select("g", "n", F.round("w", 6).alias("w"), F.round("z", 6).alias("z"))
+    return ranks.select("g", "n", F.round("w", 6).alias("w"), F.round("z", 6).alias("z"), F.round("p", 5).alias("p"))
+
+
+def signed_rank_exact(spark, sf_dir):
+    """Prices of the first and second line of each order by supplier and ship year: groups small enough for the exact p, others beside them."""
+    li = _t(spark, sf_dir, "lineitem")
+    a = li.where("l_linenumber = 1").select("l_orderkey", "l_suppkey", F.year("l_shipdate").alias("year"), F.col("l_extendedprice").alias("a"))
+    b = li.where("l_linenumber = 2").select("l_orderkey", F.col("l_extendedprice").alias("b"))
+    d = a.join(b, "l_orderkey").select("l_suppkey", "year", F.round((F.col("b") - F.col("a")) * 100).cast("long").alias("d"))
+    return S.signed_rank(d, "d", "l_suppkey", "year").select("l_suppkey", "year", "n", F.round("w", 6).alias("w"), F.round("z", 6).alias("z"), F.round("p", 5).alias("p"))
 
 
 def _confusion(spark, sf_dir):
@@ -287,16 +297,16 @@ def _confusion(spark, sf_dir):
 
 
 def bootstrap_ci(spark, sf_dir):
-    """Precision over resamples of all labelled documents, drawn by a portable congruence."""
+    """Precision over resamples of all labelled documents, drawn by a hash of (seed, resample, draw)."""
     value = F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fp")).cast("double"))
-    return S.percentile_interval(S.bootstrap(_confusion(spark, sf_dir), "doc_id", ["tp", "fp"], value, RESAMPLES, SEED))
+    return B.percentile_interval(B.bootstrap(_confusion(spark, sf_dir), ["tp", "fp"], value, RESAMPLES, SEED))
 
 
 def bootstrap_paired_diff(spark, sf_dir):
     """The difference of two systems' recalls over the same resamples; an empty denominator counts as one."""
     rows = _confusion(spark, sf_dir).withColumn("other", (F.col("doc_id") % 3 == 0).cast("int")).withColumn("one", F.lit(1))
     value = (F.col("other") - F.col("tp")) / F.greatest(F.col("one"), F.lit(1)).cast("double")
-    return S.percentile_interval(S.bootstrap(rows, "doc_id", ["tp", "other", "one"], value, RESAMPLES, SEED))
+    return B.percentile_interval(B.bootstrap(rows, ["tp", "other", "one"], value, RESAMPLES, SEED))
 
 
 def union_append_average(spark, sf_dir):
@@ -335,7 +345,7 @@ QUERIES = {
     for f in (
         set_prf_per_doc, set_prf_micro, macro_row, jaccard_tokens, jaccard_mean, critical_recall, link_agreement, targeted_removal, reshape_columns, distinct_counts, accuracy_wilson, category_accuracy, date_accuracy, error_kind_pivot, coverage_group, crosstab_verdict, word_bag_groups,
         resume_anti_join, retry_failed, prioritised_match, unmatched_report, left_lookup_publish, theta_prefix_anti, assert_single_resolution, pair_similarity, greedy_match_tp, critical_items,
-        dedup_keep_last, interval_merge, stratified_draw, eligibility_counts, paired_diff_counts, signed_rank_w, bootstrap_ci, bootstrap_paired_diff, union_append_average, field_success, threshold_sweep, id_set_operations,
+        dedup_keep_last, interval_merge, stratified_draw, eligibility_counts, paired_diff_counts, signed_rank_w, signed_rank_exact, bootstrap_ci, bootstrap_paired_diff, union_append_average, field_success, threshold_sweep, id_set_operations,
     )
 }
 
@@ -353,16 +363,48 @@ def _plain(c: str) -> str:
     return f"CASE WHEN contains({c}, '.') THEN regexp_replace(regexp_replace({c}, '0+$', ''), '\\.+$', '') ELSE {c} END"
 
 
-def _boot(columns: str, sums: str, value: str) -> str:
-    return f"""WITH l AS (SELECT {columns}, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM labels), n AS (SELECT count(*) AS n FROM l),
-d AS (SELECT b, ((((b * 48271 + i * 40692 + {SEED}) % 2147483647) * 16807) % 2147483647) % n AS k FROM range({RESAMPLES}) t(b), n, LATERAL (SELECT unnest(range(n)) AS i)),
+def _scrambled(source: str, column: str) -> str:
+    """`source` with a column of 32-bit numbers scrambled as in resampling.mixed."""
+    for shift, factor in ((16, 0x21F0AAAD), (15, 0x735A2D97)):
+        source = f"(SELECT * REPLACE ((xor({column}, {column} >> {shift}) * {factor}) % 4294967296 AS {column}) FROM {source})"
+    return f"(SELECT * REPLACE (xor({column}, {column} >> 15) AS {column}) FROM {source})"
+
+
+def _lane(lane: int) -> str:
+    """Keys of two words for each resample."""
+    start = (SEED + lane * 0x9E3779B9) % (1 << 32)
+    one = _scrambled(f"(SELECT b, {start}::BIGINT AS s{lane} FROM range({RESAMPLES}) t(b))", f"s{lane}")
+    key = _scrambled(f"(SELECT b, xor(b, s{lane}) AS k{lane} FROM {one})", f"k{lane}")
+    return f"SELECT b, k{lane}, f{lane} FROM " + _scrambled(f"(SELECT b, k{lane}, xor(k{lane}, {0x9E3779B9}) AS f{lane} FROM {key})", f"f{lane}")
+
+
+def _boot(columns: str, counts: str, sums: str, value: str) -> str:
+    draws = "(SELECT b, n, xor(i, k0) AS y0, xor(i, k1) AS y1, f0, f1 FROM keys, n, LATERAL (SELECT unnest(range(n)) AS i))"
+    for lane in (0, 1):
+        draws = _scrambled(f"(SELECT * REPLACE (xor(y{lane}, f{lane}) AS y{lane}) FROM {_scrambled(draws, f'y{lane}')})", f"y{lane}")
+    return f"""WITH l AS (SELECT *, row_number() OVER (ORDER BY {counts}) - 1 AS k FROM (SELECT {columns} FROM labels)), n AS (SELECT count(*) AS n FROM l),
+keys AS (SELECT * FROM ({_lane(0)}) JOIN ({_lane(1)}) USING (b)), d AS (SELECT b, (y0 * n + ((y1 * n) >> 32)) >> 32 AS k FROM {draws}),
 s AS (SELECT b, {sums} FROM d JOIN l USING (k) GROUP BY b), v AS (SELECT {value} AS value FROM s)
 SELECT count(*) AS b, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi FROM v"""
 
 
+#: Two-sided normal tail as in scoring.upper_tail, and the null distribution of the signed ranks: each rank is one more convolution.
+_TAIL = "least(2 * exp(-z * z / 2) / 2.5066282746310002 * ({t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429))))), 1)".format(t="(1 / (1 + 0.2316419 * z))")
+_NULL_RANKS = f"""c AS (SELECT 0 AS m, [1]::BIGINT[] AS ways UNION ALL SELECT m + 1, list_transform(range(0, ((m + 1) * (m + 2) // 2 + 1)::BIGINT), lambda w: coalesce(ways[w + 1], 0) + CASE WHEN w > m THEN coalesce(ways[w - m], 0) ELSE 0 END) FROM c WHERE m < {S.EXACT_PAIRS})"""
+
+
+def _signed_rank_sql(pairs: str, keys: str) -> str:
+    """pairs: a query that gives the keys and d."""
+    return f"""WITH RECURSIVE {_PAIR}, {_NULL_RANKS}, e AS ({pairs}), t AS (SELECT {keys}, abs(d) AS s, count(*) AS t, count(*) FILTER (WHERE d > 0) AS up FROM e GROUP BY ALL),
+r AS (SELECT *, coalesce(sum(CASE WHEN s > 0 THEN t END) OVER (PARTITION BY {keys} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 AS rk FROM t),
+q AS (SELECT {keys}, coalesce(sum(t) FILTER (WHERE s > 0), 0)::BIGINT AS n, coalesce(sum(up * rk) FILTER (WHERE s > 0), 0) AS plus, coalesce(sum((t - up) * rk) FILTER (WHERE s > 0), 0) AS minus, coalesce(sum(t * t * t - t) FILTER (WHERE s > 0), 0) AS tied, count(*) FILTER (WHERE s = 0) AS zeros FROM r GROUP BY ALL),
+z AS (SELECT *, least(plus, minus)::DOUBLE AS w, abs(least(plus, minus) - n * (n + 1.0) / 4) / nullif(sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - tied / 48), 0) AS z FROM q)
+SELECT {keys}, n, round(w, 6) AS w, round(z, 6) AS z, round(CASE WHEN n = 0 THEN 1.0 WHEN n <= {S.EXACT_PAIRS} AND tied + zeros = 0 THEN least(1.0, 2 * list_sum(ways[1:(w + 1)::BIGINT]) / power(2, n)) ELSE {_TAIL} END, 5) AS p FROM z LEFT JOIN c ON m = n"""
+
+
 ORACLE_SQL = {
     "set_prf_per_doc": f"WITH {_ADJ} SELECT doc_id, tp, fp, fn, {_PRF} FROM c WHERE tp + fp + fn > 0",
-    "set_prf_micro": f"WITH {_ADJ}, s AS (SELECT lang, count(*) AS n, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM c WHERE tp + fp + fn > 0 GROUP BY lang) SELECT lang, n, tp, fp, fn, {_PRF} FROM s",
+    "set_prf_micro": f"WITH {_ADJ}, s AS (SELECT lang, count(*) AS n, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM c WHERE tp + fp + fn > 0 GROUP BY lang) SELECT lang, n, tp, fp, fn, {_PRF.replace("THEN 0.0 ELSE", "THEN NULL ELSE")} FROM s",
     "macro_row": f"WITH {_ADJ}, r AS (SELECT doc_id::VARCHAR AS id, {_PRF} FROM c WHERE tp + fp + fn > 0) SELECT * FROM r UNION ALL SELECT 'AVERAGE', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6) FROM r",
     "jaccard_tokens": f"WITH b AS (SELECT item_id, CASE WHEN {_empty_sql('text')} THEN [] ELSE {_TOK.format('text')} END AS b FROM benchmark), d AS (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS item_id, CASE WHEN {_empty_sql('text')} THEN [] ELSE {_TOK.format('text')} END AS d FROM documents) SELECT doc_id, item_id, round(len(list_intersect(d, b)) / nullif(len(list_distinct(list_concat(d, b))), 0), 6) AS jaccard FROM d JOIN b USING (item_id)",
     "accuracy_wilson": f"WITH g AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE quality = 1 - toxic) AS k FROM labels JOIN documents USING (doc_id) GROUP BY source), w AS (SELECT source, {_WILSON} FROM g) SELECT source, n, k, round(p, 6) AS accuracy, round(greatest((p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n), 0), 6) AS lo, round(least((p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n), 1), 6) AS hi FROM w",
@@ -407,11 +449,10 @@ x AS (SELECT p_brand, p_partkey, product FROM p, l WHERE p_brand = b AND NOT (st
 SELECT p_brand, p_partkey, product, row_number() OVER (ORDER BY extra, p_brand) AS n FROM u""",
     "eligibility_counts": "SELECT CASE WHEN p_partkey % 13 = 0 THEN 'development' WHEN p_brand LIKE '%1' THEN 'same product' WHEN p_size < 5 THEN 'unreadable' ELSE 'eligible' END AS reason, count(*) AS n FROM part GROUP BY 1",
     "paired_diff_counts": f"WITH {_PAIR} SELECT year(l_shipdate) AS year, count(*) AS n, count(*) FILTER (WHERE b > a) AS improved, count(*) FILTER (WHERE b < a) AS worse, round(avg(b - a), 6) AS mean_diff FROM j GROUP BY 1",
-    "signed_rank_w": f"""WITH {_PAIR}, d AS (SELECT l_suppkey % 10 AS g, b - a AS d FROM j WHERE b <> a), t AS (SELECT g, abs(d) AS s, count(*) AS t, count(*) FILTER (WHERE d > 0) AS up FROM d GROUP BY 1, 2),
-r AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY g ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 AS rk FROM t), q AS (SELECT g, sum(t)::BIGINT AS n, sum(up * rk) AS plus, sum((t - up) * rk) AS minus, sum(t * t * t - t) AS tied FROM r GROUP BY g)
-SELECT g, n, round(least(plus, minus), 6) AS w, round(abs(least(plus, minus) - n * (n + 1.0) / 4) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - tied / 48), 6) AS z FROM q""",
-    "bootstrap_ci": _boot("(quality = 1 AND toxic = 0)::INT AS tp, (toxic = 1)::INT AS fp", "sum(tp) AS tp, sum(fp) AS fp", "tp / nullif(tp + fp, 0)"),
-    "bootstrap_paired_diff": _boot("(quality = 1 AND toxic = 0)::INT AS tp, (doc_id % 3 = 0)::INT AS other", "sum(tp) AS tp, sum(other) AS other, count(*) AS one", "(other - tp) / greatest(one, 1)"),
+    "signed_rank_w": _signed_rank_sql("SELECT l_suppkey % 10 AS g, b - a AS d FROM j", "g"),
+    "signed_rank_exact": _signed_rank_sql("SELECT a.l_suppkey, year(a.l_shipdate) AS year, round((b.l_extendedprice - a.l_extendedprice) * 100)::BIGINT AS d FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_linenumber = 1 AND b.l_linenumber = 2", "l_suppkey, year"),
+    "bootstrap_ci": _boot("(quality = 1 AND toxic = 0)::INT AS tp, (toxic = 1)::INT AS fp", "tp, fp", "sum(tp) AS tp, sum(fp) AS fp", "tp / nullif(tp + fp, 0)"),
+    "bootstrap_paired_diff": _boot("(quality = 1 AND toxic = 0)::INT AS tp, (doc_id % 3 = 0)::INT AS other", "tp, other", "sum(tp) AS tp, sum(other) AS other, count(*) AS one", "(other - tp) / greatest(one, 1)"),
     "union_append_average": "WITH g AS (SELECT (doc_id % 7)::VARCHAR AS id, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic FROM labels GROUP BY 1) SELECT * FROM g UNION ALL SELECT 'AVERAGE', round(avg(quality), 6), round(avg(toxic), 6) FROM g",
     "field_success": f"WITH r AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'SECTION_NOT_FOUND' WHEN doc_id % 7 = 0 THEN 'ERROR: x' WHEN doc_id % 11 <> 0 THEN source END AS i, CASE WHEN doc_id % 6 = 0 THEN 'EXTRACTION_FAILED' ELSE lang END AS c FROM documents) SELECT count(*) AS total, count(*) FILTER (WHERE coalesce(i, '') NOT IN ({_in(C.MISSING)})) AS indications, count(*) FILTER (WHERE coalesce(c, '') NOT IN ({_in(C.MISSING)})) AS contraindications, 'published' AS mode FROM r UNION ALL SELECT count(*), count(*) FILTER (WHERE NOT {_empty_sql('i')}), count(*) FILTER (WHERE NOT {_empty_sql('c')}), 'strict' FROM r",
     "id_set_operations": "WITH d AS (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) SELECT 'both' AS part, count(*) AS n, sum(doc_id)::BIGINT AS total FROM (SELECT doc_id FROM labels INTERSECT SELECT doc_id FROM d) UNION ALL SELECT 'only_labels', count(*), sum(doc_id)::BIGINT FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM d) UNION ALL SELECT 'either', count(*), sum(doc_id)::BIGINT FROM (SELECT doc_id FROM labels UNION SELECT doc_id FROM d)",

@@ -1,7 +1,9 @@
+import itertools
 import json
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from dossier.functions import catalog as C
 from dossier.operators import locate as L
 from dossier.operators import matching as M
 from dossier.operators import passages as P
+from dossier.operators import resampling as B
 from dossier.operators import sections as X
 from dossier.operators import scoring as S
 from dossier.sources import answers, files, lookups, records, shared
@@ -147,8 +150,76 @@ def test_signed_rank_tail(spark):
 
 def test_bootstrap_is_deterministic(spark):
     df = spark.createDataFrame([(i, i % 2) for i in range(20)], "id long, tp long")
-    runs = [S.percentile_interval(S.bootstrap(df, "id", ["tp"], F.col("tp") / 20, 50, 7)).first() for _ in range(2)]
+    runs = [B.percentile_interval(B.bootstrap(d, ["tp"], F.col("tp") / 20, 50, 7)).first() for d in (df, df.repartition(7).orderBy(F.desc("id")))]
     assert runs[0] == runs[1] and 0 <= runs[0]["lo"] <= 0.5 <= runs[0]["hi"] <= 1
+    assert B.bootstrap(df.where("id < 0"), ["tp"], F.col("tp"), 50, 7).count() == 0
+
+
+@pytest.mark.parametrize("n, block", [(20, 7), (399, 1 << 16), (1000, 300), (3980, 1 << 16)])
+def test_bootstrap_has_the_right_spread(spark, n, block, monkeypatch):
+    """10,000 resamples of a share: mean and standard error as the binomial's, whatever the blocks."""
+    monkeypatch.setattr(B, "BLOCK", block)
+    k = round(0.3 * n)
+    df = spark.range(n).select((F.col("id") < k).cast("int").alias("tp"), F.lit(1).alias("one"))
+    got = B.bootstrap(df, ["tp", "one"], F.col("tp") / F.col("one"), 10_000, 20261005).agg(F.avg("value"), F.stddev("value"), F.skewness("value")).first()
+    p = k / n
+    assert abs(got[1] / (p * (1 - p) / n) ** 0.5 - 1) < 0.03 and abs(got[0] - p) < 4 * (p * (1 - p) / n / 10_000) ** 0.5
+    assert abs(got[2] - (1 - 2 * p) / (n * p * (1 - p)) ** 0.5) < 0.1
+
+
+def test_resamples_differ_and_draws_are_even():
+    """No two of 2,000 resamples are alike, also for sizes that are powers of two; all rows are drawn equally often."""
+    for n in (8, 256, 1000):
+        b, i = np.repeat(np.arange(2000), n), np.tile(np.arange(n), 2000)
+        drawn = B.ranks(5, b, i, n).astype(int)
+        assert drawn.min() >= 0 and drawn.max() < n
+        times = np.bincount(drawn, minlength=n)
+        assert ((times - 2000) ** 2 / 2000).sum() < n + 5 * (2 * n) ** 0.5
+        if n > 8:
+            assert len({tuple(sorted(r)) for r in drawn.reshape(2000, n).tolist()}) == 2000
+
+
+def test_too_many_kinds_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(B, "MOST_KINDS", 10)
+    with pytest.raises(ValueError):
+        B.bootstrap(spark.range(11), ["id"], F.col("id"), 5, 1)
+
+
+def test_exact_signed_rank(spark):
+    """Against all sign patterns; ties, zeros and large groups take the normal approximation."""
+    rng = random.Random(4)
+    rows = [(n, (k + 1) * rng.choice([-1, 1])) for n in (1, 2, 5, 9, 12) for k in range(n)] + [(100, 0), (101, 1), (101, 1), (101, -1), (102, 0), (102, 3)] + [(103, (k + 1) * (-1) ** (k % 3)) for k in range(60)]
+    got = {r.g: r for r in S.signed_rank(spark.createDataFrame(rows, "g int, d int"), "d", "g").collect()}
+    for n in (1, 2, 5, 9, 12):
+        d = [x for g, x in rows if g == n]
+        low = lambda signs: min(sum(k + 1 for k in range(n) if signs[k]), sum(k + 1 for k in range(n) if not signs[k]))
+        seen = low([x > 0 for x in d])
+        p = sum(low(signs) <= seen for signs in itertools.product([False, True], repeat=n)) / 2**n
+        assert got[n].w == seen and got[n].p == pytest.approx(min(1.0, p))
+    assert (got[100].n, got[100].p) == (0, 1.0) and got[101].z is not None and got[102].n == 1
+    assert got[103].n == 60 and 0 < got[103].p < 1
+
+
+def test_micro_f1_of_zeros_is_undefined(spark):
+    df = spark.createDataFrame([(0, 2, 3)], "tp int, fp int, fn int")
+    assert S.micro(df).first()["f1"] is None and S.prf(df).first()["f1"] == 0.0
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_one_key_with_all_rows(spark, order):
+    """Running maxima and sums go from range to range: one user has all intervals."""
+    rng = random.Random(order)
+    rows = [(7 if n else None, s := rng.randrange(3000), s + rng.randrange(8)) for n in range(600)][::order] + [(7, 5, 5)] * 9
+    islands = []
+    for u in (None, 7):
+        reach = None
+        for _, s, e in sorted(r for r in rows if r[0] == u):
+            if reach is None or s > reach:
+                islands.append([u, s, e, 0])
+            reach = e if reach is None else max(reach, e)
+            islands[-1][2], islands[-1][3] = max(islands[-1][2], e), islands[-1][3] + 1
+    got = M.merge_intervals(spark.createDataFrame(rows, "u int, s int, e int"), ["u"], "s", "e")
+    assert sorted(map(list, got.collect()), key=str) == sorted(islands, key=str)
 
 
 def test_resume_after_a_crash(spark, tmp_path):

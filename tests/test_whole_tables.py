@@ -59,16 +59,31 @@ def test_greedy_matches_of_all_vectors(spark, vectors):
 # --- Resamples of all labels --------------------------------------------------------------------------------------------
 
 
+def scrambled(x):
+    for shift, factor in ((16, 0x21F0AAAD), (15, 0x735A2D97)):
+        x = ((x ^ x >> shift) * factor) % 2**32
+    return x ^ x >> 15
+
+
+def rank(seed, b, i, n):
+    high, low = ((scrambled(scrambled(i ^ (key := scrambled(b ^ scrambled((seed + lane * 0x9E3779B9) % 2**32)))) ^ scrambled(key ^ 0x9E3779B9))) for lane in (0, 1))
+    return (high * n + (low * n >> 32)) >> 32
+
+
 def test_bootstrap_of_all_labels(spark, folder):
     """Ids on both sides of 400; 10,000 resamples drawn one by one."""
     rows = [(n, int(n % 4 > 0), int(n % 5 == 0)) for n in range(394, 408)]
-    sf_dir, n, big = folder("labels", rows, "doc_id long, quality int, toxic int"), len(rows), 2147483647
+    sf_dir, n = folder("labels", rows, "doc_id long, quality int, toxic int"), len(rows)
+    by_precision = sorted((int(q == 1 and t == 0), int(t == 1)) for _, q, t in rows)
+    by_system = sorted((int(q == 1 and t == 0), int(d % 3 == 0)) for d, q, t in rows)
     values = {"bootstrap_ci": [], "bootstrap_paired_diff": []}
     for b in range(10_000):
-        drawn = [rows[(b * 48271 + i * 40692 + 20261005) % big * 16807 % big % n] for i in range(n)]
-        tp, fp, other = sum(q == 1 and t == 0 for _, q, t in drawn), sum(t for *_, t in drawn), sum(i % 3 == 0 for i, *_ in drawn)
+        taken = [rank(20261005, b, i, n) for i in range(n)]
+        tp, fp = (sum(c) for c in zip(*(by_precision[k] for k in taken)))
+        other = sum(by_system[k][1] for k in taken)
+        tp_of_system = sum(by_system[k][0] for k in taken)
         values["bootstrap_ci"] += [tp / (tp + fp)] if tp + fp else []
-        values["bootstrap_paired_diff"].append((other - tp) / n)
+        values["bootstrap_paired_diff"].append((other - tp_of_system) / n)
     for name, seen in values.items():
         seen.sort()
         at = lambda q: (lambda x: seen[int(x)] + (x - int(x)) * (seen[min(int(x) + 1, len(seen) - 1)] - seen[int(x)]))(q * (len(seen) - 1))
