@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.text import name_words, plain_strength, strengths
 from ..sources.shared import numbered, running, written
 
+#: Pairs that a greedy pass may leave to be settled block by block.
+LEFT_OVER = 1_000_000
+
 
 def prioritised(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: list[tuple[str, str]]) -> DataFrame:
     """(left_id, right_id, priority): for each left row the right row that the first key of the list finds, the first in order where several do.
@@ -28,26 +32,29 @@ def unmatched(left: DataFrame, matches: DataFrame, left_id: str) -> DataFrame:
     return left.join(matches, left_id, "left_anti")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def pair_similarity(left: DataFrame, right: DataFrame, block: str, left_item: str, right_item: str, left_vec: str, right_vec: str, threshold: float | None = None) -> DataFrame:
-    """All pairs of a block with their similarity; a block is one field of one document, small by nature. The threshold is applied before anything sorts."""
-    pairs = left.join(right, block).select(block, left_item, right_item, F.round(dot(F.col(left_vec), F.col(right_vec)), 9).alias("sim"))
-    return pairs if threshold is None else pairs.where(F.col("sim") >= threshold)
+def _passed(pairs: pd.DataFrame, left_item: str, right_item: str) -> pd.DataFrame:
+    """The greedy pass itself over the pairs of one block."""
+    ordered, lefts, rights, keep = pairs.sort_values(["sim", left_item, right_item], ascending=False), set(), set(), []
+    for n, (i, j) in enumerate(zip(ordered[left_item], ordered[right_item])):
+        if i not in lefts and j not in rights:
+            lefts.add(i)
+            rights.add(j)
+            keep.append(n)
+    return ordered.iloc[keep]
 
 
 def greedy_pairs(pairs: DataFrame, blocks: list[str], left_item: str, right_item: str) -> DataFrame:
     """The pairs of each block that a pass in descending (sim, left, right) takes, each item at most once.
 
     A pair that is the best one of both its items is taken by that pass whatever comes before it, as nothing before it touches them. So each
-    round takes all such pairs at once and drops what they touch, until no pair is left: the order is total, hence the result is
-    the pass's own, and no block is ever in one task. Rounds are written in the shared folder.
+    round takes all such pairs at once and drops what they touch. The order is total, hence the result is the pass's own. On pairs in random order
+    few rounds are needed (their number grows with the logarithm of the pairs), as each one settles a share of what is left. Pairs that wait for
+    each other in a long chain are settled a link a round; so as soon as no more than LEFT_OVER pairs are left over all blocks, the pass is run over
+    these, a block a task. Rounds are written in the shared folder.
     """
     left = written(pairs.select(*blocks, "sim", left_item, right_item), "pairs")
     taken = None
-    while left.limit(1).count():
+    while left.limit(LEFT_OVER + 1).count() > LEFT_OVER:
         rank = F.struct("sim", left_item, right_item)
         of_left = left.groupBy(*blocks, left_item).agg(F.max(rank).alias("best"))
         of_right = left.groupBy(*blocks, right_item).agg(F.max(rank).alias("best"))
@@ -56,7 +63,8 @@ def greedy_pairs(pairs: DataFrame, blocks: list[str], left_item: str, right_item
         taken = round_ if taken is None else taken.unionByName(round_)
         rest = left.join(round_.select(*blocks, left_item), [*blocks, left_item], "left_anti").join(round_.select(*blocks, right_item), [*blocks, right_item], "left_anti")
         left = written(rest.select(left.columns), "pairs")
-    return left if taken is None else taken
+    last = left.groupBy(*blocks).applyInPandas(lambda p: _passed(p, left_item, right_item), left.schema)
+    return last if taken is None else taken.unionByName(last)
 
 
 def greedy_one_to_one(pairs: DataFrame, blocks: list[str], left_item: str, right_item: str) -> DataFrame:
@@ -64,12 +72,6 @@ def greedy_one_to_one(pairs: DataFrame, blocks: list[str], left_item: str, right
     return greedy_pairs(pairs, blocks, left_item, right_item).groupBy(*blocks).agg(F.count("*").cast("int").alias("tp"))
 
 
-def critical_items(items: DataFrame, warnings: DataFrame, block: str, item: str, item_vec: str, warning_vec: str, threshold: float) -> DataFrame:
-    """Items whose nearest warning is similar enough."""
-    sim = items.join(warnings.select(block, F.col(warning_vec).alias("__w")), block).groupBy(block, item).agg(F.max(F.round(dot(F.col(item_vec), F.col("__w")), 9)).alias("sim"))
-    return sim.where(F.col("sim") >= threshold)
-
-
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key, by aggregation rather than a sort of the whole key."""
     rest = [c for c in df.columns if c not in keys]
@@ -78,10 +80,23 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def prefix_anti(candidates: DataFrame, excluded: DataFrame, generic: str, product: str) -> DataFrame:
-    """Candidates without any excluded row of the same generic of which either product is a prefix of the other."""
-    other = excluded.select(F.col(generic).alias("__g"), F.col(product).alias("__p"))
-    same = (F.col(generic) == F.col("__g")) & (F.col(product).startswith(F.col("__p")) | F.col("__p").startswith(F.col(product)))
-    return candidates.join(other, same, "left_anti")
+    """Candidates without any excluded row of the same generic of which either product is a prefix of the other.
+
+    Prefixes are looked up: a product is cut at each length that the other side's products of its generic have, and all joins are by equal
+    keys. A generic may have all rows; its lengths are as many as a product has characters. Rows with nulls stay.
+    """
+    names = lambda df: df.select(F.col(generic).alias("__g"), F.col(product).alias("__p")).where("__g is not null and __p is not null").distinct()
+    ours, theirs = names(candidates), names(excluded)
+
+    def cuts(rows: DataFrame, others: DataFrame) -> DataFrame:
+        lengths = others.groupBy("__g").agg(F.collect_set(F.length("__p")).alias("__lengths"))
+        fitting = F.explode(F.filter("__lengths", lambda n: n <= F.length("__p")))
+        return rows.join(lengths, "__g").select("__g", "__p", fitting.alias("__n")).withColumn("__cut", F.substring("__p", F.lit(1), F.col("__n")))
+
+    longer = cuts(ours, theirs).join(theirs.withColumnRenamed("__p", "__cut"), ["__g", "__cut"], "left_semi").select("__g", "__p")
+    shorter = ours.join(cuts(theirs, ours).select("__g", F.col("__cut").alias("__p")), ["__g", "__p"], "left_semi")
+    hit = longer.unionByName(shorter).distinct()
+    return candidates.join(hit, (F.col(generic) == F.col("__g")) & (F.col(product) == F.col("__p")), "left_anti")
 
 
 def resolve_single(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

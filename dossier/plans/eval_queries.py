@@ -12,6 +12,7 @@ from ..operators import matching as M
 from ..operators import profile as R
 from ..operators import resampling as B
 from ..operators import scoring as S
+from ..operators import similarity as V
 from ..sources import records
 from .list_queries import _in, _q, _strip, _t
 
@@ -189,26 +190,26 @@ def _halves(spark, sf_dir):
 
 def pair_similarity(spark, sf_dir):
     a, b = _halves(spark, sf_dir)
-    return M.pair_similarity(a, b, "label", "i", "j", "a", "b", 0.1).withColumn("sim", F.round("sim", 6))
+    return V.similar_pairs(a, b, "label", "i", "j", "a", "b", 0.1).withColumn("sim", F.round("sim", 6))
 
 
 def greedy_match_tp(spark, sf_dir):
     """Greedy matches within each label at three thresholds."""
     a, b = _halves(spark, sf_dir)
-    pairs = M.pair_similarity(a, b, "label", "i", "j", "a", "b", 0.1)
+    pairs = V.similar_pairs(a, b, "label", "i", "j", "a", "b", 0.1)
     levels = spark.createDataFrame([(0.1,), (0.2,), (0.3,)], "threshold double")
     return M.greedy_one_to_one(pairs.join(F.broadcast(levels), F.col("sim") >= F.col("threshold")), ["label", "threshold"], "i", "j")
 
 
 def critical_items(spark, sf_dir):
     a, b = _halves(spark, sf_dir)
-    return M.critical_items(a, b, "label", "i", "a", "b", 0.25).withColumn("sim", F.round("sim", 6))
+    return V.nearest(a, b, "label", "i", "a", "b", 0.25).withColumn("sim", F.round("sim", 6))
 
 
 def critical_recall(spark, sf_dir):
     """Of the critical items of each label, those whose nearest warning reaches the higher threshold."""
     a, b = _halves(spark, sf_dir)
-    items = M.critical_items(a, b, "label", "i", "a", "b", 0.25).select("label", F.lit(1).alias("critical"), (F.col("sim") >= 0.3).cast("int").alias("hit"))
+    items = V.nearest(a, b, "label", "i", "a", "b", 0.25).select("label", F.lit(1).alias("critical"), (F.col("sim") >= 0.3).cast("int").alias("hit"))
     return S.critical_recall(items, "hit", "critical", "label")
 
 
@@ -324,9 +325,7 @@ def field_success(spark, sf_dir):
 
 def threshold_sweep(spark, sf_dir):
     a, b = _halves(spark, sf_dir)
-    pairs = M.pair_similarity(a, b, "label", "i", "j", "a", "b")
-    levels = spark.createDataFrame([(0.1,), (0.2,), (0.3,)], "threshold double")
-    return pairs.crossJoin(F.broadcast(levels)).groupBy("threshold").agg(F.count_if(F.col("sim") >= F.col("threshold")).alias("pairs"))
+    return V.threshold_counts(a, b, "label", "a", "b", [0.1, 0.2, 0.3])
 
 
 def id_set_operations(spark, sf_dir):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import catalog as C
 from ..functions import ids, text
 from ..functions import keyword_list as K
+from ..sources import answers
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +94,20 @@ def normalize_list_documents(spark, sf_dir):
     return K.normalize(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "value", "reason")
 
 
+def validated_answers(spark, sf_dir):
+    """Every document is a request that may be asked three times; attempt n answers with the lines n, n + 3, n + 6 ... of its text. Each attempt is written once."""
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.lit("list").alias("field"), F.lit(0).alias("chunk"), F.split("text", "\n").alias("lines"))
+    every_third = lambda first: F.array_join(F.filter("lines", lambda x, i: i % 3 == first), "\n")
+    attempts = None
+    for n in (1, 2, 3):
+        mine = every_third(n - 1)
+        finish = F.when(F.col("key") % 4 == 0, "length").otherwise("stop")
+        part = d.select("key", "field", "chunk", F.lit(n).alias("attempt"), mine.alias("text"), finish.alias("finish_reason"))
+        attempts = part if attempts is None else attempts.unionByName(part)
+    out = answers.validated(d.select("key", "field", "chunk"), answers.RecordedAnswers(attempts))
+    return out.select(F.col("key").alias("doc_id"), "value", "reason", "attempt")
+
+
 def normalize_list_lines(spark, sf_dir):
     """Every line of every document as a raw answer, reasons counted by language."""
     lines = _t(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "\n")).alias("line"))
@@ -217,11 +232,16 @@ items AS (SELECT {keys}, list_filter(c, lambda x: x <> '' AND NOT regexp_matches
 
 QUERIES = {
     f.__name__: f
-    for f in (normalize_list_documents, normalize_list_lines, normalize_list_conversations, grounded_fraction_turns, prose_reason_counts, clean_items, word_bag_key, id_normalisation, provenance_split, sentinel_is_empty, option_first_contained, option_earliest, metadata_positional_parse, strength_tokens, enzyme_extract, cleanups)
+    for f in (normalize_list_documents, validated_answers, normalize_list_lines, normalize_list_conversations, grounded_fraction_turns, prose_reason_counts, clean_items, word_bag_key, id_normalisation, provenance_split, sentinel_is_empty, option_first_contained, option_earliest, metadata_positional_parse, strength_tokens, enzyme_extract, cleanups)
 }
 
 ORACLE_SQL = {
     "normalize_list_documents": f"WITH src AS (SELECT doc_id, text AS raw FROM documents), {_normalize_sql('src', 'doc_id')} SELECT doc_id, value, reason FROM n5",
+    "validated_answers": f"""WITH a AS (SELECT doc_id, unnest([1, 2, 3]) AS attempt, text FROM documents),
+b AS (SELECT doc_id, attempt, array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: (i - 1) % 3 = attempt - 1), chr(10)) AS t FROM a),
+src AS (SELECT doc_id, attempt, CASE WHEN doc_id % 4 = 0 THEN regexp_replace(t, ',[^,]*$', '') ELSE t END AS raw FROM b), {_normalize_sql('src', 'doc_id, attempt')},
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY reason <> 'ok', CASE WHEN reason = 'ok' THEN attempt ELSE -attempt END) AS k FROM n5)
+SELECT doc_id, CASE WHEN reason = 'ok' THEN value ELSE 'EXTRACTION_FAILED' END AS value, reason, attempt FROM f WHERE k = 1""",
     "normalize_list_lines": f"WITH src AS (SELECT lang, row_number() OVER () AS k, raw FROM (SELECT lang, unnest(string_split(text, chr(10))) AS raw FROM documents)), {_normalize_sql('src', 'lang, k')} SELECT lang, reason, count(*) AS n, sum(coalesce(length(value), 0))::BIGINT AS chars FROM n5 GROUP BY ALL",
     "normalize_list_conversations": f"WITH src AS ({_LAG}), {_normalize_sql('src', 'conv_id, turn', True)} SELECT conv_id, turn, value, reason FROM n5",
     "grounded_fraction_turns": f"""WITH s AS ({_LAG}), w AS (SELECT conv_id, turn, {_LOOSE} AS hay, unnest(list_distinct(list_filter(string_split(lower(raw), ' '), lambda w: w <> ''))) AS item FROM s WHERE src IS NOT NULL),

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog as C
 from ..functions import keyword_list as K
+from .ledger import REQUEST, Ledger
 
 FAILED = "EXTRACTION_FAILED"
-REQUEST = ["key", "field", "chunk"]
 
 
 @dataclass(frozen=True)
@@ -192,24 +192,27 @@ def requested(df: DataFrame, field: str, text: str, drug: str | None = None, lim
     return df.withColumns({"field": F.lit(field), "prompt": prompt, "system": F.lit(call.system)})
 
 
-def validated(requests: DataFrame, answerer: Answerer, source: str | None = None, attempts: int = 3) -> DataFrame:
+def validated(requests: DataFrame, answerer: Answerer, source: str | None = None, attempts: int = 3, ledger: Ledger | None = None) -> DataFrame:
     """requests with value, reason and attempt: the first attempt whose answer meets the list contract. Only requests without one are asked again, with the reason.
 
-    An answer that was cut off loses what follows its last comma. When no attempt is valid the value is EXTRACTION_FAILED; prose is never returned.
+    Each attempt's answers are written to the ledger before they are judged, so a request is asked once an attempt, whatever is
+    done with the result, and a ledger that has answers already is gone on with. An answer that was cut off loses what follows its last comma. When no
+    attempt is valid the value is EXTRACTION_FAILED; prose is never returned.
     """
-    left, done = requests, None
-    columns = requests.columns
+    ledger = ledger or Ledger(requests.sparkSession)
+    columns, left, done, last = requests.columns, requests, None, None
     for attempt in range(1, attempts + 1):
-        got = answerer.answer(left, attempt)
+        if attempt > 1 and left.isEmpty():
+            break
+        got = ledger.ask(left, attempt, answerer.answer, F.col("text") == FAILED)
         cut = F.when(F.col("finish_reason") == "length", F.regexp_replace("text", r",[^,]*$", "")).otherwise(F.col("text"))
         checked = K.normalize(got.withColumn("text", cut), "text", source).withColumn("attempt", F.lit(attempt))
         checked = checked.select(*columns, "value", "reason", "attempt")
         good = checked.where("reason = 'ok'")
         done = good if done is None else done.unionByName(good)
-        left = checked.where("reason <> 'ok'").drop("value", "reason", "attempt")
+        last = checked.where("reason <> 'ok'")
+        left = last.select(*columns)
         if "prompt" in columns:
-            again = F.concat(F.col("prompt"), F.lit("\n\nYour last answer was refused: "), F.col("__why"), F.lit(". Give only the list."))
-            left = checked.where("reason <> 'ok'").withColumn("__why", F.col("reason")).withColumn("prompt", again).select(*columns)
-        last = checked
-    bad = last.where("reason <> 'ok'").withColumn("value", F.lit(FAILED))
-    return done.unionByName(bad)
+            again = F.concat(F.col("prompt"), F.lit("\n\nYour last answer was refused: "), F.col("reason"), F.lit(". Give only the list."))
+            left = last.withColumn("prompt", again).select(*columns)
+    return done.unionByName(last.withColumn("value", F.lit(FAILED)))

@@ -14,7 +14,7 @@ from dossier.operators import passages as P
 from dossier.operators import resampling as B
 from dossier.operators import sections as X
 from dossier.operators import scoring as S
-from dossier.sources import answers, files, lookups, records, shared
+from dossier.sources import answers, files, ledger, lookups, records, shared
 from dossier.streaming import ingest
 
 
@@ -307,6 +307,72 @@ def test_answers_are_asked_again_with_the_reason(spark):
     assert got == {"a": ("asthma, fever", 1), "b": ("cough, pain", 2), "c": ("EXTRACTION_FAILED", 3)}
 
 
+class Moody:
+    """Notes every call in a file. Odd requests get a list at even calls of theirs and prose at odd ones; the rest always get prose."""
+
+    def __init__(self, folder, fail_at=None):
+        self.folder, self.fail_at = str(folder), fail_at
+
+    def calls(self):
+        return sorted(os.listdir(self.folder))
+
+    def answer(self, requests, attempt):
+        folder, fail_at = self.folder, self.fail_at
+
+        def run(batches):
+            for pdf in batches:
+                texts = []
+                for key in pdf["key"]:
+                    if key == fail_at:
+                        raise RuntimeError("the model is gone")
+                    before = sum(f.startswith(f"{key}-") for f in os.listdir(folder))
+                    open(f"{folder}/{key}-{attempt}-{random.random()}", "w").close()
+                    texts.append("cough, fever" if before % 2 and int(key) % 2 else "In summary it helps. And More")
+                pdf["text"], pdf["finish_reason"] = texts, "stop"
+                yield pdf
+
+        return requests.mapInPandas(run, "key string, field string, chunk int, prompt string, text string, finish_reason string")
+
+
+def test_every_attempt_is_asked_once(spark, tmp_path):
+    """Two actions on the result, and answers that change from call to call: no row is lost, none doubled, none asked twice."""
+    requests = spark.createDataFrame([(str(k), "f", None, "p") for k in range(10)], "key string, field string, chunk int, prompt string")
+    model = Moody(tmp_path)
+    got = answers.validated(requests, model)
+    want = {str(k): ("cough, fever", 2) if k % 2 else (answers.FAILED, 3) for k in range(10)}
+    for _ in range(2):
+        assert {r.key: (r.value, r.attempt) for r in got.collect()} == want and got.count() == 10
+    assert [c.split("-")[:2] for c in model.calls()] == sorted([str(k), str(a)] for k in range(10) for a in range(1, 3 if k % 2 else 4))
+
+
+def test_a_ledger_is_gone_on_with(spark, tmp_path):
+    """The model dies at one request of the first attempt. The next run asks only what has no answer yet; progress is told by slice."""
+    (tmp_path / "calls").mkdir()
+    requests = spark.createDataFrame([(str(k), "f", 0, "p") for k in range(10)], "key string, field string, chunk int, prompt string")
+    told = []
+    book = lambda: answers.Ledger(spark, f"file://{tmp_path}/ledger", 4, lambda a, p: told.append((a, p)))
+    with pytest.raises(Exception, match="gone"):
+        answers.validated(requests, Moody(tmp_path / "calls", "4"), ledger=book())
+    kept = {r.key for r in spark.read.parquet(f"file://{tmp_path}/ledger/attempt-001").collect()} if told else set()
+    before = len(Moody(tmp_path / "calls").calls())
+    got = answers.validated(requests, Moody(tmp_path / "calls"), ledger=book())
+    assert got.count() == 10 and {r.key for r in got.collect()} == {str(k) for k in range(10)}
+    firsts = [c.split("-")[0] for c in Moody(tmp_path / "calls").calls() if c.split("-")[1] == "1"]
+    assert all(firsts.count(k) == 1 for k in kept) and len(firsts) >= 10 and before <= len(firsts)
+    again = len(Moody(tmp_path / "calls").calls())
+    answers.validated(requests, Moody(tmp_path / "calls"), ledger=book()).collect()
+    assert len(Moody(tmp_path / "calls").calls()) == again
+    last = [p for a, p in told if a == 3]
+    assert last and last[-1].done == last[-1].total and last[-1].rate > 0 and last[-1].seconds_left == 0 and last[-1].percent == 100
+
+
+def test_progress():
+    p = ledger.Progress(0, 0, 0.0, 10)
+    assert p.rate is None and p.seconds_left is None and p.percent == 0
+    p = p.plus(4, 1, 2.0)
+    assert (p.done, p.failed, p.rate, p.seconds_left, p.percent) == (4, 1, 2.0, 3.0, 40.0) and ledger.Progress(0, 0, 1.0, 0).percent == 100
+
+
 def test_budgets_and_settings(monkeypatch):
     b = answers.Budget()
     assert b.spend("429") == 30 and b.spend("timed out") == 5 and b.spend("timed out") is None and b.spend("x") == 5
@@ -385,7 +451,7 @@ def test_http_answers_by_field(spark, stub):
     requests = answers.requested(docs, "adverse_events", "section").drop("section")
     http = answers.HttpAnswers(answers.Settings(endpoint=url, model="m"), 2, {"rate": (2, 0.0), "timeout": (2, 0.0), "other": (2, 0.0)})
     assert http.preflight() == (True, "ready") and not answers.HttpAnswers(answers.Settings(endpoint="http://127.0.0.1:9/v1")).preflight()[0]
-    got = {r.key: (r.value, r.reason, r.attempt) for r in answers.validated(requests, http).cache().collect()}
+    got = {r.key: (r.value, r.reason, r.attempt) for r in answers.validated(requests, http).collect()}
     assert got["a"] == got["e"] == ("nausea, rash", "ok", 1) and got["b"] == ("nausea, rash", "ok", 2) and got["c"] == ("cough, pain", "ok", 1)
     assert got["d"][0] == "EXTRACTION_FAILED"
     lists = [b for b in seen if "adverse events" in b["messages"][-1]["content"]]
