@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import xxhash
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -38,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class RangeHash:
-    """Polynomial hashes modulo 2**64 of any ranges of a byte array; equal bytes give equal values."""
+    """Polynomial hashes modulo 2**64 of the windows of a byte array; equal bytes give equal values, so different values prove windows different, but not the reverse."""
 
     def __init__(self, data: np.ndarray, salt: int = 1):
         n = len(data)
@@ -60,23 +61,24 @@ class RangeHash:
 def words_of(texts: list[bytes], chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
     """(position of the text, hash) of every word: runs of bytes outside white space (0x20, 0x09-0x0D), A-Z lower-cased.
 
-    Works through the bytes in chunks that end between words, so memory beyond the result doesn't grow with the texts.
+    A word's hash is XXH3 of its bytes, taken once for each different word. Polynomials modulo 2**64 won't do: whatever their base, they are equal for
+    a Thue-Morse word and its complement. Works in parts that end between words, so memory beyond the result doesn't grow with the texts.
     """
-    joined = b" ".join(t.lower() for t in texts) + b" "
-    ends_of_text = np.cumsum([len(t) + 1 for t in texts])
     owners, values = [], []
-    at = 0
-    while at < len(joined):
-        gap = _BLANK.search(joined, min(at + chunk, len(joined)) - 1)
-        stop = gap.end()
-        data = np.frombuffer(joined, dtype=np.uint8, count=stop - at, offset=at)
-        space = (data == 32) | ((data >= 9) & (data <= 13))
-        edge = np.diff(space.astype(np.int8), prepend=1)
-        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        if len(starts):
-            values.append(RangeHash(data).of(starts, ends))
-            owners.append(np.searchsorted(ends_of_text, starts + at, side="right"))
-        at = stop
+    known: dict[bytes, int] = {}
+    for n, text in enumerate(texts):
+        at = 0
+        while at < len(text):
+            gap = _BLANK.search(text, min(at + chunk, len(text)) - 1)
+            stop = gap.end() if gap else len(text)
+            words = text[at:stop].lower().split()
+            at = stop
+            for w in dict.fromkeys(words):
+                if w not in known:
+                    known[w] = xxhash.xxh3_64_intdigest(w)
+            if words:
+                values.append(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)))
+                owners.append(np.full(len(words), n, dtype=np.int64))
     if not owners:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     return np.concatenate(owners), np.concatenate(values)

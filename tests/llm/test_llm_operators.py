@@ -670,6 +670,15 @@ def test_near_duplicates_of_awkward_rows(spark, awkward):
     assert minhash.near_duplicates(awkward.limit(0)).count() == 0
 
 
+def test_words_that_collide_in_polynomials(spark):
+    """A Thue-Morse word and its complement have one polynomial modulo 2**64, whatever the base; they share no shingle."""
+    bits = [bin(n).count("1") % 2 for n in range(1024)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    rows = [(1, one), (2, other), (3, f"{one} x y z w"), (4, f"{other} x y z w"), (5, one.upper())]
+    got = {k: (v["component_id"], v["kept"]) for k, v in taken(minhash.near_duplicates(texts(spark, rows))).items()}
+    assert got == {1: (1, True), 2: (2, True), 3: (3, True), 4: (4, True), 5: (1, False)}
+
+
 def test_components(spark):
     rng = random.Random(12)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(25)] + [(7, 7), (None, 1)]
