@@ -68,6 +68,7 @@ class Locator:
     extra: dict = field(default_factory=dict)
 
 
+# --- Fixed values: which titles, words and shapes tell each section's start and end. ------------------------------------
 SECTIONS = {
     "indications": Locator(_flex(INDICATIONS), next_body=_flex(("CONTRAINDICATIONS", "CONTRAINDICATIONS AND PRECAUTIONS", "WARNINGS AND PRECAUTIONS", "DOSAGE AND ADMINISTRATION")), headers=_flex(INDICATIONS[:3]), chars=6000),
     "contraindications": Locator(_flex(CONTRAINDICATIONS), next_body=_flex(("SERIOUS WARNINGS AND PRECAUTIONS BOX", "WARNINGS AND PRECAUTIONS", "WARNINGS", "PRECAUTIONS", "DOSAGE AND ADMINISTRATION")), span=4, headers=_flex(CONTRAINDICATIONS[:2]), chars=6000),
@@ -77,6 +78,7 @@ SECTIONS = {
     "kinetics": Locator(_flex(KINETICS), body="lines", next_body=_flex(KINETICS_ENDS), next_where="lines", span=10, most_pages=10, headers=_flex(("PHARMACOKINETICS", "CLINICAL PHARMACOLOGY"))),
     "dynamics": Locator(_flex(DYNAMICS), body="lines", next_body=_flex(("PHARMACOKINETICS", *KINETICS_ENDS)), next_where="lines", span=3, most_pages=10, headers=_flex(DYNAMICS)),
 }
+# --- End of fixed values. ---------------------------------------------------------------------------------------------
 
 
 def toc(pages: Column, n: int) -> Column:

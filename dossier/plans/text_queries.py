@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,35 +14,10 @@ from ..sources import records
 from ..sources.shared import shared_folder
 from .list_queries import _answer_items_sql, _in, _strip, _t
 
-# Pages of made-up documents: numbered and plain tables of contents, a broken heading, no contents, no header, nothing.
-_FIXTURE = {
-    "a": ["TABLE OF CONTENTS\n1 INDICATIONS............3\n2 CONTRAINDICATIONS......4\n7.1 ADVERSE REACTIONS.....5\n9 DRUG INTERACTIONS......6\n10 OVERDOSAGE.....7", "front", "INTRO\nINDICATIONS\nfor pain", "CONTRAINDICATIONS\nallergy", "ADVERSE REACTIONS\nnausea", "DRUG INTERACTIONS\nwarfarin", "OVERDOSAGE\ncall"],
-    "b": ["TABLE OF CONTENTS\nINDICATIONS 2 \nCONTRA INDICATIONS 3 ", "THERAPEUTIC INDICATIONS\nfever", "CONTRAINDICATIONS\nasthma", "WARNINGS\nnone"],
-    "c": ["cover", "INDI CATIONS\ncough", "more", "DOSAGE AND ADMINISTRATION\ndaily"],
-    "d": ["1 INDICATIONS.....2\n2 WARNINGS.....3", "no header here", "WARNINGS\nx"],
-    "e": ["nothing to find"],
-    "f": [],
-}
-
-
 #: Keywords of the passages query; letters that have no case forms beyond ASCII.
 _KEYWORDS = "tion|heit|que"
 
 
-def _fixture(spark) -> DataFrame:
-    rows = [(k, [(i + 1, t) for i, t in enumerate(p)]) for k, p in _FIXTURE.items()]
-    return spark.createDataFrame(rows, f"key string, pages {L.PAGES}")
-
-
-def toc_locate_first_match(spark, sf_dir):
-    """Start, end and status of two sections in the made-up documents."""
-    out = None
-    for s in ("indications", "contraindications"):
-        part = L.locate(_fixture(spark), s).select("key", F.lit(s).alias("section"), F.col(f"{s}_start").alias("start"), F.col(f"{s}_end").alias("end"), F.col(f"{s}_status").alias("status"), F.coalesce(F.length(f"{s}_text"), F.lit(0)).alias("chars"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def _paged(spark, sf_dir) -> DataFrame:
     """Documents in pages of ten lines."""
     lines = F.split("text", "\n")
@@ -108,18 +81,16 @@ def upper_median_pages(spark, sf_dir):
     return R.upper_median(_t(spark, sf_dir, "documents"), "n_chars", "source")
 
 
-def profile_summary(spark, sf_dir):
-    """Summary of the made-up documents' profiles."""
-    return R.summarise(R.analyse(_fixture(spark)))
-
-
 def jsonl_resume_read(spark, sf_dir):
-    """A record file with a blank, a broken and a cut line: what a resumed run reads."""
-    rows = [json.dumps({"Source Path": f"{i}.pdf", "Brand Name": "ERROR: x" if i % 5 == 0 else f"b{i}"}) for i in range(20)]
+    """All documents as a record file in which some lines are blank, broken or cut: what a resumed run reads."""
+    d = _t(spark, sf_dir, "documents")
+    brand = F.when(F.col("doc_id") % 5 == 0, "ERROR: x").otherwise(F.col("text"))
+    line = F.to_json(F.struct(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("Source Path"), brand.alias("Brand Name")))
+    damaged = F.when(F.col("doc_id") % 11 == 0, "{broken").when(F.col("doc_id") % 13 == 0, line.substr(F.lit(1), F.length(line) - 7)).when(F.col("doc_id") % 17 == 0, "").otherwise(line)
     path = shared_folder(spark, "records.jsonl")
-    spark.createDataFrame([(x,) for x in [*rows, "", "{broken", rows[0][:15]]], "value string").write.text(path)
+    d.select(damaged.alias("value")).write.text(path)
     read = records.read_records(spark, path, ["Source Path", "Brand Name"])
-    return records.split_bad(read)[0].select(F.col("Source Path").alias("key"), F.col("Brand Name").alias("brand"))
+    return records.split_bad(read)[0].select(F.col("Source Path").alias("key"), F.md5("Brand Name").alias("brand"))
 
 
 def label_html_pages(spark, sf_dir):
@@ -129,26 +100,16 @@ def label_html_pages(spark, sf_dir):
     return scrub_controls(_t(spark, sf_dir, "pages")).select("page_id", F.md5("html").alias("digest"), F.length("url").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (toc_locate_first_match, locate_all_sections, toc_buffer, keyword_passages, chunk_documents, chunk_merge_dedup, tidy_lines, corpus_profile, corpus_quartiles, upper_median_pages, profile_summary, jsonl_resume_read, label_html_pages)}
+QUERIES = {f.__name__: f for f in (locate_all_sections, toc_buffer, keyword_passages, chunk_documents, chunk_merge_dedup, tidy_lines, corpus_profile, corpus_quartiles, upper_median_pages, jsonl_resume_read, label_html_pages)}
 
 _PAGED = "l AS (SELECT doc_id, lang, string_split(text, chr(10)) AS s FROM documents), pg AS (SELECT doc_id, lang, list_transform(range(0, len(s), 10), lambda i: array_to_string(s[i + 1:i + 10], chr(10))) AS p FROM l)"
-#: The summary of the made-up documents, counted by hand: only `a` has 50 characters a sampled page, a contents heading and all sections.
-_FLAGS = ("has_toc", "part_i", "part_ii", "part_iii", "consumer_information", "patient_medication_information", "numbered_sections", "french")
-_SUMMARY = {"documents": 6, "with_text": 1} | {f"{kind}_{f}": (1 if kind == "n" else "100.0") if f in ("has_toc", "numbered_sections") else 0 if kind == "n" else "0.0" for f in _FLAGS for kind in ("n", "pct")}
-_SUMMARY |= {f"{h}_{kind}": n for h, ns in {"indications": (3, 1, 2), "contraindications": (2, 0, 4), "adverse": (1, 0, 5), "interactions": (1, 0, 5)}.items() for kind, n in zip(("plain", "tolerant", "missing"), ns)}
-_SUMMARY["all_sections"] = 1
 #: Recursion over the pieces of a text: r has doc_id, chunk, text, and where the piece starts and ends.
 _PIECES = """d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
 s AS (SELECT doc_id, text, n, 0 AS chunk, 0 AS st, CASE WHEN n <= 8000 THEN n ELSE 6000 END AS hard FROM d),
 r AS (SELECT doc_id, text, n, chunk, st, CASE WHEN hard < n AND instr(reverse(substr(text, st + 3001, 3000)), chr(10)) > 0 THEN st + 6000 - instr(reverse(substr(text, st + 3001, 3000)), chr(10)) ELSE hard END AS en FROM s
 UNION ALL SELECT doc_id, text, n, chunk + 1, ns, CASE WHEN ns + 6000 < n AND instr(reverse(substr(text, ns + 3001, 3000)), chr(10)) > 0 THEN ns + 6000 - instr(reverse(substr(text, ns + 3001, 3000)), chr(10)) ELSE least(ns + 6000, n) END FROM (SELECT *, greatest(en - 300, st + 1) AS ns FROM r WHERE en < n))"""
 _BROKEN = "CASE WHEN doc_id % 2 = 0 THEN replace(text, ' ', chr(10)) ELSE text END"
-#: What the made-up documents must give, worked out by hand from the rules.
-_LOCATED = """('a', 'indications', 3, 4, 'ok', 46), ('b', 'indications', 2, 3, 'ok', 54), ('c', 'indications', 2, 4, 'ok', 55), ('d', 'indications', 2, 3, 'ok', 10), ('e', 'indications', NULL, NULL, 'SECTION_NOT_FOUND', 0),
-('f', 'indications', NULL, NULL, 'NO_TEXT_FOUND', 0), ('a', 'contraindications', 4, 5, 'ok', 50), ('b', 'contraindications', 3, 4, 'ok', 38), ('c', 'contraindications', NULL, NULL, 'SECTION_NOT_FOUND', 0),
-('d', 'contraindications', NULL, NULL, 'SECTION_NOT_FOUND', 0), ('e', 'contraindications', NULL, NULL, 'SECTION_NOT_FOUND', 0), ('f', 'contraindications', NULL, NULL, 'NO_TEXT_FOUND', 0)"""
 ORACLE_SQL = {
-    "toc_locate_first_match": f"SELECT * FROM (VALUES {_LOCATED}) t(key, section, start, \"end\", status, chars)",
     "toc_buffer": f"WITH {_PAGED} SELECT doc_id, md5(array_to_string(list_transform(p[1:3], lambda x, i: chr(10) || '--- PAGE ' || i || ' ---' || chr(10) || x || chr(10)), '')) AS toc, len(p)::INT AS n_pages FROM pg",
     "chunk_documents": f"WITH RECURSIVE {_PIECES} SELECT doc_id, chunk::INT AS chunk, (en - st)::INT AS chars, md5(substr(text, st + 1, en - st)) AS digest FROM r",
     "chunk_merge_dedup": f"""WITH RECURSIVE {_PIECES}, p AS (SELECT doc_id, chunk, substr(text, st + 1, en - st) AS piece FROM r), {_answer_items_sql("p", "doc_id, chunk", "piece")},
@@ -164,13 +125,12 @@ s AS (SELECT doc_id, island, min(low) AS low, max(high) AS high, any_value(t) AS
 SELECT doc_id, coalesce(substr(v, 1, 2000), '') AS passages FROM d LEFT JOIN j USING (doc_id)""",
     # The documents are invented prose without any heading, so the default start of one section, page 9, is all that is ever found; a start page without its heading is dropped, so text comes from page 10 on.
     "locate_all_sections": f"SELECT section, CASE WHEN text IS NULL THEN 'NO_TEXT_FOUND' WHEN section = 'adverse' THEN CASE WHEN (len(string_split(text, chr(10))) + 9) // 10 >= 10 THEN 'ok' ELSE 'CONTENT_EXTRACTION_FAILED' END ELSE 'SECTION_NOT_FOUND' END AS status, count(*) AS n FROM documents, (SELECT unnest([{_in(L.SECTIONS)}]) AS section) GROUP BY ALL",
-    "profile_summary": "SELECT " + ", ".join(f"{v} AS {k}" for k, v in _SUMMARY.items()),
     "tidy_lines": f"WITH d AS (SELECT doc_id, {_BROKEN} AS t FROM documents), m AS (SELECT *, list_sort(list_transform(list_filter(string_split(t, chr(10)), lambda x: {_strip('x')} <> ''), lambda x: length({_strip('x')}))) AS ls FROM d) SELECT doc_id, md5(CASE WHEN ls[len(ls) // 2 + 1] < 20 THEN regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]*\\n[ \\t]*(\\n[ \\t]*)*', ' ', 'g'), '(\\w) - (\\w)', '\\1-\\2', 'g'), '[ \\t]{{2,}}', ' ', 'g') ELSE t END) AS digest FROM m".replace("{{", "{").replace("}}", "}"),
     "corpus_profile": f"""WITH {_PAGED}, f AS (SELECT lang, p, array_to_string(p[1:12], chr(10)) AS front, list_distinct([0, len(p) // 2, len(p) - 1]) AS ix FROM pg),
 c AS (SELECT *, round(list_sum(list_transform(ix, lambda i: length(p[i + 1]))) / len(ix), 1) AS chars, regexp_replace(front, '\\s+', ' ', 'g') AS flat FROM f)
 SELECT lang, count(*) AS n, sum(len(p))::BIGINT AS pages, count(*) FILTER (WHERE chars >= 50) AS with_text, count(*) FILTER (WHERE regexp_matches(front, '(?i){spaced('TABLE OF CONTENTS')}|{spaced('TABLE DES MATI')}') OR len(regexp_extract_all(front, '{R.LEADERS}')) >= 5) AS with_toc, count(*) FILTER (WHERE regexp_matches(flat, '(?i)PART\\s*I\\b')) AS part_i, count(*) FILTER (WHERE regexp_matches(flat, '(?i)MONOGRAPHIE\\s+DE\\s+PRODUIT|RENSEIGNEMENTS\\s+POUR|CONTRE-INDICATIONS')) AS french, round(sum(chars), 1) AS chars, sum(len(list_distinct(list_concat(regexp_extract_all(front, '(?i){spaced('INDICATIONS AND CLINICAL USE')}'), regexp_extract_all(front, '(?i){spaced('INDICATIONS')}')))))::BIGINT AS spellings FROM c GROUP BY lang""",
     "corpus_quartiles": "SELECT lang, min(n_chars) AS min, quantile_cont(n_chars, 0.25) AS q1, quantile_cont(n_chars, 0.5) AS median, quantile_cont(n_chars, 0.75) AS q3, max(n_chars) AS max FROM documents GROUP BY lang",
     "upper_median_pages": "SELECT source, list_sort(list(n_chars))[count(*) // 2 + 1] AS upper_median FROM documents GROUP BY source",
-    "jsonl_resume_read": "SELECT i || '.pdf' AS key, CASE WHEN i % 5 = 0 THEN 'ERROR: x' ELSE 'b' || i END AS brand FROM range(20) t(i)",
+    "jsonl_resume_read": "SELECT doc_id || '.pdf' AS key, md5(CASE WHEN doc_id % 5 = 0 THEN 'ERROR: x' ELSE text END) AS brand FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id % 17 <> 0",
     "label_html_pages": "SELECT page_id, md5(regexp_replace(html, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')) AS digest, length(url)::INT AS chars FROM pages",
 }

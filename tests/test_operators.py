@@ -65,7 +65,8 @@ def test_outline_and_text_sections():
     body = "INDICATIONS\n" + "word " * 20 + "\nCONTRAINDICATIONS\n" + "more " * 20
     assert X.find_section([(1, body)], [], "indications") == (body.split("\nCONTRA")[0].strip(), "text search")
     assert X.find_section([(1, "x")], [], "box") == (None, None) and X.find_section([], [(0, "1 Indications", 1)], "indications") == (None, None)
-    assert X.points_elsewhere("see section ") and X.points_elsewhere("(a ") and not X.points_elsewhere("(a) ")
+    reference = lambda before: X.surroundings(before + "TITLE", len(before)).is_reference
+    assert reference("see section ") and reference("(a ") and not reference("(a) ") and not reference("")
 
 
 def test_heading_on_the_page_before_and_neighbouring_warnings():
