@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +89,24 @@ def discover(spark: SparkSession, root: str, suffix: str = "pdf", recursive: boo
     return keyed(files, root).select("path", "key", "filename", "length", F.col("modificationTime").alias("modified"))
 
 
+def write_files(df: DataFrame, root: str, name: str, content: str) -> int:
+    """Write each row's content as one file below root, through the file system that root names; the number of files. A task that runs again writes the same files again."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, data in zip(batch[name], batch[content]):
+                target = f"{base}/{path}"
+                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(target) as out:
+                    out.write(data if isinstance(data, bytes) else data.encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return df.select(name, content).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def keyed(files: DataFrame, root: str) -> DataFrame:
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     key = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", ""), "^" + re.escape(base) + "/", "")

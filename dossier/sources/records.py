@@ -80,13 +80,14 @@ def write_field_tables(df: DataFrame, root: str, headers: dict[str, str] | None
         if f.kind == "key" or f.record not in df.columns:
             continue
         path = f"{root}/{f.name}"
-        df.select("ID", F.col(f"`{f.record}`").alias((headers or {}).get(f.record, f.evaluation or f.record))).write.mode("overwrite").csv(path, header=True)
+        write_csv(df.select("ID", F.col(f"`{f.record}`").alias((headers or {}).get(f.record, f.evaluation or f.record))), path)
         out.append(path)
     return out
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).csv(path, header=True, quoteAll=False, escape='"')
+    """Values as they are: blanks at their ends and line breaks within them are kept."""
+    df.write.mode(mode).csv(path, header=True, quoteAll=False, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
