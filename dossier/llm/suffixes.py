@@ -7,7 +7,8 @@ How the suffixes are dealt to tasks:
 
 1. Each window of `length` bytes has an anchor, the byte k-gram of least hash in it. Equal windows have equal anchors at the same
    place, so a window whose anchor occurs once is unique. Consecutive windows with one anchor are a run; there is one for every
-   eighty bytes or so, and only runs with a repeated anchor go on. Equal texts count as one here.
+   eighty bytes or so, and only runs with a repeated anchor go on. Neighbouring runs with equal contexts, which text with a short period is full
+   of, are folded into one; their windows repeat, whatever else there is. Equal texts count as one here.
 2. A run's context is the bytes its windows cover. Equal contexts fall together, with map-side aggregation: what thousands of
    documents share is one row from here on.
 3. Contexts meet by anchor and are sorted there (suffix_order, repeated_windows). The suffixes that start at the anchor are sorted by
@@ -40,7 +41,7 @@ LENGTH, GRAM, MOST = 200, 40, 4096
 #: Bytes hashed at a time, windows sorted at a time, bytes that the quicksort looks at, and anchors by level (0: all of the window).
 PIECE, WINDOWS, SHALLOW, LEVELS = 1 << 19, 1 << 18, 16, (1, 4, 16, 0)
 _PLACE_BITS = np.uint64(28)
-RUNS = "h1 long, h2 long, anchors array<long>, starts array<int>, counts array<int>, places array<int>"
+RUNS = "h1 long, h2 long, anchors array<long>, starts array<int>, counts array<int>, places array<int>, times array<int>"
 CONTEXT = "start int, repeats boolean, anchor long, n int, place int, digest binary, context binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -100,8 +101,28 @@ def runs_of(data: np.ndarray, size: np.ndarray, length: int, gram: int, anchors:
     return owner[heads], heads - first[owner[heads]], counts, at[heads] - heads, key[heads]
 
 
+def folded(data: np.ndarray, first: np.ndarray, counts: np.ndarray, places: np.ndarray, keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs stay when neighbours with equal contexts become one, and how many each stands for.
+
+    Text with a period shorter than a window makes a run of each period, and their contexts are equal; in what stays the whole stretch is one run,
+    except for its last ones. first: where each run starts in data. Equality is checked byte by byte, in time linear in the stretch.
+    """
+    follows = (keys[1:] == keys[:-1]) & (counts[1:] == counts[:-1]) & (places[1:] == places[:-1]) & (np.diff(first) == counts[:-1])
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], follows.astype(np.int8), [0]])))
+    keep, times = np.ones(len(first), dtype=bool), np.ones(len(first), dtype=np.int64)
+    for a, b in edges.reshape(-1, 2).tolist():  # runs a to b
+        n, begin, end = int(counts[a]), int(first[a]), int(first[b] + counts[b]) + length - 1
+        differ = np.concatenate([[0], np.cumsum(data[begin : end - n] != data[begin + n : end])])
+        at = first[a:b] - begin
+        equal = differ[at + n + length - 1] == differ[at]
+        keep[a + 1 : b + 1] = ~equal
+    heads = np.flatnonzero(keep)
+    times[heads] = np.diff(np.append(heads, len(first)))
+    return keep, times[keep]
+
+
 def text_runs(texts: list[bytes], length: int, gram: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, ...]]:
-    """The columns of runs_of for texts of any length, in pieces of bounded size."""
+    """The columns of runs_of for texts of any length, in pieces of bounded size, with runs of equal contexts folded, and how many each stands for."""
     parts = [(i, a) for i, t in enumerate(texts) for a in range(0, max(len(t) - length + 1, 0), piece)]
     done = 0
     while done < len(parts):
@@ -112,8 +133,10 @@ def text_runs(texts: list[bytes], length: int, gram: int, piece: int = PIECE) ->
             total += len(block[-1][2])
             done += 1
         text, offset = np.array([b[0] for b in block]), np.array([b[1] for b in block])
-        owner, start, *rest = runs_of(np.frombuffer(b"".join(b[2] for b in block), dtype=np.uint8), np.array([len(b[2]) for b in block]), length, gram)
-        yield (text[owner], start + offset[owner], *rest)
+        data, size = np.frombuffer(b"".join(b[2] for b in block), dtype=np.uint8), np.array([len(b[2]) for b in block])
+        owner, start, *rest = runs_of(data, size, length, gram)
+        keep, times = folded(data, (np.cumsum(size) - size)[owner] + start, *rest, length)
+        yield (text[owner][keep], (start + offset[owner])[keep], *(r[keep] for r in rest), times)
 
 
 # --- deep-shallow sorting ---------------------------------------------------------------------------------------------
@@ -346,41 +369,50 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def find_runs(batches):
         for batch in slices(batches, "text"):
             texts = [t.as_py().encode() for t in batch.column("text")]
-            columns = [np.concatenate(c) for c in zip(*text_runs(texts, length, gram))] or [np.zeros(0, dtype=np.int64)] * 5
+            columns = [np.concatenate(c) for c in zip(*text_runs(texts, length, gram))] or [np.zeros(0, dtype=np.int64)] * 6
             cuts = pa.array(np.searchsorted(columns[0], np.arange(len(texts) + 1)).astype(np.int32))
             lists = lambda j, t: pa.ListArray.from_arrays(cuts, pa.array(columns[j].view(np.int64)).cast(t))
-            yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), lists(4, pa.int64()), lists(1, pa.int32()), lists(2, pa.int32()), lists(3, pa.int32())], names=["h1", "h2", "anchors", "starts", "counts", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), lists(4, pa.int64()), lists(1, pa.int32()), lists(2, pa.int32()), lists(3, pa.int32()), lists(5, pa.int32())], names=["h1", "h2", "anchors", "starts", "counts", "places", "times"])
 
     hashed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     hashed = hashed.select("id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     long_enough = hashed.where(F.octet_length("text") >= length)
     classes = space.save(long_enough.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
     runs = space.save(long_enough.select("h1", "h2", "text").mapInArrow(find_runs, RUNS), "runs")
-    single = runs.select("h1", "h2", F.explode(F.arrays_zip("anchors", "starts", "counts", "places")).alias("r")).select("h1", "h2", F.col("r.anchors").alias("anchor"), F.col("r.starts").alias("start"), F.col("r.counts").alias("n"), F.col("r.places").alias("place"))
+    single = runs.select("h1", "h2", F.explode(F.arrays_zip("anchors", "starts", "counts", "places", "times")).alias("r"))
+    single = single.select("h1", "h2", F.col("r.anchors").alias("anchor"), F.col("r.starts").alias("start"), F.col("r.counts").alias("n"), F.col("r.places").alias("place"), F.col("r.times").alias("times"))
     mark = F.xxhash64("h1", "start")
     repeated = single.groupBy("anchor").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo <> hi").select("anchor")
     # Copies of a text fall together here, and not in the join's own tasks, so a hot anchor's can be split.
     wanted = single.join(repeated, "anchor", "left_semi")
-    lists = wanted.groupBy("h1", "h2").agg(F.collect_set(F.struct("anchor", "start", "n", "place")).alias("runs")).join(classes.select("h1", "h2", "id"), ["h1", "h2"])
+    lists = wanted.groupBy("h1", "h2").agg(F.collect_set(F.struct("anchor", "start", "n", "place", "times")).alias("runs")).join(classes.select("h1", "h2", "id"), ["h1", "h2"])
     lists = space.save(lists, "wanted")
+    # Windows of a folded run repeat whatever else there is: their stretches are known here.
+    stretch = F.array(F.col("start"), F.col("start") + F.col("n") * F.col("times") - 1)
+    stretches = space.save(single.where("times > 1").groupBy("h1", "h2").agg(F.flatten(F.collect_set(stretch)).alias("spans")), "stretches")
     space.drop(runs)
     let_go(spark)
 
     def cut(batches):
         for batch in slices(batches, "text"):
-            rows = []
+            rows, held = [], 0
             for h1, h2, text, found in zip(*(batch.column(c) for c in ("h1", "h2", "text", "runs"))):
                 raw, h1, h2 = text.as_py().encode(), h1.as_py(), h2.as_py()
                 for r in found.as_py():
                     context = raw[r["start"] : r["start"] + r["n"] + length - 1]
-                    rows.append((h1, h2, r["start"], False, r["anchor"], r["n"], r["place"], hashlib.md5(context).digest(), context))
+                    rows.append((h1, h2, r["start"], r["times"] > 1, r["anchor"], r["n"], r["place"], hashlib.md5(context).digest(), context))
+                    held += len(context)
+                    if held >= PIECE:
+                        yield _batch(rows, {"h1": pa.int64(), "h2": pa.int64()} | _CONTEXT)
+                        rows, held = [], 0
             if rows:
                 yield _batch(rows, {"h1": pa.int64(), "h2": pa.int64()} | _CONTEXT)
 
     contexts = space.save(hashed.join(lists, ["id", "h1", "h2"]).select("h1", "h2", "text", "runs").mapInArrow(cut, f"h1 long, h2 long, {CONTEXT}"), "contexts")
     space.drop(lists)
     let_go(spark)
-    spans = _answers(contexts, {"h1": "long", "h2": "long"}, space, length, gram, most)
+    spans = _answers(contexts, {"h1": "long", "h2": "long"}, space, length, gram, most).unionByName(stretches)
+    spans = spans.groupBy("h1", "h2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     found = space.save(classes.select("h1", "h2", "copies").join(spans, ["h1", "h2"], "left").where("copies > 1 or spans is not null"), "found")
     space.drop(contexts)
     return found

@@ -204,6 +204,31 @@ def test_repeats_of_awkward_rows(spark, awkward):
     assert suffixes.remove_repeats(awkward.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 4096])
+def test_repeats_of_periodic_texts(spark, most):
+    """Stretches with periods below and above a window, broken here and there, in one text and across texts."""
+    rng = random.Random(most)
+    rows = []
+    for k in range(40):
+        phrase = "".join(rng.choice("ab") for _ in range(rng.choice([1, 2, 3, 5, 7, 13, 30])))
+        text = list((phrase * 200)[: rng.randrange(20, 300)])
+        for _ in range(rng.randrange(3)):
+            text[rng.randrange(len(text))] = rng.choice("abc")
+        rows.append("".join(text))
+    got = taken(suffixes.remove_repeats(texts(spark, list(enumerate(rows))), length=24, gram=9, most=most))
+    assert [tuple(got[i])[1:] for i in range(len(rows))] == removed(rows, 24)
+
+
+def test_long_periodic_texts_stay_small(spark):
+    """5 MB of one letter, of a pair and of a phrase: a few runs for each piece, and everything goes."""
+    long = {1: "a" * 5_000_000, 2: "0," * 2_500_000, 3: "never mind " * 450_000, 4: "x" + "0," * 200}
+    for text in list(long.values())[:3]:
+        parts = [list(zip(*(c.tolist() for c in part))) for part in suffixes.text_runs([text.encode()], 200, 40)]
+        assert max(map(len, parts)) <= 4 and sum(n * m for part in parts for _, _, n, _, _, m in part) == len(text) - 199
+    got = taken(suffixes.remove_repeats(texts(spark, list(long.items()))))
+    assert [(got[i].n_removed, got[i].n_spans) for i in long] == [(5_000_000, 1), (5_000_000, 1), (4_950_000, 1), (400, 1)]
+
+
 def test_pieces_of_long_texts_give_the_same_windows():
     rng = random.Random(6)
     raw = bytes(rng.randrange(97, 101) for _ in range(500))
@@ -211,7 +236,8 @@ def test_pieces_of_long_texts_give_the_same_windows():
     def spread(piece):
         columns = [c for part in suffixes.text_runs([b"", raw], 24, 9, piece) for c in zip(*(x.tolist() for x in part))]
         assert all(t == 1 for t, *_ in columns)
-        return {s + i: (s + p, k) for _, s, n, p, k in columns for i in range(n)}
+        assert all(m == 1 for *_, m in columns)
+        return {s + i: (s + p, k) for _, s, n, p, k, _ in columns for i in range(n)}
 
     assert spread(1 << 20) == spread(50) and len(spread(50)) == 477
 
