@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, spaced
+from ..sources.shared import running_sums
 
 FRONT_PAGES, LEAST_CHARS, LEADER_LINES = 12, 50, 5
 #: Headings that are looked for, with their spellings, and the dates' pattern.
@@ -59,15 +60,47 @@ def analyse(df: DataFrame, pages: str = "pages", outline: str | None = None) ->
     return out.withColumn("p_has_text_layer", F.col("p_chars_per_sampled_page") >= LEAST_CHARS).withColumn("p_has_toc", F.col("p_has_toc_heading") | (F.col("p_toc_leader_lines") >= LEADER_LINES))
 
 
+def order_statistics(df: DataFrame, column: str, ranks: dict[str, Column], *keys: str) -> DataFrame:
+    """For each group its number of values n (nulls don't count) and the values at some ranks, each an expression over n (from 0, in ascending order).
+
+    Exact selection in bounded memory: equal values are counted with map-side aggregation, the counts are summed up by ranges of
+    (group, value), and a rank's value is the one whose interval of ranks has it. One group may have all rows.
+    """
+    value = F.col(f"`{column}`")
+    counted = df.where(value.isNotNull()).groupBy(*keys, value.alias("__v")).agg(F.count("*").alias("__c"))
+    upto = running_sums(counted, list(keys), ["__v"], "__c", "__upto")
+    sizes = upto.groupBy(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)]).agg(F.sum("__c").alias("n"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__g{i}"))
+    placed = upto.join(sizes if keys else F.broadcast(sizes), same)
+    found = [F.max(F.when((r >= F.col("__upto") - F.col("__c")) & (r < F.col("__upto")), F.col("__v"))).alias(name) for name, r in ranks.items()]
+    return placed.groupBy(*keys).agg(F.max("n").alias("n"), *found)
+
+
+def quantiles(df: DataFrame, column: str, shares: dict[str, float], *keys: str) -> DataFrame:
+    """Quantiles by linear interpolation between the two values around rank share x (n - 1)."""
+    place = {name: F.lit(q) * (F.col("n") - 1) for name, q in shares.items()}
+    ranks = {f"__low_{name}": F.floor(p) for name, p in place.items()} | {f"__high_{name}": F.ceil(p) for name, p in place.items()}
+    out = order_statistics(df, column, ranks, *keys)
+
+    def between(name: str) -> Column:
+        low, high = (F.col(f"__{side}_{name}").cast("double") for side in ("low", "high"))
+        return low + (high - low) * (place[name] - F.floor(place[name]))
+
+    return out.select(*keys, *[between(name).alias(name) for name in shares])
+
+
 def quartiles(df: DataFrame, column: str, *keys: str) -> DataFrame:
     """Least, quartiles by linear interpolation, and greatest."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*keys).agg(F.min(column).alias("min"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max(column).alias("max"))
+    kind = df.schema[column].dataType
+    out = quantiles(df, column, {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}, *keys)
+    return out.withColumns({c: F.col(c).cast(kind) for c in ("min", "max")})
 
 
 def upper_median(df: DataFrame, column: str, *keys: str) -> DataFrame:
     """The middle value, the higher one of two."""
-    return df.groupBy(*keys).agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)").cast(df.schema[column].dataType).alias("upper_median"))
+    return order_statistics(df, column, {"upper_median": F.floor(F.col("n") / 2)}, *keys).drop("n")
 
 
 def distinct_counts(df: DataFrame, counted: dict[str, list[str]], *keys: str) -> DataFrame:

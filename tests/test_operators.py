@@ -11,6 +11,7 @@ from dossier.functions import catalog as C
 from dossier.operators import locate as L
 from dossier.operators import matching as M
 from dossier.operators import passages as P
+from dossier.operators import profile as R
 from dossier.operators import resampling as B
 from dossier.operators import sections as X
 from dossier.operators import scoring as S
@@ -201,6 +202,19 @@ def test_exact_signed_rank(spark):
     assert got[103].n == 60 and 0 < got[103].p < 1
 
 
+def test_exact_quantiles_of_one_group(spark):
+    """Nearly all rows in one group, ties, nulls, one value, and no group at all."""
+    rng = random.Random(9)
+    rows = [("hot", rng.randrange(60)) for _ in range(500)] + [("one", 7), ("two", 1), ("two", 4), (None, 3), ("hot", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v int").repartition(7)
+    got = {r.g: tuple(r)[1:] for r in R.quartiles(df, "v", "g").collect()}
+    groups = {g: [v for h, v in rows if h == g and v is not None] for g in {g for g, _ in rows}}
+    assert got == {g: (min(v), *np.quantile(v, [0.25, 0.5, 0.75]).tolist(), max(v)) for g, v in groups.items() if v}
+    assert {r.g: r.upper_median for r in R.upper_median(df, "v", "g").collect()} == {g: sorted(v)[len(v) // 2] for g, v in groups.items() if v}
+    every = [v for _, v in rows if v is not None]
+    assert R.quantiles(df, "v", {"a": 0.1, "b": 0.99}).first() == tuple(np.quantile(every, [0.1, 0.99]).tolist())
+
+
 def test_micro_f1_of_zeros_is_undefined(spark):
     df = spark.createDataFrame([(0, 2, 3)], "tp int, fp int, fn int")
     assert S.micro(df).first()["f1"] is None and S.prf(df).first()["f1"] == 0.0
