@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import catalog as C
 from ..functions import ids, text
 from ..functions import keyword_list as K
-from ..sources import answers, files, lookups, records
+from ..sources import answers, files, lookups, paged, records
 from ..sources.shared import shared_folder
 from .eval_queries import _empty_sql
 from .list_queries import _in, _q, _strip, _t
@@ -84,6 +84,17 @@ def decoded_files(spark, sf_dir):
     return docs.select("key", "sha256", F.md5(files.page_text(F.col("pages"), (0, 2, 9))).alias("chosen"), F.md5(files.page_range(F.col("pages"), 2, 3)).alias("range"), entry["page"].alias("page"), entry["depth"].alias("depth"), entry["title"].alias("title"), F.col("error").isNull().alias("whole"))
 
 
+def paged_file_source(spark, sf_dir):
+    """Pages 2 and 3 of every file, through the data source; files of broken bytes are told apart."""
+    p = _t(spark, sf_dir, "pages")
+    text = F.concat("url", F.lit("\f"), "html", F.lit("\f"), F.when(F.col("page_id") % 3 == 0, " ").otherwise("third"), F.lit("\ffourth"))
+    content = F.when(F.col("page_id") % 7 == 0, F.unhex(F.lit("61FF0C62FF"))).otherwise(F.encode(text, "UTF-8"))
+    root = shared_folder(spark, "paged")
+    files.write_files(p.select(F.concat((F.col("page_id") % 4).cast("string"), F.lit("/"), F.col("page_id").cast("string"), F.lit(".Txt")).alias("name"), content.alias("content")), root, "name", "content")
+    rows = paged.read_pages(spark, root, "txt", "strict text", 2, 3, partition_bytes=100_000)
+    return rows.select("key", "page_num", F.md5("text").alias("digest"), F.col("error").isNotNull().alias("broken"))
+
+
 def first_outline_hits(spark, sf_dir):
     """For each document and target the first outline entry that matches."""
     return files.first_entries(outlined(spark, sf_dir), "doc_id", {"warn": "warn|precaut", "part two": r"^part\s+ii", "none": "overdose"})
@@ -153,7 +164,7 @@ def merged_outputs(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        record_rewrite, field_tables, csv_round_trip, json_document, discovered_files, decoded_files, first_outline_hits, memoised_lookup, prompts, status_options, names_in_text, released_texts, aliased_names, item_sets, merged_outputs,
+        record_rewrite, field_tables, csv_round_trip, json_document, discovered_files, decoded_files, paged_file_source, first_outline_hits, memoised_lookup, prompts, status_options, names_in_text, released_texts, aliased_names, item_sets, merged_outputs,
     )
 }
 
@@ -177,6 +188,8 @@ ORACLE_SQL = {
     "json_document": "SELECT item_id, text, true AS none FROM benchmark",
     "discovered_files": f"WITH f AS (SELECT page_id, {_FILE} AS filename, strlen({_CONTENT}) AS length FROM pages) SELECT 'folder ' || page_id % 3 || '/' || filename AS key, filename, length, 'all' AS listing FROM f UNION ALL SELECT filename, filename, length, 'one folder' FROM f WHERE page_id % 3 = 1 AND page_id % 4 <> 0",
     "decoded_files": f"SELECT 'folder ' || page_id % 3 || '/' || {_FILE} AS key, sha256({_CONTENT}) AS sha256, md5('# first' || chr(10) || html || chr(10) || 'end') AS chosen, md5('--- PAGE 2 ---' || chr(10) || '## Part  two' || chr(10) || url || chr(10) || '--- PAGE 3 ---' || chr(10) || 'end') AS range, 2 AS page, 1 AS depth, 'Part two' AS title, true AS whole FROM pages",
+    "paged_file_source": """WITH p AS (SELECT page_id, page_id % 4 || '/' || page_id || '.Txt' AS key, html FROM pages)
+SELECT key, 2 AS page_num, md5(html) AS digest, false AS broken FROM p WHERE page_id % 7 <> 0 AND trim(html) <> '' UNION ALL SELECT key, 3, md5('third'), false FROM p WHERE page_id % 7 <> 0 AND page_id % 3 <> 0 UNION ALL SELECT key, NULL, NULL, true FROM p WHERE page_id % 7 = 0""",
     "first_outline_hits": "SELECT doc_id, 'warn' AS target, '7 Warnings' AS title, 4 AS page FROM documents WHERE doc_id % 3 <> 1 UNION ALL SELECT doc_id, 'part two', 'PART II: SCIENTIFIC INFORMATION', 6 FROM documents WHERE doc_id % 3 <> 1",
     "memoised_lookup": "SELECT DISTINCT source, CASE WHEN source LIKE '%1' THEN 'known' WHEN source NOT LIKE '%7' THEN upper(source) END AS value, CASE WHEN source LIKE '%7' THEN 'ValueError: no such source' END AS error FROM documents WHERE source IS NOT NULL",
     "prompts": f"SELECT doc_id, 'chunk_adverse' AS field, md5({_prompt_sql()}) AS prompt, {_q(answers.CALLS['chunk_adverse'].system)} AS system FROM documents",

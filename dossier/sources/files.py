@@ -16,9 +16,9 @@ OUTLINE_SCHEMA = "array<struct<depth:int,title:string,page:int>>"
 
 
 class Decoder(Protocol):
-    """Turns the bytes of a file into page texts (by number from 1) and a nested outline of (title, page) and lists."""
+    """Turns the bytes of a file into page texts (by number from 1; only those that are wanted, if that is said) and a nested outline of (title, page) and lists."""
 
-    def pages(self, content: bytes) -> list[tuple[int, str]]: ...
+    def pages(self, content: bytes, wanted: range | None = None) -> list[tuple[int, str]]: ...
 
     def outline(self, content: bytes) -> list: ...
 
@@ -26,8 +26,11 @@ class Decoder(Protocol):
 class TextDecoder:
     """Plain text; pages are divided by form feeds. Lines that start with `#` marks are outline entries."""
 
-    def pages(self, content: bytes) -> list[tuple[int, str]]:
-        return list(enumerate(content.decode("utf-8", "replace").split("\f"), 1))
+    errors = "replace"
+
+    def pages(self, content: bytes, wanted: range | None = None) -> list[tuple[int, str]]:
+        parts = content.split(b"\f", -1 if wanted is None else min(max(wanted.stop - 1, 0), len(content)))
+        return [(n, t.decode("utf-8", self.errors)) for n, t in enumerate(parts, 1) if wanted is None or n in wanted]
 
     def outline(self, content: bytes) -> list:
         out: list = []
@@ -44,6 +47,12 @@ class TextDecoder:
         return out
 
 
+class StrictTextDecoder(TextDecoder):
+    """Plain text; a page that isn't UTF-8 is an error."""
+
+    errors = "strict"
+
+
 class PdfDecoder:
     """PDF files, through PyPDF2 where it is installed."""
 
@@ -54,8 +63,10 @@ class PdfDecoder:
 
         return PdfReader(io.BytesIO(content))
 
-    def pages(self, content: bytes) -> list[tuple[int, str]]:
-        return [(i, p.extract_text() or "") for i, p in enumerate(self._reader(content).pages, 1)]
+    def pages(self, content: bytes, wanted: range | None = None) -> list[tuple[int, str]]:
+        pages = self._reader(content).pages
+        numbers = range(1, len(pages) + 1) if wanted is None else range(max(wanted.start, 1), min(wanted.stop, len(pages) + 1))
+        return [(n, pages[n - 1].extract_text() or "") for n in numbers]
 
     def outline(self, content: bytes) -> list:
         reader = self._reader(content)
@@ -73,6 +84,10 @@ class PdfDecoder:
         return list(walk(reader.outline))
 
 
+#: Decoders by name, for options of a data source.
+DECODERS: dict[str, type] = {"text": TextDecoder, "strict text": StrictTextDecoder, "pdf": PdfDecoder}
+
+
 def flatten(outline: list, depth: int = 0) -> Iterator[tuple[int, str, int]]:
     """(depth, title, page) in reading order, with single spaces in titles."""
     for entry in outline:

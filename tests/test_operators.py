@@ -16,6 +16,7 @@ from dossier.operators import resampling as B
 from dossier.operators import sections as X
 from dossier.operators import scoring as S
 from dossier.sources import answers, files, ledger, lookups, records, shared
+from dossier.sources import paged as source
 from dossier.streaming import ingest
 
 
@@ -237,6 +238,61 @@ def test_one_key_with_all_rows(spark, order):
     assert sorted(map(list, got.collect()), key=str) == sorted(islands, key=str)
 
 
+def test_pages_are_pushed_to_the_file_source(spark, tmp_path):
+    """A decoder that notes what it decodes sees only the wanted pages, by options and by pushed filters."""
+    for n in range(5):
+        (tmp_path / f"{n}.txt").write_text(f"a{n}\fb{n}\fc{n}\fd{n}")
+    (tmp_path / "odd.pdf").write_text("x")
+    reader = source.PushingReader({"path": f"file://{tmp_path}", "suffix": "txt", "decoder": "text", "partition_bytes": "25"})
+    filters = [source.GreaterThan(("page_num",), 1), source.LessThanOrEqual(("page_num",), 3), source.EqualTo(("key",), "1.txt")]
+    assert list(reader.pushFilters(filters)) == filters and (reader.first, reader.last) == (2, 3)
+    parts = reader.partitions()
+    assert [len(p.paths) for p in parts] == [2, 2, 1]
+    assert [r[:3] for r in reader.read(parts[2])] == [("4.txt", 2, "b4"), ("4.txt", 3, "c4")]
+    rows = source.read_pages(spark, f"file://{tmp_path}", "txt", "text", 4)
+    assert sorted(r.text for r in rows.collect()) == [f"d{n}" for n in range(5)]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        assert {(r.key, r.text) for r in source.read_pages(spark, f"file://{tmp_path}", "txt", "text").where("page_num = 3").collect()} == {(f"{n}.txt", f"c{n}") for n in range(5)}
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    (tmp_path / "empty").mkdir()
+    assert source.read_pages(spark, f"file://{tmp_path}/empty", "txt", "text").count() == 0
+    assert files.TextDecoder().pages(b"a\fb\fc", range(2, 2**31)) == [(2, "b"), (3, "c")] and files.TextDecoder().pages(b"a\fb", range(1, 1)) == []
+
+
+def test_pdf_pages_through_a_stub(monkeypatch):
+    """PyPDF2's calls, with a stub of it: only wanted pages are extracted, destinations that can't be resolved are left out."""
+    import sys
+    import types
+
+    seen = []
+
+    class Page:
+        def __init__(self, n):
+            self.n = n
+
+        def extract_text(self):
+            seen.append(self.n)
+            return f"text {self.n}" if self.n != 2 else None
+
+    class PdfReader:
+        def __init__(self, stream):
+            assert stream.read() == b"pdf"
+            self.pages = [Page(n) for n in (1, 2, 3)]
+            self.outline = [types.SimpleNamespace(title=" One  part"), [types.SimpleNamespace(title="bad")]]
+
+        def get_destination_page_number(self, entry):
+            if entry.title == "bad":
+                raise KeyError
+            return 1
+
+    monkeypatch.setitem(sys.modules, "PyPDF2", types.SimpleNamespace(PdfReader=PdfReader))
+    decoder = files.PdfDecoder()
+    assert decoder.pages(b"pdf", range(2, 9)) == [(2, ""), (3, "text 3")] and seen == [2, 3]
+    assert decoder.pages(b"pdf")[0] == (1, "text 1") and list(files.flatten(decoder.outline(b"pdf"))) == [(0, "One part", 2)]
+
+
 def test_resume_after_a_crash(spark, tmp_path):
     path, cols = str(tmp_path / "r.jsonl"), ["Source Path", "Brand Name"]
     lines = [json.dumps({"Source Path": f"{i}.pdf", "Brand Name": "ERROR" if i == 1 else "x"}) for i in range(4)]
