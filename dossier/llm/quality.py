@@ -1,6 +1,6 @@
 """Quality classifier with hierarchical empirical Bayes.
 
-1. Two logistic models are fitted on a bounded sample of labelled documents (SAMPLE rows, drawn by hash of the id): quality
+1. Two logistic models are fitted on a bounded sample of labelled documents (SAMPLE rows and SAMPLE_BYTES of text at most, the first by hash of the id): quality
    from the shape of a text, toxicity from a lexicon of words and word beginnings that the sample's toxic documents have.
    The lexicon comes from one half of the sample and the weights of what it finds from the other.
 2. Every document gets both probabilities in one pass, without a shuffle; they are written with its other columns.
@@ -30,7 +30,8 @@ from pyspark.sql import types as T
 
 from .workspace import Workspace, let_go, release, slices, unused
 
-#: Labelled rows that the models see, pseudo-documents' bounds, the farthest that a site moves a document's log odds.
+#: Labelled rows that the models see and bytes of their texts, pseudo-documents' bounds, the farthest that a site moves a document's log odds.
+SAMPLE_BYTES = 128 << 20
 SAMPLE, FEWEST, MOST, SITE_LIMIT = 6000, 4.0, 10_000.0, 1.0
 SUPPORT, PREFIXES = 4, (4, 5, 6)
 CACHE_WORDS, CACHE_CHARS = 100_000, 64
@@ -151,11 +152,23 @@ def train(texts: list[str], quality: np.ndarray, toxic: np.ndarray) -> dict:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
-    """(text, quality, toxic) of at most `sample` labelled documents, the first by hash of the id and in that order; equal texts count once."""
+    """(text, quality, toxic) of at most `sample` labelled documents and SAMPLE_BYTES of text, the first by hash of the id and in that order; equal texts count once."""
     order = F.xxhash64("id")
     few = labels.where("quality is not null and toxic is not null").select(F.col("doc_id").alias("id"), "quality", "toxic").orderBy(order, "id", "quality", "toxic").limit(sample)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).join(F.broadcast(few), "id")
     first = rows.groupBy("text").agg(F.min(F.struct(order.alias("h"), "id", "quality", "toxic")).alias("first"))
+    # Texts are fetched up to a bound of bytes, told from their sizes alone.
+    held, last = 0, None
+    for key, size in first.select("first", F.octet_length("text")).orderBy("first").limit(sample).toLocalIterator():
+        held += size
+        if held > SAMPLE_BYTES:
+            break
+        last = key
+    if last is None:
+        first = first.limit(0)
+    else:
+        h, i, q, t = last
+        first = first.where(F.col("first") <= F.struct(F.lit(h).alias("h"), F.lit(i).alias("id"), F.lit(q).alias("quality"), F.lit(t).alias("toxic")))
     return first.orderBy("first").limit(sample).select("text", F.col("first.quality").cast("double").alias("quality"), F.col("first.toxic").cast("double").alias("toxic"))
 
 

@@ -521,6 +521,18 @@ def test_ratings_equal_brute_force_and_do_not_depend_on_partitions(spark, docs,
         assert abs(np.log(r["__quality"] / (1 - r["__quality"])) - np.log(p / (1 - p))) <= quality.SITE_LIMIT + 1e-6
 
 
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    """Documents in order of their hash until the next one would not fit."""
+    rows = [(i, f"text {i} " + "x" * 90) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    every = [r.text for r in quality.labelled_sample(texts(spark, rows), labels, "doc_id", "text", 1000).collect()]
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 1000)
+    few = [r.text for r in quality.labelled_sample(texts(spark, rows), labels, "doc_id", "text", 1000).collect()]
+    assert len(every) == 60 and few == every[: len(few)] and sum(map(len, few)) <= 1000 < sum(map(len, every[: len(few) + 1]))
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 10)
+    assert quality.labelled_sample(texts(spark, rows), labels, "doc_id", "text", 1000).count() == 0
+
+
 # --- 8 decontamination --------------------------------------------------------------------------------------------------
 
 
