@@ -43,7 +43,7 @@ from .workspace import Workspace, let_go, slices
 SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, a array<long>, b array<long>"
 SETS = "doc_id long, s1 long, n long, shingles array<long>"
 #: Share of overlap with a centre from which on a class's differences from it are kept (percent), rounds without them, members for each copy of a centre's set.
-CLOSE, PLAIN_ROUNDS, SPOKES = 30, 2, 4096
+CLOSE, PLAIN_ROUNDS, SPOKES = 30, 3, 4096
 
 
 def _set_sums(owner: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,14 +179,24 @@ def _shared_bands(classes: DataFrame, side: str) -> DataFrame:
     return _shared(bands, "key").groupBy("node", "s1").agg(F.collect_list(F.struct("i", "band")).alias(side))
 
 
+def _mixed_bands(classes: DataFrame, side: str) -> DataFrame:
+    """(node, s1, side): for each class those of its bands that classes of several components have; classes without any are left out."""
+    bands = classes.select("node", "s1", "component", F.inline(side)).withColumn("key", F.xxhash64("i", "band"))
+    mixed = bands.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return bands.join(mixed, "key", "left_semi").groupBy("node", "s1").agg(F.collect_list(F.struct("i", "band")).alias(side))
+
+
 def _members(classes: DataFrame, labels: DataFrame | None, diagonal: bool) -> DataFrame:
     """A row for each class and table key, with the class's component."""
-    right = F.filter("b", lambda y: y["i"] == F.col("x.i")) if diagonal else F.col("b")
-    rows = classes.select("node", "s1", "n", "common", "b", F.explode("a").alias("x"))
-    rows = rows.select("node", "s1", "n", "common", "x", F.explode(right).alias("y")).select(F.xxhash64("x.i", "y.i", "x.band", "y.band").alias("key"), "node", "s1", "n", "common")
     if labels is None:
-        return rows.withColumn("component", F.col("node"))
-    return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = classes.withColumn("component", F.col("node"))
+    else:
+        named = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # A key's classes share its bands: where all that have a band are one component, its keys have nothing to link.
+        named = named.drop("a", "b").join(_mixed_bands(named, "a"), ["node", "s1"]).join(_mixed_bands(named, "b"), ["node", "s1"])
+    right = F.filter("b", lambda y: y["i"] == F.col("x.i")) if diagonal else F.col("b")
+    rows = named.select("node", "s1", "n", "common", "component", "b", F.explode("a").alias("x"))
+    return rows.select("node", "s1", "n", "common", "component", "x", F.explode(right).alias("y")).select(F.xxhash64("x.i", "y.i", "x.band", "y.band").alias("key"), "node", "s1", "n", "common", "component")
 
 
 def _open(rows: DataFrame, percent: int) -> DataFrame:
