@@ -15,10 +15,7 @@ from ..functions.text import flexible, sealed
 
 PAGES = "array<struct<page_num:int,text:string>>"
 
-# --- Fixed values: shapes of contents entries, and section titles in the order in which they are tried. ------------------
-_NUM, _GAP, _DOTS, _BLANK = r"(\d+\.?\d*)\s+", r"[^\d]*?", r"\.{2,}\s*(\d+)", r"\s+(\d+)(?:\s|$)"
-#: Numbered entries of a table of contents: number, capital title, leader dots, page.
-NUMBERED = r"(?i)(\d+\.?\d*)\s+([A-Z][A-Z\s]+)[^\d]*?\.{2,}\s*(\d+)"
+# --- Fixed values: section titles in the order in which they are tried. ------------------
 INDICATIONS = ("INDICATIONS AND CLINICAL USE", "INDICATIONS", "INDICATIONS OF USE", "INDICATIONS AND USAGE", "THERAPEUTIC INDICATIONS")
 CONTRAINDICATIONS = ("CONTRAINDICATIONS", "CONTRAINDICATIONS AND PRECAUTIONS", "ABSOLUTE CONTRAINDICATIONS", "RELATIVE CONTRAINDICATIONS")
 INTERACTIONS = ("DRUG INTERACTIONS", "DRUG INTERACTION", "DRUG-DRUG INTERACTIONS", "INTERACTIONS WITH DRUGS", "INTERACTIONS")
@@ -80,6 +77,13 @@ SECTIONS = {
 }
 # --- End of fixed values. ---------------------------------------------------------------------------------------------
 
+def _any_of(titles) -> str:
+    return "(?i)" + "|".join(dict.fromkeys(f"(?:{t})" for t in titles))
+
+
+#: Any title with which a section of SECTIONS starts.
+_STARTS = _any_of(t for s in SECTIONS.values() for t in s.titles)
+
 
 def toc(pages: Column, n: int) -> Column:
     """The first n pages that have text, with their numbers."""
@@ -87,16 +91,76 @@ def toc(pages: Column, n: int) -> Column:
     return F.array_join(F.transform(F.slice(pages, 1, n), one), "")
 
 
-def _shape(title: str, shape: int) -> tuple[str, int, int]:
-    """Pattern with the groups of number (0: none) and page."""
-    return {1: (_NUM + title + _GAP + _DOTS, 1, 2), 2: (_NUM + title + _GAP + _BLANK, 1, 2), 3: (title + _GAP + _DOTS, 0, 1), 4: (title + _GAP + _BLANK, 0, 1)}[shape]
+ENTRIES = "array<struct<text:string,number:string,page:int,last:boolean,leaders:boolean,blank:boolean,before:string,at:int,ends_on:int>>"
+#: Pages that the longest contents buffer has.
+CONTENTS_PAGES = 10
+
+
+def entries_of(pages: Column, titles: str = _STARTS, numbered: bool = True, most: int = CONTENTS_PAGES) -> Column:
+    """The contents buffer of the first pages, parsed once for all sections: an entry for each stretch without digits that has one of the titles or, if asked for, is numbered.
+
+    A contents pattern is a title, then no digit up to a page number, and maybe a section number right before it. So a title, its leaders and
+    its page are always one stretch between two numbers and the number that ends it. Entries have the stretch's text and the section number before it
+    (`7`, `7.1`), the page that ends it (null in the `last` stretch), whether leaders or a blank stand before the page, the digits before the stretch, its place, and the
+    page on which the number that ends it stands, as a place in `pages`. A page's heading counts as part of the buffer, so its number can end a stretch.
+    """
+
+    def of_page(p: Column, k: Column) -> Column:
+        following = F.get(pages, k + 1)
+        text = F.concat(F.lit(" ---\n"), p["text"], F.lit("\n"), F.when(following.isNotNull() & (k + 1 < most), "\n--- PAGE ").otherwise(""))
+        parts = F.struct(F.split(text, r"\d+", -1).alias("s"), F.concat(F.array(p["page_num"].cast("string")), F.regexp_extract_all(text, F.lit(r"(\d+)"), 1), F.when(following.isNotNull() & (k + 1 < most), F.array(following["page_num"].cast("string"))).otherwise(F.array().cast("array<string>"))).alias("d"))
+
+        def entry(x: Column, i: Column, own: Column) -> Column:
+            digits, rest = own["d"], own["s"]
+            ends, after = F.get(digits, i + 1), F.get(rest, i + 1)
+            decimal = (i > 1) & (F.get(rest, i - 1) == ".")
+            number = F.when(x.rlike(r"^\.\s"), F.concat(F.get(digits, i), F.lit("."))).when(decimal, F.concat(F.get(digits, i - 1), F.lit("."), F.get(digits, i))).otherwise(F.get(digits, i))
+            marker = i == F.size(rest) - 1
+            return F.struct(
+                x.alias("text"), number.alias("number"), ends.try_cast("int").alias("page"), ends.isNull().alias("last"), x.rlike(r"\.\.\s*\z").alias("leaders"),
+                (x.rlike(r"\s\z") & (after.isNull() | (after == "") | after.rlike(r"^\s"))).alias("blank"), F.get(digits, i).alias("before"), i.alias("at"), (k + F.when(marker, 1).otherwise(0)).cast("int").alias("ends_on"),
+            )
+
+        titled = lambda x: x.rlike(titles)
+        wanted = (lambda x: titled(x) | (x.rlike(r"^\.?\s+[A-Za-z][A-Za-z\s]") & x.rlike(r"\.\.\s*\z"))) if numbered else titled
+        made = F.transform(F.array(parts), lambda own: F.transform(own["s"], lambda x, i: F.when(wanted(x), entry(x, i, own))))
+        return F.filter(F.flatten(made), lambda e: e.isNotNull())
+
+    return F.flatten(F.transform(F.slice(pages, 1, most), of_page)).cast(ENTRIES)
+
 
+def with_entries(df: DataFrame, pages: str = "pages", name: str = "contents") -> DataFrame:
+    """df with its parsed contents, for several calls of locate."""
+    return sealed(df, {name: entries_of(F.col(pages))})
 
-def _hit(text: Column, pattern: str, number: int, page: int) -> Column:
-    """(page, number) of the leftmost match, or null."""
-    found = F.regexp_extract(text, pattern, page)
-    value = F.nullif(F.regexp_extract(text, pattern, number), F.lit("")) if number else F.lit(None).cast("string")
-    return F.when(found != "", F.struct(found.try_cast("int").alias("page"), value.alias("number")))
+
+def _within(entries: Column, n: int) -> Column:
+    """Entries whose page number stands on the first n pages; the stretch at the buffer's end has none, and is there too."""
+    return F.filter(entries, lambda e: e["ends_on"] < n)
+
+
+def _entry_hits(entries: Column, title: str, shape: int) -> Column:
+    """Entries of a title by shape: 1 number and leaders, 2 number and page, 3 leaders, 4 page."""
+    leads = rf"^\.?\s+(?:{title})" if shape in (1, 2) else title
+    tail = "leaders" if shape in (1, 3) else "blank"
+    return F.filter(entries, lambda e: ~e["last"] & e[tail] & e["text"].rlike(f"(?i){leads}"))
+
+
+def _hit(entries: Column, title: str, shape: int) -> Column:
+    """(page, number) of the first entry, or null."""
+    first = F.get(_entry_hits(entries, title, shape), F.lit(0))
+    number = first["number"] if shape in (1, 2) else F.lit(None).cast("string")
+    return F.when(first.isNotNull(), F.struct(first["page"].alias("page"), number.alias("number")))
+
+
+def _numbered(entries: Column) -> Column:
+    """(num, i, page) of numbered entries in capitals with leaders, in order. A page number that ends an entry isn't the next one's section number, nor the first part of it."""
+    some = F.filter(entries, lambda e: ~e["last"] & e["leaders"] & e["text"].rlike(r"^\.?\s+[A-Za-z][A-Za-z\s]"))
+    behind = lambda a, e, n: F.coalesce((a["ends_on"] == e["ends_on"]) & (a["at"] == e["at"] - n), F.lit(False))
+    latest = lambda kept: F.get(kept, F.size(kept) - 1)
+    own = lambda kept, e: e.withField("number", F.when(behind(latest(kept), e, 2), e["before"]).otherwise(e["number"]))
+    kept = F.aggregate(some, F.array().cast(ENTRIES), lambda kept, e: F.when(behind(latest(kept), e, 1), kept).otherwise(F.concat(kept, F.array(own(kept, e)))))
+    return F.transform(kept, lambda e, i: F.struct(number_value(e["number"]).alias("num"), i.alias("i"), e["page"].alias("page")))
 
 
 def _first_page(pages: Column, holds) -> Column:
@@ -122,20 +186,16 @@ def _beside(text: Column, words: tuple[str, str]) -> Column:
     return F.when(page.isNotNull(), F.struct(page.alias("page"), F.lit(None).cast("string").alias("number")))
 
 
-def _mentions(text: Column, titles) -> Column:
-    """Cheap test that keeps the pattern families away from texts without any of the titles."""
-    return text.rlike(f"(?i){'|'.join(f'(?:{t})' for t in titles)}")
-
-
-def start_of(pages: Column, text: Column, spec: Locator) -> Column:
-    """(page, number) of the section's start; text is the contents buffer."""
-    tries = [_hit(text, "(?i)" + p, n, g) for t in spec.titles for p, n, g in (_shape(f"(?:{t})", s) for s in spec.shapes)]
+def start_of(pages: Column, entries: Column, text: Column, spec: Locator) -> Column:
+    """(page, number) of the section's start; entries and text are those of its contents buffer."""
+    plain = lambda page: F.when(page.isNotNull(), F.struct(page.cast("int").alias("page"), F.lit(None).cast("string").alias("number")))
+    tries = [_hit(entries, t, s) for t in spec.titles for s in spec.shapes]
     if spec.page_first:
-        tries.append(_hit(text, rf"(?i)(\d+)\s+\.{{2,}}\s+(?:{spec.page_first})", 0, 1))
-    tries = [F.when(_mentions(text, spec.titles), F.coalesce(*tries))]
+        ahead = F.get(F.filter(entries, lambda e: e["text"].rlike(rf"(?i)^\s+\.{{2,}}\s+(?:{spec.page_first})")), F.lit(0))
+        tries.append(plain(ahead["before"].try_cast("int")))
+    tries = [F.when(F.size(entries) > 0, F.coalesce(*tries))]
     if spec.both_words:
         tries.append(_beside(text, spec.both_words))
-    plain = lambda page: F.when(page.isNotNull(), F.struct(page.cast("int").alias("page"), F.lit(None).cast("string").alias("number")))
     if spec.body != "none":
         tries.append(plain(_first_page(pages, _heading(spec.body_titles or spec.titles, spec.body))))
     if spec.default_start:
@@ -148,18 +208,16 @@ def number_value(c: Column) -> Column:
     return c.try_cast("double")
 
 
-def end_of(pages: Column, start: Column, number: Column, text: Column, near: Column, spec: Locator) -> Column:
-    """Page on which the section ends; text and near are the contents buffers for numbered and for named entries."""
+def end_of(pages: Column, start: Column, number: Column, entries: Column, near: Column, spec: Locator) -> Column:
+    """Page on which the section ends; entries and near are those for numbered and for named entries."""
     tries = []
     if spec.next_number:
-        entries = F.arrays_zip(F.regexp_extract_all(text, F.lit(NUMBERED), 1).alias("num"), F.regexp_extract_all(text, F.lit(NUMBERED), 3).alias("page"))
-        valued = F.transform(entries, lambda e, i: F.struct(number_value(e["num"]).alias("num"), i.alias("i"), e["page"].try_cast("int").alias("page")))
-        later = F.filter(valued, lambda e: (e["num"] > number_value(number)) & (e["page"] > start))
+        later = F.filter(_numbered(entries), lambda e: (e["num"] > number_value(number)) & (e["page"] > start))
         tries.append(F.when(number.isNotNull(), F.array_min(later)["page"]))
     if spec.next_toc:
-        found = F.flatten(F.array(*[F.regexp_extract_all(near, F.lit("(?im)" + p), g) for t in spec.next_toc for p, _, g in (_shape(f"(?:{t})", s) for s in (1, 2, 3, 4))]))
-        numbers = F.transform(found, lambda x: x.try_cast("int"))
-        tries.append(F.when(_mentions(near, spec.next_toc), F.get(F.filter(numbers, lambda x: x > start) if spec.next_after_start else numbers, F.lit(0))))
+        numbers = F.flatten(F.array(*[F.transform(_entry_hits(near, t, s), lambda e: e["page"]) for t in spec.next_toc for s in (1, 2, 3, 4)]))
+        numbers = F.filter(numbers, lambda x: x > start) if spec.next_after_start else numbers
+        tries.append(F.when(F.size(near) > 0, F.get(numbers, F.lit(0))))
     behind = F.filter(pages, lambda p: p["page_num"] > start)
     if spec.next_where == "numbered":
         own = _heading(spec.next_body, "lines")
@@ -200,15 +258,21 @@ def slice_of(pages: Column, start: Column, end: Column, headers, marker: str | N
     return F.when(F.size(parts) > 0, F.array_join(parts, "\n"))
 
 
-def locate(df: DataFrame, section: str, pages: str = "pages", keep_headerless: bool = False) -> DataFrame:
-    """df with `<section>_start`, `_number`, `_end`, `_text` and `_status`: ok, NO_TEXT_FOUND, SECTION_NOT_FOUND or what failed."""
+def locate(df: DataFrame, section: str, pages: str = "pages", keep_headerless: bool = False, contents: str | None = None) -> DataFrame:
+    """Several sections share a column that with_entries made (contents). df with `<section>_start`, `_number`, `_end`, `_text` and `_status`: ok, NO_TEXT_FOUND, SECTION_NOT_FOUND or what failed."""
     spec = SECTIONS[section]
     name = lambda x: f"{section}_{x}"
     col = F.col(pages)
-    out = df.withColumn("__toc", toc(col, spec.toc_pages)).withColumn("__text", toc(col, 10)).withColumn("__near", toc(col, spec.next_toc_pages))
-    out = out.withColumn("__start", start_of(col, F.col("__toc"), spec))
+    out = df if contents else with_entries(df, pages, "__contents_")
+    every = F.col(contents or "__contents_")
+    out = out.withColumn("__toc", toc(col, spec.toc_pages) if spec.both_words else F.lit(None).cast("string"))
+    out = out.withColumn("__start", start_of(col, _within(every, spec.toc_pages), F.col("__toc"), spec))
     out = out.withColumn(name("start"), F.col("__start.page")).withColumn(name("number"), F.col("__start.number"))
-    out = out.withColumn(name("end"), F.when(F.col(name("start")).isNotNull(), end_of(col, F.col(name("start")), F.col(name("number")), F.col("__text"), F.col("__near"), spec)))
+    # What ends a section is looked for only where it starts.
+    near = entries_of(col, _any_of(spec.next_toc), False, spec.next_toc_pages) if spec.next_toc else every
+    out = out.withColumn("__near", F.when(F.col(name("start")).isNotNull(), near))
+    end = end_of(col, F.col(name("start")), F.col(name("number")), every, F.col("__near"), spec)
+    out = out.withColumn(name("end"), F.when(F.col(name("start")).isNotNull(), end))
     text = slice_of(col, F.col(name("start")), F.col(name("end")), spec.headers, spec.marker, keep_headerless)
     out = out.withColumn(name("text"), F.substring(text, 1, spec.chars) if spec.chars else text)
     empty = F.coalesce(F.size(col), F.lit(0)) <= 0

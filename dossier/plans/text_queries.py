@@ -28,9 +28,9 @@ def _paged(spark, sf_dir) -> DataFrame:
 
 def locate_all_sections(spark, sf_dir):
     """Every section located in every paged document; counts of statuses."""
-    docs = _paged(spark, sf_dir)
+    docs = L.with_entries(_paged(spark, sf_dir))
     for s in L.SECTIONS:
-        docs = L.locate(docs, s).drop(f"{s}_text")
+        docs = L.locate(docs, s, contents="contents").drop(f"{s}_text")
     statuses = F.array(*[F.struct(F.lit(s).alias("section"), F.col(f"{s}_status").alias("status")) for s in L.SECTIONS])
     return docs.select(F.explode(statuses).alias("x")).groupBy("x.section", "x.status").agg(F.count("*").alias("n"))
 

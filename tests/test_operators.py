@@ -2,6 +2,7 @@ import itertools
 import json
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -59,6 +60,35 @@ def test_population_last_match_wins(spark):
     assert (row["pregnancy_start"], row["pregnancy_end"]) == (3, 4) and "be careful" in row["pregnancy_text"]
 
 
+def test_contents_entries_equal_patterns(spark):
+    """Entries against the patterns that they stand for, over the whole buffer: random contents, numbers and page marks."""
+    rng = random.Random(12)
+    bits = ["INDICATIONS", "ADVERSE REACTIONS", "DRUG\nINTERACTIONS", "dosage and administration", " ", "\n", " ", "....", "..", ". . ", "7", "7.1", "12", "10.7.1", "x", "word", "3.", "(4)", "DOSAGE ADMINISTRATION", "...8", " 9 ", "1 OTHER....5\n"]
+    docs = [[(n, "".join(rng.choice(bits) for _ in range(rng.randrange(14)))) for n in range(1, rng.randrange(2, 13))] for _ in range(250)]
+    docs = [[p for p in d if rng.random() < 0.9] or d for d in docs]
+    number, gap, dots, blank = r"(\d+\.?\d*)\s+", r"[^\d]*?", r"\.{2,}\s*(\d+)", r"\s+(\d+)(?:\s|$)"
+    shapes = {1: number + "{t}" + gap + dots, 2: number + "{t}" + gap + blank, 3: "({t})" + gap + dots, 4: "({t})" + gap + blank}
+    titles = [r"INDICATIONS", r"ADVERSE\s+REACTIONS?", r"DRUG\s+INTERACTIONS", L.DOSAGE[0]]
+    df = spark.createDataFrame([(k, d) for k, d in enumerate(docs)], f"k long, pages {L.PAGES}")
+    col = F.col("contents")
+    asked = [(n, t, s) for n in (3, 10) for t in titles for s in shapes]
+    ahead = F.transform(F.filter(col, lambda e: e["text"].rlike(r"(?i)^\s+\.{2,}\s+(?:DRUG\s+INTERACTIONS)")), lambda e: e["before"])
+    got = L.with_entries(df).select("k", F.array(*[F.struct(L._hit(L._within(col, n), t, s).alias("x")) for n, t, s in asked]).alias("hits"), F.transform(L._numbered(col), lambda e: F.struct(e["num"], e["page"])).alias("numbered"), ahead.alias("ahead")).collect()
+    seen = 0
+    for r in got:
+        for (n, t, s), hit in zip(asked, r.hits):
+            buffer = "".join(f"\n--- PAGE {m} ---\n{x}\n" for m, x in docs[r.k][:n])
+            m = re.search(shapes[s].replace("{t}", t), buffer, re.I | re.A)
+            want = None if m is None else (int(m[2]), m[1] if s < 3 else None)
+            assert (tuple(hit.x) if hit.x else None) == want, (buffer, t, s)
+            seen += want is not None
+        whole = "".join(f"\n--- PAGE {m} ---\n{x}\n" for m, x in docs[r.k][:10])
+        want = re.findall(r"(?i)(\d+\.?\d*)\s+[A-Z][A-Z\s]+[^\d]*?\.{2,}\s*(\d+)", whole)
+        assert [tuple(e) for e in r.numbered] == [(float(a), int(b)) for a, b in want], whole
+        assert r.ahead == re.findall(r"(?i)(\d+)\s+\.{2,}\s+(?:DRUG\s+INTERACTIONS)", whole)
+    assert seen > 300
+
+
 def test_outline_and_text_sections():
     pages = [(1, "1 INDICATIONS\nfor pain\n(see 4 DOSAGE AND ADMINISTRATION)\n2 CONTRAINDICATIONS\nallergy")]
     outline = [(0, "1 Indications", 1), (0, "2 Contraindications", 1), (0, "Part II", 2)]
