@@ -7,7 +7,8 @@ text; around every hit Myers' bit-vector algorithm finds the least edit distance
 Both sides are compared lower-cased and with runs of white space as one space. Items whose normal form is shorter than min_chars are
 no passages: they match exactly and as whole words, with no edits. Null and empty items and texts match nothing. Items are processed in blocks of at most
 BLOCK_CHARS characters, each of which is broadcast, so the benchmark may be of any size. Texts are not shuffled.
-Repeated documents and items each count; null ids are kept. Only ids and texts are read.
+Repeated documents and items each count; null ids are kept. Only ids and texts are read. A text of any length is read whole by its task. An empty table of
+documents gives an empty result, an empty benchmark no match.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ there. Where confidence or comparison fails, or the class is `other`, the paragr
 
 Null and empty texts are one empty, ordinary paragraph; blank lines are none in other texts. Rows come back one for one with null ids, ties and
 copies as they are; only the id and the text are read. There is no shuffle besides the bounded sample.
+A text of any length is read whole by its task. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ least `min_chars` code points that several documents hold stay only in the small
 map-side aggregation first; the join that finds what to drop has one row for each key on one side, so a hot key can be split.
 
 Nulls and empty texts are one empty line. Rows without doc_id count as one last document. Rows that share a doc_id are one
-document whose lines are all its own, and come back one for one. An empty table gives an empty table. All columns of the input come back
+document whose lines are all its own, and come back one for one. Texts of any length are split whole. An empty table gives an empty table. All columns of the input come back
 with their values, whatever their names; internal columns take names that the input doesn't have.
 """
 

@@ -9,7 +9,8 @@ Three steps, each restartable by itself:
 * ``read_features`` reads members whole and returns digests and features of the samples.
 
 Nulls and empty texts become one block of 64 zero bytes. Equal payloads of a shard are stored once. A null id is kept.
-Only the named id and text columns are read, so further columns with any names do no harm.
+Only the named id and text columns are read, so further columns with any names do no harm. A text of any length is one payload, held whole by
+its task. Repeated rows come back one for one. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -25,7 +25,8 @@ is expanded into all pairs.
 
 Hot groups: copies fall together in step 1 with map-side aggregation. Members of a hot centre are dealt over as many copies of the
 centre's set as SPOKES demands. Null or empty texts have no shingles and link with nothing. Rows that share a doc_id are one document.
-Rows without doc_id are returned with a null component and kept. Only doc_id and text are read.
+Rows without doc_id are returned with a null component and kept. Only doc_id and text are read. Texts of any length are shingled whole. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations

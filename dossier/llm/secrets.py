@@ -9,6 +9,7 @@ exclusive, ordered by start and then by the order of RULES.
 
 Null and empty texts have no spans. Rows come back one for one, so ties, repeated rows and null ids are kept as they are.
 Only the id and the text are read. There is no shuffle, and memory is bounded by a batch, or by the longest text.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

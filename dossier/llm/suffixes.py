@@ -21,7 +21,7 @@ How the suffixes are dealt to tasks:
    are equal agree in all anchors, so no group ever has to be larger, and nothing else changes.
 
 Nulls and empty texts have no bytes. Repeated rows, also those that share a doc_id, are separate occurrences. Null ids are kept. Only doc_id
-and text are read. Texts of any length are cut into pieces of bounded size that overlap by length - 1 bytes.
+and text are read. Texts of any length are cut into pieces of bounded size that overlap by length - 1 bytes. An empty table gives an empty result.
 """
 
 from __future__ import annotations

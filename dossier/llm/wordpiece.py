@@ -5,6 +5,8 @@ a word then needs no token strings: every character moves forward or follows lin
 
 A word is a run of characters that are not ASCII white space. The word-start mark of the vocabulary is put before it. A word in
 which some position has no matching token counts as one unknown token. Null and empty texts have no words and no tokens.
+Texts of any length are read whole. Repeated rows come back one for one and null ids are kept; only the id and the text are read, so other columns may have any
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
