@@ -1,7 +1,9 @@
 """Corpus pipeline over the documents table: rate, drop repeated lines, keep one of near copies, decontaminate, mix.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Part of the
-training-data subpackage, from which all operators come.
+training-data subpackage, from which all operators come. An empty table goes through all stages as one. Nulls, ties, repeated rows and
+texts of any length have the results that the operators state: null and empty texts are rated, hold one empty line, are near nothing, contain no
+benchmark item and have no tokens; rows that share an id are one document where lines and near copies are compared.
 """
 
 from __future__ import annotations
