@@ -13,9 +13,10 @@ Steps, each of which shrinks what the next one sees:
    looked at, so the many keys of a dense group are dropped after a few have connected it.
    Rounds of centres: in each key the class that is in most keys, then the one with the fewest shingles of its own, is the centre, the members of other components are
    compared with it, and what links is one component. A centre has then met everyone in its key and leaves it. A key is
-   done when all that is left in it is one component. This work is linear in the members.
-5. What PLAIN_ROUNDS leave behind, in keys where several components remain beside the centre, meets on its differences from a centre. The overlap of x and y follows from the numbers of shingles in
-   which each differs from the centre and the number of differences that both have; a pair that links must share at
+   done when all that is left in it is one component. This work is linear in the members. All keys of one number have one such
+   round; of the others only those of at most SMALL classes have PLAIN_ROUNDS of them, with CENTRES centres each.
+5. Larger keys at once, and what those rounds leave of small ones, where several components remain beside the centre, meet on
+   differences from a centre. The overlap of x and y follows from the numbers of shingles in which each differs from the centre and the number of differences that both have; a pair that links must share at
    least a number of them which x, or y, alone determines. So it meets on one of the rarest differences of either
    (prefix filter), and only across components. What is so close to the centre that no class outside this
    comparison can link with it then leaves the key; the rest goes on, at last with sixteen times as many centres a round.
@@ -45,6 +46,10 @@ SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, a array<long>, b ar
 SETS = "doc_id long, s1 long, n long, shingles array<long>"
 #: Share of overlap with a centre from which on a class's differences from it are kept (percent), rounds without them, members for each copy of a centre's set.
 CLOSE, PLAIN_ROUNDS, SPOKES = 30, 3, 4096
+#: Classes of a key that goes through plain rounds after the first, and centres in each of these.
+SMALL, CENTRES = 16, 4
+#: Columns of a class in a table key.
+MEMBER = ("key", "node", "s1", "n", "common", "component")
 
 
 def _set_sums(owner: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,10 +206,12 @@ def _members(classes: DataFrame, labels: DataFrame | None, diagonal: bool) -> Da
 
 
 def _open(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows of keys that hold several components, without classes that not even the best match of their key could link with."""
-    keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("common").alias("best"), F.min("n").alias("least")).where("lo < hi").select("key", "best", "least")
+    """Rows of keys that hold several components, with their numbers, without classes that not even the best match of their key could link with."""
+    keys = rows.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("common").alias("best"), F.min("n").alias("least"), F.count("*").alias("size")
+    ).where("lo < hi").drop("lo", "hi")
     most = F.least("common", "best")
-    return rows.join(keys, "key").where(most * 100 >= (F.col("n") + F.greatest("least", most) - most) * percent).select(rows.columns)
+    return rows.drop("size").join(keys, "key").where(most * 100 >= (F.col("n") + F.greatest("least", most) - most) * percent).select(*MEMBER, "size")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, tables: int = 10, rows: int = 3, width: int = 5) -> DataFrame:
@@ -228,19 +235,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     able = space.save(dense.join(sizes.where(F.col("common") * 100 >= F.col("n") * percent), ["node", "s1"]), "able")
     let_go(docs.sparkSession)
 
-    labels = None
-    for diagonal in (True, False):
-        active = space.save(_open(_members(able, labels, diagonal), percent), "members")
-        turn = 0
-        while (turn < 1 or not diagonal) and active.limit(1).count():
-            rest, new = _round(active, turn, sets, percent, space)
+    def settle(active: DataFrame, labels: DataFrame | None, turns: range, slots: int = 1) -> DataFrame | None:
+        """Rounds of centres until no key is left or the turns are over; the components so far."""
+        for turn in turns:
+            if not active.limit(1).count():
+                break
+            rest, new = _round(active, turn, slots, sets, percent, space)
             if new.limit(1).count():
                 merged = components(new, space).select(F.col("node").alias("component"), F.col("component").alias("into"))
                 rest = _relabel(rest, merged)
                 labels = space.save(_grown(labels, merged), "components")
             # A key is done when all that is left in it is one component.
-            active, turn = space.save(_open(space.save(rest, "rest"), percent), "left"), turn + 1
+            active = space.save(_open(space.save(rest, "rest"), percent), "left")
             let_go(docs.sparkSession)
+        return labels
+
+    labels = settle(space.save(_open(_members(able, None, True), percent), "members"), None, range(1))
+    members = space.save(_open(_members(able, labels, False), percent), "members")
+    # Large keys meet on differences at once, so that their rows are gone through once; plain rounds would leave nearly all of them.
+    labels = settle(members.where(F.col("size") > SMALL), labels, range(PLAIN_ROUNDS, 1 << 30))
+    small = members.where(F.col("size") <= SMALL)
+    if labels is not None:
+        small = _relabel(small, labels.select(F.col("node").alias("component"), F.col("component").alias("into")))
+    labels = settle(space.save(_open(small, percent), "small"), labels, range(1 << 30), CENTRES)
 
     # Rows of one doc_id are one document, also where their texts differ.
     rows_of = sigs.join(classes.select(*identity, "node"), identity, "left").drop("a", "b")
@@ -261,11 +278,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _round(active: DataFrame, turn: int, sets: DataFrame, percent: int, space: Workspace) -> tuple[DataFrame, DataFrame]:
-    """One round of centres: what is left in the keys, and links (a, b: components)."""
+def _round(active: DataFrame, turn: int, slots: int, sets: DataFrame, percent: int, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """One round of centres, `slots` in a key at least: what is left in the keys, and links (a, b: components)."""
     plain = turn < PLAIN_ROUNDS
     # What two rounds of meeting leave behind is little, and many centres finish it.
-    slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << min(4 * max(turn - PLAIN_ROUNDS - 1, 0), 30)))
+    slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(slots if plain else 1 << min(4 * max(turn - PLAIN_ROUNDS - 1, 0), 30)))
     # Classes in many keys come first, so that many keys have the same centre and their members are compared once.
     keys = active.groupBy("node", "s1").agg(F.count("*").alias("keys"))
     order = F.struct((-F.col("keys")).alias("keys"), (F.col("n") - F.col("common")).alias("own"), F.col("node"), F.col("s1"), F.col("component"))
