@@ -6,6 +6,7 @@ leftmost match. A start page without a header line loses its text unless keep_he
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -312,6 +313,11 @@ POPULATIONS = {
 # --- End of fixed values. ---------------------------------------------------------------------------------------------
 
 
+def _stops(headers) -> str:
+    """Pattern of stop headers. Those that are section numbers stand at the start of a line and by themselves, as digits within prose, or in an address, are none."""
+    return "(?im)" + "|".join(rf"^\s*{re.escape(h)}(?!\.?\w)" if re.fullmatch(r"[\d.]+", h) else h for h in headers)
+
+
 def locate_population(df: DataFrame, which: str, pages: str = "pages") -> DataFrame:
     """df with `<which>_start`, `_end` and `_text`. In the contents the last match wins; stop headers end the subsection, else two pages on."""
     spec, col = POPULATIONS[which], F.col(pages)
@@ -325,8 +331,8 @@ def locate_population(df: DataFrame, which: str, pages: str = "pages") -> DataFr
     out = out.withColumn(f"{which}_start", F.coalesce("__direct", "__inside", "__scan"))
     start = F.col(f"{which}_start")
     behind = F.filter(col, lambda p: p["page_num"] > start)
-    few, all_ = "|".join(spec.stops), "|".join((*spec.stops, *spec.late_stops))
-    stop = F.when(F.col("__direct").isNull() & F.col("__inside").isNotNull(), _first_page(behind, lambda p: p["text"].rlike("(?i)" + few))).otherwise(_first_page(behind, lambda p: p["text"].rlike("(?i)" + all_)))
+    few, all_ = _stops(spec.stops), _stops((*spec.stops, *spec.late_stops))
+    stop = F.when(F.col("__direct").isNull() & F.col("__inside").isNotNull(), _first_page(behind, lambda p: p["text"].rlike(few))).otherwise(_first_page(behind, lambda p: p["text"].rlike(all_)))
     out = out.withColumn(f"{which}_end", F.when(start.isNotNull(), F.coalesce(stop, start + 2)))
     return out.withColumn(f"{which}_text", slice_of(col, start, F.col(f"{which}_end"), (spec.within,), spec.marker)).drop("__direct", "__special", "__inside", "__scan")
 

@@ -60,6 +60,14 @@ def test_population_last_match_wins(spark):
     assert (row["pregnancy_start"], row["pregnancy_end"]) == (3, 4) and "be careful" in row["pregnancy_text"]
 
 
+def test_population_numbers_in_prose_are_no_stops(spark):
+    """Digits within accounts, addresses and amounts aren't the stop headers 7.2 and 7.1.2; a line's own number is."""
+    prose = "call 4752 or 17.252.227.210\n7.2.14.140 and 7x2, 7.25, see 7.1.2 there"
+    for page, end in ((prose, 3), (prose + "\n 7.2 Other Populations", 2), ("7.1.3. Children", 2)):
+        row = L.locate_population(paged(spark, "7.1.1 Pregnant Women\nnone known", page, "x"), "pregnancy").first()
+        assert (row["pregnancy_start"], row["pregnancy_end"]) == (1, end), page
+
+
 def test_contents_entries_equal_patterns(spark):
     """Entries against the patterns that they stand for, over the whole buffer: random contents, numbers and page marks."""
     rng = random.Random(12)
