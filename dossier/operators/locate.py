@@ -209,6 +209,10 @@ def number_value(c: Column) -> Column:
     return c.try_cast("double")
 
 
+#: A heading's number; longer ones that begin a line, such as an account's, are prose.
+SECTION_NUMBER = r"\d{1,2}(?:\.\d{0,2})?"
+
+
 def end_of(pages: Column, start: Column, number: Column, entries: Column, near: Column, spec: Locator) -> Column:
     """Page on which the section ends; entries and near are those for numbered and for named entries."""
     tries = []
@@ -224,7 +228,7 @@ def end_of(pages: Column, start: Column, number: Column, entries: Column, near:
         own = _heading(spec.next_body, "lines")
 
         def ends(p):
-            first = F.nullif(F.regexp_extract(p["text"], r"(?im)^\s*(\d+\.?\d*)\s+[A-Z][A-Z\s]+", 1), F.lit(""))
+            first = F.nullif(F.regexp_extract(p["text"], rf"(?im)^\s*({SECTION_NUMBER})\s+[A-Z][A-Z\s]+", 1), F.lit(""))
             return (first.isNotNull() & (number.isNull() | (number_value(first) > number_value(number)))) | own(p)
 
         tries.append(_first_page(behind, lambda p: F.coalesce(ends(p), F.lit(False))))

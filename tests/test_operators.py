@@ -68,6 +68,13 @@ def test_population_numbers_in_prose_are_no_stops(spark):
         assert (row["pregnancy_start"], row["pregnancy_end"]) == (1, end), page
 
 
+def test_long_numbers_are_no_section_numbers(spark):
+    """A line of prose that begins with an account's number doesn't end a section; a heading's number does."""
+    for line in ("4703443633947811 Achverber auf", "123 Words", "1.234 Words"):
+        row = L.locate(paged(spark, *"abcde", "DRUG INTERACTIONS", line, "12.10 OTHER MATTERS", "x"), "interactions").first()
+        assert (row["interactions_start"], row["interactions_end"]) == (6, 8), line
+
+
 def test_contents_entries_equal_patterns(spark):
     """Entries against the patterns that they stand for, over the whole buffer: random contents, numbers and page marks."""
     rng = random.Random(12)
