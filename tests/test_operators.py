@@ -384,6 +384,23 @@ def test_files(spark, tmp_path):
     assert files.page_range is not None and files.first_entries(docs, "key", {"t": "^title"}).first()["page"] == 3
 
 
+def test_sections_hold_one_slice_at_a_time(monkeypatch):
+    """However large a batch is, at most SLICE_BYTES of its pages are Python objects; nulls, slices of a batch and documents above the bound are kept."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(X, "SLICE_BYTES", 100)
+    pages = pa.array([None, [], *[[{"page_num": n, "text": str(k) * (k % 7 * 30)} for n in (1, 2)] for k in range(40)]], pa.list_(pa.struct([("page_num", pa.int32()), ("text", pa.string())])))
+    outlines = pa.array([None if k % 2 else [{"depth": 0, "title": str(k), "page": k}] for k in range(42)], pa.list_(pa.struct([("depth", pa.int32()), ("title", pa.string()), ("page", pa.int32())])))
+    held, seen = [], X._rows
+    monkeypatch.setattr(X, "_rows", lambda lists, *names: held.append((names, seen(lists, *names))) or held[-1][1])
+    for skip in (0, 5):
+        got = X._sliced(pages[skip:], outlines[skip:], lambda p, o: repr((p, o)), pa.string()).to_pylist()
+        plain = lambda v, *names: [tuple(r[n] for n in names) for r in v or []]
+        assert got == [repr((plain(p, "page_num", "text"), plain(o, "depth", "title", "page"))) for p, o in zip(pages[skip:].to_pylist(), outlines[skip:].to_pylist())]
+    parts = [rows for names, rows in held if "text" in names]
+    assert len(parts) > 20 and all(sum(len(t) for p in rows for _, t in p) <= 100 or len(rows) == 1 for rows in parts)
+
+
 def test_field_texts(spark, tmp_path):
     corpus(tmp_path)
     docs = files.decode(files.read_files(spark, f"file://{tmp_path}"), files.TextDecoder())
