@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import name_words, plain_strength, strengths
 from ..sources.shared import numbered, running, written
 
+#: Rows that a task holds while it looks for the best ones.
+HELD = 1 << 17
 #: Pairs that a greedy pass may leave to be settled block by block.
 LEFT_OVER = 1_000_000
 
@@ -43,6 +46,33 @@ def _passed(pairs: pd.DataFrame, left_item: str, right_item: str) -> pd.DataFram
     return ordered.iloc[keep]
 
 
+def _best_so_far(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """rows without some that are not the last of their keys in the order. A task holds at most HELD rows and a batch, whatever it reads.
+
+    An aggregate of structs sorts all rows of a task; what is left here is at most a few rows for each key and task.
+    """
+
+    def last(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        frame = pa.Table.from_batches(held).to_pandas(integer_object_nulls=True).sort_values(order).drop_duplicates(keys, keep="last")
+        return pa.RecordBatch.from_pandas(frame, schema=held[0].schema, preserve_index=False)
+
+    def work(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(last([batch]))
+            n += held[-1].num_rows
+            if n > HELD:
+                held = [last(held)]
+                n = held[0].num_rows
+                if n > HELD // 2:
+                    yield held[0]
+                    held, n = [], 0
+        if held:
+            yield last(held)
+
+    return rows.mapInArrow(work, rows.schema)
+
+
 def greedy_pairs(pairs: DataFrame, blocks: list[str], left_item: str, right_item: str) -> DataFrame:
     """The pairs of each block that a pass in descending (sim, left, right) takes, each item at most once.
 
@@ -56,8 +86,8 @@ def greedy_pairs(pairs: DataFrame, blocks: list[str], left_item: str, right_item
     taken = None
     while left.limit(LEFT_OVER + 1).count() > LEFT_OVER:
         rank = F.struct("sim", left_item, right_item)
-        of_left = left.groupBy(*blocks, left_item).agg(F.max(rank).alias("best"))
-        of_right = left.groupBy(*blocks, right_item).agg(F.max(rank).alias("best"))
+        best = lambda item: _best_so_far(left, [*blocks, item], ["sim", left_item, right_item]).groupBy(*blocks, item).agg(F.max(rank).alias("best"))  # noqa: B023, E731
+        of_left, of_right = best(left_item), best(right_item)
         both = of_left.select(*blocks, "best").intersect(of_right.select(*blocks, "best"))
         round_ = written(both.select(*blocks, "best.*"), "taken")
         taken = round_ if taken is None else taken.unionByName(round_)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dossier.operators import matching as M
 from dossier.operators import similarity as V
@@ -90,3 +91,12 @@ def test_prefixes_of_one_brand(spark):
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want)) and 3 <= len(want) < len(ours)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "StartsWith" not in plan and "startswith" not in plan
+
+
+def test_greedy_rounds_sort_few_rows(spark):
+    """What the aggregates of a round get has a few rows for each item and task, not one for each pair, and the best pair of each item."""
+    by_hash = F.round(F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000, 3)
+    pairs = spark.range(0, 200_000, 1, 2).select((F.col("id") % 3).alias("b"), by_hash.alias("sim"), (F.col("id") % 41).alias("i"), (F.col("id") % 4999).alias("j"))
+    best = lambda df: {(r.b, r.i): tuple(r.best) for r in df.groupBy("b", "i").agg(F.max(F.struct("sim", "i", "j")).alias("best")).collect()}
+    few = M._best_so_far(pairs, ["b", "i"], ["sim", "i", "j"])
+    assert best(few) == best(pairs) and few.count() == 2 * 3 * 41
