@@ -14,15 +14,17 @@ Steps, each of which shrinks what the next one sees:
    Rounds of centres: in each key the class that is in most keys, then the one with the fewest shingles of its own, is the centre, the members of other components are
    compared with it, and what links is one component. A centre has then met everyone in its key and leaves it. A key is
    done when all that is left in it is one component. This work is linear in the members. All keys of one number have one such
-   round; of the others only those of at most SMALL classes have PLAIN_ROUNDS of them, with CENTRES centres each.
-5. Larger keys at once, and what those rounds leave of small ones, where several components remain beside the centre, meet on
-   differences from a centre. The overlap of x and y follows from the numbers of shingles in which each differs from the centre and the number of differences that both have; a pair that links must share at
-   least a number of them which x, or y, alone determines. So it meets on one of the rarest differences of either
-   (prefix filter), and only across components. What is so close to the centre that no class outside this
-   comparison can link with it then leaves the key; the rest goes on, at last with sixteen times as many centres a round.
-
-Each pair that shares a key is thus compared, bounded away or already connected: no link between components is lost and no group
-is expanded into all pairs.
+   round; of the others only those of at most SMALL classes have them, with CENTRES centres each, until none is left.
+5. Classes of larger keys meet in finer keys instead, of FINE minhashes each, so many that a pair at exactly the threshold shares
+   none with probability 1e-5. Those of a group of not so near copies, most of which link with nothing, hardly meet there.
+6. Finer keys that are still large are taken apart by differences from a centre. The overlap of x and y follows from the numbers of
+   shingles in which each differs from the centre and the number of differences that both have; a pair that links must share at
+   least a number of them which x, or y, alone determines. So it shares one of the rarest differences of either
+   (prefix filter), which are keys for the next rounds. What is so close to the centre that no class outside this
+   comparison can link with it then leaves the key. This goes on while it halves the rows of large keys; what it leaves goes through rounds of centres.
+
+Every join has a centre on one side: each pair that shares a key is compared by way of it, bounded away or already connected, apart from
+what step 5 misses: no link between components is lost and no group is expanded into all pairs.
 
 Hot groups: copies fall together in step 1 with map-side aggregation. Members of a hot centre are dealt over as many copies of the
 centre's set as SPOKES demands. Null or empty texts have no shingles and link with nothing. Rows that share a doc_id are one document.
@@ -40,14 +42,16 @@ from pyspark.sql import Window as W
 
 from .components import components
 from .hashing import mix, shingles
-from .workspace import Workspace, let_go, slices
+from .workspace import Workspace, let_go, release, slices
 
 SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, a array<long>, b array<long>"
 SETS = "doc_id long, s1 long, n long, shingles array<long>"
-#: Share of overlap with a centre from which on a class's differences from it are kept (percent), rounds without them, members for each copy of a centre's set.
-CLOSE, PLAIN_ROUNDS, SPOKES = 30, 3, 4096
-#: Classes of a key that goes through plain rounds after the first, and centres in each of these.
-SMALL, CENTRES = 16, 4
+#: Share of overlap with a centre from which on a class's differences from it are kept (percent), members for each copy of a centre's set.
+CLOSE, SPOKES = 30, 4096
+#: Classes of a key that isn't taken apart any more, rounds that take larger ones apart, and centres of a key in a plain round.
+SMALL, REFINED, CENTRES = 16, 6, 4
+#: Minhashes of a finer key.
+FINE = 12
 #: Columns of a class in a table key.
 MEMBER = ("key", "node", "s1", "n", "common", "component")
 
@@ -106,6 +110,33 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, SETS)
 
 
+def fine_bands(percent: int) -> int:
+    """How many bands of FINE minhashes leave a pair at exactly the threshold without a common one with probability 1e-5."""
+    return int(np.ceil(np.log(1e-5) / np.log1p(-((percent / 100) ** FINE))))
+
+
+def fine_keys(sets: DataFrame, bands: int) -> DataFrame:
+    """(key, node, s1): a row for each class of sets and band of FINE minhashes."""
+    salts, factors = np.random.default_rng(20240301).integers(1, 1 << 63, (2, bands * FINE), dtype=np.uint64)
+    factors |= np.uint64(1)
+
+    def run(batches):
+        for batch in batches:
+            node, s1, lists = (batch.column(k) for k in range(3))
+            value = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            starts = lists.offsets.to_numpy()[:-1].astype(np.int64) - lists.offsets[0].as_py()
+            for k in range(bands if len(starts) else 0):
+                band = np.full(len(starts), k, dtype=np.uint64)
+                for f in range(k * FINE, (k + 1) * FINE):
+                    hashed = (value ^ salts[f]) * factors[f]
+                    hashed ^= hashed >> np.uint64(32)
+                    band = mix(band * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(hashed, starts))
+                yield pa.RecordBatch.from_arrays([pa.array(band.view(np.int64)), node, s1], names=["key", "node", "s1"])
+        release()
+
+    return sets.select("node", "s1", "shingles").mapInArrow(run, "key long, node long, s1 long")
+
+
 def _shared(rows: DataFrame, key: str) -> DataFrame:
     """Rows whose key another node has too."""
     keys = rows.groupBy(key).agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select(key)
@@ -141,42 +172,43 @@ def _linked(percent: int) -> Column:
     return F.col("shared") * 100 >= (F.col("n") + F.col("c_n") - F.col("shared")) * percent
 
 
-def _through_centre(stars: DataFrame, percent: int, space: Workspace) -> DataFrame:
-    """Links (a, b: components) among classes close to one centre c, where one of the two, x, doesn't link with it.
+def _refined(stars: DataFrame, percent: int, turn: int, space: Workspace) -> DataFrame:
+    """Members of finer keys, one for each centre c and difference from it, for the classes close to c; pairs within them that link share such a key or both link with c.
 
     With m shingles of c missing, e beyond it and weight w = 100 m + percent e, x links with c where over(x) = w_x - W <= 0, with
-    W = (100 - percent) |c|, and x with y where they share k differences from c with (100 + percent) k >= w_x + w_y - W. As
-    w_y >= percent k, an x that doesn't link with c needs k >= over(x) / 100, and whoever links with such an x needs
-    k > w / (100 + percent), more than half of its differences. Of d differences, ordered by how few have them, one of the first
-    d - k + 1 is therefore shared: among classes that don't link with c the latter k holds for both, so they meet on the first, rare
-    half of their differences only. The first shared difference leaves 1 + min(differences after it) shared ones at most, which
-    must suffice for the pair.
+    W = (100 - percent) |c|, and x with y where they share k differences from c with (100 + percent) k >= w_x + over(y). Two that link
+    with c are one component already, so in a pair that matters the heavier one, y, has over(y) > 0. With w_x <= w_y the lighter one needs
+    (100 + percent) k >= w_x + max(over(x), 1). As w_x >= percent k, y needs k >= over(y) / 100, and more than w_y / (100 + percent)
+    if x doesn't link with c either. Of d differences, ordered by how few have them, one of the first d - k + 1 is therefore shared:
+    x is listed by its first, rarest ones (light) and y by some more, which count only where they find such an x. The first shared
+    difference leaves 1 + min(differences after it) shared ones at most, which must suffice for somebody in the key.
     """
-    hub, side = ["c_node", "c_s1"], ["node", "s1", "component"]
+    hub, side = ["c_node", "c_s1"], ["node", "s1", "n", "common", "component"]
+    total = 100 + percent
     close = stars.where("extra is not null").withColumn("w", 100 * F.size("missing") + percent * F.size("extra")).withColumn("over", F.col("w") - (100 - percent) * F.col("c_n"))
     # A hub without a class that fails to link with the centre, or with one component only, has nothing left to find.
     open_hubs = close.groupBy(*hub).agg(F.max("over").alias("far"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("far > 0 and lo < hi").select(*hub)
-    close = space.save(close.join(open_hubs, hub, "left_semi"), "close")
-    each = space.save(close.select(*hub, *side, "w", "over", F.explode(F.concat("extra", "missing")).alias("shingle")), "differences")
+    each = close.join(open_hubs, hub, "left_semi").select(*hub, *side, "w", "over", F.explode(F.concat("extra", "missing")).alias("shingle"))
+    each = space.save(each, "differences")
     # Only differences that classes of several components have can be shared by a pair that matters; the others aren't listed.
     common = each.groupBy(*hub, "shingle").agg(F.count("*").alias("holders"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").drop("lo", "hi")
     own = W.partitionBy(*hub, "node", "s1")
     shared = each.join(common, [*hub, "shingle"]).withColumn("rank", F.row_number().over(own.orderBy("holders", "shingle"))).withColumn("after", F.count("*").over(own) - F.col("rank"))
-    half = F.floor(F.col("w") / (100 + percent)) + 1
-    rest = F.when(F.col("over") > 0, F.least(half, F.ceil(F.col("over") / 100))).otherwise(half)
-    prefix = shared.withColumns({"early": F.col("after") + 1 >= half, "listed": F.col("after") + 1 >= rest})
-    prefix = space.save(prefix.where("listed").select(*hub, "shingle", *side, "w", "over", "after", "early"), "prefixes")
-    end = lambda rows, n: rows.select(*hub, "shingle", *(F.col(c).alias(f"{n}_{c}") for c in (*side, "w", "over", "after")))
-    enough = (1 + F.least("x_after", "y_after")) * (100 + percent) >= F.col("x_w") + F.col("y_over")
-    apart = F.col("x_component") != F.col("y_component")
-    untied, tied = prefix.where("over > 0"), prefix.where("over <= 0")
-    among = end(untied.where("early"), "x").join(end(untied.where("early"), "y"), [*hub, "shingle"]).where((F.col("x_component") < F.col("y_component")) & enough)
-    across = end(untied, "x").join(end(tied, "y"), [*hub, "shingle"]).where(apart & enough)
-    met = among.unionByName(across).select(*hub, *(f"{n}_{c}" for n in "xy" for c in side)).distinct()
-    arrays = lambda n: close.select(*hub, *(F.col(c).alias(f"{n}_{c}") for c in (*side, "w", "over", "extra", "missing")))
-    pairs = met.join(arrays("x"), [*hub, "x_node", "x_s1", "x_component"]).join(arrays("y"), [*hub, "y_node", "y_s1", "y_component"])
-    both = F.size(F.array_intersect("x_extra", "y_extra")) + F.size(F.array_intersect("x_missing", "y_missing"))
-    return pairs.where(both * (100 + percent) >= F.col("x_w") + F.col("y_over")).select(F.col("x_component").alias("a"), F.col("y_component").alias("b"))
+    untied, most = F.col("over") > 0, F.col("after") + 1
+    needs = {
+        "light": most * total >= F.col("w") + F.greatest("over", F.lit(1)),
+        "heavy": untied & (most * 100 >= F.col("over")) & (most * total > F.col("w")),
+        "far": untied & (most * 100 >= F.col("over")),
+    }
+    prefix = shared.withColumns(needs).where("light or far").select(F.xxhash64(*hub, "shingle", F.lit(turn)).alias("key"), *side, "w", "over", "after", *needs)
+    prefix = space.save(prefix, "prefixes")
+    keys = prefix.groupBy("key").agg(
+        F.min(F.when(F.col("light") & untied, F.col("w"))).alias("lightest"), F.max(F.col("light") & ~untied).alias("tied"), F.max("after").alias("longest"),
+        F.min("over").alias("nearest"), F.min(F.when(untied, F.col("over"))).alias("untied"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+    ).where("lo < hi and untied is not null").drop("lo", "hi")
+    listed = F.col("light") | (F.col("heavy") & (F.col("lightest") <= F.col("w"))) | (untied & F.col("tied"))
+    enough = (1 + F.least("after", "longest")) * total >= F.col("w") + F.when(untied, F.col("nearest")).otherwise(F.col("untied"))
+    return prefix.join(keys, "key").where(listed & enough).select(*MEMBER)
 
 
 def _shared_bands(classes: DataFrame, side: str) -> DataFrame:
@@ -235,29 +267,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     able = space.save(dense.join(sizes.where(F.col("common") * 100 >= F.col("n") * percent), ["node", "s1"]), "able")
     let_go(docs.sparkSession)
 
-    def settle(active: DataFrame, labels: DataFrame | None, turns: range, slots: int = 1) -> DataFrame | None:
-        """Rounds of centres until no key is left or the turns are over; the components so far."""
-        for turn in turns:
-            if not active.limit(1).count():
+    def settle(active: DataFrame, labels: DataFrame | None, turn: int, slots: int, refine: bool = False) -> tuple[DataFrame, DataFrame | None]:
+        """A round of centres: the rows of keys that are still open, and the components so far."""
+        rest, new = _round(active, turn, slots, sets, percent, space, refine)
+        if new.limit(1).count():
+            merged = components(new, space).select(F.col("node").alias("component"), F.col("component").alias("into"))
+            rest = _relabel(rest, merged)
+            labels = space.save(_grown(labels, merged), "components")
+        # A key is done when all that is left in it is one component.
+        left = space.save(_open(space.save(rest, "rest"), percent), "left")
+        let_go(docs.sparkSession)
+        return left, labels
+
+    active, labels = space.save(_open(_members(able, None, True), percent), "members"), None
+    if active.limit(1).count():
+        _, labels = settle(active, None, 0, 1)
+    active = space.save(_open(_members(able, labels, False), percent), "members")
+    # Classes of large keys meet in finer ones instead, so that the size of a group of not so near copies doesn't count.
+    small, large = active.where(F.col("size") <= SMALL), active.where(F.col("size") > SMALL).select(*MEMBER[1:]).distinct()
+    if large.limit(1).count():
+        large = space.save(large, "crowded")
+        fine = fine_keys(sets.join(large.select("node", "s1"), ["node", "s1"], "left_semi"), fine_bands(percent))
+        active = space.save(_open(space.save(fine, "fine").join(large, ["node", "s1"]).select(*MEMBER), percent), "members")
+        # What is still large is taken apart while that makes it fewer.
+        before = None
+        for turn in range(REFINED):
+            small = small.unionByName(active.where(F.col("size") <= SMALL))
+            active = active.where(F.col("size") > SMALL)
+            rows_left = active.count()
+            if not rows_left or before and rows_left > before / 2:
                 break
-            rest, new = _round(active, turn, slots, sets, percent, space)
-            if new.limit(1).count():
-                merged = components(new, space).select(F.col("node").alias("component"), F.col("component").alias("into"))
-                rest = _relabel(rest, merged)
-                labels = space.save(_grown(labels, merged), "components")
-            # A key is done when all that is left in it is one component.
-            active = space.save(_open(space.save(rest, "rest"), percent), "left")
-            let_go(docs.sparkSession)
-        return labels
-
-    labels = settle(space.save(_open(_members(able, None, True), percent), "members"), None, range(1))
-    members = space.save(_open(_members(able, labels, False), percent), "members")
-    # Large keys meet on differences at once, so that their rows are gone through once; plain rounds would leave nearly all of them.
-    labels = settle(members.where(F.col("size") > SMALL), labels, range(PLAIN_ROUNDS, 1 << 30))
-    small = members.where(F.col("size") <= SMALL)
+            before = rows_left
+            active, labels = settle(active, labels, turn, 1, True)
+        small = small.unionByName(active)
     if labels is not None:
         small = _relabel(small, labels.select(F.col("node").alias("component"), F.col("component").alias("into")))
-    labels = settle(space.save(_open(small, percent), "small"), labels, range(1 << 30), CENTRES)
+    active, turn = space.save(_open(small, percent), "small"), 0
+    while active.limit(1).count():
+        # What three rounds leave behind is little, and many centres finish it.
+        active, labels = settle(active, labels, turn, CENTRES << min(4 * max(turn - 2, 0), 26))
+        turn += 1
 
     # Rows of one doc_id are one document, also where their texts differ.
     rows_of = sigs.join(classes.select(*identity, "node"), identity, "left").drop("a", "b")
@@ -278,32 +327,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _round(active: DataFrame, turn: int, slots: int, sets: DataFrame, percent: int, space: Workspace) -> tuple[DataFrame, DataFrame]:
-    """One round of centres, `slots` in a key at least: what is left in the keys, and links (a, b: components)."""
-    plain = turn < PLAIN_ROUNDS
-    # What two rounds of meeting leave behind is little, and many centres finish it.
-    slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(slots if plain else 1 << min(4 * max(turn - PLAIN_ROUNDS - 1, 0), 30)))
+def _round(active: DataFrame, turn: int, slots: int, sets: DataFrame, percent: int, space: Workspace, refine: bool) -> tuple[DataFrame, DataFrame]:
+    """One round of centres, at most `slots` in a key: what is left in the keys (and, to refine them, in finer ones), and links (a, b: components)."""
+    slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(slots))
     # Classes in many keys come first, so that many keys have the same centre and their members are compared once.
     keys = active.groupBy("node", "s1").agg(F.count("*").alias("keys"))
     order = F.struct((-F.col("keys")).alias("keys"), (F.col("n") - F.col("common")).alias("own"), F.col("node"), F.col("s1"), F.col("component"))
     centres = active.join(keys, ["node", "s1"]).groupBy("key", slot.alias("slot")).agg(F.min(order).alias("c")).select("key", F.col("c.node").alias("c_node"), F.col("c.s1").alias("c_s1"), F.col("c.component").alias("c_component"))
     centres = space.save(centres, "centres")
     apart_from = (F.col("node") != F.col("c_node")) | (F.col("s1") != F.col("c_s1"))
-    apart = F.col("component") != F.col("c_component") if plain else apart_from
+    apart = apart_from if refine else F.col("component") != F.col("c_component")
     # Where the centre leaves one component behind, the key is done without anybody's differences.
     others = active.join(centres.select("key", "c_node", "c_s1"), "key").where(apart_from).groupBy("key").agg((F.min("component") < F.max("component")).alias("more"))
-    meeting = F.lit(False) if plain else F.max("more")
-    spokes = active.join(centres if plain else centres.join(others, "key"), "key").where(apart)
-    spokes = spokes.groupBy("c_node", "c_s1", "c_component", "node", "s1", "n", "component").agg(meeting.alias("meeting"))
-    stars = space.save(_compare(space.save(spokes, "spokes"), sets, not plain), "stars")
+    meeting = F.max("more") if refine else F.lit(False)
+    spokes = active.join(centres.join(others, "key") if refine else centres, "key").where(apart)
+    spokes = spokes.groupBy("c_node", "c_s1", "c_component", "node", "s1", "n", "common", "component").agg(meeting.alias("meeting"))
+    stars = space.save(_compare(space.save(spokes, "spokes"), sets, refine), "stars")
     found = stars.where(_linked(percent) & (F.col("component") != F.col("c_component"))).select(F.col("c_component").alias("a"), F.col("component").alias("b"))
     settled = centres.select("key", F.col("c_node").alias("node"), F.col("c_s1").alias("s1"))
-    if not plain:
-        found = found.unionByName(_through_centre(stars, percent, space))
+    if refine:
         near = stars.where(_linked(_settled(percent))).select("c_node", "c_s1", "node", "s1")
         placed = active.join(centres.select("key", "c_node", "c_s1"), "key")
         settled = settled.unionByName(placed.join(near, ["c_node", "c_s1", "node", "s1"], "left_semi").select("key", "node", "s1"))
-    return active.join(settled, ["key", "node", "s1"], "left_anti"), space.save(found.distinct(), "links")
+    left = active.join(settled, ["key", "node", "s1"], "left_anti").select(*MEMBER)
+    if refine:
+        left = left.unionByName(_refined(stars, percent, turn, space))
+    return left, space.save(found.distinct(), "links")
 
 
 def _relabel(rows: DataFrame, merged: DataFrame) -> DataFrame:
