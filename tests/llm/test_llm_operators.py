@@ -696,6 +696,22 @@ def test_groups_without_a_common_line(spark, percent):
     assert got == want and len({v[1] for v in want.values()}) > 10
 
 
+def test_finer_keys_part_a_group_of_variants(spark):
+    """Variants of one text that overlap by about a half hardly share a finer key; each one's near copy does."""
+    rng, rows = random.Random(5), []
+    for n in range(60):
+        words = [f"w{i}" for i in range(150)]
+        for p in range(8, 146, 12):
+            words[p] = f"e{p}v{rng.randrange(3)}"
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join([*words[:-2], "x", "y"]))]
+    sets = minhash.shingle_sets(texts(spark, rows).select("doc_id", "text"), 5).withColumnRenamed("doc_id", "node")
+    by = collections.defaultdict(set)
+    for r in minhash.fine_keys(sets, minhash.fine_bands(80)).collect():
+        by[r.key].add(r.node)
+    pairs = {(a, b) for m in by.values() for a in m for b in m if a < b}
+    assert {(2 * n, 2 * n + 1) for n in range(60)} <= pairs and len(pairs) < 120 * 119 / 2 / 3
+
+
 def test_near_duplicates_of_awkward_rows(spark, awkward):
     out = minhash.near_duplicates(awkward).collect()
     assert len(out) == awkward.count()
