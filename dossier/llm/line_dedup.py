@@ -5,7 +5,8 @@ one row for each key that was new in its batch, bucketed by the hash and sorted
 are anti-joined with every run in turn, one left merge join a run that also tells who had the key before; what no run
 has becomes the batch's own run at level 0. Runs are read in the order in which they are stored, so these joins neither shuffle nor
 sort them (a test looks at the plan). When a level holds `fanout` runs they are merged into one run of the next level, so there are
-logarithmically many runs.
+logarithmically many runs. A run has one file for each bucket, also a merged one, and as many buckets as the lines fill, so there are no
+more files and tasks than these need.
 
 A line's key is the line without white space (0x20, 0x09-0x0D) at both ends and with A-Z lower-cased, as 128 bits of hash. Keys of at
 least `min_chars` code points that several documents hold stay only in the smallest doc_id. Very common lines meet in
@@ -30,6 +31,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 LAST = (1 << 63) - 1
 #: Without it Spark forgets that a bucket's only file is sorted. It holds while runs are read, not beyond.
 ORDERED = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
+#: Lines of a batch for each bucket of its run.
+BUCKET_ROWS = 1 << 16
 
 
 def line_key(line: Column) -> Column:
@@ -54,10 +57,10 @@ class LineRuns:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def _write(self, rows: DataFrame) -> str:
-        """rows are dealt by (h1, h2) to as many partitions as there are buckets, so each bucket is one file."""
+        """rows are dealt by the number of their bucket, so each bucket is one file. Dealt by (h1, h2), merged runs would not be shuffled: Spark takes their buckets for dealt already."""
         name = f"{self.prefix}_{len(self.names)}"
         self.names.append(name)
-        rows.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", self.space.path("run")).saveAsTable(name)
+        rows.repartitionById(self.buckets, F.pmod(F.hash("h1", "h2"), F.lit(self.buckets))).write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", self.space.path("run")).saveAsTable(name)
         return name
 
     def tables(self) -> list[DataFrame]:
@@ -103,8 +106,9 @@ def _repeated_lines(rows: DataFrame, space: Workspace, min_chars: int, batches:
     lines = rows.select("id", "row", batch.alias("batch"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     keyed = lines.select("id", "row", "batch", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
     hashed = space.save(keyed.select("id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "batch"), "lines", by="batch")
+    buckets = min(parallelism(spark), 1 + hashed.count() // ((len(cuts) + 1) * BUCKET_ROWS))
     dropped = None
-    with LineRuns(spark, space, fanout, parallelism(spark)) as runs, settings(spark, ORDERED):
+    with LineRuns(spark, space, fanout, buckets) as runs, settings(spark, ORDERED | {"spark.sql.shuffle.partitions": str(buckets)}):
         for b in range(len(cuts) + 1):
             own = hashed.where(F.col("batch") == b).drop("batch")
             keys = own.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))

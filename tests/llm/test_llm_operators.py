@@ -112,6 +112,31 @@ def test_runs_are_read_in_order_without_shuffle(spark):
     assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
 
 
+def test_merged_runs_have_one_file_a_bucket_and_are_read_in_order(spark):
+    with line_dedup.LineRuns(spark, Workspace(spark, "t"), 2, 4) as runs, settings(spark, line_dedup.ORDERED | {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        for i in range(2):
+            runs.add(spark.range(100).selectExpr("xxhash64(id) AS h1", f"xxhash64(id + {i}) AS h2", "id AS owner"))
+        (merged,) = runs.tables()
+        assert len(merged.inputFiles()) == 4 and merged.count() == 200
+        looked = runs.look_up(spark.range(100).selectExpr("xxhash64(id) AS h1", "xxhash64(id) AS h2").groupBy("h1", "h2").count())
+        plan = looked._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and plan.count("Exchange") == 1 and len(re.findall(r"\bSort \[", plan)) == 1, plan
+        assert looked.where("had is not null").count() == 100
+
+
+def test_runs_have_no_more_buckets_than_their_lines_fill(spark, docs, monkeypatch):
+    files, add = [], line_dedup.LineRuns.add
+    monkeypatch.setattr(line_dedup.LineRuns, "add", lambda self, rows: (add(self, rows), files.extend(len(t.inputFiles()) for t in self.tables())))
+    with settings(spark, {"spark.sql.shuffle.partitions": "32"}):
+        few = line_dedup.dedup_lines(docs).agg(F.sum("__n_dropped"), F.sum(F.hash("text"))).first()
+        lines = docs.select(F.explode(F.split("text", "\n"))).count()
+        assert files and max(files) <= 1 + lines // (4 * line_dedup.BUCKET_ROWS)
+        monkeypatch.setattr(line_dedup, "BUCKET_ROWS", 200)
+        assert line_dedup.dedup_lines(docs).agg(F.sum("__n_dropped"), F.sum(F.hash("text"))).first() == few
+        assert max(files) > 1
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "32"
+
+
 @pytest.mark.parametrize("batches", [1, 3, 7])
 def test_batches_do_not_change_the_result(spark, docs, batches):
     one = line_dedup.dedup_lines(docs, batches=batches)
