@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import name_words, plain_strength, strengths
 from ..sources.shared import numbered, running, written
+from . import similarity as V
 
 #: Rows that a task holds while it looks for the best ones.
 HELD = 1 << 17
@@ -102,6 +105,135 @@ def greedy_one_to_one(pairs: DataFrame, blocks: list[str], left_item: str, right
     return greedy_pairs(pairs, blocks, left_item, right_item).groupBy(*blocks).agg(F.count("*").cast("int").alias("tp"))
 
 
+def _tied(run: list[tuple], left: dict, right: dict, left_ids: dict, right_ids: dict) -> list[int]:
+    """How many pairs each pair of kinds in the run gets, where all pairs of these kinds' items have one similarity: they are taken in descending
+    (left, right). left and right say how many items of a kind are free; these are its least ones, and the ids are in descending order."""
+    free = lambda kinds, ids, k: ids[k][len(ids[k]) - kinds[k] :] if k in ids else [k]
+    lefts, rights = {k: free(left, left_ids, k) for k, _ in run}, {k: free(right, right_ids, k) for _, k in run}
+    place = {i: -n for n, i in enumerate(sorted({i for ids in lefts.values() for i in ids}))}
+    partners, counts, gone = {}, [0] * len(run), dict.fromkeys(rights, 0)
+    for n, (a, b) in enumerate(run):
+        partners.setdefault(a, []).append((b, n))
+    waiting = [(place[ids[0]], a, 0) for a, ids in lefts.items()]
+    heapq.heapify(waiting)
+    while waiting:
+        _, a, n = heapq.heappop(waiting)
+        open_ = [(rights[b][gone[b]], b, at) for b, at in partners[a] if gone[b] < len(rights[b])]
+        if open_:
+            _, b, at = max(open_)
+            counts[at] += 1
+            gone[b] += 1
+            if n + 1 < len(lefts[a]):
+                heapq.heappush(waiting, (place[lefts[a][n + 1]], a, n + 1))
+    return counts
+
+
+def _taken_kinds(pairs: pd.DataFrame, ids: pd.DataFrame) -> pd.DataFrame:
+    """The greedy pass over the pairs of kinds of one block: how many pairs of their items it takes, as n."""
+    pairs = pairs.sort_values("sim", ascending=False)
+    left, right = dict(zip(pairs["left"], pairs["n_left"])), dict(zip(pairs["right"], pairs["n_right"]))
+    of = [{k: sorted(g, reverse=True) for k, g in ids[ids["side"] == side].groupby("kind")["item"]} for side in (0, 1)]
+    sims, kinds, taken = pairs["sim"].tolist(), list(zip(pairs["left"], pairs["right"])), []
+    begin = 0
+    while begin < len(sims):
+        end = begin + 1
+        while end < len(sims) and sims[end] == sims[begin]:
+            end += 1
+        run = [(a, b) for a, b in kinds[begin:end] if left[a] and right[b]]
+        if len({a for a, _ in run}) == len(run) == len({b for _, b in run}):
+            counts = [min(left[a], right[b]) for a, b in run]
+        else:
+            counts = _tied(run, left, right, *of)
+        for (a, b), n in zip(run, counts):
+            if n:
+                left[a] -= n
+                right[b] -= n
+                taken.append((sims[begin], a, b, n))
+        begin = end
+    out = pd.DataFrame(taken, columns=["sim", "left", "right", "n"])
+    out.insert(0, "block", pairs["block"].iloc[:1].repeat(len(out)).to_numpy())
+    return out
+
+
+def _kinds(rows: DataFrame, block: str, item: str, vec: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(block, kind, vec, free), a row for each different vector of a block, named by its greatest item, and (block, item, kind), the items."""
+    rows = rows.select(F.col(block).alias("block"), F.col(item).alias("item"), F.col(vec).cast("array<double>").alias("vec")).where("block is not null and item is not null and vec is not null")
+    kinds = written(rows.distinct().groupBy("block", "vec").agg(F.max("item").alias("kind"), F.count("*").alias("free")), name)
+    # Only kinds of several items need a list of them: one item is its own kind.
+    several = rows.join(kinds.where("free > 1"), ["block", "vec"]).select("block", "item", "kind").distinct()
+    return kinds, written(several.unionByName(kinds.where("free = 1").select("block", F.col("kind").alias("item"), "kind")), name + "_items")
+
+
+def greedy_counts(left: DataFrame, right: DataFrame, block: str, left_item: str, right_item: str, left_vec: str, right_vec: str, threshold: float) -> DataFrame:
+    """(block, sim, n): how many pairs a pass in descending (sim, left, right) takes at each similarity from the threshold on, each item at most once.
+
+    A pass at a higher threshold takes the first of these, so one pass serves all. Its pairs are not listed: each round takes the most similar pairs
+    of each block that are left, down to a cut which about LEFT_OVER pairs of all blocks reach, and runs the pass over these, a block a task. The items it
+    takes are in no later round, so of the pairs below the cut only the few between free items remain. Similarities are computed anew in each
+    round, by tiles. Equal vectors of a block are one kind: its pairs with another kind are one row, and its items go in descending order.
+
+    Where more pairs than LEFT_OVER are about equally similar, they are listed, item by item, for greedy_pairs. Blocks where an item has several vectors go there whole.
+    """
+    (kinds, items), (r_kinds, r_items) = _kinds(left, block, left_item, left_vec, "left"), _kinds(right, block, right_item, right_vec, "right")
+    doubled = [i.groupBy("block", "item").count().where("count > 1").select("block") for i in (items, r_items)]
+    unclear = written(doubled[0].unionByName(doubled[1]).distinct(), "unclear")
+    taken = []
+    if not unclear.isEmpty():
+        a, b = (df.withColumnRenamed(block, "block").join(unclear, "block", "left_semi") for df in (left, right))
+        pairs = V.similar_pairs(a, b, "block", left_item, right_item, left_vec, right_vec, threshold)
+        taken.append(greedy_pairs(pairs, ["block"], left_item, right_item).select("block", "sim", F.lit(1).cast("long").alias("n")))
+        kinds, r_kinds = kinds.join(unclear, "block", "left_anti"), r_kinds.join(unclear, "block", "left_anti")
+    while True:
+        sizes = kinds.groupBy("block").agg(F.count("*").alias("x")).join(r_kinds.groupBy("block").agg(F.count("*").alias("y")), "block")
+        all_ = sizes.agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("pairs"), F.sum(F.col("x") + F.col("y")).alias("kinds")).first()
+        if not all_.pairs:
+            break
+        a, b = V.tiles(kinds, "block", "kind", "vec", V.WIDE), V.tiles(r_kinds, "block", "kind", "vec", V.WIDE)
+        if all_.pairs <= LEFT_OVER:
+            cuts = sizes.select("block", F.lit(float(threshold)).alias("cut"))
+        else:
+            most = sizes.select("block", F.greatest(F.lit(1), F.floor(F.lit(LEFT_OVER) * (F.col("x") + F.col("y")) / F.lit(all_.kinds))).cast("long").alias("most"))
+            cuts = written(V.cuts(a.join(most, "block"), b, threshold), "cuts")
+        listed = V.pairs_above(a.join(cuts, "block"), b, "block", "left", "right")
+        free = lambda df, side: df.select("block", F.col("kind").alias(side), F.col("free").alias(f"n_{side}"))
+        listed = written(listed.join(free(kinds, "left"), ["block", "left"]).join(free(r_kinds, "right"), ["block", "right"]), "pairs")
+        run = _matched(listed, kinds, r_kinds, items, r_items)
+        taken.append(run.select("block", "sim", "n"))
+        if all_.pairs <= LEFT_OVER:
+            break
+        below = cuts.where(F.col("cut") > threshold).select("block")
+        kinds, r_kinds = (_still_free(df, run, side, below) for df, side in ((kinds, "left"), (r_kinds, "right")))
+    out = taken[0] if taken else kinds.select("block", F.lit(0.0).alias("sim"), F.lit(0).cast("long").alias("n")).limit(0)
+    for more in taken[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("block", "sim").agg(F.sum("n").alias("n")).withColumnRenamed("block", block)
+
+
+def _still_free(kinds: DataFrame, run: DataFrame, side: str, blocks: DataFrame) -> DataFrame:
+    gone = run.groupBy("block", F.col(side).alias("kind")).agg(F.sum("n").alias("gone"))
+    left = kinds.join(blocks, "block", "left_semi").join(gone, ["block", "kind"], "left")
+    return written(left.withColumn("free", F.col("free") - F.coalesce("gone", F.lit(0))).drop("gone").where("free > 0"), side)
+
+
+def _matched(listed: DataFrame, kinds: DataFrame, r_kinds: DataFrame, items: DataFrame, r_items: DataFrame) -> DataFrame:
+    """(block, sim, left, right, n): how many pairs of their items the pass takes of each listed pair of kinds."""
+    types = {f.name: f.dataType.simpleString() for f in listed.schema.fields}
+    if listed.count() <= LEFT_OVER:
+        # Among kinds that share a similarity, which item goes first decides.
+        shared = listed.join(listed.groupBy("block", "sim").count().where("count > 1"), ["block", "sim"], "left_semi")
+        wanted = lambda ids, side, n: ids.join(shared.select("block", F.col(side).alias("kind")).distinct(), ["block", "kind"]).select("block", F.lit(n).alias("side"), "kind", "item")
+        ids = wanted(items, "left", 0).unionByName(wanted(r_items, "right", 1))
+        schema = f"block {types['block']}, sim double, left {types['left']}, right {types['right']}, n long"
+        return written(listed.groupBy("block").cogroup(ids.groupBy("block")).applyInPandas(_taken_kinds, schema), "taken")
+    order = W.partitionBy("block", "kind").orderBy("item")
+    free = lambda ids, df, side: ids.withColumn("__n", F.row_number().over(order)).join(df.select("block", "kind", "free"), ["block", "kind"]).where("__n <= free").select("block", F.col("kind").alias(side), F.col("item").alias(f"{side}_item"))
+    lefts, rights = free(items, kinds, "left"), free(r_items, r_kinds, "right")
+    pairs = listed.join(lefts, ["block", "left"]).join(rights, ["block", "right"])
+    found = greedy_pairs(pairs, ["block"], "left_item", "right_item")
+    back = found.join(lefts, ["block", "left_item"]).join(rights, ["block", "right_item"])
+    return written(back.groupBy("block", "sim", "left", "right").agg(F.count("*").alias("n")), "taken")
+
+
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key, by aggregation rather than a sort of the whole key."""
     rest = [c for c in df.columns if c not in keys]

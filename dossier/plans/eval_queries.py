@@ -196,9 +196,9 @@ def pair_similarity(spark, sf_dir):
 def greedy_match_tp(spark, sf_dir):
     """Greedy matches within each label at three thresholds."""
     a, b = _halves(spark, sf_dir)
-    pairs = V.similar_pairs(a, b, "label", "i", "j", "a", "b", 0.1)
+    taken = M.greedy_counts(a, b, "label", "i", "j", "a", "b", 0.1)
     levels = spark.createDataFrame([(0.1,), (0.2,), (0.3,)], "threshold double")
-    return M.greedy_one_to_one(pairs.join(F.broadcast(levels), F.col("sim") >= F.col("threshold")), ["label", "threshold"], "i", "j")
+    return taken.join(F.broadcast(levels), F.col("sim") >= F.col("threshold")).groupBy("label", "threshold").agg(F.sum("n").cast("int").alias("tp"))
 
 
 def critical_items(spark, sf_dir):

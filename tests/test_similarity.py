@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dossier.operators import matching as M
 from dossier.operators import similarity as V
+from dossier.plans import registry
 
 
 def vectors(spark, rng, n, blocks, name, vec):
@@ -79,6 +80,66 @@ def test_rounds_on_random_pairs(spark, monkeypatch):
     assert {(r.i, r.j) for r in got.collect()} == passed(pairs) and rounds.count("taken") <= 2 * np.log2(len(pairs))
 
 
+def counted(pairs, threshold):
+    """How many pairs the pass takes at each similarity, by block, one pair after the other."""
+    out = {}
+    for block in {b for b, _, _, _ in pairs}:
+        mine = [(s, i, j) for b, s, i, j in pairs if b == block and s >= threshold]
+        sims = {(i, j): s for s, i, j in sorted(mine)}
+        for i, j in passed(mine):
+            out[block, sims[i, j]] = out.get((block, sims[i, j]), 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("left_over", [60, 1_000_000])
+@pytest.mark.parametrize("kind", ["any", "copies", "levels", "one id, several vectors"])
+def test_greedy_counts_against_the_pass(spark, left_over, kind, monkeypatch):
+    """Vectors of their own, few vectors of many items, vectors of few similarities, and items with several vectors; all in one round and in many."""
+    monkeypatch.setattr(M, "LEFT_OVER", left_over)
+    monkeypatch.setattr(V, "WIDE", 9)
+    rng = np.random.default_rng(left_over)
+    n = 70
+    if kind in ("any", "one id, several vectors"):
+        (a, left), (b, right) = vectors(spark, rng, n, ["a", "b", "-"], "i", "a"), vectors(spark, rng, n - 8, ["a", "b"], "j", "b")
+        if kind != "any":
+            a, b = [(k, i // 2 if k == "a" else i, v) for k, i, v in a], b + b[:5]
+    else:
+        pool = [rng.normal(size=4).round(2).tolist() for _ in range(7)] if kind == "copies" else [list(map(float, f"{k:04b}")) for k in range(16)]
+        a, b = ([(str(rng.choice(["a", "b"])), int(k), pool[rng.integers(len(pool))]) for k in rng.permutation(m)] for m in (n, n - 8))
+    schema = "block string, {0} long, v array<float>"
+    left, right = (spark.createDataFrame([(None if k == "-" else str(k), i, v) for k, i, v in r], schema.format(x)) for r, x in ((a, "i"), (b, "j")))
+    pairs = []
+    for k, i, x in a:
+        pairs += [(str(k), s, i, j) for (_, _, j), s in brute([(k, i, x)], b).items()]
+    got = M.greedy_counts(left, right, "block", "i", "j", "v", "v", 0.3)
+    assert got.columns == ["block", "sim", "n"]
+    assert {(r.block, r.sim): r.n for r in got.collect()} == counted(pairs, 0.3)
+
+
+def test_greedy_matches_do_not_list_all_pairs(spark, tmp_path, monkeypatch):
+    """Of 45,000 pairs above the lowest threshold, the query writes a few thousand."""
+    rng = np.random.default_rng(3)
+    vecs = np.abs(rng.normal(size=(600, 8))).round(3)
+    rows = [(n, v.tolist(), n // 2 % 2) for n, v in enumerate(vecs)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen = []
+
+    def write(df, name, write=M.written):
+        out = write(df, name)
+        seen.append(out.count() if name == "pairs" else 0)
+        return out
+
+    monkeypatch.setattr(M, "LEFT_OVER", 2000)
+    monkeypatch.setattr(M, "written", write)
+    got = {(r.label, r.threshold): r.tp for r in registry.QUERIES["greedy_match_tp"](spark, str(tmp_path)).collect()}
+    taken = {}
+    for label in (0, 1):
+        sims = brute([(label, n, v) for n, v, k in rows if k == label and n % 2 == 0], [(label, n, v) for n, v, k in rows if k == label and n % 2])
+        taken |= counted([(label, s, i, j) for (_, i, j), s in sims.items()], 0.1)
+    want = {(k, t): sum(n for (b, s), n in taken.items() if b == k and s >= t) for k in (0, 1) for t in (0.1, 0.2, 0.3)}
+    assert got == want and sum(seen) < 12_000
+
+
 def test_prefixes_of_one_brand(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(0, 9)))
